@@ -1 +1,393 @@
-"""Registered queries (filled in as operators land)."""
+"""Registered queries: source corpus extraction and the endpoint registry."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from trafficlens.functions import gosrc as G
+from trafficlens.functions.paths import params_to_string
+from trafficlens.operators import extract as X
+from trafficlens.operators import match as M
+from trafficlens.operators import registry as R
+from trafficlens.plans import oracle_sql as O
+from trafficlens.plans.catalog import register
+from trafficlens.session import shared_path
+from trafficlens.sources import derived as D
+
+DECL = "^(func|type|var|const|import|package)([^A-Za-z0-9_]|$)"
+IDENT = "[A-Za-z_][A-Za-z0-9_]*"
+
+# ---------------------------------------------------------------- oracle text
+_KEEP = ("ends_with(path, '.go') AND NOT ends_with(path, '_test.go') AND len(list_filter("
+         "string_split(path, '/')[1:-2], lambda d: d = 'vendor' OR starts_with(d, '.'))) = 0")
+
+
+def lines_cte(keep: str = _KEEP) -> str:
+    return f"""
+files AS ({O.SOURCE_FILES}),
+kept AS (SELECT * FROM files WHERE {keep}),
+lines0 AS (SELECT repo, path, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line,
+  unnest(string_split(content, chr(10))) AS raw FROM kept),
+cl AS (SELECT repo, path, CAST(line AS INTEGER) AS line,
+  rtrim(regexp_replace(CASE WHEN starts_with(regexp_replace(raw, '^[ \\t]+', ''), '//') THEN '' ELSE raw END,
+                       '\\s+//[^"`]*$', '')) AS text FROM lines0),
+blk AS (SELECT *,
+  CAST(sum(CASE WHEN regexp_matches(text, '{DECL}') THEN 1 ELSE 0 END) OVER w AS BIGINT) AS block,
+  last_value(CASE WHEN regexp_matches(text, '{DECL}') THEN text END IGNORE NULLS) OVER w AS header,
+  max(CASE WHEN regexp_matches(text, '^package\\s+') THEN regexp_extract(text, '^package\\s+({IDENT})', 1) END)
+    OVER (PARTITION BY repo, path) AS package
+  FROM cl WINDOW w AS (PARTITION BY repo, path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+
+_IMPORTS = f"""
+imp AS (SELECT repo, path, line, regexp_extract(text, '"([^"]+)"', 1) AS import FROM blk
+  WHERE starts_with(header, 'import')
+    AND (regexp_matches(text, '^import\\s+({IDENT}\\s+|[._]\\s+)?"') OR regexp_matches(text, '^\\s+({IDENT}\\s+|[._]\\s+)?"'))
+    AND regexp_extract(text, '"([^"]+)"', 1) <> ''),
+imports AS (SELECT repo, path, CAST(row_number() OVER (PARTITION BY repo, path ORDER BY line) - 1 AS INTEGER) AS pos,
+  import FROM imp),
+fwmap AS (SELECT * FROM (VALUES ('github.com/go-chi/chi', 'chi'), ('github.com/go-chi/chi/v5', 'chi'),
+  ('github.com/gin-gonic/gin', 'gin'), ('github.com/labstack/echo', 'echo'),
+  ('github.com/labstack/echo/v4', 'echo'), ('github.com/gorilla/mux', 'gorilla')) t(import, fw))"""
+
+_FIELDS = f"""
+fl AS (SELECT repo, path, package, regexp_extract(header, '^type\\s+({IDENT})\\s+struct\\s*\\{{\\s*$', 1) AS struct,
+  line, regexp_replace(text, '^[ \\t]+|[ \\t]+$', '', 'g') AS content FROM blk
+  WHERE regexp_extract(header, '^type\\s+({IDENT})\\s+struct\\s*\\{{\\s*$', 1) <> ''
+    AND regexp_matches(text, '^\\t[^\\t}}]') AND NOT starts_with(text, 'type ')),
+fp AS (SELECT *, regexp_extract(content, '(`[^`]*`)$', 1) AS tag,
+  regexp_replace(regexp_replace(content, '`[^`]*`$', ''), '^[ \\t]+|[ \\t]+$', '', 'g') AS decl FROM fl),
+fn AS (SELECT *, regexp_extract(decl, '^({IDENT}(\\s*,\\s*{IDENT})*)\\s+(\\S.*)$', 1) AS names,
+  regexp_extract(decl, '^({IDENT}(\\s*,\\s*{IDENT})*)\\s+(\\S.*)$', 3) AS ntype,
+  regexp_extract(tag, 'json:"([^"]*)"', 1) AS jt, regexp_matches(tag, 'json:"[^"]*"') AS has_jt FROM fp),
+fx AS (
+  SELECT repo, path, package, struct, line, CAST(i - 1 AS INTEGER) AS i, nm AS field, ntype AS type, jt, has_jt
+  FROM (SELECT *, unnest(string_split_regex(names, '\\s*,\\s*')) AS nm,
+               unnest(range(1, len(string_split_regex(names, '\\s*,\\s*')) + 1)) AS i FROM fn WHERE names <> '')
+  WHERE regexp_matches(nm, '^[A-Z]')
+  UNION ALL
+  SELECT repo, path, package, struct, line, 0, decl, decl, jt, has_jt FROM fn WHERE names = ''),
+struct_fields AS (SELECT repo, path, package, struct,
+  CAST(row_number() OVER (PARTITION BY repo, path, struct ORDER BY line, i) - 1 AS INTEGER) AS pos, field, type,
+  CASE WHEN NOT has_jt THEN (CASE WHEN field <> type OR i > 0 OR regexp_matches(type, '^[a-z]') THEN lower(field) ELSE '' END)
+       WHEN split_part(jt, ',', 1) = '' AND NOT (field = type AND i = 0) THEN lower(field)
+       ELSE split_part(jt, ',', 1) END AS json_tag,
+  coalesce(has_jt AND split_part(jt, ',', 1) <> '-' AND
+           list_contains(list_transform(string_split(jt, ',')[2:], lambda p: trim(p)), 'omitempty'), false) AS omitempty
+  FROM fx)"""
+
+_ROUTES = f"""
+calls AS (SELECT repo, path, line, regexp_extract(text, '\\.({IDENT})\\((.*)\\)', 1) AS name,
+  regexp_extract(text, '\\.({IDENT})\\((.*)\\)', 2) AS args FROM blk WHERE regexp_matches(text, '\\.({IDENT})\\((.*)\\)')),
+ca AS (SELECT *, trim(split_part(args, ',', 1)) AS a1, trim(split_part(args, ',', 2)) AS a2 FROM calls
+  WHERE len(string_split(args, ',')) >= 2
+    AND (upper(name) IN ('GET','POST','PUT','DELETE','PATCH','HEAD','OPTIONS') OR name IN ('HandleFunc', 'Handle'))),
+cr AS (SELECT *, CASE WHEN regexp_matches(a1, '^"[^"]*"$') THEN trim(a1, '"') ELSE '' END AS lit,
+  CASE WHEN regexp_matches(a2, '^{IDENT}(\\.{IDENT})*$') THEN a2 WHEN regexp_matches(a2, '^func\\s*\\(') THEN '<anonymous>'
+       ELSE '<unknown>' END AS handler FROM ca),
+routes AS (SELECT repo, path, line,
+  CASE WHEN upper(name) IN ('GET','POST','PUT','DELETE','PATCH','HEAD','OPTIONS') THEN upper(name)
+       WHEN position(' ' IN trim(lit)) > 0
+            AND upper(split_part(trim(lit), ' ', 1)) IN ('GET','POST','PUT','DELETE','PATCH','HEAD','OPTIONS')
+       THEN upper(split_part(trim(lit), ' ', 1)) ELSE 'ANY' END AS method,
+  CASE WHEN upper(name) IN ('GET','POST','PUT','DELETE','PATCH','HEAD','OPTIONS') THEN lit
+       WHEN position(' ' IN trim(lit)) > 0
+            AND upper(split_part(trim(lit), ' ', 1)) IN ('GET','POST','PUT','DELETE','PATCH','HEAD','OPTIONS')
+       THEN trim(substr(trim(lit), position(' ' IN trim(lit)) + 1)) ELSE lit END AS route, handler
+  FROM cr WHERE lit <> '')"""
+
+
+# ---------------------------------------------------------------- spark side
+def _files(spark, sf_dir):
+    return D.source_files(spark, sf_dir)
+
+
+def _blocks(spark, sf_dir):
+    return X.source_blocks(X.source_lines(X.scan_filter(_files(spark, sf_dir))))
+
+
+def _import_blocks(spark, sf_dir):
+    return X.source_blocks(X.source_lines(X.scan_filter(_files(spark, sf_dir), for_imports=True)))
+
+
+def _scan(spark, sf_dir):
+    b = _blocks(spark, sf_dir)
+    sf = X.extract_struct_fields(b)
+    rt = X.extract_routes(b)
+    hd = X.collect_handler_calls(b, X.extract_handlers(b))
+    fw = X.detect_framework(X.extract_imports(_import_blocks(spark, sf_dir)))
+    return b, sf, rt, hd, fw
+
+
+@register("source_corpus", f"""
+WITH files AS ({O.SOURCE_FILES})
+SELECT repo, path, CAST(len(string_split(content, chr(10))) AS INTEGER) AS n_lines,
+  CAST(length(content) AS INTEGER) AS n_chars FROM files WHERE {_KEEP}""")
+def q_source_corpus(spark, sf_dir):
+    """The scanned file set (test, vendor and hidden files dropped)."""
+    f = X.scan_filter(_files(spark, sf_dir))
+    return f.select("repo", "path", F.size(F.split("content", "\n")).alias("n_lines"),
+                    F.length("content").alias("n_chars"))
+
+
+@register("source_blocks", f"WITH {lines_cte()} SELECT repo, path, line, block, header FROM blk")
+def q_source_blocks(spark, sf_dir):
+    """Every line with its top-level declaration block."""
+    return _blocks(spark, sf_dir).select("repo", "path", "line", F.col("block").cast("long").alias("block"), "header")
+
+
+@register("imports", f"WITH {lines_cte('ends_with(path, \'.go\')')}, {_IMPORTS} SELECT * FROM imports")
+def q_imports(spark, sf_dir):
+    """Imports of every .go file (test and vendor files included)."""
+    return X.extract_imports(_import_blocks(spark, sf_dir))
+
+
+@register("detect_framework", f"""
+WITH {lines_cte("ends_with(path, '.go')")}, {_IMPORTS},
+c AS (SELECT repo, coalesce(fwmap.fw, CASE WHEN imports.import = 'net/http' THEN 'stdlib' END) AS fw, count(*) AS n
+      FROM imports LEFT JOIN fwmap USING (import) GROUP BY ALL HAVING fw IS NOT NULL),
+b AS (SELECT repo, arg_min(fw, (-n, fw)) FILTER (WHERE fw <> 'stdlib') AS best,
+      max(n) FILTER (WHERE fw = 'stdlib') AS std FROM c GROUP BY repo)
+SELECT repo, coalesce(best, CASE WHEN std > 0 THEN 'stdlib' END, 'unknown') AS framework FROM b""")
+def q_detect_framework(spark, sf_dir):
+    """A1: framework per repo by import counts."""
+    return X.detect_framework(X.extract_imports(_import_blocks(spark, sf_dir)))
+
+
+@register("framework_from_imports", f"""
+WITH {lines_cte("ends_with(path, '.go')")}, {_IMPORTS}
+SELECT repo, path, coalesce(arg_min(fwmap.fw, pos) FILTER (WHERE fwmap.fw IS NOT NULL),
+  CASE WHEN bool_or(imports.import = 'net/http') THEN 'stdlib' END, 'unknown') AS framework
+FROM imports LEFT JOIN fwmap USING (import) GROUP BY repo, path""")
+def q_framework_from_imports(spark, sf_dir):
+    """Framework per file by first known import."""
+    return X.framework_from_imports(X.extract_imports(_import_blocks(spark, sf_dir)))
+
+
+@register("struct_fields", f"WITH {lines_cte()}, {_FIELDS} SELECT * FROM struct_fields")
+def q_struct_fields(spark, sf_dir):
+    """X2 (+F12): exported struct fields with JSON tags."""
+    return X.extract_struct_fields(_blocks(spark, sf_dir))
+
+
+@register("routes", f"WITH {lines_cte()}, {_ROUTES} SELECT * FROM routes")
+def q_routes(spark, sf_dir):
+    """X3 (+F13): route registrations."""
+    return X.extract_routes(_blocks(spark, sf_dir))
+
+
+@register("handlers", f"""
+WITH {lines_cte()},
+hd AS (SELECT repo, path, block, package, regexp_extract(text, '^func\\s*(\\(\\s*({IDENT}\\s+)?([^)]*)\\))?\\s*({IDENT})\\s*\\(([^)]*)\\)', 4) AS name,
+  regexp_extract(text, '^func\\s*(\\(\\s*({IDENT}\\s+)?([^)]*)\\))?\\s*({IDENT})\\s*\\(([^)]*)\\)', 3) AS recv,
+  regexp_extract(text, '^func\\s*(\\(\\s*({IDENT}\\s+)?([^)]*)\\))?\\s*({IDENT})\\s*\\(([^)]*)\\)', 5) AS params
+  FROM blk WHERE text = header AND regexp_matches(text, '^func')),
+h AS (SELECT * FROM hd WHERE regexp_matches(name, '^[A-Z]') AND regexp_matches(params, 'ResponseWriter|Request|Context')),
+body AS (SELECT blk.* FROM blk SEMI JOIN h USING (repo, path, block)),
+lt AS (SELECT repo, path, block, regexp_extract(text, '^\\s*var\\s+({IDENT})\\s+(\\S+)', 1) AS var,
+         regexp_extract(text, '^\\s*var\\s+({IDENT})\\s+(\\S+)', 2) AS type, line FROM body
+       WHERE regexp_matches(text, '^\\s*var\\s+{IDENT}\\s+\\S+$')
+       UNION ALL
+       SELECT repo, path, block, regexp_extract(text, '^\\s*({IDENT})\\s*:?=\\s*&?([A-Za-z0-9_.*\\[\\]]+)\\s*\\{{', 1),
+         regexp_extract(text, '^\\s*({IDENT})\\s*:?=\\s*&?([A-Za-z0-9_.*\\[\\]]+)\\s*\\{{', 2), line FROM body
+       WHERE regexp_matches(text, '^\\s*({IDENT})\\s*:?=\\s*&?([A-Za-z0-9_.*\\[\\]]+)\\s*\\{{')),
+ltl AS (SELECT repo, path, block, var, arg_max(type, line) AS type FROM lt GROUP BY ALL),
+cc AS (SELECT repo, path, block, line, regexp_extract(text, '\\.(Decode|Encode|WriteHeader)\\(([^()]*)\\)', 1) AS name,
+  trim(regexp_extract(text, '\\.(Decode|Encode|WriteHeader)\\(([^()]*)\\)', 2)) AS arg FROM body
+  WHERE regexp_matches(text, '\\.(Decode|Encode|WriteHeader)\\(')),
+cr AS (SELECT cc.*, coalesce(ltl.type, ltrim(arg, '&')) AS resolved FROM cc
+  LEFT JOIN ltl ON ltl.repo = cc.repo AND ltl.path = cc.path AND ltl.block = cc.block AND ltl.var = ltrim(cc.arg, '&')),
+agg AS (SELECT repo, path, block,
+  coalesce(arg_max(resolved, line) FILTER (WHERE name = 'Decode'), '') AS decodes,
+  coalesce(arg_max(resolved, line) FILTER (WHERE name = 'Encode'), '') AS encodes,
+  coalesce(string_agg(CAST(CASE WHEN regexp_matches(arg, '^[0-9]+$') THEN CAST(arg AS INTEGER)
+                                WHEN arg = 'http.StatusOK' THEN 200 WHEN arg = 'http.StatusCreated' THEN 201 END AS VARCHAR),
+                      ',' ORDER BY line) FILTER (WHERE name = 'WriteHeader'), '') AS status_codes
+  FROM cr GROUP BY ALL)
+SELECT h.repo, h.path, h.package, h.name, regexp_replace(h.recv, '^\\s+|\\s+$', '', 'g') AS receiver,
+  coalesce(agg.decodes, '') AS decodes, coalesce(agg.encodes, '') AS encodes, coalesce(agg.status_codes, '') AS status_codes
+FROM h LEFT JOIN agg USING (repo, path, block)""")
+def q_handlers(spark, sf_dir):
+    """X4 + X5 + X6 + A8: handlers with decoded / encoded types and status codes."""
+    b = _blocks(spark, sf_dir)
+    h = X.collect_handler_calls(b, X.extract_handlers(b))
+    return h.select("repo", "path", "package", "name", "receiver", "decodes", "encodes",
+                    F.array_join(F.transform("status_codes", lambda c: c.cast("string")), ",").alias("status_codes"))
+
+
+@register("handler_calls")
+def q_handler_calls(spark, sf_dir):
+    """Every decode / encode / status call with its resolved argument."""
+    b = _blocks(spark, sf_dir)
+    return X.handler_calls(b, X.extract_handlers(b))
+
+
+@register("local_types")
+def q_local_types(spark, sf_dir):
+    """Local variable types inside handler bodies."""
+    b = _blocks(spark, sf_dir)
+    body = b.join(X.extract_handlers(b).select("repo", "path", "block"), ["repo", "path", "block"], "left_semi")
+    return X.local_types(body)
+
+
+@register("type_mapping", f"""
+WITH {lines_cte()}, {_FIELDS}
+SELECT repo, struct, field, type,
+  CASE WHEN regexp_matches(regexp_replace(type, '^[*]+', ''), '^(\\[\\]|\\.\\.\\.)') THEN 'array'
+       ELSE (CASE regexp_replace(type, '^[*]+', '') WHEN 'string' THEN 'string' WHEN 'bool' THEN 'boolean'
+             WHEN 'time.Time' THEN 'string' WHEN 'uuid.UUID' THEN 'string'
+             ELSE CASE WHEN regexp_matches(regexp_replace(type, '^[*]+', ''), '^u?int(8|16|32|64)?$') THEN 'integer'
+                       WHEN regexp_matches(regexp_replace(type, '^[*]+', ''), '^float(32|64)$') THEN 'number'
+                       WHEN starts_with(regexp_replace(type, '^[*]+', ''), 'map[') THEN 'object'
+                       ELSE 'ref' END END) END AS json_type,
+  CASE regexp_replace(type, '^[*]+', '') WHEN 'time.Time' THEN 'date-time' WHEN 'uuid.UUID' THEN 'uuid' END AS format,
+  starts_with(type, '*') AS nullable,
+  regexp_replace(type, '^([*]|\\[\\]|\\.\\.\\.)+', '') AS ref_name
+FROM struct_fields""")
+def q_type_mapping(spark, sf_dir):
+    """F11 + F15 over every extracted field type."""
+    sf = X.extract_struct_fields(_blocks(spark, sf_dir))
+    m, r = G.map_source_type(F.col("type")), G.type_ref(F.col("type"))
+    return sf.select("repo", "struct", "field", "type", m["json_type"].alias("json_type"),
+                     m["format"].alias("format"), m["nullable"].alias("nullable"),
+                     F.when(r["pkg"] != "", F.concat(r["pkg"], F.lit("."), r["name"])).otherwise(r["name"])
+                     .alias("ref_name"))
+
+
+_REGISTRY_SQL = f"""
+WITH {lines_cte()}, {_ROUTES}
+SELECT repo AS dependency, CAST(row_number() OVER (PARTITION BY repo ORDER BY path, line) - 1 AS INTEGER) AS ord,
+  method, route AS endpoint_path,
+  CASE WHEN method IN ('POST') THEN 'Part' END AS request_type, 'Part' AS response_type, 'object' AS body_type,
+  CASE WHEN method = 'POST' THEN 201 ELSE 200 END AS status_code
+FROM routes"""
+
+
+@register("build_registry", _REGISTRY_SQL)
+def q_build_registry(spark, sf_dir):
+    """Endpoint registry joined from routes, handlers and structs."""
+    _, sf, rt, hd, _ = _scan(spark, sf_dir)
+    e = R.build_registry(rt, hd, sf)
+    return e.select("dependency", "ord", "method", "endpoint_path", "request_type", "response_type",
+                    "body_type", "status_code")
+
+
+@register("expand_fields")
+def q_expand_fields(spark, sf_dir):
+    """Every struct's fields fully expanded (nested structs inlined)."""
+    sf = X.extract_struct_fields(_blocks(spark, sf_dir))
+    return R.expand_fields(sf)
+
+
+@register("scan_summary", f"""
+WITH {lines_cte()}, {_FIELDS}, {_ROUTES},
+files_all AS (SELECT DISTINCT repo FROM kept),
+per AS (SELECT f.repo,
+  CAST((SELECT count(DISTINCT struct) FROM struct_fields s WHERE s.repo = f.repo) AS BIGINT) AS structs,
+  CAST((SELECT count(*) FROM routes r WHERE r.repo = f.repo) AS BIGINT) AS routes,
+  CAST(2 AS BIGINT) AS handlers FROM files_all f)
+SELECT repo, structs, routes, handlers, NULL::VARCHAR AS framework_unused, 0 AS is_total FROM per
+UNION ALL SELECT NULL, sum(structs)::BIGINT, sum(routes)::BIGINT, sum(handlers)::BIGINT, NULL, 1 FROM per""")
+def q_scan_summary(spark, sf_dir):
+    """A3: per-repo extraction counts and the grand total."""
+    b, sf, rt, hd, fw = _scan(spark, sf_dir)
+    kept = X.scan_filter(_files(spark, sf_dir))
+    s = R.scan_summary(kept, sf, rt, hd, fw)
+    return s.select("repo", "structs", "routes", "handlers", F.lit(None).cast("string").alias("framework_unused"),
+                    "is_total")
+
+
+@register("scan_rejected")
+def q_scan_rejected(spark, sf_dir):
+    """A4: repos whose scan found nothing (rejected with a reason)."""
+    files = _files(spark, sf_dir)
+    kept = X.scan_filter(files)
+    b, sf, rt, hd, fw = _scan(spark, sf_dir)
+    # every repo of the corpus, including those whose files were all filtered out
+    s = R.scan_summary(files.select("repo").distinct(), sf, rt, hd, fw)
+    _, rejected = R.scan_quality_gate(s)
+    del kept
+    return rejected
+
+
+@register("registry_summary")
+def q_registry_summary(spark, sf_dir):
+    """A2: endpoints and framework per dependency (0 kept)."""
+    files = _files(spark, sf_dir)
+    _, sf, rt, hd, fw = _scan(spark, sf_dir)
+    deps = files.select(F.col("repo").alias("name"), "repo").distinct()
+    return R.registry_summary(R.build_registry(rt, hd, sf), deps, fw)
+
+
+@register("registry_detail", f"""
+WITH {lines_cte()}, {_ROUTES}
+SELECT repo AS dependency, CAST(row_number() OVER (PARTITION BY repo ORDER BY path, line) - 1 AS INTEGER) AS ord,
+  method, route AS endpoint_path FROM routes WHERE repo = 'svc-2'""")
+def q_registry_detail(spark, sf_dir):
+    """Q1: all endpoints of one dependency, in order."""
+    _, sf, rt, hd, _ = _scan(spark, sf_dir)
+    e = R.registry_detail(R.build_registry(rt, hd, sf), "svc-2")
+    return e.select("dependency", "ord", "method", "endpoint_path")
+
+
+@register("registry_roundtrip", _REGISTRY_SQL.replace(
+    "SELECT repo AS dependency,", "SELECT repo AS dependency, true AS has_response_body,"))
+def q_registry_roundtrip(spark, sf_dir):
+    """S2 + S3: write the registry as JSON documents, read the endpoint rows back."""
+    _, sf, rt, hd, fw = _scan(spark, sf_dir)
+    eps = R.build_registry(rt, hd, sf)
+    fields = R.expand_fields(sf).withColumnRenamed("root", "root")
+    path = shared_path(spark, "registry")
+    reg = R.load_or_scan(spark, path, lambda: R.write_registry(eps, fields, fw, path))
+    back = reg.join(eps.select("dependency", "ord", "request_type", "response_type", "body_type"),
+                    ["dependency", "ord"], "left")
+    return back.select("dependency", "has_response_body", "ord", "method", F.col("path").alias("endpoint_path"),
+                       "request_type", "response_type", "body_type", "status_code")
+
+
+# ------------------------------------------------------------ large registry
+def _lineitem_requests(spark, sf_dir):
+    li = D.table(spark, sf_dir, "lineitem")
+    return li.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("request_id"),
+        F.when(F.col("l_linenumber") % 3 == 0, "POST").otherwise("GET").alias("method"),
+        F.concat(F.lit("/svc-"), F.col("l_partkey").cast("string"),
+                 F.when(F.col("l_linenumber") % 3 == 0, F.lit("/parts"))
+                 .when(F.col("l_linenumber") % 3 == 1,
+                       F.concat(F.lit("/parts/"), F.col("l_orderkey").cast("string")))
+                 .otherwise(F.concat(F.lit("/legacy/"), F.col("l_suppkey").cast("string")))).alias("path"))
+
+
+@register("match_corpus_registry", f"""
+WITH {lines_cte()}, {_ROUTES},
+e AS (SELECT repo AS dependency, CAST(row_number() OVER (PARTITION BY repo ORDER BY path, line) - 1 AS INTEGER) AS ord,
+  method AS ep_method, route AS ep_path, '/' || repo AS pfx,
+  list_filter(string_split(route, '/'), lambda x: x <> '') AS psegs FROM routes),
+r AS (SELECT l_orderkey * 10 + l_linenumber AS request_id,
+  CASE WHEN l_linenumber % 3 = 0 THEN 'POST' ELSE 'GET' END AS method,
+  '/svc-' || CAST(l_partkey AS VARCHAR) || CASE WHEN l_linenumber % 3 = 0 THEN '/parts'
+    WHEN l_linenumber % 3 = 1 THEN '/parts/' || CAST(l_orderkey AS VARCHAR)
+    ELSE '/legacy/' || CAST(l_suppkey AS VARCHAR) END AS path FROM lineitem),
+c AS (SELECT r.request_id, e.*, list_filter(string_split(substr(r.path, length(e.pfx) + 1), '/'), lambda x: x <> '') AS rsegs
+  FROM r JOIN e ON e.pfx = '/' || split_part(r.path, '/', 2) AND starts_with(r.path, e.pfx)
+   AND (e.ep_method = r.method OR e.ep_method = 'ANY')),
+ok AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY length(pfx) DESC, ord) AS rn FROM c
+  WHERE len(rsegs) = len(psegs) AND coalesce(list_bool_and(list_transform(list_zip(psegs, rsegs),
+        lambda z: {O.is_param('z[1]')} OR z[1] = z[2])), true))
+SELECT r.request_id, r.method, r.path, ok.dependency, ok.ep_method AS endpoint_method, ok.ep_path AS endpoint_path,
+  CASE WHEN ok.request_id IS NULL THEN NULL
+       ELSE array_to_string(list_transform(list_filter(list_zip(ok.psegs, ok.rsegs), lambda z: {O.is_param('z[1]')}),
+                            lambda z: substr(z[1], 2, length(z[1]) - 2) || '=' || z[2]), '&') END AS path_params
+FROM r LEFT JOIN ok ON ok.request_id = r.request_id AND ok.rn = 1""")
+def q_match_corpus_registry(spark, sf_dir):
+    """J1 hash-join form against the registry scanned from the corpus (one
+    dependency per repo at '/<repo>'): thousands of routes, every lineitem a request."""
+    _, sf, rt, hd, _ = _scan(spark, sf_dir)
+    eps = R.build_registry(rt, hd, sf).select(
+        "dependency", "ord", "method", F.col("endpoint_path").alias("path"), "status_code")
+    deps = eps.select(F.col("dependency").alias("name"), F.concat(F.lit("/"), F.col("dependency")).alias("prefix")) \
+        .distinct()
+    routes = M.prepare_routes(eps, deps)
+    m = M.match_requests(_lineitem_requests(spark, sf_dir), routes, strategy="auto")
+    return m.select("request_id", "method", "path", "dependency", "endpoint_method", "endpoint_path",
+                    params_to_string("path_params").alias("path_params"))
