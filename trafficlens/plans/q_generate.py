@@ -1 +1,161 @@
-"""Registered queries (filled in as operators land)."""
+"""Registered queries: prompts, model calls (stand-in client), generation, conformance, serving."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+import re
+
+from pyspark.sql import functions as F
+
+from trafficlens.functions import keys as K
+from trafficlens.operators import extract as X
+from trafficlens.operators import generate as GEN
+from trafficlens.operators import match as M
+from trafficlens.operators import registry as R
+from trafficlens.operators.analysis import parse_endpoints
+from trafficlens.plans import oracle_sql as O
+from trafficlens.plans.catalog import register
+from trafficlens.plans.q_extract import _files, _lineitem_requests, _scan
+from trafficlens.sources import derived as D
+
+
+def make_registry_client():
+    """Stand-in model for tests and queries: answers an analysis prompt with the
+    routes it lists, as a fenced JSON array (some answers with a trailing
+    comma), and fails on every third call for prompts whose hash says so."""
+    calls = {"n": 0}
+
+    def client(system: str, prompt: str) -> str:
+        calls["n"] += 1
+        h = int(hashlib.sha256(prompt.encode()).hexdigest()[:6], 16)
+        if h % 7 == 0 and calls["n"] % 2 == 1:
+            raise RuntimeError("transient upstream error")
+        m = re.search(r"## Extracted Routes\n(.*?)\n\n## ", prompt, re.S)
+        routes = json.loads(m.group(1)) if m else []
+        eps = [{"method": r["method"], "path": r["path"], "description": r["handler"], "request_body": None,
+                "response_body": {"type": "object", "fields": []}, "status_code": 200} for r in routes]
+        text = json.dumps(eps)
+        if h % 3 == 0 and eps:
+            text = text[:-1] + ",]"
+        return "```json\n" + text + "\n```"
+
+    return client
+
+
+def _no_sleep(_seconds):
+    return None
+
+
+def _corpus_flow(spark, sf_dir):
+    _, sf, rt, hd, fw = _scan(spark, sf_dir)
+    eps = R.build_registry(rt, hd, sf)
+    deps = eps.select(F.col("dependency").alias("name"), F.concat(F.lit("/"), F.col("dependency")).alias("prefix")) \
+        .distinct()
+    routes = M.prepare_routes(eps.select("dependency", "ord", "method", F.col("endpoint_path").alias("path"),
+                                         "status_code"), deps)
+    return sf, rt, hd, fw, eps, routes
+
+
+@register("response_prompts")
+def q_response_prompts(spark, sf_dir):
+    """One generation prompt per matched request (lineitem traffic on the scanned registry)."""
+    sf, _, _, _, eps, routes = _corpus_flow(spark, sf_dir)
+    req = _lineitem_requests(spark, sf_dir).withColumn("query", F.lit("")).withColumn("body", F.lit(""))
+    m = M.match_requests(req, routes).where(F.col("endpoint_path").isNotNull())
+    m = m.withColumn("request_key", K.request_key("method", "path", "query", K.hash_body("body")))
+    return GEN.build_response_prompts(m, eps, R.expand_fields(sf))
+
+
+@register("analysis_prompts")
+def q_analysis_prompts(spark, sf_dir):
+    """One analysis prompt per repo."""
+    sf, rt, hd, fw, _, _ = _corpus_flow(spark, sf_dir)
+    return GEN.build_analysis_prompts(sf, rt, hd, fw)
+
+
+@register("analysis_prompts_chunked")
+def q_analysis_prompts_chunked(spark, sf_dir):
+    """Prompts longer than 1,200 characters are split per package."""
+    sf, rt, hd, fw, _, _ = _corpus_flow(spark, sf_dir)
+    return GEN.build_analysis_prompts(sf, rt, hd, fw, by_package_over=1200)
+
+
+@register("batch_infer")
+def q_batch_infer(spark, sf_dir):
+    """G4 + G1: analysis prompts through the (stand-in) model with retries, parsed into endpoints."""
+    sf, rt, hd, fw, _, _ = _corpus_flow(spark, sf_dir)
+    prompts = GEN.build_analysis_prompts(sf, rt, hd, fw)
+    out = GEN.batch_infer(prompts, make_registry_client, system=GEN.ANALYSIS_SYSTEM, max_retries=2,
+                          validate="endpoints", sleep=_no_sleep)
+    parsed, _ = parse_endpoints(out.select(F.col("repo").alias("output_id"), F.col("response").alias("raw")))
+    n = parsed.groupBy("output_id").agg(F.count(F.lit(1)).alias("n_endpoints"))
+    return out.join(n, out["repo"] == n["output_id"], "left").select(
+        "repo", "attempts", "error", F.coalesce("n_endpoints", F.lit(0)).alias("n_endpoints"))
+
+
+def _bodies(spark, sf_dir):
+    sf, _, _, _, eps, routes = _corpus_flow(spark, sf_dir)
+    req = _lineitem_requests(spark, sf_dir)
+    m = (M.match_requests(req, routes).where(F.col("endpoint_path").isNotNull())
+         .withColumn("request_key", K.request_key("method", "path", F.lit(""), F.lit(""))))
+    m = m.join(eps.select("dependency", F.col("method").alias("endpoint_method"), "endpoint_path", "repo",
+                          "response_type"), ["dependency", "endpoint_method", "endpoint_path"])
+    fields = R.expand_fields(sf)
+    return GEN.generate_responses(m.select("request_id", "request_key", "repo", "response_type", "path_params"),
+                                  fields), fields
+
+
+@register("generate_responses")
+def q_generate_responses(spark, sf_dir):
+    """Schema-conforming bodies, deterministic per request key, params echoed."""
+    b, _ = _bodies(spark, sf_dir)
+    return b.select("request_id", "request_key", "repo", "response_type", "body")
+
+
+@register("check_conformance")
+def q_check_conformance(spark, sf_dir):
+    """Field accuracy of generated bodies and of repaired model outputs against the Part schema."""
+    b, fields = _bodies(spark, sf_dir)
+    gen = GEN.check_conformance(b.select("request_id", "repo", "response_type", "body"), fields)
+    raw = D.raw_outputs(spark, sf_dir)
+    one_repo = fields.where(F.col("root") == "Part").agg(F.min("repo").alias("repo"))
+    model = (raw.select(F.col("output_id").alias("request_id"), GEN.repair_json("raw").alias("body"))
+             .withColumn("body", F.regexp_replace(F.regexp_replace("body", "^\\[", ""), "\\]$", ""))
+             .join(one_repo, how="left").withColumn("response_type", F.lit("Part")))
+    mod = GEN.check_conformance(model.select("request_id", "repo", "response_type", "body"), fields)
+    acc = GEN.field_accuracy(gen.withColumn("source", F.lit("generated")), ["source"]).unionByName(
+        GEN.field_accuracy(mod.withColumn("source", F.lit("model")), ["source"]))
+    return acc
+
+
+@register("error_responses", f"""
+WITH {O.match_cte()}
+SELECT request_id, 501 AS status, '{{"Content-Type":"application/json"}}' AS headers,
+  to_json({{'error': 'no matching endpoint', 'method': method, 'path': path}}) AS body
+FROM matched WHERE endpoint_path IS NULL""")
+def q_error_responses(spark, sf_dir):
+    """Unmatched requests as 501 response rows."""
+    ep, deps = D.fixture_registry(spark)
+    m = M.match_requests(D.requests(spark, sf_dir), M.prepare_routes(ep, deps))
+    return GEN.error_responses(m.where(F.col("endpoint_path").isNull()))
+
+
+@register("serve_batch")
+def q_serve_batch(spark, sf_dir):
+    """The whole flow on lineitem traffic: responses by status and hit, plus store size."""
+    sf, _, _, _, eps, routes = _corpus_flow(spark, sf_dir)
+    li = D.table(spark, sf_dir, "lineitem")
+    req = (_lineitem_requests(spark, sf_dir)
+           .join(li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("request_id"),
+                           F.col("l_shipdate").cast("timestamp").alias("ts"),
+                           F.col("l_quantity").cast("double").alias("latency_ms")), "request_id")
+           .withColumn("query", F.lit("")).withColumn("body", F.lit("")))
+    responses, store = GEN.serve_batch(req, routes, eps, R.expand_fields(sf), ttl_seconds=30 * 86400)
+    summary = responses.groupBy("status", "hit").agg(F.count(F.lit(1)).alias("responses"),
+                                                     F.count("body").alias("with_body"))
+    n_store = store.agg(F.count(F.lit(1)).alias("n")).select(F.col("n").cast("long")).scalar()
+    return summary.select("status", "hit", "responses", "with_body", n_store.alias("store_entries"))
+
+
+__all__ = ["make_registry_client", "X", "_files"]
