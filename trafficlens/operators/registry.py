@@ -91,8 +91,8 @@ def expand_fields(struct_fields: DataFrame, max_depth: int = 8) -> DataFrame:
     checkpointed, so the plan stays linear in depth.
     """
     sf = struct_fields.where(F.col("json_tag") != "-")
-    typed = sf.withColumn("_m", G.map_source_type(F.col("type")))
-    structs = sf.select("repo", "package", "struct", "path").distinct()
+    typed = sf.withColumn("_m", G.map_source_type(F.col("type"))).checkpoint()
+    structs = typed.select("repo", "package", "struct", "path").distinct().checkpoint()
     level = (typed.select(
         "repo", F.col("package").alias("root_package"), F.col("struct").alias("root"),
         F.col("package").alias("_pkg"), "pos", F.col("field").alias("name"), "type", "json_tag", "omitempty", "_m",

@@ -111,11 +111,13 @@ def _import_blocks(spark, sf_dir):
 
 
 def _scan(spark, sf_dir):
+    """Scan outputs, each materialised once in the shared checkpoint folder
+    (they feed several joins; without this every consumer re-runs extraction)."""
     b = _blocks(spark, sf_dir)
-    sf = X.extract_struct_fields(b)
-    rt = X.extract_routes(b)
-    hd = X.collect_handler_calls(b, X.extract_handlers(b))
-    fw = X.detect_framework(X.extract_imports(_import_blocks(spark, sf_dir)))
+    sf = X.extract_struct_fields(b).checkpoint()
+    rt = X.extract_routes(b).checkpoint()
+    hd = X.collect_handler_calls(b, X.extract_handlers(b)).checkpoint()
+    fw = X.detect_framework(X.extract_imports(_import_blocks(spark, sf_dir))).checkpoint()
     return b, sf, rt, hd, fw
 
 
