@@ -1 +1,90 @@
-"""Registered queries (filled in as operators land)."""
+"""Registered queries: streaming runs (availableNow) read back as tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from trafficlens.functions.paths import params_to_string
+from trafficlens.operators import match as M
+from trafficlens.operators.serve import with_keys
+from trafficlens.plans import oracle_sql as O
+from trafficlens.plans.catalog import ORACLE, register
+from trafficlens.plans.q_store import DEDUP_TTL, STORE_TTL, _store_rows
+from trafficlens.session import shared_path
+from trafficlens.sources import derived as D
+from trafficlens.streaming import flows as S
+
+
+def _staged(spark, sf_dir, pieces=4):
+    path = shared_path(spark, "requests-stream")
+    glob = S.stage_in_time_order(D.requests(spark, sf_dir), path, pieces)
+    return S.read_requests_stream(spark, glob)
+
+
+def _routes(spark):
+    ep, deps = D.fixture_registry(spark)
+    return M.prepare_routes(ep, deps)
+
+
+@register("match_stream", ORACLE["match_requests"])
+def q_match_stream(spark, sf_dir):
+    """Matching as a stream (four time-ordered micro-batches)."""
+    out, ck = shared_path(spark, "t1-out"), shared_path(spark, "t1-ck")
+    q = S.match_stream(_staged(spark, sf_dir), _routes(spark), out, ck)
+    q.awaitTermination()
+    m = spark.read.parquet(out)
+    return m.select("request_id", "method", "path", "dependency", "endpoint_method", "endpoint_path",
+                    "status_code", params_to_string("path_params").alias("path_params"))
+
+
+@register("ttl_dedup_stream", ORACLE["ttl_dedup_users"])
+def q_ttl_dedup_stream(spark, sf_dir):
+    """Keyed TTL state (key = user_id, ttl = 6 h); equals the batch W1."""
+    out, ck = shared_path(spark, "t2-out"), shared_path(spark, "t2-ck")
+    res = S.ttl_dedup_stream(_staged(spark, sf_dir), "user_id", DEDUP_TTL)
+    q = (res.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    r = spark.read.parquet(out)
+    return r.select("request_id", F.col("key").cast("long").alias("user_id"), "hit",
+                    F.col("entry_created_at").cast("timestamp_ntz").alias("entry_created_at"))
+
+
+@register("traffic_kpis_stream", f"""
+WITH {O.match_cte()}
+SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, dependency,
+  CAST(count(*) AS BIGINT) AS requests, CAST(count(*) FILTER (WHERE endpoint_path IS NULL) AS BIGINT) AS unmatched,
+  max(latency_ms) AS max_latency_ms, round(sum(latency_ms), 6) AS sum_latency_ms
+FROM matched GROUP BY ALL""")
+def q_traffic_kpis_stream(spark, sf_dir):
+    """Daily windows x dependency with a watermark (update mode, final value per window)."""
+    out, ck = shared_path(spark, "t3-out"), shared_path(spark, "t3-ck")
+    matched = M.match_requests(_staged(spark, sf_dir), _routes(spark), strategy="array")
+    q = S.write_updates(S.traffic_kpis_stream(matched), out, ck)
+    q.awaitTermination()
+    r = S.latest_updates(spark, out, ["window_start", "dependency"])
+    return r.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "dependency", "requests",
+                    "unmatched", "max_latency_ms", F.round("sum_latency_ms", 6).alias("sum_latency_ms"))
+
+
+@register("upsert_stream")
+def q_upsert_stream(spark, sf_dir):
+    """T4: the response store kept current batch by batch (one version per batch)."""
+    root, ck = shared_path(spark, "t4-store"), shared_path(spark, "t4-ck")
+    stream = _staged(spark, sf_dir)
+    keyed = with_keys(M.match_requests(stream, _routes(spark), strategy="array")
+                      .where(F.col("endpoint_path").isNotNull()))
+    rows = _store_rows(keyed.withColumn("hit", F.lit(False)), F.lit(True))
+    q = S.upsert_stream(rows, root, ck, ttl_seconds=STORE_TTL)
+    q.awaitTermination()
+    last = max(int(p.split("=")[-1]) for p in _list_versions(spark, root))
+    store = spark.read.parquet(f"{root}/v={last}")
+    return store.groupBy("dependency").agg(F.count(F.lit(1)).alias("entries"),
+                                           F.max("created_at").cast("timestamp_ntz").alias("latest"))
+
+
+def _list_versions(spark, root):
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [st.getPath().getName() for st in fs.listStatus(path) if st.getPath().getName().startswith("v=")]
