@@ -71,6 +71,8 @@ def _dedup_state_fn(ttl_us: int | None):
 
 def ttl_dedup_stream(stream: DataFrame, key: str, ttl_seconds: float | None, watermark: str = "1 day") -> DataFrame:
     """Streaming W1.  Equal to the batch operator when batches arrive in time order."""
+    from trafficlens.session import ship_package
+    ship_package(stream.sparkSession)
     ttl_us = None if ttl_seconds is None or ttl_seconds <= 0 else int(ttl_seconds * 1_000_000)
     s = (stream.withWatermark("ts", watermark)
          .select("request_id", "ts", F.col(key).cast("string").alias("_key"), F.unix_micros("ts").alias("_t")))
