@@ -191,11 +191,12 @@ def extract_routes(blocks: DataFrame) -> DataFrame:
     dropped; a back-quoted literal keeps its back-quotes.
     """
     name = F.regexp_extract(F.col("text"), _CALL, 1)
-    args = G.split_args(F.regexp_extract(F.col("text"), _CALL, 2))
-    calls = blocks.where(F.col("text").rlike(_CALL)).select(
-        "repo", "path", "line", name.alias("_name"), args.alias("_args"))
-    calls = calls.where((F.size("_args") >= 2) & (F.upper("_name").isin(*G.HTTP_VERBS)
-                                                    | F.col("_name").isin("HandleFunc", "Handle")))
+    named = (blocks.where(F.col("text").rlike(_CALL)).select("repo", "path", "line", "text", name.alias("_name"))
+             .where(F.upper("_name").isin(*G.HTTP_VERBS) | F.col("_name").isin("HandleFunc", "Handle")))
+    # the character-level argument split runs only on route-registration calls
+    calls = (named.select("repo", "path", "line", "_name",
+                          G.split_args(F.regexp_extract(F.col("text"), _CALL, 2)).alias("_args"))
+             .where(F.size("_args") >= 2))
     first = F.get(F.col("_args"), 0)
     lit = F.when(first.rlike('^"[^"]*"$'), F.regexp_replace(first, '^"+|"+$', "")).when(
         first.rlike("^`[^`]*`$"), first).otherwise(F.lit(""))

@@ -68,33 +68,37 @@ def registry_priority(routes: DataFrame) -> DataFrame:
 
 def _route_struct(r: DataFrame) -> Column:
     return F.struct(
-        (-F.col("plen")).alias("neg_plen"), F.col("ord"), F.col("dependency"),
-        F.col("ep_method"), F.col("ep_path"), F.col("status_code"), F.col("pfx"), F.col("psegs"))
+        (-F.col("plen")).alias("_r_neg_plen"), F.col("ord").alias("_r_ord"),
+        F.col("dependency").alias("_r_dependency"), F.col("ep_method").alias("_r_method"),
+        F.col("ep_path").alias("_r_path"), F.col("status_code").alias("_r_status"), F.col("pfx").alias("_r_pfx"),
+        F.col("psegs").alias("_r_psegs"))
 
 
 def _fits(r: Column, np: Column, method: Column) -> Column:
-    segs = path_segments(np.substr(F.length(r["pfx"]) + 1, F.lit(_REST)))
-    return (np.startswith(r["pfx"])
-            & ((r["ep_method"] == method) | (r["ep_method"] == "ANY"))
-            & (F.size(segs) == F.size(r["psegs"]))
-            & F.forall(F.zip_with(r["psegs"], segs, lambda p, s: p["is_param"] | (p["value"] == s)),
+    segs = path_segments(np.substr(F.length(r["_r_pfx"]) + 1, F.lit(_REST)))
+    return (np.startswith(r["_r_pfx"])
+            & ((r["_r_method"] == method) | (r["_r_method"] == "ANY"))
+            & (F.size(segs) == F.size(r["_r_psegs"]))
+            & F.forall(F.zip_with(r["_r_psegs"], segs, lambda p, s: p["is_param"] | (p["value"] == s)),
                        lambda ok: ok))
 
 
 def _match_array(requests: DataFrame, routes: DataFrame) -> DataFrame:
     ordered = routes.select(F.array_sort(F.collect_list(_route_struct(routes))).alias("r")).scalar()
     np = normalize_path(F.col("path"))
-    best = F.get(F.filter(F.col("_routes"), lambda r: _fits(r, F.col("_np"), F.col("method"))), 0)
-    m = requests.withColumn("_np", np).withColumn("_routes", ordered).withColumn("_best", best)
-    segs = path_segments(F.col("_np").substr(F.length(F.col("_best.pfx")) + 1, F.lit(_REST)))
+    first = F.slice(F.filter(F.col("_routes"), lambda r: _fits(r, F.col("_np"), F.col("method"))), 1, 1)
+    # inline_outer evaluates the route scan once per row (a projection would be
+    # inlined into every output column) and keeps unmatched rows with NULLs.
+    m = (requests.withColumn("_np", np).withColumn("_routes", ordered)
+         .select(*requests.columns, "_np", F.inline_outer(first)))
+    segs = path_segments(F.col("_np").substr(F.length(F.col("_r_pfx")) + 1, F.lit(_REST)))
     return m.select(
         *requests.columns,
-        F.col("_best.dependency").alias("dependency"),
-        F.col("_best.ep_method").alias("endpoint_method"),
-        F.col("_best.ep_path").alias("endpoint_path"),
-        F.col("_best.status_code").alias("status_code"),
-        F.when(F.col("_best").isNotNull(), params_from_segments(F.col("_best.psegs"), segs))
-        .alias("path_params"))
+        F.col("_r_dependency").alias("dependency"),
+        F.col("_r_method").alias("endpoint_method"),
+        F.col("_r_path").alias("endpoint_path"),
+        F.col("_r_status").alias("status_code"),
+        F.when(F.col("_r_path").isNotNull(), params_from_segments(F.col("_r_psegs"), segs)).alias("path_params"))
 
 
 def _match_hash(requests: DataFrame, routes: DataFrame, id_col: str) -> DataFrame:

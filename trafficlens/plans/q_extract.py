@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from trafficlens.functions import gosrc as G
@@ -113,7 +114,7 @@ def _import_blocks(spark, sf_dir):
 def _scan(spark, sf_dir):
     """Scan outputs, each materialised once in the shared checkpoint folder
     (they feed several joins; without this every consumer re-runs extraction)."""
-    b = _blocks(spark, sf_dir)
+    b = _blocks(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
     sf = X.extract_struct_fields(b).checkpoint()
     rt = X.extract_routes(b).checkpoint()
     hd = X.collect_handler_calls(b, X.extract_handlers(b)).checkpoint()
