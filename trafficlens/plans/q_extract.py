@@ -349,10 +349,16 @@ def q_registry_roundtrip(spark, sf_dir):
 
 
 # ------------------------------------------------------------ large registry
+def lineitem_request_id():
+    """Unique id of a lineitem row ((orderkey, linenumber) alone repeats in this data)."""
+    return ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1000003 + F.col("l_partkey")) * 101 \
+        + F.col("l_suppkey")
+
+
 def _lineitem_requests(spark, sf_dir):
     li = D.table(spark, sf_dir, "lineitem")
     return li.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("request_id"),
+        lineitem_request_id().alias("request_id"),
         F.when(F.col("l_linenumber") % 3 == 0, "POST").otherwise("GET").alias("method"),
         F.concat(F.lit("/svc-"), F.col("l_partkey").cast("string"),
                  F.when(F.col("l_linenumber") % 3 == 0, F.lit("/parts"))
@@ -366,7 +372,7 @@ WITH {lines_cte()}, {_ROUTES},
 e AS (SELECT repo AS dependency, CAST(row_number() OVER (PARTITION BY repo ORDER BY path, line) - 1 AS INTEGER) AS ord,
   method AS ep_method, route AS ep_path, '/' || repo AS pfx,
   list_filter(string_split(route, '/'), lambda x: x <> '') AS psegs FROM routes),
-r AS (SELECT l_orderkey * 10 + l_linenumber AS request_id,
+r AS (SELECT ((l_orderkey * 8 + l_linenumber) * 1000003 + l_partkey) * 101 + l_suppkey AS request_id,
   CASE WHEN l_linenumber % 3 = 0 THEN 'POST' ELSE 'GET' END AS method,
   '/svc-' || CAST(l_partkey AS VARCHAR) || CASE WHEN l_linenumber % 3 = 0 THEN '/parts'
     WHEN l_linenumber % 3 = 1 THEN '/parts/' || CAST(l_orderkey AS VARCHAR)

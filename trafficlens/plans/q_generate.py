@@ -16,7 +16,7 @@ from trafficlens.operators import registry as R
 from trafficlens.operators.analysis import parse_endpoints
 from trafficlens.plans import oracle_sql as O
 from trafficlens.plans.catalog import register
-from trafficlens.plans.q_extract import _files, _lineitem_requests, _scan
+from trafficlens.plans.q_extract import _files, _lineitem_requests, _scan, lineitem_request_id
 from trafficlens.sources import derived as D
 
 
@@ -147,7 +147,7 @@ def q_serve_batch(spark, sf_dir):
     sf, _, _, _, eps, routes = _corpus_flow(spark, sf_dir)
     li = D.table(spark, sf_dir, "lineitem")
     req = (_lineitem_requests(spark, sf_dir)
-           .join(li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("request_id"),
+           .join(li.select(lineitem_request_id().alias("request_id"),
                            F.col("l_shipdate").cast("timestamp").alias("ts"),
                            F.col("l_quantity").cast("double").alias("latency_ms")), "request_id")
            .withColumn("query", F.lit("")).withColumn("body", F.lit("")))
