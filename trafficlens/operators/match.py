@@ -136,6 +136,8 @@ def match_requests(requests: DataFrame, routes: DataFrame, strategy: str = "auto
                    array_max_routes: int = 256, id_col: str = "request_id") -> DataFrame:
     """Every request with its winning endpoint (NULLs when unmatched).
 
+    ``id_col`` must be unique per request (the hash form picks the winner per id).
+
     ``routes`` comes from ``prepare_routes``.  ``strategy`` is 'array', 'hash'
     or 'auto' (array form while the registry has at most ``array_max_routes``
     routes: the route list then rides along every task as one small value).
