@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trafficlens.llm import quality_rules  # noqa: F401
+from trafficlens.llm import license_scan, quality_rules  # noqa: F401
 from trafficlens.llm.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
