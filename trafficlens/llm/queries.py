@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trafficlens.llm import best_fit, decontaminate, license_scan, quality_rules, secret_scan  # noqa: F401
+from trafficlens.llm import best_fit, decontaminate, license_scan, quality_rules, secret_scan, warc  # noqa: F401
 from trafficlens.llm.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
