@@ -113,11 +113,11 @@ def lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Arra
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
-def attach(left: DataFrame, right: DataFrame, key: str, count: str, total: int) -> DataFrame:
-    """Left join on ``key``, where ``right`` has one row per key and how many rows of ``left`` have it (``count``).
+def attach(left: DataFrame, right: DataFrame, key: str, count: str, total: int, how: str = "left") -> DataFrame:
+    """Left (or inner) join on ``key``; ``right`` has one row per key and how many rows of ``left`` have it (``count``).
 
-    Keys with at least 1/1000 of the ``total`` rows are at most 1000, so they
-    are broadcast; the rest is shuffled, and none of those keys is large.
+    Keys with at least 1/1000 of the ``total`` rows are some 1000 at most, so
+    they are broadcast; the rest is shuffled, and none of those keys is large.
     Both frames are read twice: pass checkpointed or stored ones.
     """
     bar = max(2, total // HEAVY_SHARE)
@@ -125,4 +125,4 @@ def attach(left: DataFrame, right: DataFrame, key: str, count: str, total: int)
     light = right.filter(F.col(count) < bar).drop(count)
     hot = left.join(F.broadcast(heavy), key, "inner")
     cold = left.join(F.broadcast(heavy.select(key)), key, "left_anti")
-    return hot.unionByName(cold.join(light, key, "left").select(*hot.columns))
+    return hot.unionByName(cold.join(light, key, how).select(*hot.columns))
