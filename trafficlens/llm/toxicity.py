@@ -12,9 +12,11 @@ doc_id, fit the classifier: one part learns words and trees, the other the
 calibration.  Labels, lang, source and doc_id are no inputs of a score.  The
 sample's ids are the only broadcast; texts are read where they lie.
 
-The learned lexicon holds words that at least 8 % of the toxic training
-texts have, and ten times as large a share of them as of the clean ones (at
-most 200 words).
+The learned lexicon holds words and stems (the first 4 to 8 letters), so that
+inflected and compound forms count: those in at least 5, and at least 1 %, of
+the toxic fitting texts, with at least ten times the share there that they
+have among the clean ones; the 2,000 that separate best, weighted by their
+log odds.  A word counts with its heaviest entry.
 
 Null and empty texts have all-zero features and get the trees' score for
 them.  Null or other labels are not used; a doc_id labelled twice takes the
@@ -25,6 +27,7 @@ without labels).  Empty tables give empty results; long texts are read whole.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +43,8 @@ from trafficlens.llm.common import map_rows, prepare, table, utf8
 from trafficlens.llm.registry import register
 
 MAX_LABELLED = 20_000
-LEARNED_WORDS = 200
+LEARNED_WORDS = 2000
+STEMS = range(4, 9)
 NEAR = 5
 CACHE = 400_000
 
@@ -63,7 +67,7 @@ PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 SPACES = b" \t\n\v\f\r"
 
 INSULT, LEARNED, YOU, OBFUSCATED, CAPS = 1, 2, 4, 8, 16
-FEATURES = ("insult_density", "insult_count", "learned_density", "learned_count", "near_you", "capitals", "all_caps",
+FEATURES = ("insult_density", "insult_count", "learned_density", "learned_count", "learned_top", "near_you", "capitals", "all_caps",
             "exclamations", "punctuation", "obfuscated", "length")
 
 
@@ -78,21 +82,28 @@ def normal_form(word: bytes) -> bytes:
     return low
 
 
+def entries(form: bytes) -> list[bytes]:
+    """What the learned lexicon may hold for a word: its stems (marked by a star), then the word."""
+    chars = form.decode(errors="replace")
+    return [f"{chars[:k]}*".encode() for k in STEMS if k < len(chars)] + [form]
+
+
 class WordCodes(dict):
-    """word -> bits of what it is; forgets everything at CACHE words."""
+    """word -> bits of what it is, and above them its learned weight in 1/16; forgets everything at CACHE words."""
 
-    def __init__(self, learned: frozenset):
+    def __init__(self, learned: dict[bytes, float]):
         super().__init__()
-        self.learned = learned
+        self.learned = {w: int(16 * x) for w, x in learned.items()}
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE:
             self.clear()
         form = normal_form(word)
         core = word.strip(EDGE)
-        code = (INSULT * (form in INSULTS) | LEARNED * (form in self.learned) | YOU * (form in SECOND_PERSON)
+        weight = max(map(self.learned.get, entries(form), [0] * (len(STEMS) + 1))) if self.learned else 0
+        code = (INSULT * (form in INSULTS) | LEARNED * (weight > 0) | YOU * (form in SECOND_PERSON)
                 | OBFUSCATED * (form != core.translate(LOWER) and len(form) > 2)
-                | CAPS * (len(core) > 2 and core.isalpha() and core.isupper()))
+                | CAPS * (len(core) > 2 and core.isalpha() and core.isupper()) | weight << 8)
         self[word] = code
         return code
 
@@ -111,6 +122,8 @@ def feature_rows(texts: list[bytes], codes: WordCodes) -> np.ndarray:
     def total(flags):
         return np.add.reduceat(flags.astype(np.int64), starts)
 
+    weight = code >> 8
+
     size = n[some]
     insults, learned = total(code & INSULT > 0), total(code & LEARNED > 0)
     hit = np.flatnonzero(code & (INSULT | LEARNED))
@@ -127,13 +140,13 @@ def feature_rows(texts: list[bytes], codes: WordCodes) -> np.ndarray:
     def rate(chosen):
         return np.array([len(texts[i]) - len(texts[i].translate(None, chosen)) for i in some]) / chars
 
-    out[some] = np.stack([100 * insults / size, np.log1p(insults), 100 * learned / size, np.log1p(learned),
-                          total(near) / np.maximum(1, hits), rate(UPPER), total(code & CAPS > 0) / size, rate(b"!"),
+    out[some] = np.stack([100 * insults / size, np.log1p(insults), 100 * total(weight) / 16 / size, np.log1p(learned),
+                          np.maximum.reduceat(weight, starts) / 16, total(near) / np.maximum(1, hits), rate(UPPER), total(code & CAPS > 0) / size, rate(b"!"),
                           rate(PUNCTUATION), total(code & OBFUSCATED > 0) / size, np.log1p(size)], axis=1)
     return out
 
 
-def text_features(docs: DataFrame, learned: frozenset, keep: list[str]) -> DataFrame:
+def text_features(docs: DataFrame, learned: dict[bytes, float], keep: list[str]) -> DataFrame:
     """``docs`` (text) with the FEATURES as columns."""
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         codes = WordCodes(learned)
@@ -143,23 +156,33 @@ def text_features(docs: DataFrame, learned: frozenset, keep: list[str]) -> DataF
     return map_rows(docs, {"text": "text"}, run, ", ".join(f"{f} double" for f in FEATURES), keep)
 
 
-def learn_words(rows: DataFrame, toxic: int, clean: int) -> frozenset:
-    """Words (normal forms) that mark toxic texts, from the bounded training rows (text, toxic)."""
+def learn_words(rows: DataFrame, toxic: int, clean: int) -> dict[bytes, float]:
+    """Words and stems that mark toxic texts, with weights, from the bounded training rows (text, toxic)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def flush():
+            for y in (0, 1):
+                yield pa.RecordBatch.from_pydict({"entry": pa.array(list(counts[y]), pa.binary()),
+                                                  "n": pa.array(list(counts[y].values()), pa.int64()),
+                                                  "t": pa.array([y * v for v in counts[y].values()], pa.int64())})
+                counts[y].clear()
+
         for b in batches:
-            words, label = [], []
             for t, y in zip(utf8(b["text"]), b["toxic"].to_pylist()):
-                got = {normal_form(w) for w in t.split()}
-                words += got
-                label += [y] * len(got)
-            yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.binary()), "toxic": pa.array(label, pa.int64())})
-
-    counts = (rows.select("text", "toxic").mapInArrow(run, "word binary, toxic long").groupBy("word")
-              .agg(F.sum("toxic").alias("t"), F.count("*").alias("n")))
-    share, base = F.col("t") / toxic, (F.col("n") - F.col("t") + 1) / (clean + 1)
-    best = (counts.filter(F.octet_length("word") > 2).filter((F.col("t") >= 3) & (share >= 0.08) & (share >= 10 * base))
-            .orderBy(F.desc(share / base), "word").limit(LEARNED_WORDS))
-    return frozenset(bytes(r["word"]) for r in best.select("word").collect())
+                counts[y].update({e for w in set(t.split()) for e in entries(normal_form(w))})
+                if len(counts[0]) + len(counts[1]) > CACHE:
+                    yield from flush()
+        yield from flush()
+
+    got = (rows.select("text", "toxic").mapInArrow(run, "entry binary, n long, t long").groupBy("entry")
+           .agg(F.sum("t").alias("t"), F.sum("n").alias("n")))
+    # odds of the entry standing in a toxic text over a clean one, each smoothed by half a text
+    odds = ((F.col("t") + 0.5) / (toxic + 1)) / ((F.col("n") - F.col("t") + 0.5) / (clean + 1))
+    got = (got.filter(F.octet_length("entry") > 2).withColumn("odds", odds)
+           .filter((F.col("t") >= max(5, toxic // 100)) & (F.col("odds") >= 10))
+           .orderBy(F.desc(F.col("t") * F.log("odds")), "entry").limit(LEARNED_WORDS))
+    return {bytes(r["entry"]): float(np.log(r["odds"])) for r in got.select("entry", "odds").collect()}
 
 
 def _remainder(column: str = "doc_id"):
