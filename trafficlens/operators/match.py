@@ -15,10 +15,11 @@ Two physical forms, both map-side on the request side:
 * ``hash``: each request is expanded only by the registry's distinct prefix
   lengths; candidates are found with equi-joins on
   (prefix, segment count, parameter mask) and (…, masked literal key), so the
-  cost grows with requests x prefix lengths, not requests x routes.  The best
-  candidate per request is a ``min`` over a unique key (no hot group).
+  cost grows with requests x prefix lengths, not requests x routes.  Only the
+  distinct (method, path) pairs take part; the best candidate is a ``min``
+  per pair, and the requests meet it in one join that Spark can split.
 
-Both forms give the same rows (tested).
+Both forms give the same rows, also for repeated request ids (tested).
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from trafficlens.functions.paths import (normalize_path, params_from_segments, p
                                          pattern_segments)
 
 _REST = 1 << 30
-MATCH_COLS = ["dependency", "endpoint_method", "endpoint_path", "status_code", "path_params"]
+MATCH_COLS = ["dependency", "endpoint_method", "endpoint_path", "endpoint_ord", "status_code", "path_params"]
 
 
 def prepare_routes(endpoints: DataFrame, dependencies: DataFrame | None = None) -> DataFrame:
@@ -97,19 +98,21 @@ def _match_array(requests: DataFrame, routes: DataFrame) -> DataFrame:
         F.col("_r_dependency").alias("dependency"),
         F.col("_r_method").alias("endpoint_method"),
         F.col("_r_path").alias("endpoint_path"),
+        F.col("_r_ord").alias("endpoint_ord"),
         F.col("_r_status").alias("status_code"),
         F.when(F.col("_r_path").isNotNull(), params_from_segments(F.col("_r_psegs"), segs)).alias("path_params"))
 
 
-def _match_hash(requests: DataFrame, routes: DataFrame, id_col: str) -> DataFrame:
+def _match_hash(requests: DataFrame, routes: DataFrame) -> DataFrame:
     # Distinct prefix lengths: at most one per distinct prefix length (tiny).
     lens = routes.select(F.sort_array(F.collect_set("plen"), asc=False).alias("l")).scalar()
     shapes = routes.select("pfx", "nseg", "mask").distinct()
-    req = requests.select(F.col(id_col).alias("_rid"), F.col("method").alias("_m"),
-                          normalize_path(F.col("path")).alias("_np"))
+    # a match depends on (method, path) only: repeated requests collapse before any shuffle, bodies never take part
+    req = (requests.select(F.col("method").alias("_m"), F.col("path").alias("_p")).distinct()
+           .withColumn("_np", normalize_path(F.col("_p"))))
     cand = (req.select("*", F.explode(lens).alias("_l"))
             .where(F.length("_np") >= F.col("_l"))
-            .select("_rid", "_m", "_np",
+            .select("_m", "_p",
                     F.col("_np").substr(F.lit(1), F.col("_l")).alias("pfx"),
                     path_segments(F.col("_np").substr(F.col("_l") + 1, F.lit(_REST))).alias("_segs"))
             .withColumn("nseg", F.size("_segs")))
@@ -118,26 +121,26 @@ def _match_hash(requests: DataFrame, routes: DataFrame, id_col: str) -> DataFram
         "_segs", lambda s, i: F.when(F.col("mask").substr(i + 1, F.lit(1)) == "1", F.lit("")).otherwise(s)), "/"))
     hit = (cand.join(routes, ["pfx", "nseg", "mask", "mkey"])
            .where((F.col("ep_method") == F.col("_m")) | (F.col("ep_method") == "ANY")))
-    best = hit.groupBy("_rid").agg(F.min(F.struct(
+    best = hit.groupBy("_m", "_p").agg(F.min(F.struct(
         (-F.col("plen")).alias("neg_plen"), F.col("ord"), F.col("dependency"), F.col("ep_method"),
         F.col("ep_path"), F.col("status_code"), F.col("psegs"), F.col("_segs"))).alias("_best"))
     best = best.select(
-        "_rid",
+        "_m", "_p",
         F.col("_best.dependency").alias("dependency"),
         F.col("_best.ep_method").alias("endpoint_method"),
         F.col("_best.ep_path").alias("endpoint_path"),
+        F.col("_best.ord").alias("endpoint_ord"),
         F.col("_best.status_code").alias("status_code"),
-        params_from_segments(F.col("_best.psegs"), F.col("_best._segs")).alias("path_params"))
-    out = requests.join(best, requests[id_col] == best["_rid"], "left")
+        params_from_segments(F.col("_best.psegs"), F.col("_best._segs")).alias("path_params")).checkpoint()
+    # stored, so that both sides of this join are plain shuffles and Spark can split a very common path
+    out = requests.join(best, (requests["method"] == best["_m"]) & (requests["path"] == best["_p"]), "left")
     return out.select(*requests.columns, *MATCH_COLS)
 
 
 def match_requests(requests: DataFrame, routes: DataFrame, strategy: str = "auto",
-                   array_max_routes: int = 256, id_col: str = "request_id") -> DataFrame:
+                   array_max_routes: int = 256) -> DataFrame:
     """Every request with its winning endpoint (NULLs when unmatched).
 
-    ``id_col`` must be unique per request (the hash form picks the winner per id).
-
     ``routes`` comes from ``prepare_routes``.  ``strategy`` is 'array', 'hash'
     or 'auto' (array form while the registry has at most ``array_max_routes``
     routes: the route list then rides along every task as one small value).
@@ -148,7 +151,7 @@ def match_requests(requests: DataFrame, routes: DataFrame, strategy: str = "auto
     if strategy == "array":
         return _match_array(requests, routes)
     if strategy == "hash":
-        return _match_hash(requests, routes, id_col)
+        return _match_hash(requests, routes)
     raise ValueError(f"unknown strategy {strategy!r}")
 
 

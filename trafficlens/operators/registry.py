@@ -4,6 +4,7 @@ persistence (S2, S3).
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,13 +13,19 @@ from trafficlens.functions import gosrc as G
 from trafficlens.functions.paths import normalize_param
 
 
-def _struct_lookup(refs: DataFrame, structs: DataFrame, type_col: str, home_pkg: str, out: str,
+def directory(path: F.Column) -> F.Column:
+    """A file's directory: what makes a package, besides its name."""
+    return F.regexp_replace(path, "/?[^/]*$", "")
+
+
+def _struct_lookup(refs: DataFrame, structs: DataFrame, type_col: str, home_dir: str, out: str,
                    key_cols: list[str]) -> DataFrame:
     """Resolve ``type_col`` of each ref row (unique by ``key_cols``) to a struct of the same repo.
 
-    Qualified ``pkg.Name`` must match the package; an unqualified name
-    prefers ``home_pkg``, then any package by lowest path.  Adds
-    ``{out}_struct``, ``{out}_package``, ``{out}_array`` (NULL struct when not found).
+    Qualified ``pkg.Name`` must match the package name; an unqualified name
+    prefers the struct in ``home_dir``; then the lowest (directory, package,
+    path) counts.  Adds ``{out}_struct``, ``{out}_package``, ``{out}_dir``,
+    ``{out}_array`` (NULL struct when not found).
     """
     r = refs.withColumn("_ref", G.type_ref(F.col(type_col)))
     s = structs.select(F.col("repo").alias("_srepo"), F.col("package").alias("_spkg"),
@@ -27,12 +34,13 @@ def _struct_lookup(refs: DataFrame, structs: DataFrame, type_col: str, home_pkg:
             & ((F.col("_ref.pkg") == "") | (F.col("_ref.pkg") == F.col("_spkg"))))
     j = r.join(s, cond, "left")
     cand = F.when(F.col("_sname").isNotNull(), F.struct(
-        (F.col("_spkg") != F.coalesce(F.col(home_pkg), F.lit(""))).alias("_away"), F.col("_spath"),
-        F.col("_spkg"), F.col("_sname")))
+        ((F.col("_ref.pkg") == "") & ~F.col(home_dir).eqNullSafe(directory(F.col("_spath")))).alias("_away"),
+        directory(F.col("_spath")).alias("_sdir"), F.col("_spkg"), F.col("_spath"), F.col("_sname")))
     j = (j.withColumn("_cand", cand).withColumn("_best", F.min("_cand").over(Window.partitionBy(*key_cols)))
          .where(F.col("_best").isNull() | (F.col("_cand") == F.col("_best"))))
     return (j.withColumn(f"{out}_struct", F.col("_best._sname"))
             .withColumn(f"{out}_package", F.col("_best._spkg"))
+            .withColumn(f"{out}_dir", F.col("_best._sdir"))
             .withColumn(f"{out}_array", F.col("_ref.is_array"))
             .drop("_ref", "_srepo", "_spkg", "_sname", "_spath", "_cand", "_best"))
 
@@ -47,20 +55,20 @@ def build_registry(routes: DataFrame, handlers: DataFrame, struct_fields: DataFr
     status = first 2xx in handler order, else 200; ':id' params become '{id}'.
     """
     r = routes.withColumn("_hname", F.substring_index(F.col("handler"), ".", -1)).withColumn(
-        "_dir", F.regexp_replace(F.col("path"), "/?[^/]*$", ""))
+        "_dir", directory(F.col("path")))
     h = handlers.select("repo", F.col("name").alias("_hname"), F.col("path").alias("_hpath"),
-                        F.col("block").alias("_hblock"), F.col("package").alias("_hpkg"),
-                        "decodes", "encodes", "status_codes")
+                        F.col("block").alias("_hblock"),
+                        directory(F.col("path")).alias("_hdir"), "decodes", "encodes", "status_codes")
     j = r.join(h, ["repo", "_hname"], "left")
-    same_dir = F.regexp_replace(F.col("_hpath"), "/?[^/]*$", "") == F.col("_dir")
+    same_dir = F.col("_hdir") == F.col("_dir")
     w = Window.partitionBy("repo", "path", "line")
     pick = F.struct((~F.coalesce(same_dir, F.lit(False))).alias("_o"), F.col("_hpath"), F.col("_hblock"))
     j = (j.withColumn("_n", F.count("_hpath").over(w))
          .withColumn("_best", F.min(pick).over(w))
          .where(F.col("_hpath").isNull() | (pick == F.col("_best"))))
     structs = struct_fields.select("repo", "package", "struct", "path")
-    j = _struct_lookup(j, structs, "decodes", "_hpkg", "req", ["repo", "path", "line"])
-    j = _struct_lookup(j, structs, "encodes", "_hpkg", "resp", ["repo", "path", "line"])
+    j = _struct_lookup(j, structs, "decodes", "_hdir", "req", ["repo", "path", "line"])
+    j = _struct_lookup(j, structs, "encodes", "_hdir", "resp", ["repo", "path", "line"])
     norm_path = F.array_join(F.transform(F.split(F.col("route"), "/"), normalize_param), "/")
     status = F.coalesce(F.get(F.filter("status_codes", lambda c: (c >= 200) & (c < 300)), 0), F.lit(200))
     dep = F.col("repo")
@@ -70,6 +78,10 @@ def build_registry(routes: DataFrame, handlers: DataFrame, struct_fields: DataFr
         F.concat(F.col("method"), F.lit(" "), norm_path, F.lit(" handled by "), F.col("handler")).alias("description"),
         F.when(F.col("decodes") != "", F.coalesce("req_struct", "decodes")).alias("request_type"),
         F.when(F.col("encodes") != "", F.coalesce("resp_struct", "encodes")).alias("response_type"),
+        F.when(F.col("decodes") != "", F.col("req_dir")).alias("request_dir"),
+        F.when(F.col("decodes") != "", F.col("req_package")).alias("request_package"),
+        F.when(F.col("encodes") != "", F.col("resp_dir")).alias("response_dir"),
+        F.when(F.col("encodes") != "", F.col("resp_package")).alias("response_package"),
         F.when(F.col("resp_array") & (F.col("encodes") != ""), "array").otherwise("object").alias("body_type"),
         status.cast("int").alias("status_code"),
         (F.col("_n") > 1).alias("ambiguous"))
@@ -80,31 +92,34 @@ def build_registry(routes: DataFrame, handlers: DataFrame, struct_fields: DataFr
     return out.withColumn("ord", (F.row_number().over(wo) - 1).cast("int"))
 
 
-def expand_fields(struct_fields: DataFrame, max_depth: int = 8) -> DataFrame:
-    """Every struct fully expanded into (repo, root, field_path, depth, ...).
+def expand_fields(struct_fields: DataFrame) -> DataFrame:
+    """Every struct fully expanded into (repo, root_dir, root_package, root, field_path, depth, ...).
 
     Nested and ``[]struct`` fields are inlined (children under
     ``parent.child`` / ``parent[].child``); embedded structs are flattened
-    into the parent level; ``json:"-"`` fields are dropped; a struct that
-    repeats on its own path, or depth ``max_depth``, stops the expansion.
-    Each level is one equi-join of the frontier with the field table and is
-    checkpointed, so the plan stays linear in depth.
+    into the parent level; ``json:"-"`` fields are dropped.  A struct is known
+    by its directory, package and name; one that repeats on its own path
+    stops there, and nothing else does, so the loop ends with the longest
+    path.  Each level is one equi-join of the frontier with the field table
+    and is checkpointed, so the plan stays linear in depth.
     """
-    sf = struct_fields.where(F.col("json_tag") != "-")
+    sf = struct_fields.where(F.col("json_tag") != "-").withColumn("dir", directory(F.col("path")))
     typed = sf.withColumn("_m", G.map_source_type(F.col("type"))).checkpoint()
     structs = typed.select("repo", "package", "struct", "path").distinct().checkpoint()
+    roots = ["repo", "root_dir", "root_package", "root"]
+    name_of = lambda d, p, s: F.concat_ws("\n", d, p, s)  # noqa: E731 - no path has a newline in this corpus layout
     level = (typed.select(
-        "repo", F.col("package").alias("root_package"), F.col("struct").alias("root"),
-        F.col("package").alias("_pkg"), "pos", F.col("field").alias("name"), "type", "json_tag", "omitempty", "_m",
-        F.array(F.col("struct")).alias("_seen"), F.lit("").alias("_prefix"), F.lit(0).alias("depth"),
-        F.array(F.col("pos")).alias("_order")))
+        "repo", F.col("dir").alias("root_dir"), F.col("package").alias("root_package"), F.col("struct").alias("root"),
+        F.col("dir").alias("_dir"), "pos", F.col("field").alias("name"), "type", "json_tag", "omitempty", "_m",
+        F.array(name_of("dir", "package", "struct")).alias("_seen"), F.lit("").alias("_prefix"),
+        F.lit(0).alias("depth"), F.array(F.col("pos")).alias("_order")))
     out_levels = []
-    for d in range(max_depth + 1):
-        level = _struct_lookup(level, structs, "type", "_pkg", "child", ["repo", "root_package", "root", "_order"])
+    while True:
+        level = _struct_lookup(level, structs, "type", "_dir", "child", [*roots, "_order"])
         embedded = (F.col("name") == F.col("type")) & F.col("child_struct").isNotNull()
         key = F.when(F.col("json_tag") == "", F.lower("name")).otherwise(F.col("json_tag"))
         emit = level.where(~embedded).select(
-            "repo", "root_package", "root", F.concat("_prefix", key).alias("field_path"), "depth",
+            *roots, F.concat("_prefix", key).alias("field_path"), "depth",
             "_order", "name", key.alias("json_key"),
             F.when(F.col("child_struct").isNotNull() & (F.col("_m.json_type") == "ref"), F.lit("object"))
             .otherwise(F.col("_m.json_type")).alias("json_type"),
@@ -113,29 +128,28 @@ def expand_fields(struct_fields: DataFrame, max_depth: int = 8) -> DataFrame:
             .otherwise(F.col("_m.item_type")).alias("item_type"),
             (~F.col("omitempty")).alias("required"), F.col("_m.nullable").alias("nullable"))
         out_levels.append(emit)
-        if d == max_depth:
-            break
-        grow = level.where(F.col("child_struct").isNotNull() & ~F.array_contains("_seen", F.col("child_struct")))
+        child = name_of("child_dir", "child_package", "child_struct")
+        grow = level.where(F.col("child_struct").isNotNull() & ~F.array_contains("_seen", child))
         child_prefix = F.when(embedded, F.col("_prefix")).otherwise(
             F.concat(F.col("_prefix"), key, F.when(F.col("child_array"), F.lit("[].")).otherwise(F.lit("."))))
         parents = grow.select(
-            "repo", "root_package", "root", F.col("child_struct").alias("_cs"), F.col("child_package").alias("_cp"),
-            F.array_append("_seen", F.col("child_struct")).alias("_seen"), child_prefix.alias("_prefix"),
+            *roots, F.col("child_struct").alias("_cs"), F.col("child_package").alias("_cp"),
+            F.col("child_dir").alias("_cd"),
+            F.array_append("_seen", child).alias("_seen"), child_prefix.alias("_prefix"),
             F.when(embedded, F.col("depth")).otherwise(F.col("depth") + 1).alias("depth"),
             F.col("_order").alias("_porder"))
-        kids = typed.select("repo", F.col("package").alias("_cp"), F.col("struct").alias("_cs"),
-                            F.col("package").alias("_pkg"), "pos", F.col("field").alias("name"), "type",
-                            "json_tag", "omitempty", "_m")
-        level = (parents.join(kids, ["repo", "_cp", "_cs"])
+        kids = typed.select("repo", F.col("dir").alias("_cd"), F.col("package").alias("_cp"),
+                            F.col("struct").alias("_cs"), F.col("dir").alias("_dir"), "pos",
+                            F.col("field").alias("name"), "type", "json_tag", "omitempty", "_m")
+        level = (parents.join(kids, ["repo", "_cd", "_cp", "_cs"])
                  .withColumn("_order", F.concat("_porder", F.array(F.col("pos"))))
-                 .drop("_cp", "_cs", "_porder"))
-        level = level.checkpoint()
+                 .drop("_cd", "_cp", "_cs", "_porder")).checkpoint()
         if level.isEmpty():
             break
     out = out_levels[0]
     for o in out_levels[1:]:
         out = out.unionByName(o)
-    w = Window.partitionBy("repo", "root_package", "root").orderBy("_order")
+    w = Window.partitionBy(*roots).orderBy("_order")
     return out.withColumn("pos", (F.row_number().over(w) - 1).cast("int")).drop("_order")
 
 
@@ -184,21 +198,21 @@ def write_registry(endpoints: DataFrame, fields: DataFrame, frameworks: DataFram
                    scanned_at: str | None = None) -> None:
     """One JSON document per dependency (registry with nested endpoint list and flat body fields)."""
     ts = F.current_timestamp() if scanned_at is None else F.lit(scanned_at).cast("timestamp")
-    body = lambda prefix: F.when(
-        F.col(f"{prefix}_type").isNotNull(),
-        F.struct(F.lit("object").alias("type"), F.col(f"{prefix}_fields").alias("fields")))
-    fl = fields.select("repo", "root", F.struct(
-        "field_path", "depth", "name", "json_key", F.col("json_type").alias("type"), "format", "required"
-    ).alias("_f"), "pos").groupBy("repo", "root").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "_f"))), lambda x: x["_f"]).alias("_fields"))
-    e = (endpoints
-         .join(fl.select("repo", F.col("root").alias("request_type"), F.col("_fields").alias("req_fields")),
-               ["repo", "request_type"], "left")
-         .join(fl.select("repo", F.col("root").alias("response_type"), F.col("_fields").alias("resp_fields")),
-               ["repo", "response_type"], "left")
-         .withColumn("req_type", F.col("request_type")).withColumn("resp_type", F.col("response_type")))
+    key = ["repo", "root_dir", "root_package", "root"]
+    fl = fields.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.struct(
+        "field_path", "depth", "name", "json_key", F.col("json_type").alias("type"), "format", "required", "item_type",
+        "nullable").alias("_f")))), lambda x: x["_f"]).alias("_fields"))
+    e = endpoints
+    for kind in ("request", "response"):
+        named = [F.col(r).alias(f"{kind}_{n}") for r, n in zip(key[1:], ("dir", "package", "type"))]
+        e = e.join(fl.select("repo", *named, F.col("_fields").alias(f"{kind}_fields")),
+                   ["repo", f"{kind}_dir", f"{kind}_package", f"{kind}_type"], "left")
+    body = lambda kind, shape: F.when(F.col(f"{kind}_type").isNotNull(), F.struct(
+        shape.alias("type"), F.col(f"{kind}_type").alias("struct"), F.col(f"{kind}_dir").alias("dir"),
+        F.col(f"{kind}_package").alias("package"), F.col(f"{kind}_fields").alias("fields")))
     ep = F.struct(F.col("method"), F.col("endpoint_path").alias("path"), F.col("description"),
-                  body("req").alias("request_body"), body("resp").alias("response_body"), F.col("status_code"))
+                  body("request", F.lit("object")).alias("request_body"),
+                  body("response", F.col("body_type")).alias("response_body"), F.col("status_code"))
     docs = (e.groupBy("dependency", "repo")
             .agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", ep.alias("e")))), lambda x: x["e"])
                  .alias("endpoints"))
@@ -209,14 +223,30 @@ def write_registry(endpoints: DataFrame, fields: DataFrame, frameworks: DataFram
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """Endpoint rows (dependency, ord, method, path, ...) from persisted registries."""
+    """Endpoint rows as J3 makes them (with framework and the flat body fields) from persisted registries."""
     docs = spark.read.schema(schemas.REGISTRY_DOC).json(path)
-    return docs.select("dependency", "framework_detected", F.posexplode_outer("endpoints").alias("ord", "e")).select(
-        "dependency", F.col("ord").cast("int").alias("ord"), F.col("e.method").alias("method"),
-        F.col("e.path").alias("path"), F.col("e.description").alias("description"),
-        F.col("e.status_code").alias("status_code"),
-        F.col("e.request_body").isNotNull().alias("has_request_body"),
-        F.col("e.response_body").isNotNull().alias("has_response_body"))
+    rows = docs.select("dependency", F.col("repo_path").alias("repo"), "framework_detected",
+                       F.posexplode_outer("endpoints").alias("ord", "e"))
+    bodies = [F.col(f"e.{k}_body.{f}").alias(f"{k}_{n}") for k in ("request", "response")
+              for f, n in (("struct", "type"), ("dir", "dir"), ("package", "package"), ("fields", "fields"))]
+    return rows.select("dependency", "repo", "framework_detected", F.col("ord").cast("int").alias("ord"),
+                       F.col("e.method").alias("method"), F.col("e.path").alias("endpoint_path"),
+                       F.col("e.description").alias("description"), F.col("e.status_code").alias("status_code"), *bodies,
+                       F.coalesce("e.response_body.type", F.lit("object")).alias("body_type"))
+
+
+def registry_fields(registry: DataFrame) -> DataFrame:
+    """J4's field rows of the structs that a read registry names, so that prompts and bodies need no new scan."""
+    out = None
+    for kind in ("request", "response"):
+        part = (registry.where(F.col(f"{kind}_fields").isNotNull())
+                .select("repo", F.col(f"{kind}_dir").alias("root_dir"), F.col(f"{kind}_package").alias("root_package"),
+                        F.col(f"{kind}_type").alias("root"), F.posexplode(f"{kind}_fields").alias("pos", "f"))
+                .select("repo", "root_dir", "root_package", "root", "pos", "f.field_path", "f.depth", "f.name",
+                        "f.json_key", F.col("f.type").alias("json_type"), "f.format", "f.item_type", "f.required",
+                        "f.nullable"))
+        out = part if out is None else out.unionByName(part)
+    return out.dropDuplicates(["repo", "root_dir", "root_package", "root", "pos"])
 
 
 def load_or_scan(spark: SparkSession, path: str, scan, rescan: bool = False) -> DataFrame:
@@ -227,7 +257,8 @@ def load_or_scan(spark: SparkSession, path: str, scan, rescan: bool = False) ->
             reg = read_registry(spark, path)
             if not reg.where(F.col("method").isNotNull()).isEmpty():
                 return reg
-        except Exception:  # noqa: BLE001 - a missing or unreadable registry means: scan
-            pass
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # only an absent registry means: scan
+                raise
     scan()
     return read_registry(spark, path)

@@ -54,7 +54,8 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 def lookup_responses(requests: DataFrame, store: DataFrame, now=None, key_col: str = "request_key") -> DataFrame:
     """Each request with the live store entry for its key (NULLs on a miss).
 
-    ``now`` is a column or timestamp; by default the request's own ``ts``.
+    ``now`` is a column or timestamp; by default the request's own ``ts``, and
+    then an entry written after the request does not answer it.
     Expired rows never answer (the reference deletes them lazily on read; see
     ``purge`` with ``expired_before`` for the physical removal).
     """
@@ -64,6 +65,8 @@ def lookup_responses(requests: DataFrame, store: DataFrame, now=None, key_col: s
                      F.col("expires_at").alias("_exp"))
     j = requests.join(s, requests[key_col] == s["_k"], "left")
     live = F.col("_k").isNotNull() & is_live(F.col("_exp"), now_col)
+    if now is None:
+        live = live & (F.col("store_created_at") <= now_col)
     keep = [c for c in requests.columns]
     return j.select(*keep, live.alias("hit"),
                     F.when(live, F.col("store_status")).alias("store_status"),

@@ -275,11 +275,69 @@ def q_build_registry(spark, sf_dir):
                     "body_type", "status_code")
 
 
-@register("expand_fields")
+def _expand_sql(source: str) -> str:
+    """CTEs for J4 over ``source`` (X2's columns), as a recursive walk; ends in the result's SELECT."""
+    bare = "regexp_replace(type, '^[*]+', '')"
+    return f"""
+xt AS (SELECT *, regexp_replace(path, '/?[^/]*$', '') AS dir, regexp_replace(type, '^([*]|\\[\\]|\\.\\.\\.)+', '') AS ref,
+  regexp_matches({bare}, '^(\\[\\]|\\.\\.\\.)') AS is_list FROM {source} WHERE json_tag <> '-'),
+xs AS (SELECT DISTINCT repo, dir, package, struct FROM xt),
+xr AS (SELECT xt.*, xs.dir AS cdir, xs.package AS cpackage, xs.struct AS cstruct,
+  xt.field = xt.type AND xs.struct IS NOT NULL AS embedded,
+  CASE WHEN json_tag = '' THEN lower(field) ELSE json_tag END AS json_key,
+  CASE WHEN is_list THEN 'array' WHEN {bare} IN ('string', 'time.Time', 'uuid.UUID') THEN 'string'
+       WHEN {bare} = 'bool' THEN 'boolean' WHEN regexp_matches({bare}, '^u?int(8|16|32|64)?$') THEN 'integer'
+       WHEN regexp_matches({bare}, '^float(32|64)$') THEN 'number' WHEN starts_with({bare}, 'map[') THEN 'object'
+       WHEN xs.struct IS NOT NULL THEN 'object' ELSE 'ref' END AS json_type
+  FROM xt LEFT JOIN xs ON xs.repo = xt.repo AND (
+    (NOT contains(ref, '.') AND xs.struct = ref AND xs.dir = xt.dir)
+    OR (contains(ref, '.') AND xs.struct = split_part(ref, '.', 2) AND xs.package = split_part(ref, '.', 1)))),
+walk(repo, root_dir, root_package, root, dir, package, struct, prefix, depth, ord, seen) AS (
+  SELECT repo, dir, package, struct, dir, package, struct, '', 0, CAST([] AS INTEGER[]), [dir || '|' || package || '|' || struct] FROM xs
+  UNION ALL
+  SELECT w.repo, w.root_dir, w.root_package, w.root, c.cdir, c.cpackage, c.cstruct,
+    w.prefix || CASE WHEN c.embedded THEN '' WHEN c.is_list THEN c.json_key || '[].' ELSE c.json_key || '.' END,
+    w.depth + CASE WHEN c.embedded THEN 0 ELSE 1 END, list_append(w.ord, CAST(c.pos AS INTEGER)),
+    list_append(w.seen, c.cdir || '|' || c.cpackage || '|' || c.cstruct)
+  FROM walk w JOIN xr c ON c.repo = w.repo AND c.dir = w.dir AND c.package = w.package AND c.struct = w.struct
+  WHERE c.cstruct IS NOT NULL AND NOT list_contains(w.seen, c.cdir || '|' || c.cpackage || '|' || c.cstruct))
+SELECT w.repo, root_dir, root_package, root, prefix || json_key AS field_path, depth, field AS name, json_key, json_type,
+  CASE {bare} WHEN 'time.Time' THEN 'date-time' WHEN 'uuid.UUID' THEN 'uuid' END AS format,
+  NOT omitempty AS required, starts_with(type, '*') AS nullable,
+  CAST(row_number() OVER (PARTITION BY w.repo, root_dir, root_package, root
+                          ORDER BY list_append(w.ord, CAST(c.pos AS INTEGER))) - 1 AS INTEGER) AS pos
+FROM walk w JOIN xr c ON c.repo = w.repo AND c.dir = w.dir AND c.package = w.package AND c.struct = w.struct
+WHERE NOT embedded"""
+
+
+EXPANDED = ["repo", "root_dir", "root_package", "root", "field_path", "depth", "name", "json_key", "json_type", "format",
+            "required", "nullable", "pos"]
+
+
+@register("expand_fields", f"WITH RECURSIVE {lines_cte()}, {_FIELDS}, {_expand_sql('struct_fields')}")
 def q_expand_fields(spark, sf_dir):
     """Every struct's fields fully expanded (nested structs inlined)."""
-    sf = X.extract_struct_fields(_blocks(spark, sf_dir))
-    return R.expand_fields(sf)
+    return R.expand_fields(X.extract_struct_fields(_blocks(spark, sf_dir))).select(*EXPANDED)
+
+
+_NESTED_VALUES = ", ".join("(" + ", ".join(str(v).lower() if isinstance(v, bool) else repr(v) for v in row) + ")"
+                           for row in D.NESTED_STRUCTS)
+
+
+@register("expand_fields_deep", f"""
+WITH RECURSIVE p AS (SELECT 'svc-' || p_partkey AS repo, p_size % 4 + 9 AS last FROM part),
+nested AS (
+  SELECT repo, 'deep/chain.go' AS path, 'deep' AS package, 'S' || i AS struct, pos,
+    CASE pos WHEN 0 THEN 'Val' ELSE 'Next' END AS field,
+    CASE pos WHEN 0 THEN 'float64' ELSE '*S' || CASE WHEN i < last THEN i + 1 ELSE 0 END END AS type,
+    CASE pos WHEN 0 THEN 'v' || i ELSE 'next' END AS json_tag, false AS omitempty
+  FROM (SELECT repo, last, unnest(range(0, last + 1)) AS i FROM p), (VALUES (0), (1)) AS q(pos)
+  UNION ALL
+  SELECT repo, v.* FROM p, (VALUES {_NESTED_VALUES}) AS v(path, package, struct, pos, field, type, json_tag, omitempty)),
+{_expand_sql('nested')}""")
+def q_expand_fields_deep(spark, sf_dir):
+    """J4 over chains deeper than eight, cycles, equal names in packages and directories, and embedding."""
+    return R.expand_fields(D.nested_struct_fields(spark, sf_dir)).select(*EXPANDED)
 
 
 @register("scan_summary", f"""
@@ -333,19 +391,39 @@ def q_registry_detail(spark, sf_dir):
     return e.select("dependency", "ord", "method", "endpoint_path")
 
 
-@register("registry_roundtrip", _REGISTRY_SQL.replace(
-    "SELECT repo AS dependency,", "SELECT repo AS dependency, true AS has_response_body,"))
+_ROUNDTRIP_SQL = f"""
+WITH RECURSIVE {lines_cte()}, {_ROUTES}, {_FIELDS},
+eps AS (SELECT repo, CAST(row_number() OVER (PARTITION BY repo ORDER BY path, line) - 1 AS INTEGER) AS ord,
+  method, route, CASE WHEN method = 'POST' THEN 'Part' END AS request_type, 'Part' AS response_type FROM routes),
+x AS (WITH RECURSIVE {_expand_sql('struct_fields')}),
+f AS (SELECT repo, root, string_agg(field_path || ':' || json_type, ',' ORDER BY pos) AS fields FROM x GROUP BY ALL)
+SELECT eps.repo AS dependency, ord, method, route AS endpoint_path, request_type, response_type, 'object' AS body_type,
+  CASE WHEN method = 'POST' THEN 201 ELSE 200 END AS status_code, q.fields AS request_fields, s.fields AS response_fields
+FROM eps LEFT JOIN f q ON q.repo = eps.repo AND q.root = request_type
+  LEFT JOIN f s ON s.repo = eps.repo AND s.root = response_type"""
+
+
+@register("registry_roundtrip", _ROUNDTRIP_SQL)
 def q_registry_roundtrip(spark, sf_dir):
-    """S2 + S3: write the registry as JSON documents, read the endpoint rows back."""
+    """S2 + S3: write the registry as JSON documents with full bodies; the rows come from what is read back,
+    the second time without a scan."""
     _, sf, rt, hd, fw = _scan(spark, sf_dir)
     eps = R.build_registry(rt, hd, sf)
-    fields = R.expand_fields(sf).withColumnRenamed("root", "root")
     path = shared_path(spark, "registry")
-    reg = R.load_or_scan(spark, path, lambda: R.write_registry(eps, fields, fw, path))
-    back = reg.join(eps.select("dependency", "ord", "request_type", "response_type", "body_type"),
-                    ["dependency", "ord"], "left")
-    return back.select("dependency", "has_response_body", "ord", "method", F.col("path").alias("endpoint_path"),
-                       "request_type", "response_type", "body_type", "status_code")
+    scans = []
+
+    def scan():
+        scans.append(path)
+        R.write_registry(eps, R.expand_fields(sf), fw, path)
+
+    R.load_or_scan(spark, path, scan)
+    reg = R.load_or_scan(spark, path, scan)
+    if len(scans) != 1:
+        raise RuntimeError("a written registry must be reused")
+    shown = lambda c: F.array_join(F.transform(c, lambda f: F.concat(f["field_path"], F.lit(":"), f["type"])), ",")
+    return reg.select("dependency", "ord", "method", "endpoint_path", "request_type", "response_type", "body_type",
+                      "status_code", shown("request_fields").alias("request_fields"),
+                      shown("response_fields").alias("response_fields"))
 
 
 # ------------------------------------------------------------ large registry

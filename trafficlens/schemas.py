@@ -33,8 +33,8 @@ RAW_OUTPUTS = _st(("output_id", L), ("raw", S))
 # as flat field lists (one element per field path) because Spark has no
 # recursive struct type.
 FIELD_DOC = _st(("field_path", S), ("depth", I), ("name", S), ("json_key", S), ("type", S),
-                ("format", S), ("required", B))
-BODY_DOC = _st(("type", S), ("fields", T.ArrayType(FIELD_DOC)))
+                ("format", S), ("required", B), ("item_type", S), ("nullable", B))
+BODY_DOC = _st(("type", S), ("struct", S), ("dir", S), ("package", S), ("fields", T.ArrayType(FIELD_DOC)))
 ENDPOINT_DOC = _st(("method", S), ("path", S), ("description", S), ("request_body", BODY_DOC),
                    ("response_body", BODY_DOC), ("status_code", I))
 REGISTRY_DOC = _st(("scanned_at", TS), ("dependency", S), ("repo_path", S),

@@ -124,6 +124,41 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_files_from_parts(table(spark, sf_dir, "part"))
 
 
+# Further structs of every nested corpus, as (path, package, struct, pos, field, type, json_tag, omitempty).
+NESTED_STRUCTS = [
+    ("models/user.go", "models", "User", 0, "Name", "string", "name", False),
+    ("models/user.go", "models", "User", 1, "Ext", "dto.User", "ext", True),
+    ("dto/user.go", "dto", "User", 0, "Phone", "string", "phone", False),
+    ("cmd/a/main.go", "main", "Config", 0, "Alpha", "int", "alpha", False),
+    ("cmd/b/main.go", "main", "Config", 0, "Beta", "*bool", "beta", False),
+    ("models/node.go", "models", "Base", 0, "ID", "uuid.UUID", "id", False),
+    ("models/node.go", "models", "Node", 0, "Base", "Base", "", False),
+    ("models/node.go", "models", "Node", 1, "Kids", "[]Node", "kids", True),
+    ("models/node.go", "models", "Node", 2, "Owner", "*User", "owner", False),
+    ("models/node.go", "models", "Node", 3, "Secret", "string", "-", False),
+]
+
+
+def nested_struct_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X2-shaped rows of one corpus per part: a chain of 10 to 13 structs that ends in a cycle, and
+    equal names in two packages, one package name in two directories, embedding and a self-reference."""
+    part = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("svc-"), F.col("p_partkey").cast("string")).alias("repo"), (F.col("p_size") % 4 + 9).alias("last"))
+    link = part.select("repo", "last", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
+    link = link.select("repo", "last", "i", F.explode(F.array(F.lit(0), F.lit(1))).alias("pos"))
+    own, nxt = F.col("i").cast("string"), F.when(F.col("i") < F.col("last"), F.col("i") + 1).otherwise(F.lit(0))
+    chain = link.select(
+        "repo", F.lit("deep/chain.go").alias("path"), F.lit("deep").alias("package"),
+        F.concat(F.lit("S"), own).alias("struct"), "pos",
+        F.when(F.col("pos") == 0, "Val").otherwise("Next").alias("field"),
+        F.when(F.col("pos") == 0, "float64").otherwise(F.concat(F.lit("*S"), nxt.cast("string"))).alias("type"),
+        F.when(F.col("pos") == 0, F.concat(F.lit("v"), own)).otherwise("next").alias("json_tag"),
+        F.lit(False).alias("omitempty"))
+    names = ("path", "package", "struct", "pos", "field", "type", "json_tag", "omitempty")
+    fixed = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in NESTED_STRUCTS])
+    return chain.unionByName(part.select("repo", F.inline(fixed)))
+
+
 # The registry served to the derived request log.
 # (dependency, prefix, ord, method, path, status_code)
 FIXTURE_ROUTES = [
@@ -157,5 +192,5 @@ def fixture_registry(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 
 __all__ = [
     "table", "requests", "requests_from_events", "page_requests", "raw_outputs",
-    "source_files", "source_files_from_parts", "fixture_registry", "FIXTURE_ROUTES", "schemas",
+    "source_files", "source_files_from_parts", "nested_struct_fields", "fixture_registry", "FIXTURE_ROUTES", "schemas",
 ]
