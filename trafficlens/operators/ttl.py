@@ -10,14 +10,13 @@ The entry starts of a key form the chain root, nxt(root), nxt(nxt(root)), ...
 where nxt(v) is the first request time strictly after v + ttl.  Two exact ways
 to find them:
 
-* ``fold``: collect each key's distinct times and fold them in order.  Used
-  only after checking that the largest key has at most ``fold_max_group``
-  distinct times, so no task holds an unbounded group.
-* ``jump``: skew-safe for any key size.  nxt() for every distinct time comes
+* ``fold``: collect each key's distinct times and fold them in order; on
+  request only, for keys that are known to be small.
+* ``jump`` (the default): skew-safe for any key size.  nxt() for every distinct time comes
   from a successor search whose windows are bounded by construction (fine
   1-second buckets, then groups of 4096 buckets, then per-key group heads),
   and the chain is followed by pointer doubling (log2 of the longest chain
-  rounds of joins over unique (key, time) rows, each level checkpointed).
+  rounds of joins over unique (key, time) rows, each level a stored table).
 
 Both then attach to every request its covering start with one equi-join on
 (key, ttl bucket): starts lie more than ``ttl`` apart, so each ttl-wide
@@ -32,6 +31,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trafficlens.session import stored
+
 FINE_US = 1_000_000      # fine bucket: 1 s -> at most 2e6 rows per window partition
 GROUP_BUCKETS = 4096     # fine buckets per group -> at most 8192 rows per partition
 
@@ -117,34 +118,30 @@ def _starts_jump(nodes: DataFrame, keys, ttl_us: int | None) -> DataFrame:
     levels = max(1, math.ceil(math.log2(longest + 1)))
     probes = nodes.select(*keys, F.col("_t").alias("_pid"), (F.col("_t") + F.lit(ttl_us)).alias("_x"))
     nxt = successor(nodes, probes, keys)
-    jumps = [nxt.select(*keys, F.col("_pid").alias("_t"), F.col("_succ").alias("_n")).checkpoint()]
+    jumps = [stored(nxt.select(*keys, F.col("_pid").alias("_t"), F.col("_succ").alias("_n")), "jump")[0]]
     for _ in range(1, levels):
         j = jumps[-1]
         hop = j.select(*keys, F.col("_t").alias("_n"), F.col("_n").alias("_n2"))
-        jumps.append(j.join(hop, [*keys, "_n"], "left")
-                     .select(*keys, "_t", F.col("_n2").alias("_n")).checkpoint())
+        jumps.append(stored(j.join(hop, [*keys, "_n"], "left")
+                            .select(*keys, "_t", F.col("_n2").alias("_n")), "jump")[0])
     reached = roots
     for j in reversed(jumps):
         step = reached.join(j, [*keys, "_t"]).where(F.col("_n").isNotNull()).select(
             *keys, F.col("_n").alias("_t"))
-        reached = reached.unionByName(step).distinct().checkpoint()
+        reached = stored(reached.unionByName(step).distinct(), "reached")[0]
     return reached.join(nodes, [*keys, "_t"]).select(
         *keys, F.col("_t").alias("_s"), F.col("_tid").alias("_sid"))
 
 
 def entry_starts(df: DataFrame, key, ts: str = "ts", id_col: str = "request_id",
-                 ttl_seconds: float | None = 86400, strategy: str = "auto",
-                 fold_max_group: int = 200_000) -> DataFrame:
+                 ttl_seconds: float | None = 86400, strategy: str = "auto") -> DataFrame:
     """Entry starts per key: (keys..., _s micros, _sid id of the opening request)."""
     keys = _keys(key)
     ttl_us = None if ttl_seconds is None or ttl_seconds <= 0 else int(round(ttl_seconds * 1_000_000))
     nodes = _nodes(df, keys, ts, id_col)
-    if strategy == "auto":
-        biggest = nodes.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        strategy = "fold" if biggest <= fold_max_group else "jump"
     if strategy == "fold":
         return _starts_fold(nodes, keys, ttl_us)
-    if strategy == "jump":
+    if strategy in ("auto", "jump"):
         return _starts_jump(nodes, keys, ttl_us)
     raise ValueError(f"unknown strategy {strategy!r}")
 
@@ -175,8 +172,7 @@ def attach_entries(df: DataFrame, starts: DataFrame, key, ts: str, id_col: str,
 
 
 def ttl_dedup(df: DataFrame, key, ts: str = "ts", id_col: str = "request_id",
-              ttl_seconds: float | None = 86400, strategy: str = "auto",
-              fold_max_group: int = 200_000) -> DataFrame:
+              ttl_seconds: float | None = 86400, strategy: str = "auto") -> DataFrame:
     """Every row flagged ``hit`` with the ``entry_created_at`` that served it."""
-    starts = entry_starts(df, key, ts, id_col, ttl_seconds, strategy, fold_max_group)
+    starts = entry_starts(df, key, ts, id_col, ttl_seconds, strategy)
     return attach_entries(df, starts, key, ts, id_col, ttl_seconds)

@@ -9,16 +9,17 @@ from trafficlens.operators import match as M
 from trafficlens.operators.serve import with_keys
 from trafficlens.plans import oracle_sql as O
 from trafficlens.plans.catalog import ORACLE, register
-from trafficlens.plans.q_store import DEDUP_TTL, STORE_TTL, _store_rows
+from trafficlens.plans.q_store import DEDUP_TTL, STORE_TTL, _store_rows, body_hash_sql, key_sql
 from trafficlens.session import shared_path
 from trafficlens.sources import derived as D
 from trafficlens.streaming import flows as S
 
 
-def _staged(spark, sf_dir, pieces=4):
+def _staged(spark, sf_dir):
+    """The requests as a file stream, in micro-batches of a quarter of the files."""
     path = shared_path(spark, "requests-stream")
-    glob = S.stage_in_time_order(D.requests(spark, sf_dir), path, pieces)
-    return S.read_requests_stream(spark, glob)
+    files = S.stage_in_time_order(D.requests(spark, sf_dir), path)
+    return S.read_requests_stream(spark, path, max_files_per_trigger=-(-files // 4))
 
 
 def _routes(spark):
@@ -40,13 +41,10 @@ def q_match_stream(spark, sf_dir):
 @register("ttl_dedup_stream", ORACLE["ttl_dedup_users"])
 def q_ttl_dedup_stream(spark, sf_dir):
     """Keyed TTL state (key = user_id, ttl = 6 h); equals the batch W1."""
-    out, ck = shared_path(spark, "t2-out"), shared_path(spark, "t2-ck")
-    res = S.ttl_dedup_stream(_staged(spark, sf_dir), "user_id", DEDUP_TTL)
-    q = (res.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    out, state, ck = (shared_path(spark, f"t2-{x}") for x in ("out", "state", "ck"))
+    S.ttl_dedup_stream(_staged(spark, sf_dir), "user_id", DEDUP_TTL, out, state, ck).awaitTermination()
     r = spark.read.parquet(out)
-    return r.select("request_id", F.col("key").cast("long").alias("user_id"), "hit",
+    return r.select("request_id", "user_id", "hit",
                     F.col("entry_created_at").cast("timestamp_ntz").alias("entry_created_at"))
 
 
@@ -67,24 +65,21 @@ def q_traffic_kpis_stream(spark, sf_dir):
                     "unmatched", "max_latency_ms", F.round("sum_latency_ms", 6).alias("sum_latency_ms"))
 
 
-@register("upsert_stream")
+@register("upsert_stream", f"""
+WITH {O.match_cte()},
+mk AS (SELECT *, {body_hash_sql('body')} AS body_hash,
+  {key_sql('method', 'path', 'query', body_hash_sql('body'))} AS request_key
+  FROM matched WHERE endpoint_path IS NOT NULL),
+last AS (SELECT request_key, arg_max({{'dependency': dependency, 'created_at': ts}}, (ts, request_id)) AS r
+         FROM mk GROUP BY request_key)
+SELECT r.dependency AS dependency, CAST(count(*) AS BIGINT) AS entries, max(r.created_at) AS latest
+FROM last GROUP BY r.dependency""")
 def q_upsert_stream(spark, sf_dir):
     """T4: the response store kept current batch by batch (one version per batch)."""
     root, ck = shared_path(spark, "t4-store"), shared_path(spark, "t4-ck")
-    stream = _staged(spark, sf_dir)
-    keyed = with_keys(M.match_requests(stream, _routes(spark), strategy="array")
+    keyed = with_keys(M.match_requests(_staged(spark, sf_dir), _routes(spark), strategy="array")
                       .where(F.col("endpoint_path").isNotNull()))
     rows = _store_rows(keyed.withColumn("hit", F.lit(False)), F.lit(True))
-    q = S.upsert_stream(rows, root, ck, ttl_seconds=STORE_TTL)
-    q.awaitTermination()
-    last = max(int(p.split("=")[-1]) for p in _list_versions(spark, root))
-    store = spark.read.parquet(f"{root}/v={last}")
-    return store.groupBy("dependency").agg(F.count(F.lit(1)).alias("entries"),
-                                           F.max("created_at").cast("timestamp_ntz").alias("latest"))
-
-
-def _list_versions(spark, root):
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return [st.getPath().getName() for st in fs.listStatus(path) if st.getPath().getName().startswith("v=")]
+    S.upsert_stream(rows, root, ck, ttl_seconds=STORE_TTL).awaitTermination()
+    return S.current_store(spark, root).groupBy("dependency").agg(
+        F.count(F.lit(1)).alias("entries"), F.max("created_at").cast("timestamp_ntz").alias("latest"))

@@ -11,7 +11,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on. Applied only where the session leaves them unset.
 DEFAULTS = {
@@ -78,6 +78,52 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tl-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder and read again, and its path.
+
+    For loops: a read table has the size of its files, while a checkpointed
+    frame keeps the planner's estimate, which grows with every join.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _fs(spark, path)
+    return fs.exists(at)
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in a folder, in order; none if it is absent."""
+    fs, at = _fs(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    for p in paths:
+        fs, at = _fs(spark, p)
+        fs.delete(at, True)
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    """Renames a folder; the new path must be absent."""
+    fs, at = _fs(spark, old)
+    to = _fs(spark, new)[1]
+    if fs.exists(to):
+        raise FileExistsError(new)
+    fs.mkdirs(to.getParent())
+    if not fs.rename(at, to):
+        raise OSError(f"could not rename {old} to {new}")
+
+
 _SHIPPED: set[str] = set()
 
 

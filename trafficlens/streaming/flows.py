@@ -4,34 +4,56 @@
   (``foreachBatch``), so the registry-size check and the hash-join form work
   unchanged; output is written per batch id, so a retried batch overwrites
   itself (idempotent).
-* T2 ``ttl_dedup_stream``: keyed TTL state with ``applyInPandasWithState``;
-  the state per key is one entry start; an event-time timeout after
-  ``max(start + ttl, watermark)`` evicts it.
+* T2 ``ttl_dedup_stream``: every micro-batch runs the batch operator W1 on its
+  rows and the open entry of each key, kept as a table per batch id.  Thus a
+  batch may hold any number of rows of a key, in any order.
 * T3 ``traffic_kpis_stream``: watermark + tumbling window x dependency,
   update mode; late rows beyond the watermark are dropped by Spark.
 * T4 ``upsert_stream``: ``foreachBatch`` -> S4 upsert into a versioned store
   directory per batch id (never overwrites what it reads).
+
+A batch reads version N-1 of its state and writes version N, so a retried
+batch finds what it found before; a version that should be there and cannot
+be read is an error.  Versions before N-1 are removed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from trafficlens import schemas
 from trafficlens.operators import store as S
 from trafficlens.operators.match import match_requests
+from trafficlens.operators.ttl import ttl_dedup
+from trafficlens.session import delete, list_names, path_exists
+
+
+def read_requests_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """S5 (stream): request events from parquet files, oldest first; ts as TIMESTAMP (watermarks need it).
+
+    A trigger takes all files that are there, or at most ``max_files_per_trigger``.
+    """
+    reader = spark.readStream.schema(schemas.REQUESTS)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def read_requests_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 1) -> DataFrame:
-    """S5 (stream): request events from parquet files; ts as TIMESTAMP (watermarks need it)."""
-    return (spark.readStream.schema(schemas.REQUESTS).option("maxFilesPerTrigger", max_files_per_trigger)
-            .parquet(path).withColumn("ts", F.col("ts").cast("timestamp")))
+def _previous(spark: SparkSession, root: str, batch_id: int) -> str | None:
+    """Path of the state that batch ``batch_id`` begins with; None only if there is no state at all."""
+    versions = sorted(int(n[2:]) for n in list_names(spark, root) if n.startswith("v=") and n[2:].isdigit())
+    before = [v for v in versions if v < batch_id]
+    if batch_id > 0 and batch_id - 1 not in before:
+        raise FileNotFoundError(f"{root}/v={batch_id - 1}: the state of the batch before is missing")
+    if before:
+        return f"{root}/v={before[-1]}"
+    return f"{root}/start" if path_exists(spark, f"{root}/start") else None
+
+
+def _forget(spark: SparkSession, root: str, batch_id: int) -> None:
+    delete(spark, *[f"{root}/{n}" for n in list_names(spark, root)
+                    if n.startswith("v=") and n[2:].isdigit() and int(n[2:]) < batch_id - 1])
 
 
 def match_stream(stream: DataFrame, routes: DataFrame, out_path: str, checkpoint: str, strategy: str = "auto"):
@@ -44,44 +66,48 @@ def match_stream(stream: DataFrame, routes: DataFrame, out_path: str, checkpoint
             .trigger(availableNow=True).start())
 
 
-def _dedup_state_fn(ttl_us: int | None):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        start = state.get[0] if state.exists else None
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["_t", "request_id"], kind="mergesort")
-            hits, entries = [], []
-            for t in pdf["_t"].tolist():
-                if start is None or (ttl_us is not None and t > start + ttl_us):
-                    start = t
-                    hits.append(False)
-                else:
-                    hits.append(True)
-                entries.append(start)
-            state.update((start,))
-            wm = state.getCurrentWatermarkMs()
-            if ttl_us is not None:
-                state.setTimeoutTimestamp(max(start // 1000 + ttl_us // 1000, wm) + 1)
-            yield pd.DataFrame({"request_id": pdf["request_id"].values, "key": [str(key[0])] * len(pdf),
-                                "hit": hits, "_entry": entries})
-    return fn
-
-
-def ttl_dedup_stream(stream: DataFrame, key: str, ttl_seconds: float | None, watermark: str = "1 day") -> DataFrame:
-    """Streaming W1.  Equal to the batch operator when batches arrive in time order."""
-    from trafficlens.session import ship_package
-    ship_package(stream.sparkSession)
-    ttl_us = None if ttl_seconds is None or ttl_seconds <= 0 else int(ttl_seconds * 1_000_000)
-    s = (stream.withWatermark("ts", watermark)
-         .select("request_id", "ts", F.col(key).cast("string").alias("_key"), F.unix_micros("ts").alias("_t")))
-    out_schema = T.StructType([T.StructField("request_id", T.LongType()), T.StructField("key", T.StringType()),
-                               T.StructField("hit", T.BooleanType()), T.StructField("_entry", T.LongType())])
-    state_schema = T.StructType([T.StructField("start", T.LongType())])
-    res = s.groupBy("_key").applyInPandasWithState(
-        _dedup_state_fn(ttl_us), out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
-    return res.select("request_id", "key", "hit", F.timestamp_micros("_entry").alias("entry_created_at"))
+CARRIED = -(1 << 63)  # before any request id, so that a request at an entry's own instant is a hit
+
+
+def dedup_batch(batch: DataFrame, open_entries: DataFrame | None, key: str, ttl_seconds: float | None) -> DataFrame:
+    """W1 on a micro-batch, going on from the open entries (key, start) of the batches before.
+
+    A request older than its key's open entry is answered by that entry.
+    """
+    rows = batch.select("request_id", key, "ts")
+    if open_entries is not None:
+        rows = (rows.join(open_entries, key, "left")
+                .select("request_id", key, F.greatest("ts", "start").alias("ts"))
+                .unionByName(open_entries.select(F.lit(CARRIED).alias("request_id"), key, F.col("start").alias("ts"))))
+    return ttl_dedup(rows, key, ttl_seconds=ttl_seconds)
+
+
+def ttl_dedup_stream(stream: DataFrame, key: str, ttl_seconds: float | None, out_path: str, state_path: str,
+                     checkpoint: str):
+    """Streaming W1 (request_id, key, hit, entry_created_at under out_path/batch=<id>).
+
+    Equal to the batch operator when batches arrive in time order, whatever
+    the order within them and however many rows a key has.  Rows without a key
+    are left out, as they have no entry.
+    """
+    spark = stream.sparkSession
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        prev = _previous(spark, state_path, batch_id)
+        batch = batch.where(F.col(key).isNotNull()).persist()
+        got = dedup_batch(batch, None if prev is None else spark.read.parquet(prev), key, ttl_seconds)
+        whole = f"{out_path}/_work/batch={batch_id}"
+        got.write.mode("overwrite").parquet(whole)
+        got = spark.read.schema(got.schema).parquet(whole)
+        got.where(F.col("request_id") != CARRIED).drop("ts").write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        state = got.groupBy(key).agg(F.max("entry_created_at").alias("start"))
+        state.write.mode("overwrite").parquet(f"{state_path}/v={batch_id}")
+        delete(spark, whole)
+        _forget(spark, state_path, batch_id)
+        batch.unpersist()
+
+    return (stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
 
 
 def traffic_kpis_stream(matched_stream: DataFrame, window: str = "1 day", watermark: str = "1 day") -> DataFrame:
@@ -114,34 +140,37 @@ def latest_updates(spark: SparkSession, out_path: str, keys: list[str]) -> DataF
 
 
 def upsert_stream(new_rows: DataFrame, store_root: str, checkpoint: str, ttl_seconds: float | None = 86400):
-    """T4: keep a store current.  Batch N reads version N-1 (if any) and writes
-    version N; a retried batch rewrites its own version only."""
+    """T4: keep a store current.  Batch N reads version N-1 (batch 0: the store
+    under ``start``, if there is one) and writes version N; a retried batch
+    rewrites its own version only."""
     spark = new_rows.sparkSession
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        prev = None
-        if batch_id > 0:
-            try:
-                prev = S.read_store(spark, f"{store_root}/v={batch_id - 1}")
-            except Exception:  # noqa: BLE001 - no previous version yet
-                prev = None
+        at = _previous(spark, store_root, batch_id)
+        prev = None if at is None else S.read_store(spark, at)
         S.write_store(S.upsert_responses(prev, batch, ttl_seconds=ttl_seconds, batch_id=batch_id),
                       f"{store_root}/v={batch_id}")
+        _forget(spark, store_root, batch_id)
 
     return (new_rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def stage_in_time_order(df: DataFrame, path: str, pieces: int = 4) -> str:
-    """Write a table as ``pieces`` time ranges, one parquet file each, written one
-    after the other (file streams pick files up in that order).  Returns the
-    glob to stream from.  A staging helper for replays and tests: each piece is
-    one file, so keep ``pieces`` proportional to the data size."""
-    lo, hi = df.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
-    span = max(1, (hi or 0) - (lo or 0) + 1)
-    piece = F.floor((F.unix_micros("ts") - F.lit(lo)) * pieces / F.lit(span)).cast("int")
-    tagged = df.withColumn("_piece", piece)
-    for i in range(pieces):
-        tagged.where(F.col("_piece") == i).drop("_piece").coalesce(1).write.mode("overwrite").parquet(
-            f"{path}/part={i:04d}")
-    return f"{path}/part=*/*.parquet"
+def current_store(spark: SparkSession, store_root: str) -> DataFrame:
+    """The newest version of a T4 store."""
+    last = max(int(n[2:]) for n in list_names(spark, store_root) if n.startswith("v="))
+    return S.read_store(spark, f"{store_root}/v={last}")
+
+
+def stage_in_time_order(df: DataFrame, path: str, rows_per_file: int = 250_000, least_files: int = 8) -> int:
+    """Writes a table as files that hold consecutive time ranges, in one parallel job, and dates the files in
+    that order (a file stream reads the oldest first).  Returns the number of files, which follows from the data."""
+    spark = df.sparkSession
+    n = max(least_files, -(-df.count() // rows_per_file))
+    df.repartitionByRange(n, "ts").sortWithinPartitions("ts").write.mode("overwrite").parquet(path)
+    names = [x for x in list_names(spark, path) if x.startswith("part-")]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for i, name in enumerate(names):
+        at = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        at.getFileSystem(conf).setTimes(at, 1_600_000_000_000 + 1000 * i, -1)
+    return len(names)
