@@ -3,8 +3,8 @@
 This is not a language parser: it is line-oriented Spark SQL over a ``lines``
 table.  Layout contract (what ``gofmt`` produces): declarations start in
 column 0; one struct field, route registration or call per line; struct
-fields are indented by exactly one tab; line comments are removed here
-outside string literals.  Inputs outside that contract are out of scope.
+fields are indented by exactly one tab.  Comments, grouped type declarations
+and anonymous struct types are brought into that layout first.
 
 Every step is a projection, a window partitioned by file (a file's lines
 are one bounded group, already one row of the input), or a join keyed by
@@ -76,13 +76,38 @@ def scan_filter(files: DataFrame, scan_paths: DataFrame | None = None, for_impor
 
 
 # ------------------------------------------------------------------ lines, W2
+# A file's pieces: block comment, line comment, interpreted string, raw string, rune, other text.
+_PIECES = (r"""(?s)/\*.*?\*/|//[^\n]*|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|`[^`]*`|'(?:\\.|[^'\\\n])+'|[^/"`']+|.""")
+_GROUP = r"(?ms)^type \($.*?^\)$|.+?(?=^type \($|\z)"
+_ANON = r"(?m)^\t[A-Za-z_][\w, ]* (?:\[\]|\*)*struct \{\n(?:\t\t.*\n|\n)*\t\}[^\n]*$|(?s).+?(?=^\t[A-Za-z_][\w, ]* (?:\[\]|\*)*struct \{$|\z)"
+
+
+def _breaks(text):
+    """As many line breaks as the text has, so that line numbers stay."""
+    return F.regexp_replace(text, "[^\n]", "")
+
+
+def _pieces(text, pattern: str, change):
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), change), "")
+
+
+def clean_source(content):
+    """A file's text without comments (strings kept), with grouped ``type ( ... )`` declarations
+    written one by one and anonymous struct types shortened to ``struct{}``; line numbers stay."""
+    text = F.regexp_replace(content, "\r\n", "\n")
+    text = _pieces(text, _PIECES, lambda p: F.when(p.startswith("/*"), _breaks(p)).when(p.startswith("//"), F.lit("")).otherwise(p))
+    one_by_one = lambda p: F.concat(F.lit(""), F.regexp_replace(F.regexp_replace(F.regexp_replace(
+        p, r"\Atype \(|\)\z", ""), "(?m)^\t", ""), r"(?m)^([A-Za-z_]\w*)(?= )", "type $1"))
+    text = _pieces(text, _GROUP, lambda p: F.when(p.startswith("type (\n"), one_by_one(p)).otherwise(p))
+    short = lambda p: F.concat(F.regexp_extract(p, r"^(\t[^\n]*?)struct \{", 1), F.lit("struct{}"),
+                               F.regexp_extract(p, r"\n\t\}([^\n]*)$", 1), _breaks(p))
+    return _pieces(text, _ANON, lambda p: F.when(p.rlike(r"\A\t[^\n]* (?:\[\]|\*)*struct \{\n"), short(p)).otherwise(p))
+
+
 def source_lines(files: DataFrame) -> DataFrame:
-    """One row per line: repo, path, line (1-based), text (line comments removed)."""
-    lines = files.select("repo", "path", F.posexplode(F.split("content", "\n")).alias("_pos", "_raw"))
-    raw = F.regexp_replace(F.col("_raw"), "\r$", "")
-    no_full = F.when(G.strip(raw).startswith("//"), F.lit("")).otherwise(raw)
-    code = F.regexp_replace(no_full, "\\s+//[^\"`]*$", "")
-    return lines.select("repo", "path", (F.col("_pos") + 1).alias("line"), F.rtrim(code).alias("text"))
+    """One row per line: repo, path, line (1-based), text (comments removed)."""
+    lines = files.select("repo", "path", F.posexplode(F.split(clean_source(F.col("content")), "\n")).alias("_pos", "_raw"))
+    return lines.select("repo", "path", (F.col("_pos") + 1).alias("line"), F.rtrim("_raw").alias("text"))
 
 
 def source_blocks(lines: DataFrame) -> DataFrame:
@@ -114,16 +139,20 @@ def _fw_map():
     return F.create_map(*[x for k, v in FRAMEWORK_IMPORTS.items() for x in (F.lit(k), F.lit(v))])
 
 
-def detect_framework(imports: DataFrame) -> DataFrame:
+def detect_framework(imports: DataFrame, repos: DataFrame | None = None) -> DataFrame:
     """A1: per repo, the most frequently imported framework; 'stdlib' if none
-    but net/http is imported; else 'unknown'.  Ties: count desc, name asc."""
+    but net/http is imported; else 'unknown'.  Ties: count desc, name asc.
+
+    ``repos``: every repo of the corpus (column repo); without it, the repos
+    that import something."""
+    repos = (imports if repos is None else repos).select("repo").distinct()
     fw = F.coalesce(_fw_map()[F.col("import")], F.when(F.col("import") == "net/http", "stdlib"))
     counts = imports.select("repo", fw.alias("fw")).where(F.col("fw").isNotNull()).groupBy("repo", "fw").count()
     best = counts.groupBy("repo").agg(
         F.min(F.when(F.col("fw") != "stdlib", F.struct((-F.col("count")).alias("_n"), F.col("fw")))).alias("_b"),
         F.max(F.when(F.col("fw") == "stdlib", F.col("count"))).alias("_std"))
-    return best.select("repo", F.coalesce(F.col("_b.fw"), F.when(F.col("_std") > 0, "stdlib"), F.lit("unknown"))
-                       .alias("framework"))
+    return repos.join(best, "repo", "left").select("repo", F.coalesce(
+        F.col("_b.fw"), F.when(F.col("_std") > 0, "stdlib"), F.lit("unknown")).alias("framework"))
 
 
 def framework_from_imports(imports: DataFrame) -> DataFrame:
@@ -136,12 +165,6 @@ def framework_from_imports(imports: DataFrame) -> DataFrame:
                       .alias("framework"))
 
 
-def repos_without_imports(files: DataFrame, frameworks: DataFrame) -> DataFrame:
-    """Every repo of the corpus with its framework ('unknown' when it imports nothing known)."""
-    return (files.select("repo").distinct().join(frameworks, "repo", "left")
-            .select("repo", F.coalesce("framework", F.lit("unknown")).alias("framework")))
-
-
 # ------------------------------------------------------------------ X2
 def extract_struct_fields(blocks: DataFrame) -> DataFrame:
     """Repo, path, package, struct, pos, field, type, json_tag, omitempty.
@@ -179,33 +202,34 @@ def extract_struct_fields(blocks: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ X3
-_CALL = f"\\.({IDENT})\\((.*)\\)"
+# A call with a literal first argument: its name, the literal, and the second argument up to the comma or bracket
+# that ends it (brackets nest up to three deep inside it).  Found anywhere on the line, so also in a chain of calls.
+_NEST = r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
+_ROUTE = (r"""\.([A-Za-z_]\w*)\(\s*("[^"]*"|`[^`]*`)\s*,\s*((?:[^(),"`{}]|"[^"]*"|`[^`]*`|\{[^{}]*\}|""" + _NEST + r""")+)""")
 
 
 def extract_routes(blocks: DataFrame) -> DataFrame:
     """Repo, path, line, method, route, handler.
 
     ``.Verb("lit", h, ...)`` for the seven verbs (case-insensitive) on any
-    receiver; ``HandleFunc``/``Handle`` with a 'METHOD /path' pattern or
-    method ANY.  Handler = second argument.  Non-literal or empty routes are
-    dropped; a back-quoted literal keeps its back-quotes.
+    receiver, also inside a chain of calls; ``HandleFunc``/``Handle`` with a
+    'METHOD /path' pattern or method ANY.  Handler = second argument.
+    Non-literal or empty routes are dropped; a back-quoted literal keeps its
+    back-quotes.
     """
-    name = F.regexp_extract(F.col("text"), _CALL, 1)
-    named = (blocks.where(F.col("text").rlike(_CALL)).select("repo", "path", "line", "text", name.alias("_name"))
+    found = (blocks.where(F.col("text").rlike(_ROUTE))
+             .select("repo", "path", "line", F.explode(F.regexp_extract_all("text", F.lit(_ROUTE), F.lit(0))).alias("_call")))
+    part = lambda k: F.regexp_extract("_call", _ROUTE, k)
+    calls = (found.select("repo", "path", "line", part(1).alias("_name"), part(2).alias("_first"),
+                          G.strip(part(3)).alias("_second"))
              .where(F.upper("_name").isin(*G.HTTP_VERBS) | F.col("_name").isin("HandleFunc", "Handle")))
-    # the character-level argument split runs only on route-registration calls
-    calls = (named.select("repo", "path", "line", "_name",
-                          G.split_args(F.regexp_extract(F.col("text"), _CALL, 2)).alias("_args"))
-             .where(F.size("_args") >= 2))
-    first = F.get(F.col("_args"), 0)
-    lit = F.when(first.rlike('^"[^"]*"$'), F.regexp_replace(first, '^"+|"+$', "")).when(
-        first.rlike("^`[^`]*`$"), first).otherwise(F.lit(""))
+    lit = F.when(F.col("_first").startswith('"'), F.regexp_replace("_first", '^"+|"+$', "")).otherwise(F.col("_first"))
     pat = G.parse_route_pattern(lit)
     verb = F.upper("_name").isin(*G.HTTP_VERBS)
     method = F.when(verb, F.upper("_name")).otherwise(F.coalesce(pat["method"], F.lit("ANY")))
     route = F.when(verb, lit).otherwise(F.coalesce(pat["path"], lit))
     out = calls.select("repo", "path", "line", method.alias("method"), route.alias("route"),
-                       G.handler_name(F.get(F.col("_args"), 1)).alias("handler"))
+                       G.handler_name(F.col("_second")).alias("handler"))
     return out.where(F.col("route") != "")
 
 

@@ -1,17 +1,22 @@
 """Response store: entries, upsert, lookup, stats, purge.
 
 The store is a Parquet table partitioned by ``dependency`` with one row per
-``key_hash``.  Upsert and purge rewrite only the partitions they touch
-(dynamic partition overwrite) and never overwrite a path the same plan reads.
+``key_hash``.  ``upsert_persisted`` and ``purge_persisted`` change a stored
+table: they write the touched partitions beside it, then put each in place of
+the old one; a partition left without rows is removed.  No plan reads what it
+overwrites.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trafficlens import schemas
 from trafficlens.functions.keys import is_live, stamp_expiry
+from trafficlens.session import delete, list_names, path_exists, rename
 
 STORE_COLS = [f.name for f in schemas.RESPONSE_STORE.fields]
 JSON_HEADERS = '{"Content-Type":"application/json"}'
@@ -100,3 +105,57 @@ def purge(store: DataFrame, dependency: str | None = None, expired_before=None)
     remaining = flagged.where(~F.col("_del")).drop("_del")
     deleted = flagged.agg(F.sum(F.col("_del").cast("long")).alias("deleted"))
     return remaining, deleted
+
+
+# ------------------------------------------------------------ persisted store
+def _with_partition(spark: SparkSession, path: str) -> DataFrame:
+    """The stored rows with the name of their partition's folder."""
+    part = F.regexp_extract(F.input_file_name(), "/(dependency=[^/]*)/[^/]*$", 1)
+    return spark.read.schema(schemas.RESPONSE_STORE).parquet(path).select(
+        *STORE_COLS, F.url_decode(F.replace(part, F.lit("+"), F.lit("%2B"))).alias("_part"))
+
+
+def _folders(rows: DataFrame) -> list[str]:
+    """Distinct partition folders of the rows (at most one per dependency)."""
+    return sorted(r[0] for r in rows.select("_part").distinct().collect())
+
+
+def _replace(spark: SparkSession, path: str, rows: DataFrame, touched: list[str]) -> None:
+    """Puts ``rows`` in place of the partitions ``touched`` (and of none besides).
+
+    New partitions are written in full before any old one is moved; readers
+    skip folders that begin with an underscore.
+    """
+    run = uuid.uuid4().hex[:12]
+    new, old = f"{path}/_new-{run}", f"{path}/_old-{run}"
+    rows.write.partitionBy("dependency").parquet(new)
+    made = [n for n in list_names(spark, new) if n.startswith("dependency=")]
+    for name in touched:
+        rename(spark, f"{path}/{name}", f"{old}/{name}")
+    for name in made:
+        rename(spark, f"{new}/{name}", f"{path}/{name}")
+    delete(spark, old, new)
+
+
+def upsert_persisted(spark: SparkSession, path: str, new: DataFrame, ttl_seconds: float | None = 86400,
+                     batch_id: int = 0) -> None:
+    """S4 on a stored table: only partitions that hold a new row's key or dependency are rewritten."""
+    if not path_exists(spark, path):
+        write_store(upsert_responses(None, new, ttl_seconds, batch_id), path)
+        return
+    now = _with_partition(spark, path)
+    touched = sorted({*_folders(now.join(new.select("key_hash").distinct(), "key_hash", "left_semi")),
+                      *_folders(now.join(new.select("dependency").distinct(), "dependency", "left_semi"))})
+    kept = now.where(F.col("_part").isin(touched)).drop("_part")
+    _replace(spark, path, upsert_responses(kept, new, ttl_seconds, batch_id), touched)
+
+
+def purge_persisted(spark: SparkSession, path: str, dependency: str | None = None, expired_before=None) -> int:
+    """A6 on a stored table: removes the rows and returns how many."""
+    now = _with_partition(spark, path)
+    remaining, _ = purge(now, dependency, expired_before)
+    gone = now.join(remaining.select("key_hash"), "key_hash", "left_anti").groupBy("_part").count().collect()
+    touched = sorted(r["_part"] for r in gone)
+    if touched:
+        _replace(spark, path, remaining.where(F.col("_part").isin(touched)).drop("_part"), touched)
+    return sum(r["count"] for r in gone)

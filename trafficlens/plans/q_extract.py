@@ -118,7 +118,7 @@ def _scan(spark, sf_dir):
     sf = X.extract_struct_fields(b).checkpoint()
     rt = X.extract_routes(b).checkpoint()
     hd = X.collect_handler_calls(b, X.extract_handlers(b)).checkpoint()
-    fw = X.detect_framework(X.extract_imports(_import_blocks(spark, sf_dir))).checkpoint()
+    fw = X.detect_framework(X.extract_imports(_import_blocks(spark, sf_dir)), _files(spark, sf_dir)).checkpoint()
     return b, sf, rt, hd, fw
 
 
@@ -148,13 +148,17 @@ def q_imports(spark, sf_dir):
 @register("detect_framework", f"""
 WITH {lines_cte("ends_with(path, '.go')")}, {_IMPORTS},
 c AS (SELECT repo, coalesce(fwmap.fw, CASE WHEN imports.import = 'net/http' THEN 'stdlib' END) AS fw, count(*) AS n
-      FROM imports LEFT JOIN fwmap USING (import) GROUP BY ALL HAVING fw IS NOT NULL),
+      FROM imports LEFT JOIN fwmap USING (import)
+      WHERE NOT (import = 'net/http' AND repo LIKE '%7') GROUP BY ALL HAVING fw IS NOT NULL),
 b AS (SELECT repo, arg_min(fw, (-n, fw)) FILTER (WHERE fw <> 'stdlib') AS best,
       max(n) FILTER (WHERE fw = 'stdlib') AS std FROM c GROUP BY repo)
-SELECT repo, coalesce(best, CASE WHEN std > 0 THEN 'stdlib' END, 'unknown') AS framework FROM b""")
+SELECT repo, coalesce(best, CASE WHEN std > 0 THEN 'stdlib' END, 'unknown') AS framework
+FROM (SELECT DISTINCT repo FROM files) LEFT JOIN b USING (repo)""")
 def q_detect_framework(spark, sf_dir):
-    """A1: framework per repo by import counts."""
-    return X.detect_framework(X.extract_imports(_import_blocks(spark, sf_dir)))
+    """A1: framework per repo by import counts (some repos are left without a known import)."""
+    imports = X.extract_imports(_import_blocks(spark, sf_dir))
+    imports = imports.where(~((F.col("import") == "net/http") & F.col("repo").endswith("7")))
+    return X.detect_framework(imports, _files(spark, sf_dir))
 
 
 @register("framework_from_imports", f"""

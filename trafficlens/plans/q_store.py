@@ -11,12 +11,14 @@ from trafficlens.operators import match as M
 from trafficlens.operators.ttl import ttl_dedup
 from trafficlens.plans import oracle_sql as O
 from trafficlens.plans.catalog import register
+from trafficlens.session import shared_path
 from trafficlens.sources import derived as D
 
 HOUR = 3600
 DEDUP_TTL = 6 * HOUR
 STORE_TTL = 7 * 24 * HOUR
 CUTOFF = "2024-01-16 00:00:00"
+EXPIRED = "2024-01-15 00:00:00"
 
 
 # ---------------------------------------------------------------- oracle text
@@ -227,6 +229,23 @@ def q_purge(spark, sf_dir):
         "dependency", "remaining", n.alias("deleted"))
 
 
+@register("store_persisted", f"""
+WITH RECURSIVE {_STORE_SQL_CTE}
+SELECT key_hash, dependency, response_status, response_body, created_at, expires_at
+FROM store WHERE dependency <> 'user-service' AND NOT (expires_at < TIMESTAMP '{EXPIRED}')""")
+def q_store_persisted(spark, sf_dir):
+    """S4 + A6 on disk: two upserts, a purge of one dependency and of expired rows, then reread."""
+    flags = _flags(spark, sf_dir)
+    cut = F.col("ts") < F.lit(CUTOFF).cast("timestamp")
+    path = shared_path(spark, "store")
+    store.upsert_persisted(spark, path, _store_rows(flags, cut), STORE_TTL, batch_id=1)
+    store.upsert_persisted(spark, path, _store_rows(flags, ~cut), STORE_TTL, batch_id=2)
+    store.purge_persisted(spark, path, dependency="user-service")
+    store.purge_persisted(spark, path, expired_before=EXPIRED)
+    s = store.read_store(spark, path)
+    return s.select("key_hash", "dependency", "response_status", "response_body", _ntz("created_at"), _ntz("expires_at"))
+
+
 _KPI_SQL = """
 SELECT {keys}, CAST(count(*) AS BIGINT) AS requests,
   CAST(coalesce(count_if(endpoint_path IS NULL), 0) AS BIGINT) AS unmatched,
