@@ -133,29 +133,26 @@ def map_source_type(t) -> Column:
         nullable.alias("nullable"))
 
 
+_STRING = r"""\"(?:[^\"\\]|\\.)*+\"|`[^`]*+`|'(?:[^'\\]|\\.)*+'"""
+
+
+def _nested(levels: int = 8) -> str:
+    """A bracketed text (any of the three kinds, strings respected) nested up to ``levels`` deep on a line."""
+    inner = rf"(?:[^()\[\]{{}}\"'`]|{_STRING})*+"
+    for _ in range(levels):
+        inner = rf"(?:[^()\[\]{{}}\"'`]|{_STRING}|[(\[{{]{inner}[)\]}}])*+"
+    return inner
+
+
+#: What stands between a call's brackets, and one of its arguments.
+INSIDE = _nested()
+_ARGUMENT = rf"(?:[^,()\[\]{{}}\"'`]|{_STRING}|[(\[{{]{INSIDE}[)\]}}])+"
+
+
 def split_args(args) -> Column:
     """Top-level comma split of a call's argument text (quotes and brackets respected)."""
-    s = F.coalesce(_col(args), F.lit(""))
-    chars = F.split(s, "")
-    init = F.struct(F.lit(0).alias("depth"), F.lit("").alias("q"), F.lit("").alias("cur"),
-                    F.array().cast("array<string>").alias("out"))
-
-    def step(acc, ch):
-        in_q = acc["q"] != ""
-        closes_q = in_q & (ch == acc["q"])
-        opens_q = ~in_q & ch.isin('"', "`", "'")
-        opens = ~in_q & ch.isin("(", "[", "{")
-        closes = ~in_q & ch.isin(")", "]", "}")
-        split_here = ~in_q & (ch == ",") & (acc["depth"] == 0)
-        return F.struct(
-            (acc["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)).alias("depth"),
-            F.when(closes_q, F.lit("")).when(opens_q, ch).otherwise(acc["q"]).alias("q"),
-            F.when(split_here, F.lit("")).otherwise(F.concat(acc["cur"], ch)).alias("cur"),
-            F.when(split_here, F.array_append(acc["out"], strip(acc["cur"]))).otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate(chars, init, step,
-                       lambda acc: F.array_append(acc["out"], strip(acc["cur"])))
-    return F.when(strip(s) == "", F.array().cast("array<string>")).otherwise(done)
+    parts = F.regexp_extract_all(F.coalesce(_col(args), F.lit("")), F.lit(_ARGUMENT), F.lit(0))
+    return F.filter(F.transform(parts, strip), lambda x: x != "")
 
 
 def handler_name(arg) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trafficlens.functions import gosrc as G
+from trafficlens.session import qualified_path
 
 IDENT = G.IDENT
 DECL = "^(func|type|var|const|import|package)([^A-Za-z0-9_]|$)"
@@ -38,8 +39,9 @@ def read_corpus(spark: SparkSession, root: str) -> DataFrame:
     df = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
           .option("pathGlobFilter", "*.go").text(root)
           .select(F.input_file_name().alias("_f"), F.col("value").alias("content")))
-    base = root.rstrip("/") + "/"
-    full = F.regexp_replace(F.col("_f"), "^file:(//)?", "")
+    base = qualified_path(spark, root).rstrip("/") + "/"
+    # the file's URI without scheme and authority, decoded, below the root
+    full = F.url_decode(F.replace(F.regexp_replace("_f", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?(?=/)", ""), F.lit("+"), F.lit("%2B")))
     rel = F.substring(full, len(base) + 1, 1 << 30)
     repo = F.substring_index(rel, "/", 1)
     return df.select(repo.alias("repo"), rel.substr(F.length(repo) + 2, F.lit(1 << 30)).alias("path"), "content")
@@ -203,9 +205,9 @@ def extract_struct_fields(blocks: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ X3
 # A call with a literal first argument: its name, the literal, and the second argument up to the comma or bracket
-# that ends it (brackets nest up to three deep inside it).  Found anywhere on the line, so also in a chain of calls.
-_NEST = r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
-_ROUTE = (r"""\.([A-Za-z_]\w*)\(\s*("[^"]*"|`[^`]*`)\s*,\s*((?:[^(),"`{}]|"[^"]*"|`[^`]*`|\{[^{}]*\}|""" + _NEST + r""")+)""")
+# that ends it.  Found anywhere on the line, so also in a chain of calls.
+_ROUTE = (r"""\.([A-Za-z_]\w*)\(\s*("[^"]*"|`[^`]*`)\s*,\s*((?:[^(),"`{}\[\]]|"[^"]*"|`[^`]*`|[(\[{]"""
+          + G.INSIDE + r"""[)\]}])+)""")
 
 
 def extract_routes(blocks: DataFrame) -> DataFrame:
@@ -282,15 +284,13 @@ def handler_calls(blocks: DataFrame, handlers: DataFrame) -> DataFrame:
     """
     body = blocks.join(handlers.select("repo", "path", "block"), ["repo", "path", "block"], "left_semi")
     locals_ = local_types(body)
-    # every selector call on the line (one per line by contract, nested receivers allowed)
-    names = F.regexp_extract_all(F.col("text"), F.lit(f"\\.({IDENT})\\("), 1)
-    wanted = F.filter(names, lambda n: n.isin(*G.DECODE_CALLS, *G.ENCODE_CALLS, "WriteHeader"))
-    calls = body.select("repo", "path", "block", "line", "text",
-                        F.posexplode(wanted).alias("_k", "_name"))
-    # argument text of that call: from its '(' to the matching ')' on the line
-    after = F.expr("substring(text, instr(text, concat('.', _name, '(')) + length(_name) + 2)")
-    args = G.split_args(_balanced_prefix(after))
-    calls = calls.select("repo", "path", "block", "line", "_k", "_name", args.alias("_args"))
+    # every such call on the line with its arguments
+    call = r"\.(" + "|".join([*G.DECODE_CALLS, *G.ENCODE_CALLS, "WriteHeader"]) + r")\((" + G.INSIDE + r")\)"
+    calls = (body.where(F.col("text").rlike(call))
+             .select("repo", "path", "block", "line",
+                     F.posexplode(F.regexp_extract_all("text", F.lit(call), F.lit(0))).alias("_k", "_call"))
+             .select("repo", "path", "block", "line", "_k", F.regexp_extract("_call", call, 1).alias("_name"),
+                     G.split_args(F.regexp_extract("_call", call, 2)).alias("_args")))
     n = F.size("_args")
     last = F.get(F.col("_args"), n - 1)
     kind_rows = calls.select(
@@ -320,27 +320,6 @@ def handler_calls(blocks: DataFrame, handlers: DataFrame) -> DataFrame:
     return typed.unionByName(status).withColumnRenamed("_k", "call_pos")
 
 
-def _balanced_prefix(s):
-    """Text up to the ')' that closes an already opened '(' (quotes respected)."""
-    chars = F.split(s, "")
-    init = F.struct(F.lit(1).alias("depth"), F.lit("").alias("q"), F.lit("").alias("out"), F.lit(False).alias("done"))
-
-    def step(acc, ch):
-        in_q = acc["q"] != ""
-        opens = ~in_q & ch.isin("(", "[", "{")
-        closes = ~in_q & ch.isin(")", "]", "}")
-        depth = acc["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
-        ends = ~acc["done"] & closes & (depth == 0)
-        return F.struct(
-            depth.alias("depth"),
-            F.when(in_q & (ch == acc["q"]), F.lit("")).when(~in_q & ch.isin('"', "`", "'"), ch)
-            .otherwise(acc["q"]).alias("q"),
-            F.when(acc["done"] | ends, acc["out"]).otherwise(F.concat(acc["out"], ch)).alias("out"),
-            (acc["done"] | ends).alias("done"))
-
-    return F.aggregate(chars, init, step, lambda acc: acc["out"])
-
-
 def collect_handler_calls(blocks: DataFrame, handlers: DataFrame) -> DataFrame:
     """A8 + X4: handlers with last decode type, last encode type and status codes in order."""
     calls = handler_calls(blocks, handlers)

@@ -98,6 +98,38 @@ routes AS (SELECT repo, path, line,
   FROM cr WHERE lit <> '')"""
 
 
+_HANDLERS = f"""
+hd AS (SELECT repo, path, block, package, regexp_extract(text, '^func\\s*(\\(\\s*({IDENT}\\s+)?([^)]*)\\))?\\s*({IDENT})\\s*\\(([^)]*)\\)', 4) AS name,
+  regexp_extract(text, '^func\\s*(\\(\\s*({IDENT}\\s+)?([^)]*)\\))?\\s*({IDENT})\\s*\\(([^)]*)\\)', 3) AS recv,
+  regexp_extract(text, '^func\\s*(\\(\\s*({IDENT}\\s+)?([^)]*)\\))?\\s*({IDENT})\\s*\\(([^)]*)\\)', 5) AS params
+  FROM blk WHERE text = header AND regexp_matches(text, '^func')),
+h AS (SELECT * FROM hd WHERE regexp_matches(name, '^[A-Z]') AND regexp_matches(params, 'ResponseWriter|Request|Context')),
+body AS (SELECT blk.* FROM blk SEMI JOIN h USING (repo, path, block)),
+lt AS (SELECT repo, path, block, regexp_extract(text, '^\\s*var\\s+({IDENT})\\s+(\\S+)', 1) AS var,
+         regexp_extract(text, '^\\s*var\\s+({IDENT})\\s+(\\S+)', 2) AS type, line FROM body
+       WHERE regexp_matches(text, '^\\s*var\\s+{IDENT}\\s+\\S+$')
+       UNION ALL
+       SELECT repo, path, block, regexp_extract(text, '^\\s*({IDENT})\\s*:?=\\s*&?([A-Za-z0-9_.*\\[\\]]+)\\s*\\{{', 1),
+         regexp_extract(text, '^\\s*({IDENT})\\s*:?=\\s*&?([A-Za-z0-9_.*\\[\\]]+)\\s*\\{{', 2), line FROM body
+       WHERE regexp_matches(text, '^\\s*({IDENT})\\s*:?=\\s*&?([A-Za-z0-9_.*\\[\\]]+)\\s*\\{{')),
+ltl AS (SELECT repo, path, block, var, arg_max(type, line) AS type FROM lt GROUP BY ALL),
+cc AS (SELECT repo, path, block, line, regexp_extract(text, '\\.(Decode|Encode|WriteHeader)\\(([^()]*)\\)', 1) AS name,
+  trim(regexp_extract(text, '\\.(Decode|Encode|WriteHeader)\\(([^()]*)\\)', 2)) AS arg FROM body
+  WHERE regexp_matches(text, '\\.(Decode|Encode|WriteHeader)\\(')),
+hcr AS (SELECT cc.*, coalesce(ltl.type, ltrim(arg, '&')) AS resolved FROM cc
+  LEFT JOIN ltl ON ltl.repo = cc.repo AND ltl.path = cc.path AND ltl.block = cc.block AND ltl.var = ltrim(cc.arg, '&')),
+agg AS (SELECT repo, path, block,
+  coalesce(arg_max(resolved, line) FILTER (WHERE name = 'Decode'), '') AS decodes,
+  coalesce(arg_max(resolved, line) FILTER (WHERE name = 'Encode'), '') AS encodes,
+  coalesce(string_agg(CAST(CASE WHEN regexp_matches(arg, '^[0-9]+$') THEN CAST(arg AS INTEGER)
+                                WHEN arg = 'http.StatusOK' THEN 200 WHEN arg = 'http.StatusCreated' THEN 201 END AS VARCHAR),
+                      ',' ORDER BY line) FILTER (WHERE name = 'WriteHeader'), '') AS status_codes
+  FROM hcr GROUP BY ALL),
+handlers AS (SELECT h.repo, h.path, h.block, h.package, h.name, regexp_replace(h.recv, '^\\s+|\\s+$', '', 'g') AS receiver,
+  coalesce(agg.decodes, '') AS decodes, coalesce(agg.encodes, '') AS encodes,
+  coalesce(agg.status_codes, '') AS status_codes FROM h LEFT JOIN agg USING (repo, path, block))"""
+
+
 # ---------------------------------------------------------------- spark side
 def _files(spark, sf_dir):
     return D.source_files(spark, sf_dir)
@@ -183,37 +215,7 @@ def q_routes(spark, sf_dir):
     return X.extract_routes(_blocks(spark, sf_dir))
 
 
-@register("handlers", f"""
-WITH {lines_cte()},
-hd AS (SELECT repo, path, block, package, regexp_extract(text, '^func\\s*(\\(\\s*({IDENT}\\s+)?([^)]*)\\))?\\s*({IDENT})\\s*\\(([^)]*)\\)', 4) AS name,
-  regexp_extract(text, '^func\\s*(\\(\\s*({IDENT}\\s+)?([^)]*)\\))?\\s*({IDENT})\\s*\\(([^)]*)\\)', 3) AS recv,
-  regexp_extract(text, '^func\\s*(\\(\\s*({IDENT}\\s+)?([^)]*)\\))?\\s*({IDENT})\\s*\\(([^)]*)\\)', 5) AS params
-  FROM blk WHERE text = header AND regexp_matches(text, '^func')),
-h AS (SELECT * FROM hd WHERE regexp_matches(name, '^[A-Z]') AND regexp_matches(params, 'ResponseWriter|Request|Context')),
-body AS (SELECT blk.* FROM blk SEMI JOIN h USING (repo, path, block)),
-lt AS (SELECT repo, path, block, regexp_extract(text, '^\\s*var\\s+({IDENT})\\s+(\\S+)', 1) AS var,
-         regexp_extract(text, '^\\s*var\\s+({IDENT})\\s+(\\S+)', 2) AS type, line FROM body
-       WHERE regexp_matches(text, '^\\s*var\\s+{IDENT}\\s+\\S+$')
-       UNION ALL
-       SELECT repo, path, block, regexp_extract(text, '^\\s*({IDENT})\\s*:?=\\s*&?([A-Za-z0-9_.*\\[\\]]+)\\s*\\{{', 1),
-         regexp_extract(text, '^\\s*({IDENT})\\s*:?=\\s*&?([A-Za-z0-9_.*\\[\\]]+)\\s*\\{{', 2), line FROM body
-       WHERE regexp_matches(text, '^\\s*({IDENT})\\s*:?=\\s*&?([A-Za-z0-9_.*\\[\\]]+)\\s*\\{{')),
-ltl AS (SELECT repo, path, block, var, arg_max(type, line) AS type FROM lt GROUP BY ALL),
-cc AS (SELECT repo, path, block, line, regexp_extract(text, '\\.(Decode|Encode|WriteHeader)\\(([^()]*)\\)', 1) AS name,
-  trim(regexp_extract(text, '\\.(Decode|Encode|WriteHeader)\\(([^()]*)\\)', 2)) AS arg FROM body
-  WHERE regexp_matches(text, '\\.(Decode|Encode|WriteHeader)\\(')),
-cr AS (SELECT cc.*, coalesce(ltl.type, ltrim(arg, '&')) AS resolved FROM cc
-  LEFT JOIN ltl ON ltl.repo = cc.repo AND ltl.path = cc.path AND ltl.block = cc.block AND ltl.var = ltrim(cc.arg, '&')),
-agg AS (SELECT repo, path, block,
-  coalesce(arg_max(resolved, line) FILTER (WHERE name = 'Decode'), '') AS decodes,
-  coalesce(arg_max(resolved, line) FILTER (WHERE name = 'Encode'), '') AS encodes,
-  coalesce(string_agg(CAST(CASE WHEN regexp_matches(arg, '^[0-9]+$') THEN CAST(arg AS INTEGER)
-                                WHEN arg = 'http.StatusOK' THEN 200 WHEN arg = 'http.StatusCreated' THEN 201 END AS VARCHAR),
-                      ',' ORDER BY line) FILTER (WHERE name = 'WriteHeader'), '') AS status_codes
-  FROM cr GROUP BY ALL)
-SELECT h.repo, h.path, h.package, h.name, regexp_replace(h.recv, '^\\s+|\\s+$', '', 'g') AS receiver,
-  coalesce(agg.decodes, '') AS decodes, coalesce(agg.encodes, '') AS encodes, coalesce(agg.status_codes, '') AS status_codes
-FROM h LEFT JOIN agg USING (repo, path, block)""")
+@register("handlers", f"WITH {lines_cte()}, {_HANDLERS} SELECT repo, path, package, name, receiver, decodes, encodes, status_codes FROM handlers")
 def q_handlers(spark, sf_dir):
     """X4 + X5 + X6 + A8: handlers with decoded / encoded types and status codes."""
     b = _blocks(spark, sf_dir)
@@ -222,19 +224,23 @@ def q_handlers(spark, sf_dir):
                     F.array_join(F.transform("status_codes", lambda c: c.cast("string")), ",").alias("status_codes"))
 
 
-@register("handler_calls")
+@register("handler_calls", f"""
+WITH {lines_cte()}, {_HANDLERS}
+SELECT repo, path, line, CASE name WHEN 'Decode' THEN 'decode' WHEN 'Encode' THEN 'encode' ELSE 'status' END AS kind, arg,
+  CASE WHEN name <> 'WriteHeader' THEN resolved WHEN arg = 'http.StatusOK' THEN '200'
+       WHEN arg = 'http.StatusCreated' THEN '201' ELSE arg END AS resolved FROM hcr""")
 def q_handler_calls(spark, sf_dir):
     """Every decode / encode / status call with its resolved argument."""
     b = _blocks(spark, sf_dir)
-    return X.handler_calls(b, X.extract_handlers(b))
+    return X.handler_calls(b, X.extract_handlers(b)).select("repo", "path", "line", "kind", "arg", "resolved")
 
 
-@register("local_types")
+@register("local_types", f"WITH {lines_cte()}, {_HANDLERS} SELECT repo, path, var, type FROM ltl")
 def q_local_types(spark, sf_dir):
     """Local variable types inside handler bodies."""
     b = _blocks(spark, sf_dir)
     body = b.join(X.extract_handlers(b).select("repo", "path", "block"), ["repo", "path", "block"], "left_semi")
-    return X.local_types(body)
+    return X.local_types(body).select("repo", "path", "var", "type")
 
 
 @register("type_mapping", f"""
@@ -261,13 +267,23 @@ def q_type_mapping(spark, sf_dir):
                      .alias("ref_name"))
 
 
+#: CTE ``eps``: J3 over the CTEs of routes, fields and handlers (handler names are unique per repo in this corpus).
+_EPS = """
+sname AS (SELECT DISTINCT repo, struct FROM struct_fields),
+eps AS (SELECT r.repo AS dependency, r.repo,
+  CAST(row_number() OVER (PARTITION BY r.repo ORDER BY r.path, r.line) - 1 AS INTEGER) AS ord, r.method,
+  r.route AS endpoint_path, CASE WHEN h.decodes <> '' THEN coalesce(q.struct, h.decodes) END AS request_type,
+  CASE WHEN h.encodes <> '' THEN coalesce(p.struct, h.encodes) END AS response_type,
+  CASE WHEN starts_with(h.encodes, '[]') THEN 'array' ELSE 'object' END AS body_type,
+  coalesce(list_extract(list_filter(list_transform(string_split(h.status_codes, ','), lambda c: TRY_CAST(c AS INTEGER)),
+                                    lambda c: c BETWEEN 200 AND 299), 1), 200) AS status_code
+  FROM routes r LEFT JOIN handlers h ON h.repo = r.repo AND h.name = list_extract(string_split(r.handler, '.'), -1)
+  LEFT JOIN sname q ON q.repo = r.repo AND q.struct = regexp_replace(h.decodes, '^([*]|\\[\\])+', '')
+  LEFT JOIN sname p ON p.repo = r.repo AND p.struct = regexp_replace(h.encodes, '^([*]|\\[\\])+', ''))"""
+_SCAN_CTES = f"{lines_cte()}, {_FIELDS}, {_ROUTES}, {_HANDLERS}, {_EPS}"
 _REGISTRY_SQL = f"""
-WITH {lines_cte()}, {_ROUTES}
-SELECT repo AS dependency, CAST(row_number() OVER (PARTITION BY repo ORDER BY path, line) - 1 AS INTEGER) AS ord,
-  method, route AS endpoint_path,
-  CASE WHEN method IN ('POST') THEN 'Part' END AS request_type, 'Part' AS response_type, 'object' AS body_type,
-  CASE WHEN method = 'POST' THEN 201 ELSE 200 END AS status_code
-FROM routes"""
+WITH {_SCAN_CTES}
+SELECT dependency, ord, method, endpoint_path, request_type, response_type, body_type, status_code FROM eps"""
 
 
 @register("build_registry", _REGISTRY_SQL)
@@ -344,38 +360,52 @@ def q_expand_fields_deep(spark, sf_dir):
     return R.expand_fields(D.nested_struct_fields(spark, sf_dir)).select(*EXPANDED)
 
 
+#: CTE ``fw``: the framework of every repo (one file and at most one framework each in this corpus).
+_FRAMEWORKS = r"""
+fw_imp AS (SELECT regexp_extract(unnest(string_split(content, chr(10))), '^\t(?:[A-Za-z_]+ )?"([^"]+)"$', 1) AS import, repo
+  FROM files WHERE ends_with(path, '.go')),
+fw_map AS (SELECT * FROM (VALUES ('github.com/go-chi/chi/v5', 'chi'), ('github.com/gin-gonic/gin', 'gin'),
+  ('github.com/labstack/echo/v4', 'echo'), ('github.com/gorilla/mux', 'gorilla'), ('net/http', 'stdlib')) t(import, fw)),
+fw AS (SELECT repo, coalesce(min(fw_map.fw) FILTER (WHERE fw_map.fw <> 'stdlib'), min(fw_map.fw), 'unknown') AS framework
+  FROM (SELECT DISTINCT repo FROM files) LEFT JOIN fw_imp USING (repo) LEFT JOIN fw_map USING (import) GROUP BY repo)"""
+
+
 @register("scan_summary", f"""
-WITH {lines_cte()}, {_FIELDS}, {_ROUTES},
-files_all AS (SELECT DISTINCT repo FROM kept),
+WITH {_SCAN_CTES}, {_FRAMEWORKS},
 per AS (SELECT f.repo,
   CAST((SELECT count(DISTINCT struct) FROM struct_fields s WHERE s.repo = f.repo) AS BIGINT) AS structs,
   CAST((SELECT count(*) FROM routes r WHERE r.repo = f.repo) AS BIGINT) AS routes,
-  CAST(2 AS BIGINT) AS handlers FROM files_all f)
-SELECT repo, structs, routes, handlers, NULL::VARCHAR AS framework_unused, 0 AS is_total FROM per
+  CAST((SELECT count(*) FROM handlers h WHERE h.repo = f.repo) AS BIGINT) AS handlers, fw.framework
+  FROM (SELECT DISTINCT repo FROM kept) f JOIN fw USING (repo))
+SELECT repo, structs, routes, handlers, framework, 0 AS is_total FROM per
 UNION ALL SELECT NULL, sum(structs)::BIGINT, sum(routes)::BIGINT, sum(handlers)::BIGINT, NULL, 1 FROM per""")
 def q_scan_summary(spark, sf_dir):
     """A3: per-repo extraction counts and the grand total."""
     b, sf, rt, hd, fw = _scan(spark, sf_dir)
     kept = X.scan_filter(_files(spark, sf_dir))
     s = R.scan_summary(kept, sf, rt, hd, fw)
-    return s.select("repo", "structs", "routes", "handlers", F.lit(None).cast("string").alias("framework_unused"),
-                    "is_total")
+    return s.select("repo", "structs", "routes", "handlers", "framework", "is_total")
 
 
-@register("scan_rejected")
+@register("scan_rejected", f"""
+WITH {_SCAN_CTES}
+SELECT DISTINCT repo, 'no structs, routes or handlers found' AS reason FROM files
+WHERE repo NOT IN (SELECT repo FROM struct_fields) AND repo NOT IN (SELECT repo FROM routes)
+  AND repo NOT IN (SELECT repo FROM handlers)""")
 def q_scan_rejected(spark, sf_dir):
     """A4: repos whose scan found nothing (rejected with a reason)."""
     files = _files(spark, sf_dir)
-    kept = X.scan_filter(files)
-    b, sf, rt, hd, fw = _scan(spark, sf_dir)
+    _, sf, rt, hd, fw = _scan(spark, sf_dir)
     # every repo of the corpus, including those whose files were all filtered out
     s = R.scan_summary(files.select("repo").distinct(), sf, rt, hd, fw)
     _, rejected = R.scan_quality_gate(s)
-    del kept
     return rejected
 
 
-@register("registry_summary")
+@register("registry_summary", f"""
+WITH {_SCAN_CTES}, {_FRAMEWORKS}
+SELECT fw.repo AS dependency, CAST(count(eps.ord) AS BIGINT) AS endpoints, fw.framework
+FROM fw LEFT JOIN eps USING (repo) GROUP BY ALL""")
 def q_registry_summary(spark, sf_dir):
     """A2: endpoints and framework per dependency (0 kept)."""
     files = _files(spark, sf_dir)
@@ -396,13 +426,10 @@ def q_registry_detail(spark, sf_dir):
 
 
 _ROUNDTRIP_SQL = f"""
-WITH RECURSIVE {lines_cte()}, {_ROUTES}, {_FIELDS},
-eps AS (SELECT repo, CAST(row_number() OVER (PARTITION BY repo ORDER BY path, line) - 1 AS INTEGER) AS ord,
-  method, route, CASE WHEN method = 'POST' THEN 'Part' END AS request_type, 'Part' AS response_type FROM routes),
+WITH RECURSIVE {_SCAN_CTES},
 x AS (WITH RECURSIVE {_expand_sql('struct_fields')}),
 f AS (SELECT repo, root, string_agg(field_path || ':' || json_type, ',' ORDER BY pos) AS fields FROM x GROUP BY ALL)
-SELECT eps.repo AS dependency, ord, method, route AS endpoint_path, request_type, response_type, 'object' AS body_type,
-  CASE WHEN method = 'POST' THEN 201 ELSE 200 END AS status_code, q.fields AS request_fields, s.fields AS response_fields
+SELECT dependency, ord, method, endpoint_path, request_type, response_type, body_type, status_code, q.fields AS request_fields, s.fields AS response_fields
 FROM eps LEFT JOIN f q ON q.repo = eps.repo AND q.root = request_type
   LEFT JOIN f s ON s.repo = eps.repo AND s.root = response_type"""
 
@@ -430,6 +457,17 @@ def q_registry_roundtrip(spark, sf_dir):
                       shown("response_fields").alias("response_fields"))
 
 
+@register("registry_priority", f"""
+WITH {_SCAN_CTES}
+SELECT dependency, ord, method AS ep_method, endpoint_path AS ep_path, '/' || repo AS pfx,
+  CAST(length(repo) + 1 AS INTEGER) AS plen FROM eps""")
+def q_registry_priority(spark, sf_dir):
+    """The scanned routes in match order (longest prefix first, then registry order)."""
+    _, sf, rt, hd, _ = _scan(spark, sf_dir)
+    eps = R.build_registry(rt, hd, sf).withColumn("prefix", F.concat(F.lit("/"), F.col("dependency")))
+    return M.registry_priority(M.prepare_routes(eps.withColumnRenamed("path", "file").withColumnRenamed("endpoint_path", "path")))
+
+
 # ------------------------------------------------------------ large registry
 def lineitem_request_id():
     """Unique id of a lineitem row ((orderkey, linenumber) alone repeats in this data)."""

@@ -96,6 +96,12 @@ def _fs(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+def qualified_path(spark: SparkSession, path: str) -> str:
+    """The path's absolute form in its file system, without scheme and authority."""
+    fs, at = _fs(spark, path)
+    return fs.makeQualified(at).toUri().getPath()
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     fs, at = _fs(spark, path)
     return fs.exists(at)
