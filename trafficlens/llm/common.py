@@ -22,6 +22,7 @@ from trafficlens.session import ensure_checkpoint_dir, ship_package
 ROW = "__row"
 BATCH_ROWS = 1000
 HEAVY_SHARE = 1000
+SMALL_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -116,13 +117,19 @@ def lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Arra
 def attach(left: DataFrame, right: DataFrame, key: str, count: str, total: int, how: str = "left") -> DataFrame:
     """Left (or inner) join on ``key``; ``right`` has one row per key and how many rows of ``left`` have it (``count``).
 
-    Keys with at least 1/1000 of the ``total`` rows are some 1000 at most, so
-    they are broadcast; the rest is shuffled, and none of those keys is large.
-    Both frames are read twice: pass checkpointed or stored ones.
+    total: the rows of ``left``.  Up to SMALL_ROWS of them ``right`` is
+    broadcast, as it has no more rows.  Beyond, keys with at least 1/1000 of
+    the rows are at most 1000, so they are broadcast; the rest is shuffled,
+    and none of those keys is large.  Both frames are read twice: pass
+    checkpointed or stored ones.
     """
-    bar = max(2, total // HEAVY_SHARE)
-    heavy = right.filter(F.col(count) >= bar).drop(count)
-    light = right.filter(F.col(count) < bar).drop(count)
-    hot = left.join(F.broadcast(heavy), key, "inner")
-    cold = left.join(F.broadcast(heavy.select(key)), key, "left_anti")
-    return hot.unionByName(cold.join(light, key, how).select(*hot.columns))
+    if total <= SMALL_ROWS:
+        return left.join(F.broadcast(right.drop(count)), key, how)
+    bar = total // HEAVY_SHARE
+    heavy, light = right.filter(F.col(count) >= bar).drop(count), right.filter(F.col(count) < bar).drop(count)
+    keys = [bytes(r[0]) if isinstance(r[0], bytearray) else r[0] for r in heavy.select(key).collect()]
+    if not keys:
+        return left.join(light, key, how)
+    hot = F.coalesce(F.col(key).isin(keys), F.lit(False))
+    some = left.filter(hot).join(F.broadcast(heavy), key, "inner")
+    return some.unionByName(left.filter(~hot).join(light, key, how).select(*some.columns))

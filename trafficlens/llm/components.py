@@ -2,7 +2,8 @@
 
 Each step aggregates a minimum per vertex (combined before the shuffle) and
 hands it back to the vertex's edges with ``attach``, so a vertex with very
-many edges is not one task's work.  Each round is cut by checkpoint().
+many edges is not one task's work.  Each step is a table in the shared
+folder; those of the round before are removed.
 """
 
 from __future__ import annotations
@@ -11,6 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trafficlens.llm.common import attach
+from trafficlens.session import delete, stored
+
+ROWS_PER_FILE = 100_000
 
 
 def _mark(edges: DataFrame) -> tuple[int, int]:
@@ -23,20 +27,29 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges: columns a, b (long), in any direction; loops and repeats do no harm.
     """
-    e = (edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-         .distinct().checkpoint())
+    spark = edges.sparkSession
+
+    def kept(df: DataFrame, rows: int) -> tuple[DataFrame, str]:
+        # a few rows need few tasks; where there are more, the shuffle's own number stays
+        return stored(df.coalesce(max(1, -(-rows // ROWS_PER_FILE))), "edges")
+
+    both = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    e, path = stored(both.distinct(), "edges")
     mark = _mark(e)
     while mark[0]:
+        n = mark[0]
         # large star: neighbours above u go to u's smallest neighbour (or u)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")).checkpoint()
-        e = (attach(both, least, "u", "n", 2 * mark[0], "inner").filter("v > u")
-             .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().checkpoint())
+        least, least_path = kept(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")), n)
+        star, star_path = kept(attach(both, least, "u", "n", 2 * n, "inner").filter("v > u")
+                               .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), n)
         # small star: neighbours below u, and u, go to the smallest
-        least = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).checkpoint()
-        got = attach(e, least, "u", "n", mark[0], "inner")
-        e = (got.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-             .unionByName(least.select("u", F.col("m").alias("v"))).distinct().checkpoint())
+        low, low_path = kept(star.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), n)
+        e, next_path = kept(attach(star, low, "u", "n", n, "inner").filter("v <> m")
+                            .select(F.col("v").alias("u"), F.col("m").alias("v"))
+                            .unionByName(low.select("u", F.col("m").alias("v"))).distinct(), n)
+        delete(spark, path, least_path, star_path, low_path)
+        path = next_path
         before, mark = mark, _mark(e)
         if before == mark:
             break

@@ -2,33 +2,40 @@
 
 A document's set is its distinct word shingles (64-bit hashes).  Documents
 with equal sets form a class, and only its smallest id goes on.  Each set
-gets 96 minima; 24 bands of 4 minima make buckets, and the low 4 bits of all
-minima, packed as bit planes, the signature.
-
-1. In every bucket, each member is paired with the bucket's smallest id.
-2. Bit counts of the signatures estimate a pair's similarity, corrected for
-   chance collisions of low bits; pairs more than six standard deviations
-   below the threshold go.
-3. The rest is confirmed on the full sets, read from the texts of these
-   documents only.
-4. Confirmed links make components.  Buckets that hold several components are
-   compared within, by bit counts in blocks of bounded size; only pairs of
-   different components that pass are confirmed like the others.  Thus no
-   link is lost because its documents were not paired with the smallest id,
-   and no group of copies is expanded into all its pairs.
-
-At the threshold 0.8 a pair shares no bucket with probability 3.2e-6 and
-fails the estimate with about 1e-9; nothing is capped.
-
-Skew: copies collapse by a pre-aggregated minimum; hot classes, buckets and
-centres meet their rows by ``attach``; sets join with Spark's skew handling.
-The candidates' filter before the text shuffle is a bitmap of 2**23 bits.
+gets 128 minima; 24 bands of 4 of them make buckets, and the low 4 bits of
+all minima, packed as bit planes, the signature.
+
+1. Candidates.  In every bucket each member is paired with the bucket's
+   smallest id.  Bit counts of the signatures estimate a pair's similarity,
+   corrected for chance collisions of low bits; a pair within five standard
+   deviations of the threshold joins its documents to one candidate cluster.
+   Buckets that still hold several clusters are compared within, by bit
+   counts, in blocks of bounded size that return a spanning forest only.
+2. Confirmation.  Full sets are read from the texts of clustered documents
+   only.  A cluster of up to BLOCK documents is compared exactly, all pairs
+   at once by a matrix product; it returns the links of a spanning forest of
+   the exact link graph.  A larger cluster is cut into blocks, each compared
+   within and with the cluster's hubs (members with the fullest buckets),
+   which connects copies of one text in linear time; only documents outside
+   the cluster's main component then meet all blocks.
+
+So no link is lost for want of a lucky pairing, and no group of copies is
+ever written out as all its pairs: every step returns fewer links than rows.
+At similarity 0.8 a pair shares no bucket with probability 3.2e-6 and falls
+below the estimate with 3e-7; nothing is capped.
+
+Skew: equal sets collapse by a pre-aggregated minimum; hot classes, buckets,
+centres and clusters meet their rows by ``attach``; blocks are bounded in
+rows and bytes.  Before texts are shuffled, a bitmap of 2**23 bits (2 MB,
+whatever the input) sorts out documents without candidates.  What stays
+quadratic is a cluster of documents that all are nearly similar enough, and
+none enough: its blocks must be compared, block by block.
 
 Documents without words (null and empty texts) have no set: component is the
 document itself, kept.  A null doc_id links with nothing: component null,
 kept.  Repeated rows are returned as often as they occur; of rows with one
-doc_id and different texts each takes the component of its own text.  An empty table gives an empty result.  Very long
-texts are hashed in blocks.
+doc_id and different texts each takes the component of its own text.  An empty
+table gives an empty result.  Very long texts are hashed in blocks.
 """
 
 from __future__ import annotations
@@ -45,10 +52,13 @@ from trafficlens.llm.common import WordHashes, attach, lists, map_rows, mix64, p
 from trafficlens.llm.components import components
 from trafficlens.llm.registry import register
 
-HASHES, ROWS, BITS = 96, 4, 4
-BANDS = HASHES // ROWS
-SIGMAS = 6.0
-BLOCK = 512
+HASHES, BITS = 128, 4
+BANDS, ROWS = 24, 4
+SIGMAS = 5.0
+BLOCK = 1024
+BLOCK_BYTES = 32 << 20
+HUBS = 8
+COLUMNS = 4096
 BITMAP = 1 << 23
 
 _rng = np.random.default_rng(7)
@@ -115,7 +125,7 @@ def _sign(size: int):
             mins = np.stack([minima(s) for s in sets])
             key = np.repeat(np.arange(BANDS, dtype=np.uint64)[None, :], len(sets), axis=0)
             for r in range(ROWS):
-                key = mix64(key * ODD + mins[:, r::ROWS].astype(np.uint64))
+                key = mix64(key * ODD + mins[:, r:BANDS * ROWS:ROWS].astype(np.uint64))
             some = np.array([len(s) > 0 for s in sets])
             sigs = pack(mins)
             yield {"n_shingles": pa.array([len(s) for s in sets], pa.int64()),
@@ -153,113 +163,222 @@ def estimated(pairs: DataFrame, reps: DataFrame, least: int, percent: int) -> Da
     return got.select("a", "b", "sig_a", "sig_b").mapInArrow(_passing(least), "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the threshold. pairs must be checkpointed."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP))
-    bitmap = (ids.select(spot.alias("s")).groupBy(F.expr("s div 64").alias("w"))
-              .agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-    texts = (texts.withColumn("s", spot).withColumn("w", F.expr("s div 64"))
-             .join(F.broadcast(bitmap), "w").filter("shiftright(bits, cast(s % 64 as int)) & 1 = 1")
-             .select("doc_id", "text").join(ids, "doc_id", "left_semi"))
-
-    def sets(batches):
-        words_of = WordHashes()
-        for cols in batches:
-            yield {"set": pa.array([shingle_set(t, words_of, size).tobytes() for t in utf8(cols["text"])], pa.binary())}
+def exact(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs of (sorted, distinct) sets reach the threshold: a boolean matrix.
 
-    found = map_rows(texts, {"text": "text"}, sets, "set binary", keep=["doc_id"]).checkpoint()
-    both = (pairs.join(found.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")).hint("merge"), "a")
-            .join(found.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")).hint("merge"), "b"))
+    Counts common elements by products of 0/1 matrices, a block of elements at a time.
+    """
+    same = left is right
+    sets = left if same else [*left, *right]
+    size = np.array([len(x) for x in sets])
+    value, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    shared = np.flatnonzero(times > 1)
+    new = np.full(len(value), -1)
+    new[shared] = np.arange(len(shared))
+    col = new[at]
+    row, col = row[col >= 0], col[col >= 0]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    cut = len(left)
+    common = np.zeros((cut, cut if same else len(right)), np.float32)
+    for lo in range(0, len(shared), COLUMNS):
+        a, b = np.searchsorted(col, [lo, lo + COLUMNS])
+        m = np.zeros((len(sets), min(COLUMNS, len(shared) - lo)), np.float32)
+        m[row[a:b], col[a:b] - lo] = 1
+        common += m[:cut] @ (m if same else m[cut:]).T
+    n, k = size[:cut, None], (size if same else size[cut:])[None, :]
+    return (common > 0) & (100 * common >= percent * (n + k - common))
+
+
+def forest(ok: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """(row, column) pairs of ``ok`` that join what the labels ``left`` and ``right`` do not yet join."""
+    out = []
+    labels = np.concatenate([left, right])
+    n = len(left)
+    for i in np.flatnonzero(ok.any(axis=1)):
+        js = np.flatnonzero(ok[i])
+        kinds, first = np.unique(labels[n + js], return_index=True)
+        for kind, j in zip(kinds.tolist(), js[first].tolist()):
+            if kind != labels[i]:
+                out.append((int(i), j))
+                labels[labels == kind] = labels[i]
+    return out
 
-    def check(batches):
-        for b in batches:
-            ok = []
-            for x, y in zip(b["set_a"].to_pylist(), b["set_b"].to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                ok.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long")
-
-
-def _compare(least: int, percent: int):
-    """Pairs of different components within (key, i, j) groups of a sorted partition; a group has 2 * BLOCK rows or so."""
-    cols = ("key", "i", "j", "doc_id", "block", "center", "n_shingles", "component")
-
-    def group(rows: dict, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        i, j = rows["i"][0], rows["j"][0]
-        left, right = np.flatnonzero(rows["block"] == i), np.flatnonzero(rows["block"] == j)
-        a, b = [], []
-        for lo in range(0, len(left), 256):
-            part = left[lo:lo + 256]
-            ok = matches(sig[part][:, None], sig[right][None, :]) >= least
-            n, m = rows["n_shingles"][part][:, None], rows["n_shingles"][right][None, :]
-            ok &= 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
-            ok &= rows["component"][part][:, None] != rows["component"][right][None, :]
-            ok &= (rows["doc_id"] != rows["center"])[part][:, None] & (rows["doc_id"] != rows["center"])[right][None, :]
-            if i == j:
-                ok &= part[:, None] < right[None, :]
-            x, y = np.nonzero(ok)
-            a.append(rows["doc_id"][part[x]])
-            b.append(rows["doc_id"][right[y]])
-        a, b = np.concatenate(a) if a else np.empty(0, np.int64), np.concatenate(b) if b else np.empty(0, np.int64)
-        return np.maximum(a, b), np.minimum(a, b)
 
+def _by_group(names: tuple[str, ...], work):
+    """Runs ``work(columns of one group)`` over the runs of equal ``names`` in a sorted partition; yields a, b."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[dict, np.ndarray]] = []
+        held: list[pa.RecordBatch] = []
+        last = None
 
         def flush():
-            rows = {c: np.concatenate([h[0][c] for h in held]) for c in cols}
-            a, b = group(rows, np.concatenate([h[1] for h in held]))
+            t = pa.Table.from_batches(held)
             held.clear()
-            if len(a):
-                yield pa.RecordBatch.from_pydict({"a": a, "b": b})
+            links = work(t)
+            if links:
+                a, b = zip(*links)
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-        last = None
         for b in batches:
             if not b.num_rows:
                 continue
-            rows = {c: b[c].to_numpy(zero_copy_only=False) for c in cols}
-            sig = np.frombuffer(b"".join(b["sig"].to_pylist()), np.uint8).reshape(b.num_rows, -1)
             edge = np.zeros(b.num_rows, bool)
-            for c in ("key", "i", "j"):
-                edge[1:] |= rows[c][1:] != rows[c][:-1]
+            keys = [b[c].to_numpy() for c in names]
+            for k in keys:
+                edge[1:] |= k[1:] != k[:-1]
             for lo, hi in zip([0, *np.flatnonzero(edge)], [*np.flatnonzero(edge), b.num_rows]):
-                name = tuple(int(rows[c][lo]) for c in ("key", "i", "j"))
+                name = tuple(int(k[lo]) for k in keys)
                 if held and name != last:
                     yield from flush()
                 last = name
-                held.append(({c: v[lo:hi] for c, v in rows.items()}, sig[lo:hi]))
+                held.append(b.slice(lo, hi - lo))
         if held:
             yield from flush()
     return run
 
 
 def within_buckets(members: DataFrame, reps: DataFrame, comps: DataFrame, least: int, percent: int) -> DataFrame | None:
-    """Pairs (a, b) of different components that share a bucket and pass the estimate; neither is its centre.
+    """Pairs (a, b) that pass the estimate and join different candidate clusters of one bucket; None if none may.
 
-    members: key, doc_id, center (checkpointed).
+    members: key, doc_id (checkpointed); comps: id, component.
     """
     now = (members.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left")
            .withColumn("component", F.coalesce("component", "doc_id")).checkpoint())
     keys = (now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"),
-                                   F.count("*").alias("n"), F.countDistinct("doc_id").alias("d"))
-            .filter("x <> y AND d > 2").select("key", "n", F.col("n").alias("size")).checkpoint())
-    total = now.count()
+                                   F.count("*").alias("n"))
+            .filter("x <> y AND n > 2").select("key", "n", F.col("n").alias("rows")).checkpoint())
     if not keys.head(1):
         return None
-    open_ = attach(now, keys, "key", "n", total, "inner")
-    blocks = F.expr(f"(size + {BLOCK} - 1) div {BLOCK}")
-    rows = (open_.join(reps.select("doc_id", "sig", "n_shingles"), "doc_id")
+    blocks = F.expr(f"(rows + {BLOCK} - 1) div {BLOCK}")
+    rows = (attach(now, keys, "key", "n", now.count(), "inner")
+            .join(reps.select("doc_id", "sig", "n_shingles"), "doc_id")
             .withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(3)), blocks))
             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
             .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id",
-                    "block", "center", "n_shingles", "component", "sig")
+                    "block", "n_shingles", "component", "sig")
             .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"))
-    return rows.mapInArrow(_compare(least, percent), "a long, b long").distinct()
+
+    def work(t: pa.Table) -> list[tuple[int, int]]:
+        doc, block, n, comp = (t[c].to_numpy() for c in ("doc_id", "block", "n_shingles", "component"))
+        if len(np.unique(comp)) == 1:
+            return []
+        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(doc), -1)
+        left, right = np.flatnonzero(block == t["i"][0].as_py()), np.flatnonzero(block == t["j"][0].as_py())
+        ok = np.zeros((len(left), len(right)), bool)
+        for lo in range(0, len(left), 128):
+            part = left[lo:lo + 128]
+            ok[lo:lo + 128] = matches(sig[part][:, None], sig[right][None, :]) >= least
+        a, b = n[left][:, None], n[right][None, :]
+        ok &= 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+        ok &= comp[left][:, None] != comp[right][None, :]
+        return [(int(doc[left[x]]), int(doc[right[y]])) for x, y in forest(ok, comp[left], comp[right])]
+
+    return rows.mapInArrow(_by_group(("key", "i", "j"), work), "a long, b long").distinct()
+
+
+def full_sets(clustered: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """doc_id and set of the clustered documents (doc_id, print), from their texts."""
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP))
+    bitmap = (clustered.select(spot.alias("s")).groupBy(F.expr("s div 64").alias("w"))
+              .agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
+    texts = (texts.withColumn("s", spot).withColumn("w", F.expr("s div 64"))
+             .join(F.broadcast(bitmap), "w").filter("shiftright(bits, cast(s % 64 as int)) & 1 = 1")
+             .select("doc_id", "text").join(clustered.select("doc_id", "print"), "doc_id"))
+
+    def sets(batches):
+        words_of = WordHashes()
+        for cols in batches:
+            got = [shingle_set(t, words_of, size) for t in utf8(cols["text"])]
+            own = [xxhash.xxh3_128_digest(x.tobytes()) == p for x, p in zip(got, cols["print"].to_pylist())]
+            yield {"set": pa.array([x.tobytes() for x in got], pa.binary()), "own": pa.array(own, pa.bool_())}
+
+    got = map_rows(texts, {"text": "text", "print": "print"}, sets, "set binary, own boolean", keep=["doc_id"])
+    return got.filter("own").select("doc_id", "set")
+
+
+def _sets(t: pa.Table, rows: np.ndarray) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in t["set"].take(pa.array(rows)).to_pylist()]
+
+
+def _link_block(percent: int):
+    """All pairs of a (cluster, block) group."""
+    def work(t: pa.Table) -> list[tuple[int, int]]:
+        doc = t["doc_id"].to_numpy()
+        sets = _sets(t, np.arange(len(doc)))
+        return [(int(doc[x]), int(doc[y])) for x, y in forest(exact(sets, sets, percent), doc, doc) if doc[x] != doc[y]]
+    return work
+
+
+def _link_sides(percent: int):
+    """Pairs between the two sides of a (cluster, i, j) group that lie in different components."""
+    def work(t: pa.Table) -> list[tuple[int, int]]:
+        doc, comp = t["doc_id"].to_numpy(), t["component"].to_numpy()
+        far = t["far"].to_numpy(zero_copy_only=False)
+        left, right = np.flatnonzero(far), np.flatnonzero(~far)
+        if not len(left) or not len(right):
+            return []
+        ok = exact(_sets(t, left), _sets(t, right), percent)
+        ok &= comp[left][:, None] != comp[right][None, :]
+        return [(int(doc[left[x]]), int(doc[right[y]])) for x, y in forest(ok, comp[left], comp[right])]
+    return work
+
+
+def confirmed(clusters: DataFrame, reps: DataFrame, members: DataFrame, docs: DataFrame, size: int,
+              percent: int) -> DataFrame:
+    """(id, component) by links that the full sets confirm; clusters: id, component (checkpointed)."""
+    own = (clusters.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"))
+           .join(reps.select("doc_id", "n_shingles", "print"), "doc_id").checkpoint())
+    stats = (own.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(8 * F.col("n_shingles")).alias("bytes"))
+             .select("cluster", "n", F.greatest(F.expr(f"(n + {BLOCK} - 1) div {BLOCK}"),
+                                                F.expr(f"(bytes + {BLOCK_BYTES} - 1) div {BLOCK_BYTES}")).alias("blocks"))
+             .checkpoint())
+    own = (attach(own, stats, "cluster", "n", own.count(), "inner")
+           .withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(4)), F.col("blocks"))).checkpoint())
+    sets = full_sets(own, docs, size).checkpoint()
+
+    large = own.filter("blocks > 1").select("doc_id", "cluster", "blocks")
+    rows = own.select("doc_id", "cluster", "block")
+    if large.head(1):
+        weight = members.groupBy("doc_id").agg(F.sum("rows").alias("weight"))
+        hubs = (large.join(weight, "doc_id").groupBy("cluster", F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(HUBS)))
+                .agg(F.max(F.struct("weight", "doc_id", "blocks")).alias("hub")))
+        rows = rows.unionByName(hubs.select(
+            F.col("hub.doc_id").alias("doc_id"), "cluster",
+            F.explode(F.expr("sequence(0L, hub.blocks - 1)")).alias("block")))
+    links = (rows.join(sets.hint("merge"), "doc_id").repartition("cluster", "block")
+             .sortWithinPartitions("cluster", "block")
+             .mapInArrow(_by_group(("cluster", "block"), _link_block(percent)), "a long, b long").checkpoint())
+    comps = components(links).checkpoint()
+    if not large.head(1):
+        return comps
+
+    now = (own.filter("blocks > 1").join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+           .withColumn("component", F.coalesce("component", "doc_id")).checkpoint())
+    parts = now.groupBy("cluster", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    main = (parts.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("parts"),
+                                         F.sum("n").alias("n"), F.sum("shingles").alias("shingles"))
+            .filter("parts > 1").select("cluster", "n", F.col("main.component").alias("main"),
+                                        F.expr(f"(n - main.n + {BLOCK} - 1) div {BLOCK}").alias("few"),
+                                        F.expr(f"(8 * shingles + {BLOCK_BYTES} - 1) div {BLOCK_BYTES}").alias("heavy"))
+            .checkpoint())
+    if not main.head(1):
+        return comps
+    open_ = (attach(now, main, "cluster", "n", now.count(), "inner")
+             .withColumn("sides", F.greatest("few", F.least("heavy", "blocks"))).checkpoint())
+    out = open_.filter("component <> main").select(
+        "doc_id", "cluster", "component", F.lit(True).alias("far"),
+        F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("sides")).alias("i"),
+        F.explode(F.expr("sequence(0L, blocks - 1)")).alias("j"))
+    every = open_.select("doc_id", "cluster", "component", F.lit(False).alias("far"),
+                         F.explode(F.expr("sequence(0L, sides - 1)")).alias("i"), F.col("block").alias("j"))
+    more = (out.unionByName(every.select(*out.columns)).join(sets.hint("merge"), "doc_id")
+            .repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+            .mapInArrow(_by_group(("cluster", "i", "j"), _link_sides(percent)), "a long, b long").checkpoint())
+    if not more.head(1):
+        return comps
+    return components(links.unionByName(more)).checkpoint()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -277,23 +396,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     total = signed.count()
     classed = (attach(some, classes, "print", "n", total)
                .withColumn("class_id", F.coalesce("class_id", "doc_id"))).checkpoint()
-    reps = classed.filter("class_id = doc_id").select("doc_id", "n_shingles", "sig", "bands")
+    reps = classed.filter("class_id = doc_id").select("doc_id", "n_shingles", "print", "sig", "bands")
 
     banded = reps.select("doc_id", F.explode("bands").alias("key"))
     buckets = (banded.groupBy("key").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("top"),
                                          F.count("*").alias("n"))
-               .filter("center < top").select("key", "center", "n").checkpoint())
+               .filter("center < top").select("key", "center", "n", F.col("n").alias("rows")).checkpoint())
     members = attach(banded, buckets, "key", "n", total * BANDS, "inner").distinct().checkpoint()
     pairs = (members.filter("doc_id <> center").select(F.col("doc_id").alias("a"), F.col("center").alias("b"))
              .distinct().checkpoint())
-    links = confirmed(estimated(pairs, reps, least, percent).checkpoint(), docs, size, percent).checkpoint()
-    comps = components(links).checkpoint()
-    more = within_buckets(members, reps, comps, least, percent)
-    if more is not None:
-        more = more.checkpoint()
-        if more.head(1):
-            links = links.unionByName(confirmed(more, docs, size, percent)).checkpoint()
-            comps = components(links).checkpoint()
+    near = estimated(pairs, reps, least, percent).checkpoint()
+    clusters = components(near).checkpoint()
+    more = within_buckets(members.select("key", "doc_id"), reps, clusters, least, percent)
+    if more is not None and (more := more.checkpoint()).head(1):
+        clusters = components(clusters.select(F.col("id").alias("a"), F.col("component").alias("b"))
+                              .unionByName(more)).checkpoint()
+    comps = confirmed(clusters, reps, members, docs, size, percent)
 
     by_class = (classed.groupBy("class_id").agg(F.count("*").alias("n"))
                 .join(comps.withColumnRenamed("id", "class_id"), "class_id").checkpoint())
