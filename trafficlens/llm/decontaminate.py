@@ -200,7 +200,25 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
                       "n_words", "spans", "items")
 
 
-@register("op9_decontaminate")
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+
+
+@register("op9_decontaminate", oracle=f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS m, array_to_string(w[i:i + 9], ' ') AS win
+       FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT rid, i, m, array_to_string(w[i:i + m - 1], ' ') AS win
+       FROM (SELECT rid, w, m, unnest(range(1, len(w) - m + 2)) AS i
+             FROM d, (SELECT DISTINCT m FROM bw) WHERE len(w) >= m)),
+hit AS (SELECT rid, i, m, item_id FROM dw JOIN bw USING (m, win)),
+words AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + m)) AS p FROM hit) GROUP BY rid),
+found AS (SELECT rid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names
+          FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM hit WHERE item_id IS NOT NULL) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(found.n, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (rid) LEFT JOIN found USING (rid)""")
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
