@@ -34,11 +34,21 @@ func Routes(r Router) {
 '''
 
 
+def test_blocks_without_a_shuffle(spark):
+    texts = [SRC, "", "// only\n", "x := 1\n\npackage p\ntype A struct {\n}\nvar\n\n", "package p", "\npackage p\nfunc"]
+    files = spark.createDataFrame([("r", f"a{i}.go", t) for i, t in enumerate(texts)], "repo string, path string, content string")
+    want = X.source_blocks(X.source_lines(files))
+    got = X.file_blocks(files)
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
 def test_layout(spark):
     files = spark.createDataFrame([("r", "api/a.go", SRC)], "repo string, path string, content string")
     lines = X.source_lines(X.scan_filter(files))
     assert lines.count() == SRC.count("\n") + 1
     blocks = X.source_blocks(lines)
+    cut = X.file_blocks(X.scan_filter(files))
+    assert sorted(map(str, cut.select(*blocks.columns).collect())) == sorted(map(str, blocks.collect()))
     fields = {(r["struct"], r["field"], r["type"], r["json_tag"]) for r in X.extract_struct_fields(blocks).collect()}
     assert fields == {("A", "X", "int", "x"), ("B", "Z", "bool", "z"), ("C", "ID", "string", "id"),
                       ("C", "Meta", "unknown", "m"), ("C", "Tail", "[]B", "tail")}

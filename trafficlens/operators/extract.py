@@ -125,6 +125,33 @@ def source_blocks(lines: DataFrame) -> DataFrame:
         F.max(F.when(pkg != "", pkg)).over(Window.partitionBy("repo", "path")).alias("package"))
 
 
+def file_blocks(files: DataFrame) -> DataFrame:
+    """``source_blocks(source_lines(files))`` without a shuffle: each file is cut before its column-0 declarations
+    inside its own row, and a block's first line is the count of line breaks before it."""
+    cut = r"(?m)(?=^(?:func|type|var|const|import|package)(?:[^A-Za-z0-9_]|$))"
+    text = clean_source(F.col("content"))
+    f = files.select("repo", "path", text.alias("_text"))
+    f = f.select("repo", "path", F.regexp_extract("_text", rf"(?m)^package\s+({IDENT})", 1).alias("_pkg"),
+                 F.split("_text", cut).alias("_parts"))
+    starts = F.aggregate(
+        "_parts", F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("out")),
+        lambda acc, p: F.struct((acc["at"] + F.length(_breaks(p))).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")),
+        lambda acc: acc["out"])
+    b = f.select("repo", "path", "_pkg", F.get("_parts", F.lit(0)).rlike(DECL).alias("_first"),
+                 F.size("_parts").alias("_n"),
+                 F.posexplode(F.arrays_zip(F.col("_parts").alias("text"), starts.alias("start"))).alias("_i", "_b"))
+    # every part but the last ends with the break before the next declaration, behind which it has no line
+    lines = F.split(F.col("_b.text"), "\n")
+    lines = F.when(F.col("_i") < F.col("_n") - 1, F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
+    head = F.rtrim(F.substring_index("_b.text", "\n", 1))
+    return (b.select("repo", "path", "_pkg", "_first", "_i", F.col("_b.start").alias("_start"), head.alias("_head"),
+                    F.posexplode(lines).alias("_k", "_raw"))
+            .select("repo", "path", (F.col("_start") + F.col("_k")).alias("line"), F.rtrim("_raw").alias("text"),
+                    (F.col("_i") + F.col("_first").cast("int")).cast("long").alias("block"),
+                    F.when((F.col("_i") > 0) | F.col("_first"), F.col("_head")).alias("header"),
+                    F.when(F.col("_pkg") != "", F.col("_pkg")).alias("package")))
+
+
 # ------------------------------------------------------------------ X1, A1, A1b
 def extract_imports(blocks: DataFrame) -> DataFrame:
     """Repo, path, pos, import — single-line and grouped import declarations."""

@@ -136,11 +136,11 @@ def _files(spark, sf_dir):
 
 
 def _blocks(spark, sf_dir):
-    return X.source_blocks(X.source_lines(X.scan_filter(_files(spark, sf_dir))))
+    return X.file_blocks(X.scan_filter(_files(spark, sf_dir)))
 
 
 def _import_blocks(spark, sf_dir):
-    return X.source_blocks(X.source_lines(X.scan_filter(_files(spark, sf_dir), for_imports=True)))
+    return X.file_blocks(X.scan_filter(_files(spark, sf_dir), for_imports=True))
 
 
 def _scan(spark, sf_dir):

@@ -111,15 +111,17 @@ def ttl_dedup_stream(stream: DataFrame, key: str, ttl_seconds: float | None, out
 
 
 def traffic_kpis_stream(matched_stream: DataFrame, window: str = "1 day", watermark: str = "1 day") -> DataFrame:
-    """Per tumbling window and dependency: requests, unmatched, mean / max latency."""
+    """Per tumbling window and dependency: requests, unmatched, max and sum of latency, p50 / p95 (sketch)."""
     return (matched_stream.withWatermark("ts", watermark)
             .groupBy(F.window("ts", window).alias("w"), "dependency")
             .agg(F.count(F.lit(1)).alias("requests"),
                  F.count(F.when(F.col("endpoint_path").isNull(), 1)).alias("unmatched"),
                  F.max("latency_ms").alias("max_latency_ms"),
-                 F.sum("latency_ms").alias("sum_latency_ms"))
+                 F.sum("latency_ms").alias("sum_latency_ms"),
+                 F.percentile_approx("latency_ms", [0.5, 0.95]).alias("_p"))
             .select(F.col("w.start").alias("window_start"), "dependency", "requests", "unmatched",
-                    "max_latency_ms", "sum_latency_ms"))
+                    "max_latency_ms", "sum_latency_ms", F.col("_p")[0].alias("p50_latency_ms"),
+                    F.col("_p")[1].alias("p95_latency_ms")))
 
 
 def write_updates(df: DataFrame, out_path: str, checkpoint: str):
