@@ -2,41 +2,78 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+ACCURACY = 10_000  # of the sketch that finds where an exact percentile lies
+MARGIN = 5 / ACCURACY
+SMALL = 20_000
 
-def _pct(col, p: float, approx: bool):
-    return F.percentile_approx(col, p, 10000) if approx else F.percentile(col, F.lit(p))
+
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    """Per group of ``keys``: columns p0, p1, ... with the interpolated percentiles of ``value`` (nulls left out).
+
+    A sketch per group gives two values between which each percentile lies
+    (its error is a fifth of the margin); only distinct values in between are
+    counted and ranked, so no task holds a group's values.
+    """
+    d = df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+    cuts = [x for p in shares for x in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
+    groups = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+                                  F.percentile_approx("_v", cuts, ACCURACY).alias("_cut"))
+    # where the margin is less than some ranks, the whole (small) group is the band
+    ends = F.array(*[F.lit(x) for x in range(len(cuts))])
+    groups = groups.withColumn("_cut", F.when(F.col("_n") > SMALL, F.col("_cut")).otherwise(
+        F.transform(ends, lambda i: F.when(i % 2 == 0, F.col("_min")).otherwise(F.col("_max"))))).drop("_min", "_max").checkpoint()
+    rows = d.join(groups, keys)
+    lo, hi = (lambda i: F.col("_cut")[2 * i]), (lambda i: F.col("_cut")[2 * i + 1])
+    below = rows.groupBy(*keys).agg(F.first("_n").alias("_n"), F.array(*[
+        F.count_if(F.col("_v") < lo(i)) for i in range(len(shares))]).alias("_below"))
+    bands = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("share"), lo(i).alias("lo"), hi(i).alias("hi"))
+                      for i, p in enumerate(shares)])
+    band = (rows.select(*keys, "_v", F.explode(bands).alias("_b")).where(F.col("_v").between(F.col("_b.lo"), F.col("_b.hi")))
+            .groupBy(*keys, "_b.i", "_b.share", "_v").agg(F.count(F.lit(1)).alias("_c")).join(below, keys))
+    end = F.get("_below", F.col("i")) + F.sum("_c").over(Window.partitionBy(*keys, "i").orderBy("_v"))
+    place = F.col("share") * (F.col("_n") - 1)
+    at = lambda k: F.max(F.when((k >= F.col("_end") - F.col("_c")) & (k < F.col("_end")), F.col("_v")))
+    found = (band.withColumn("_end", end).withColumn("_place", place).groupBy(*keys, "i")
+             .agg(at(F.floor("_place")).alias("_a"), at(F.ceil("_place")).alias("_z"), F.first("_place").alias("_place")))
+    one = F.col("_a") + (F.col("_z") - F.col("_a")) * (F.col("_place") - F.floor("_place"))
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, one)).alias(f"p{i}") for i in range(len(shares))])
 
 
 def traffic_kpis(flags: DataFrame, by_endpoint: bool = False, approx: bool = False) -> DataFrame:
     """Requests, unmatched share, hits, misses, hit rate, p50/p95 latency for
     hits and misses, and the status mix ('code:count,...' by code).
 
-    Input: ``serve_flags`` output.  Unmatched requests form the NULL dependency
-    group.  All measures are partial aggregates, so a dependency holding most
-    of the traffic is combined map-side; exact percentiles keep one counter
-    per distinct latency value (``approx=True`` switches to a sketch).
+    Input: ``serve_flags`` output, read once.  Unmatched requests form the
+    NULL dependency group.  Counts are taken per (keys, status, hit) and
+    rolled up, so a dependency holding most of the traffic is combined
+    map-side; percentiles are exact (``approx=True``: a sketch).
     """
     keys = ["dependency"] + (["endpoint_method", "endpoint_path"] if by_endpoint else [])
-    hit, miss = F.col("hit") == True, F.col("hit") == False  # noqa: E712
-    lat = F.col("latency_ms")
-    per_status = flags.groupBy(*keys, "status").agg(F.count(F.lit(1)).alias("_n"))
-    mix = per_status.groupBy(*keys).agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("status", "_n"))),
-        lambda s: F.concat(s["status"].cast("string"), F.lit(":"), s["_n"].cast("string"))), ",").alias("status_mix"))
-    base = flags.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("requests"),
-        F.count_if(F.col("endpoint_path").isNull()).alias("unmatched"),
-        F.count_if(hit).alias("hits"),
-        F.count_if(miss).alias("misses"),
-        F.round(_pct(F.when(hit, lat), 0.5, approx), 6).alias("p50_hit_ms"),
-        F.round(_pct(F.when(hit, lat), 0.95, approx), 6).alias("p95_hit_ms"),
-        F.round(_pct(F.when(miss, lat), 0.5, approx), 6).alias("p50_miss_ms"),
-        F.round(_pct(F.when(miss, lat), 0.95, approx), 6).alias("p95_miss_ms"))
-    # NULL-safe on the keys: the unmatched group has a NULL dependency.
-    out = base.join(mix, [base[k].eqNullSafe(mix[k]) for k in keys], "left").select(base["*"], mix["status_mix"])
+    own = flags.select(*keys, "status", "hit", F.col("endpoint_path").isNull().alias("_un"), "latency_ms").checkpoint()
+    fine = own.groupBy(*keys, "status", "hit", "_un").agg(F.count(F.lit(1)).alias("_n"))
+    per_status = fine.groupBy(*keys, "status").agg(
+        F.sum("_n").alias("_n"), F.sum(F.when(F.col("_un"), F.col("_n"))).alias("_u"),
+        F.sum(F.when(F.col("hit"), F.col("_n"))).alias("_h"), F.sum(F.when(~F.col("hit"), F.col("_n"))).alias("_m"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    base = per_status.groupBy(*keys).agg(
+        total("_n").alias("requests"), total("_u").alias("unmatched"), total("_h").alias("hits"), total("_m").alias("misses"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("status", "_n"))),
+                                 lambda s: F.concat(s["status"].cast("string"), F.lit(":"), s["_n"].cast("string"))), ",")
+        .alias("status_mix"))
+    served = own.where(F.col("hit").isNotNull())
+    if approx:
+        cuts = served.groupBy(*keys, "hit").agg(F.percentile_approx("latency_ms", [0.5, 0.95], ACCURACY).alias("_p"))
+        cuts = cuts.select(*keys, "hit", F.col("_p")[0].alias("p0"), F.col("_p")[1].alias("p1"))
+    else:
+        cuts = exact_percentiles(served, [*keys, "hit"], "latency_ms", [0.5, 0.95])
+    pick = lambda c, hit: F.round(F.max(F.when(F.col("hit") == hit, F.col(c))), 6)
+    cuts = cuts.groupBy(*keys).agg(pick("p0", True).alias("p50_hit_ms"), pick("p1", True).alias("p95_hit_ms"),
+                                   pick("p0", False).alias("p50_miss_ms"), pick("p1", False).alias("p95_miss_ms"))
+    out = base.join(cuts, [base[k].eqNullSafe(cuts[k]) for k in keys], "left").select(
+        base["*"], *[cuts[c] for c in cuts.columns if c not in keys])
     return out.select(
         *keys, "requests", "unmatched", "hits", "misses",
         F.round(F.when((F.col("hits") + F.col("misses")) > 0,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +24,8 @@ def serve_flags(requests: DataFrame, routes: DataFrame, ttl_seconds: float | Non
     Unmatched requests never reach the store (match precedes lookup): their
     ``hit`` and ``request_key`` are NULL and their status is 501.
     """
-    # Matched requests feed the size check, the dedup and the attach join:
-    # keep them (memory, spilling to disk; recomputed from lineage if lost).
-    m = match_requests(requests, routes, strategy=match_strategy).persist(StorageLevel.MEMORY_AND_DISK)
+    # matched requests feed the dedup, the attach join and the unmatched rows
+    m = match_requests(requests, routes, strategy=match_strategy).checkpoint()
     matched = with_keys(m.where(F.col("endpoint_path").isNotNull()))
     flagged = ttl_dedup(matched, "request_key", ts="ts", id_col="request_id",
                         ttl_seconds=ttl_seconds, strategy=dedup_strategy)
