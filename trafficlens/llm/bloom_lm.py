@@ -53,7 +53,7 @@ BITS_PER_ENTRY = 10
 MIN_COUNT = 2
 WEIGHT = 0.4
 TABLE_WORDS = 4_000_000
-FLUSH = 3_000_000
+FLUSH = 1_500_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 HELD_OUT = "crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 7 = 2"
@@ -160,10 +160,13 @@ def build_segment(low: np.ndarray, max_bits: int = MAX_SEGMENT_BITS) -> bytes:
 class LogFrequencyFilter:
     """All segments' bits in one array."""
 
-    def __init__(self, segments: list[bytes]):
-        self.bits = np.array([8 * len(s) for s in segments], np.int64)
-        self.start = np.concatenate([[0], np.cumsum(self.bits)[:-1]])
-        self.data = np.frombuffer(b"".join(segments), np.uint8)
+    def __init__(self, data: np.ndarray, bits: np.ndarray):
+        self.data, self.bits = data, bits
+        self.start = np.concatenate([[0], np.cumsum(bits)[:-1]])
+
+    @classmethod
+    def of(cls, segments: list[bytes]) -> LogFrequencyFilter:
+        return cls(np.frombuffer(b"".join(segments), np.uint8), np.array([8 * len(s) for s in segments], np.int64))
 
     def levels(self, pair: np.ndarray) -> np.ndarray:
         """The highest level up to which every probe of a bigram hits."""
@@ -239,13 +242,12 @@ class Model:
         segments = (packed.repartition(min(n, SEGMENTS), "segment").sortWithinPartitions("segment").mapInArrow(
             build, "segment int, words binary, counts binary, bits binary, n_words long, n_tokens long, "
                    "by_level array<long>").checkpoint())
-        got = segments.select("segment", "bits", "n_words", "n_tokens", "by_level").orderBy("segment").collect()
-        self.n_tokens = sum(r["n_tokens"] for r in got)
-        self.n_words = sum(r["n_words"] for r in got)
-        bits = {r["segment"]: bytes(r["bits"]) for r in got}
-        self.filter = LogFrequencyFilter([bits.get(i, bytes(8)) for i in range(SEGMENTS)])
+        sizes = {r["segment"]: r for r in segments.select(
+            "segment", "n_words", "n_tokens", "by_level", F.octet_length("bits").alias("bytes")).collect()}
+        self.n_tokens = sum(r["n_tokens"] for r in sizes.values())
+        self.n_words = sum(r["n_words"] for r in sizes.values())
         # the lowest level from which all words fit the table
-        tally = np.sum([r["by_level"] for r in got], axis=0) if got else np.zeros(64, np.int64)
+        tally = np.sum([r["by_level"] for r in sizes.values()], axis=0) if sizes else np.zeros(64, np.int64)
         self.least = 1
         while tally[self.least:].sum() > table_words:
             self.least += 1
@@ -255,16 +257,28 @@ class Model:
 
         def frequent(batches):
             for b in batches:
-                word, count_ = _unpacked(b)
-                keep = count_ >= least
-                yield pa.RecordBatch.from_pydict({"words": [word[keep].tobytes()],
-                                                  "counts": [count_[keep].astype(np.uint32).tobytes()]})
-
-        rows = segments.select("words", "counts").mapInArrow(frequent, "words binary, counts binary").collect()
-        word = np.frombuffer(b"".join(bytes(r[0]) for r in rows), np.uint64)
-        count_ = np.frombuffer(b"".join(bytes(r[1]) for r in rows), np.uint32)
-        order = np.argsort(word)
-        self.table = WordTable(word[order], count_[order])
+                for r in b.to_pylist():
+                    word, count_ = np.frombuffer(r["words"], np.uint64), np.frombuffer(r["counts"], np.int64)
+                    keep = count_ >= least
+                    yield pa.RecordBatch.from_pydict({
+                        "segment": pa.array([r["segment"]], pa.int32()), "words": [word[keep].tobytes()],
+                        "counts": [count_[keep].astype(np.uint32).tobytes()], "bits": [r["bits"]]})
+
+        # segments come one partition at a time, straight into their places: segment order is word order
+        kept = [int(sum(sizes[i]["by_level"][self.least:])) if i in sizes else 0 for i in range(SEGMENTS)]
+        width = [sizes[i]["bytes"] if i in sizes else 8 for i in range(SEGMENTS)]
+        at, bit_at = np.concatenate([[0], np.cumsum(kept)]), np.concatenate([[0], np.cumsum(width)])
+        words, counts = np.empty(at[-1], np.uint64), np.empty(at[-1], np.uint32)
+        data = np.zeros(bit_at[-1], np.uint8)
+        rows = segments.select("segment", "words", "counts", "bits").mapInArrow(
+            frequent, "segment int, words binary, counts binary, bits binary")
+        for r in rows.toLocalIterator():
+            i = r["segment"]
+            words[at[i]:at[i + 1]] = np.frombuffer(r["words"], np.uint64)
+            counts[at[i]:at[i + 1]] = np.frombuffer(r["counts"], np.uint32)
+            data[bit_at[i]:bit_at[i + 1]] = np.frombuffer(r["bits"], np.uint8)
+        self.table = WordTable(words, counts)
+        self.filter = LogFrequencyFilter(data, 8 * np.array(width, np.int64))
 
     def rare(self) -> DataFrame:
         """(word, count) of the words that the broadcast table does not hold."""
