@@ -13,10 +13,12 @@ from trafficlens.functions.jsonfix import repair_json
 from trafficlens.operators import generate as GEN
 from trafficlens.operators import match as M
 from trafficlens.operators import registry as R
+from trafficlens.operators import store as S
 from trafficlens.operators.analysis import parse_endpoints
 from trafficlens.plans import oracle_sql as O
 from trafficlens.plans.catalog import register
-from trafficlens.plans.q_extract import _lineitem_requests, _scan, lineitem_request_id
+from trafficlens.plans.q_extract import _SCAN_CTES, _lineitem_requests, _scan, lineitem_request_id
+from trafficlens.session import shared_path
 from trafficlens.sources import derived as D
 
 
@@ -135,6 +137,65 @@ def q_check_conformance(spark, sf_dir):
         GEN.field_accuracy(mod.withColumn("source", F.lit("model")), ["source"]))
 
 
+def make_body_client():
+    """Stand-in model that writes bodies: it never answers where a path value ends in 7, and its answers are
+    fenced and have a trailing comma."""
+    def client(system: str, prompt: str) -> str:
+        if re.search(r"^  \w+ = .*7$", prompt, re.M):
+            raise RuntimeError("no answer")
+        return "```json\n{\"about\": " + json.dumps(prompt.split("\n")[2]) + ",}\n```"
+
+    return client
+
+
+@register("model_responses", f"""
+WITH {_SCAN_CTES},
+e AS (SELECT dependency, ord, method AS ep_method, status_code, '/' || repo AS pfx,
+  list_filter(string_split(endpoint_path, '/'), lambda x: x <> '') AS psegs FROM eps),
+r AS (SELECT ((l_orderkey * 8 + l_linenumber) * 1000003 + l_partkey) * 101 + l_suppkey AS request_id,
+  CASE WHEN l_linenumber % 3 = 0 THEN 'POST' ELSE 'GET' END AS method,
+  '/svc-' || CAST(l_partkey AS VARCHAR) || CASE WHEN l_linenumber % 3 = 0 THEN '/parts'
+    WHEN l_linenumber % 3 = 1 THEN '/parts/' || CAST(l_orderkey AS VARCHAR)
+    ELSE '/legacy/' || CAST(l_suppkey AS VARCHAR) END AS path FROM lineitem),
+c AS (SELECT r.*, e.ord, e.status_code, e.psegs,
+  list_filter(string_split(substr(r.path, length(e.pfx) + 1), '/'), lambda x: x <> '') AS rsegs
+  FROM r JOIN e ON e.pfx = '/' || split_part(r.path, '/', 2) AND (e.ep_method = r.method OR e.ep_method = 'ANY')),
+ok AS (SELECT request_id, arg_min(status_code, ord) AS status_code FROM c
+  WHERE len(rsegs) = len(psegs) AND coalesce(list_bool_and(list_transform(list_zip(psegs, rsegs),
+        lambda z: {O.is_param('z[1]')} OR z[1] = z[2])), true) GROUP BY request_id),
+s AS (SELECT r.*, CASE WHEN ok.request_id IS NULL THEN 501 WHEN r.path LIKE '%/parts/%7' THEN 502
+                       ELSE ok.status_code END AS status FROM r LEFT JOIN ok USING (request_id))
+SELECT status, CAST(count(*) AS BIGINT) AS responses,
+  CAST(CASE WHEN status > 500 THEN 0 ELSE count(DISTINCT method || ' ' || path) END AS BIGINT) AS stored
+FROM s GROUP BY status""")
+def q_model_responses(spark, sf_dir):
+    """G2, G4, F16, S4 and G7 in one flow: a prompt per request key, the model's cleaned answers kept in a store,
+    every request answered from it, 502 rows where the model failed and 501 rows where nothing matched."""
+    sf, _, _, _, eps, routes = _corpus_flow(spark, sf_dir)
+    req = _lineitem_requests(spark, sf_dir).withColumn("query", F.lit("")).withColumn("body", F.lit(""))
+    m = M.match_requests(req, routes)
+    m = m.withColumn("request_key", K.request_key("method", "path", "query", K.hash_body("body"))).checkpoint()
+    matched = m.where(F.col("endpoint_path").isNotNull())
+    once = matched.dropDuplicates(["request_key"])
+    prompts = GEN.build_response_prompts(once, eps, R.expand_fields(sf)).select("request_key", "prompt")
+    answers = GEN.batch_infer(prompts, make_body_client, max_retries=1, sleep=_no_sleep).select(
+        "request_key", repair_json("response").alias("answer"), "error").checkpoint()
+    path = shared_path(spark, "model-store")
+    rows = once.join(answers.where(F.col("error").isNull()), "request_key").select(
+        F.col("request_key").alias("key_hash"), "method", "path", "query", F.lit("").alias("request_body_hash"),
+        F.col("status_code").alias("response_status"), F.lit(S.JSON_HEADERS).alias("response_headers"),
+        F.col("answer").alias("response_body"), "dependency", F.lit("2024-01-01").cast("timestamp").alias("created_at"))
+    S.upsert_persisted(spark, path, rows)
+    store = S.read_store(spark, path)
+    answered = matched.join(store.select(F.col("key_hash").alias("request_key"), "response_status"), "request_key", "left")
+    failed = answered.where(F.col("response_status").isNull())
+    errors = GEN.error_responses(m.where(F.col("endpoint_path").isNull()), failed)
+    out = answered.where(F.col("response_status").isNotNull()).select(
+        "request_id", F.col("response_status").alias("status"), F.col("request_key").alias("key")).unionByName(
+        errors.select("request_id", "status", F.lit(None).cast("string").alias("key")))
+    return out.groupBy("status").agg(F.count(F.lit(1)).alias("responses"), F.countDistinct("key").alias("stored"))
+
+
 @register("error_responses", f"""
 WITH {O.match_cte()}
 SELECT request_id, 501 AS status, '{{"Content-Type":"application/json"}}' AS headers,
