@@ -74,3 +74,13 @@ def test_odd_rows(spark):
     stage = q.filter_quality(spark, odd_docs(spark), "")
     assert stage.columns == odd_docs(spark).columns
     assert q.filter_quality(spark, no_docs(spark), "").count() == 0
+
+
+def test_expression_equals_posterior(spark):
+    rng = np.random.default_rng(8)
+    pattern = rng.integers(0, 3 ** len(q.RULES), 500)
+    model = q.estimate(pattern, rng.integers(1, 50, 500))
+    df = spark.createDataFrame([(int(p),) for p in pattern], "pattern long").select("pattern", q.posterior_column(model).alias("p"))
+    got = {r["pattern"]: r["p"] for r in df.collect()}
+    want = q.posterior(q._pattern_votes(pattern), model)
+    assert np.allclose([got[p] for p in pattern.tolist()], want, atol=1e-12)

@@ -8,8 +8,8 @@ demand that every rule pass.
 
 Spark counts the patterns (eleven rules of three votes: at most 3**11 =
 177,147 rows, whatever the corpus), so the estimate uses every document and the
-driver sees only that bounded table.  Scoring is a second map over the
-documents: no join, no shuffle, and rows need no unique id.
+driver sees only that bounded table.  Scoring is a second map, over the stored
+counts or over the documents: no join, no shuffle, and rows need no unique id.
 
 Nulls and empty texts have no words, fail the base rules and are not kept;
 their posterior is that of their votes.  Repeated rows get equal results.
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trafficlens.llm.common import WordHashes, map_rows, mix64, prepare, table, utf8
@@ -31,6 +31,7 @@ from trafficlens.llm.registry import register
 RULES = ("length", "word_length", "symbols", "dup_lines", "repeat_words", "runs", "function_words",
          "line_ends", "top_word", "letters", "marked_words")
 WINDOW = 8
+CACHE = 400_000
 
 # Frequent function words of English, French, German and Spanish.
 FUNCTION_WORDS = frozenset(
@@ -49,77 +50,107 @@ STRIP = b".,;:!?\"'()[]*#$%&|<>"
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _repeated_words(words: list[list[bytes]], cache: WordHashes) -> list[int]:
-    """Per text, the words inside 8-word windows that occur twice or more in it.
-
-    One sort of all window hashes of the batch finds texts that may repeat;
-    those are then compared word by word, so hash collisions do not count.
-    """
-    out = [0] * len(words)
-    some = [i for i, w in enumerate(words) if len(w) > WINDOW]
-    if not some:
+class Words:
+    """The words of a batch of texts, with their hashes in one array."""
+
+    def __init__(self, texts: list[bytes], cache: WordHashes):
+        self.lists = [t.split() for t in texts]
+        self.sizes = np.array([len(w) for w in self.lists], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
+        self.flat = [w for ws in self.lists for w in ws]
+        self.hashes = cache.of(self.flat)
+        self.owner = np.repeat(np.arange(len(texts)), self.sizes)
+
+    def totals(self, flags: np.ndarray) -> np.ndarray:
+        """Per text, how many of its words are flagged."""
+        return np.bincount(self.owner[flags], minlength=len(self.lists))
+
+    def runs(self) -> np.ndarray:
+        """Per text, words equal to the word before."""
+        same = np.zeros(len(self.hashes), bool)
+        same[1:] = (self.hashes[1:] == self.hashes[:-1]) & (self.owner[1:] == self.owner[:-1])
+        return self.totals(same)
+
+    def most_frequent(self) -> np.ndarray:
+        """Per text, how often its most frequent word occurs."""
+        out = np.zeros(len(self.lists), np.int64)
+        for i in np.flatnonzero(self.sizes):
+            h = np.sort(self.hashes[self.starts[i]:self.starts[i] + self.sizes[i]])
+            edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
+            out[i] = np.diff(edge).max()
         return out
-    flat = np.concatenate([cache.of(words[i]) for i in some])
-    sizes = np.array([len(words[i]) for i in some])
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    n = len(flat) - WINDOW + 1
-    key = flat[:n].copy()
-    for k in range(1, WINDOW):
-        key *= np.uint64(0x9E3779B97F4A7C15)
-        key += flat[k:k + n]
-    owner = np.repeat(np.arange(len(some)), sizes)
-    key = mix64(key + mix64(owner[:n].astype(np.uint64) + np.uint64(1)))
-    inside = np.arange(n) + WINDOW <= (starts + sizes)[owner[:n]]
-    key, at = key[inside], np.flatnonzero(inside)
-    ordered = np.sort(key)
-    twice = ordered[1:][ordered[1:] == ordered[:-1]]
-    if not len(twice):
+
+    def repeated(self) -> np.ndarray:
+        """Per text, the words inside 8-word windows that occur twice or more in it.
+
+        One sort of all window hashes of the batch finds texts that may
+        repeat; those are then compared word by word, so hash collisions do
+        not count.
+        """
+        out = np.zeros(len(self.lists), np.int64)
+        n = len(self.hashes) - WINDOW + 1
+        if n <= 1:
+            return out
+        key = self.hashes[:n].copy()
+        for k in range(1, WINDOW):
+            key *= np.uint64(0x9E3779B97F4A7C15)
+            key += self.hashes[k:k + n]
+        key = mix64(key + mix64(self.owner[:n].astype(np.uint64) + np.uint64(1)))
+        inside = np.arange(n) + WINDOW <= (self.starts + self.sizes)[self.owner[:n]]
+        key, at = key[inside], np.flatnonzero(inside)
+        ordered = np.sort(key)
+        twice = ordered[1:][ordered[1:] == ordered[:-1]]
+        if not len(twice):
+            return out
+        at = at[np.isin(key, twice)]
+        for i in np.unique(self.owner[at]):
+            ws = self.lists[i]
+            by: dict[tuple, list[int]] = {}
+            for p in (at[self.owner[at] == i] - self.starts[i]).tolist():
+                by.setdefault(tuple(ws[p:p + WINDOW]), []).append(p)
+            edge = np.zeros(len(ws) + 1, np.int64)
+            for places in by.values():
+                if len(places) > 1:
+                    for p in places:
+                        edge[p] += 1
+                        edge[p + WINDOW] -= 1
+            out[i] = int((np.cumsum(edge)[:-1] > 0).sum())
         return out
-    at = at[np.isin(key, twice)]
-    for k in np.unique(owner[at]):
-        ws = words[some[k]]
-        mine = at[owner[at] == k] - starts[k]
-        by: dict[tuple, list[int]] = {}
-        for p in mine.tolist():
-            by.setdefault(tuple(ws[p:p + WINDOW]), []).append(p)
-        edge = np.zeros(len(ws) + 1, np.int64)
-        for places in by.values():
-            if len(places) > 1:
-                for p in places:
-                    edge[p] += 1
-                    edge[p + WINDOW] -= 1
-        out[some[k]] = int((np.cumsum(edge)[:-1] > 0).sum())
-    return out
 
 
 def _vote(good: bool, bad: bool) -> int:
     return -1 if bad else 1 if good else 0
 
 
-def _votes(text: bytes, words: list[bytes], chars: int, symbols: int, dups: int, repeats: int,
-           lines: list[bytes]) -> tuple[int, ...]:
-    n = len(words)
+FUNCTION, MARKED = 1, 2
+
+
+class WordKinds(dict):
+    """word -> whether it is a function word, and whether a symbol is attached; bounded like WordHashes."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        kind = (FUNCTION * (word.strip(STRIP).lower() in FUNCTION_WORDS)
+                | MARKED * (word[-1] in MARKS or word[0] in MARKS))
+        self[word] = kind
+        return kind
+
+
+def _votes(n: int, size: int, other: int, chars: int, symbols: int, dups: int, repeats: int, lines: int, ended: int,
+           runs: int, func: int, marked: int, top: int) -> tuple[int, ...]:
+    """The rules' votes from a text's counts, in the order of RULES."""
     if not n:
         return (-1,) + (0,) * (len(RULES) - 1)
-    counts: dict[bytes, int] = {}
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
-    runs = sum(map(bytes.__eq__, words, words[1:]))
-    func = sum(c for w, c in counts.items() if w.strip(STRIP).lower() in FUNCTION_WORDS)
-    ended = sum(x.endswith(LINE_END) for x in lines)
-    top = max(counts.values())
-    marked = sum(c for w, c in counts.items() if w[-1] in MARKS or w[0] in MARKS)
-    size = len(text.translate(None, SPACES))
-    other = len(text.translate(None, SPACES + LETTERS))
     return (
         _vote(n >= 50, n < 20),
         _vote(3.0 * n <= chars <= 9.0 * n, chars < 2.0 * n or chars > 13.0 * n),
         _vote(100 * symbols <= n, 10 * symbols > n),
-        _vote(dups == 0, 10 * dups > 3 * len(lines)),
+        _vote(dups == 0, 10 * dups > 3 * lines),
         _vote(20 * repeats <= n, 10 * repeats > 3 * n),
         _vote(50 * runs <= n, 10 * runs > n),
         _vote(100 * func >= 8 * n, 100 * func < 3 * n) if n >= 20 else 0,
-        _vote(10 * ended >= 7 * len(lines), 10 * ended < 3 * len(lines)),
+        _vote(10 * ended >= 7 * lines, 10 * ended < 3 * lines),
         _vote(100 * top <= 15 * n, 100 * top > 30 * n) if n >= 20 else 0,
         _vote(100 * other <= 10 * size, 100 * other > 25 * size),
         _vote(100 * marked <= n, 100 * marked > 15 * n),
@@ -143,29 +174,32 @@ def _pattern_votes(pattern: np.ndarray) -> np.ndarray:
 
 
 def _features(batches: Iterator[dict]) -> Iterator[dict]:
-    cache = WordHashes()
+    cache, kinds = WordHashes(), WordKinds()
     for cols in batches:
         texts = utf8(cols["text"])
-        words = [t.split() for t in texts]
-        repeats = _repeated_words(words, cache)
+        words = Words(texts, cache)
+        kind = np.fromiter(map(kinds.__getitem__, words.flat), np.int64, len(words.flat))
+        counted = [x.tolist() for x in (words.sizes, words.repeated(), words.runs(), words.totals(kind & FUNCTION > 0),
+                                        words.totals(kind & MARKED > 0), words.most_frequent())]
         got: list[tuple] = []
-        for t, w, rep in zip(texts, words, repeats):
+        for t, n, repeats, runs, func, marked, top in zip(texts, *counted):
             chars = len(t.translate(None, NOT_WORD_CHARS))
             symbols = len(t) - len(t.translate(None, SYMBOLS))
+            size, other = len(t.translate(None, SPACES)), len(t.translate(None, SPACES + LETTERS))
             lines = [x for x in t.split(b"\n") if x.strip(SPACES)]
             dups = len(lines) - len(set(lines))
-            got.append((len(w), chars, symbols, dups, rep,
-                        _pattern(_votes(t, w, chars, symbols, dups, rep, [x.rstrip(SPACES) for x in lines]))))
-        arrays = zip(*got)
-        yield dict(zip((*FEATURES, "pattern"), (pa.array(a, pa.int64()) for a in arrays)))
+            ended = sum(x.rstrip(SPACES).endswith(LINE_END) for x in lines)
+            got.append((n, chars, symbols, dups, repeats, _pattern(_votes(
+                n, size, other, chars, symbols, dups, repeats, len(lines), ended, runs, func, marked, top))))
+        yield dict(zip((*FEATURES, "pattern"), (pa.array(a, pa.int64()) for a in zip(*got))))
 
 
 FEATURE_SCHEMA = ", ".join(f"{c} long" for c in (*FEATURES, "pattern"))
 
 
-def rule_features(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def rule_features(docs: DataFrame, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """``docs`` with the counts the rules read and the vote pattern (base 3, first rule highest)."""
-    return map_rows(docs, {"text": "text"}, _features, FEATURE_SCHEMA, keep)
+    return map_rows(docs, {"text": text}, _features, FEATURE_SCHEMA, keep)
 
 
 def estimate(pattern: np.ndarray, count: np.ndarray, rounds: int = 100) -> dict:
@@ -198,28 +232,41 @@ def posterior(votes: np.ndarray, model: dict) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
 
-def fit_rules(docs: DataFrame) -> dict:
+def posterior_column(model: dict) -> Column:
+    """``posterior`` as an expression over the column pattern."""
+    g, b = model["on_good"], model["on_bad"]
+    odds = F.lit(float(np.log(model["good"]) - np.log1p(-model["good"])))
+    for r in range(len(RULES)):
+        digit = F.expr(f"pattern div {3 ** (len(RULES) - 1 - r)} % 3")
+        odds = odds + F.when(digit == 2, float(np.log(g[r]) - np.log1p(-b[r]))).when(
+            digit == 0, float(np.log1p(-g[r]) - np.log(b[r]))).otherwise(0.0)
+    return 1 / (1 + F.exp(-odds))
+
+
+def fit_rules(features: DataFrame) -> dict:
     """The model of ``estimate`` over all documents; only pattern counts (at most 3**11) reach the driver."""
-    counts = rule_features(docs, keep=[]).groupBy("pattern").count().toPandas()
+    counts = features.groupBy("pattern").count().toPandas()
     return estimate(counts["pattern"].to_numpy(), counts["count"].to_numpy())
 
 
-def quality_rules(docs: DataFrame, threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with the counts, ``base_failed``, ``posterior`` (of being good) and ``kept``."""
-    prepare(docs.sparkSession)
-    model = fit_rules(docs)
-
-    def score(batches):
-        for got in _features(batches):
-            votes = _pattern_votes(got["pattern"].to_numpy(zero_copy_only=False))
-            n, rep = (got[c].to_numpy(zero_copy_only=False) for c in ("n_words", "n_repeat_words"))
-            p = posterior(votes, model)
-            failed = (n < 20) | (100 * rep > 30 * n)
-            yield got | {"base_failed": pa.array(failed), "posterior": pa.array(p),
-                         "kept": pa.array(~failed & (p >= threshold))}
+def quality_rules(docs: DataFrame, threshold: float = 0.5, keep: list[str] | None = None,
+                  text: str = "text") -> DataFrame:
+    """``docs`` with the counts, ``base_failed``, ``posterior`` (of being good) and ``kept``.
 
-    return map_rows(docs, {"text": "text"}, score,
-                    FEATURE_SCHEMA + ", base_failed boolean, posterior double, kept boolean", keep)
+    keep: columns of ``docs`` that stay (all, if None).  If some are named,
+    the counts are stored with them and texts are read once; else texts are
+    read again for the verdicts, which is less than storing them.
+    """
+    prepare(docs.sparkSession)
+    features = rule_features(docs, keep, text)
+    if keep is None:
+        model = fit_rules(rule_features(docs, [], text))
+    else:
+        features = features.checkpoint()
+        model = fit_rules(features)
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    p = posterior_column(model)
+    return features.withColumns({"base_failed": failed, "posterior": p, "kept": ~failed & (p >= threshold)})
 
 
 @register("op6_quality_rules")
@@ -231,6 +278,6 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules keep, with their own columns."""
     columns = docs.columns
-    judged = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("own"), F.col("text"))
-    kept = quality_rules(judged, keep=["own"]).filter("kept")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("own"))
+    kept = quality_rules(rows, text="own.text").filter("kept")
     return kept.select(*[F.col(f"own.`{c}`").alias(c) for c in columns])
