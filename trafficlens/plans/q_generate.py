@@ -18,10 +18,28 @@ from trafficlens.operators.analysis import parse_endpoints
 from trafficlens.plans import oracle_sql as O
 from trafficlens.plans.catalog import register
 from trafficlens.plans.q_extract import _SCAN_CTES, _lineitem_requests, _scan, lineitem_request_id
+from trafficlens.plans.q_store import ttl_cte
 from trafficlens.session import shared_path
 from trafficlens.sources import derived as D
 
 
+#: CTEs ``r`` (lineitem requests) and ``ok`` (their endpoint's status) over the scan's CTEs.
+_LINEITEM_MATCH = f"""
+e AS (SELECT dependency, ord, method AS ep_method, status_code, '/' || repo AS pfx,
+  list_filter(string_split(endpoint_path, '/'), lambda x: x <> '') AS psegs FROM eps),
+r AS (SELECT ((l_orderkey * 8 + l_linenumber) * 1000003 + l_partkey) * 101 + l_suppkey AS request_id,
+  CASE WHEN l_linenumber % 3 = 0 THEN 'POST' ELSE 'GET' END AS method,
+  '/svc-' || CAST(l_partkey AS VARCHAR) || CASE WHEN l_linenumber % 3 = 0 THEN '/parts'
+    WHEN l_linenumber % 3 = 1 THEN '/parts/' || CAST(l_orderkey AS VARCHAR)
+    ELSE '/legacy/' || CAST(l_suppkey AS VARCHAR) END AS path, CAST(l_shipdate AS TIMESTAMP) AS ts FROM lineitem),
+c AS (SELECT r.*, e.ord, e.status_code, e.psegs,
+  list_filter(string_split(substr(r.path, length(e.pfx) + 1), '/'), lambda x: x <> '') AS rsegs
+  FROM r JOIN e ON e.pfx = '/' || split_part(r.path, '/', 2) AND (e.ep_method = r.method OR e.ep_method = 'ANY')),
+ok AS (SELECT request_id, arg_min(status_code, ord) AS status_code FROM c
+  WHERE len(rsegs) = len(psegs) AND coalesce(list_bool_and(list_transform(list_zip(psegs, rsegs),
+        lambda z: {O.is_param('z[1]')} OR z[1] = z[2])), true) GROUP BY request_id)"""
+
+
 def make_registry_client():
     """Stand-in model for tests and queries: answers an analysis prompt with the
     routes it lists, as a fenced JSON array (some answers with a trailing
@@ -150,19 +168,7 @@ def make_body_client():
 
 @register("model_responses", f"""
 WITH {_SCAN_CTES},
-e AS (SELECT dependency, ord, method AS ep_method, status_code, '/' || repo AS pfx,
-  list_filter(string_split(endpoint_path, '/'), lambda x: x <> '') AS psegs FROM eps),
-r AS (SELECT ((l_orderkey * 8 + l_linenumber) * 1000003 + l_partkey) * 101 + l_suppkey AS request_id,
-  CASE WHEN l_linenumber % 3 = 0 THEN 'POST' ELSE 'GET' END AS method,
-  '/svc-' || CAST(l_partkey AS VARCHAR) || CASE WHEN l_linenumber % 3 = 0 THEN '/parts'
-    WHEN l_linenumber % 3 = 1 THEN '/parts/' || CAST(l_orderkey AS VARCHAR)
-    ELSE '/legacy/' || CAST(l_suppkey AS VARCHAR) END AS path FROM lineitem),
-c AS (SELECT r.*, e.ord, e.status_code, e.psegs,
-  list_filter(string_split(substr(r.path, length(e.pfx) + 1), '/'), lambda x: x <> '') AS rsegs
-  FROM r JOIN e ON e.pfx = '/' || split_part(r.path, '/', 2) AND (e.ep_method = r.method OR e.ep_method = 'ANY')),
-ok AS (SELECT request_id, arg_min(status_code, ord) AS status_code FROM c
-  WHERE len(rsegs) = len(psegs) AND coalesce(list_bool_and(list_transform(list_zip(psegs, rsegs),
-        lambda z: {O.is_param('z[1]')} OR z[1] = z[2])), true) GROUP BY request_id),
+{_LINEITEM_MATCH},
 s AS (SELECT r.*, CASE WHEN ok.request_id IS NULL THEN 501 WHEN r.path LIKE '%/parts/%7' THEN 502
                        ELSE ok.status_code END AS status FROM r LEFT JOIN ok USING (request_id))
 SELECT status, CAST(count(*) AS BIGINT) AS responses,
@@ -208,7 +214,14 @@ def q_error_responses(spark, sf_dir):
     return GEN.error_responses(m.where(F.col("endpoint_path").isNull()))
 
 
-@register("serve_batch")
+@register("serve_batch", f"""
+WITH RECURSIVE {_SCAN_CTES}, {_LINEITEM_MATCH},
+mk AS (SELECT r.request_id, r.ts, r.method || '|' || r.path AS request_key, ok.status_code FROM r JOIN ok USING (request_id)),
+{ttl_cte('mk', 'request_key', 30 * 86400 * 1_000_000)},
+answered AS (SELECT mk.status_code AS status, d.hit FROM dedup d JOIN mk USING (request_id)
+  UNION ALL SELECT 501, NULL FROM r WHERE request_id NOT IN (SELECT request_id FROM ok))
+SELECT status, hit, CAST(count(*) AS BIGINT) AS responses, CAST(count(*) AS BIGINT) AS with_body,
+  (SELECT CAST(count(DISTINCT request_key) AS BIGINT) FROM mk) AS store_entries FROM answered GROUP BY ALL""")
 def q_serve_batch(spark, sf_dir):
     """The whole flow on lineitem traffic: responses by status and hit, plus store size."""
     sf, _, _, _, eps, routes = _corpus_flow(spark, sf_dir)
