@@ -7,6 +7,7 @@ import pytest
 sys.path.insert(0, __file__.rsplit("/", 1)[0])
 from odd import DOCS, no_docs, odd_docs  # noqa: E402
 
+from trafficlens.llm import common  # noqa: E402
 from trafficlens.llm import minhash as m  # noqa: E402
 from trafficlens.llm.common import WordHashes, table  # noqa: E402
 from trafficlens.llm.components import components  # noqa: E402
@@ -55,7 +56,7 @@ def test_tables_against_brute_force(spark, size):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got.collect())
 
 
-def test_chains_and_large_groups(spark):
+def hard_rows():
     rng = random.Random(5)
     base = [f"w{i}" for i in range(60)]
     rows, doc = [], 0
@@ -73,7 +74,22 @@ def test_chains_and_large_groups(spark):
     for _ in range(150):  # one passage in many documents that are no copies
         rows.append((doc, " ".join(shared[:40] + [f"o{rng.random()}" for _ in range(rng.randint(20, 60))])))
         doc += 1
+    for _ in range(120):  # copies at about the threshold of each other
+        w = shared.copy()
+        for k in rng.sample(range(60), 4):
+            w[k] = f"e{rng.random()}"
+        rows.append((doc, " ".join(w)))
+        doc += 1
     rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("block,small", [(m.BLOCK, common.SMALL_ROWS), (16, 0)])
+def test_chains_and_large_groups(spark, monkeypatch, block, small):
+    """Also with tiny blocks, so that clusters and buckets are cut, and with the join for large inputs."""
+    monkeypatch.setattr(m, "BLOCK", block)
+    monkeypatch.setattr(common, "SMALL_ROWS", small)
+    rows = hard_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
     assert result(m.near_duplicates(df, 2)) == brute(rows, 2)
 
