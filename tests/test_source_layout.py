@@ -42,6 +42,16 @@ def test_blocks_without_a_shuffle(spark):
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
 
 
+def test_long_lines(spark):
+    """Lines far longer than a regular expression could recurse over."""
+    big = 'var x = f("' + "a" * 200_000 + '", ' + ", ".join("g(1)" for _ in range(20_000)) + ")"
+    src = "package p\n" + big + '\nfunc (h *H) A(w http.ResponseWriter, r *http.Request) {\n\tw.WriteHeader(f("' + "b" * 100_000 +         '"))\n\tr.Get("/z", ' + "c" * 100_000 + ")\n}\n"
+    files = spark.createDataFrame([("r", "a.go", src)], "repo string, path string, content string")
+    blocks = X.file_blocks(files)
+    assert X.extract_routes(blocks).count() == 1
+    assert X.collect_handler_calls(blocks, X.extract_handlers(blocks)).count() == 1
+
+
 def test_layout(spark):
     files = spark.createDataFrame([("r", "api/a.go", SRC)], "repo string, path string, content string")
     lines = X.source_lines(X.scan_filter(files))

@@ -133,20 +133,21 @@ def map_source_type(t) -> Column:
         nullable.alias("nullable"))
 
 
-_STRING = r"""\"(?:[^\"\\]|\\.)*+\"|`[^`]*+`|'(?:[^'\\]|\\.)*+'"""
+# possessive runs of characters, so that long lines need no deep recursion
+_STRING = r"""\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"|`[^`]*+`|'[^'\\]*+(?:\\.[^'\\]*+)*+'"""
 
 
 def _nested(levels: int = 8) -> str:
     """A bracketed text (any of the three kinds, strings respected) nested up to ``levels`` deep on a line."""
-    inner = rf"(?:[^()\[\]{{}}\"'`]|{_STRING})*+"
+    inner = rf"(?:[^()\[\]{{}}\"'`]++|{_STRING})*+"
     for _ in range(levels):
-        inner = rf"(?:[^()\[\]{{}}\"'`]|{_STRING}|[(\[{{]{inner}[)\]}}])*+"
+        inner = rf"(?:[^()\[\]{{}}\"'`]++|{_STRING}|[(\[{{]{inner}[)\]}}])*+"
     return inner
 
 
 #: What stands between a call's brackets, and one of its arguments.
 INSIDE = _nested()
-_ARGUMENT = rf"(?:[^,()\[\]{{}}\"'`]|{_STRING}|[(\[{{]{INSIDE}[)\]}}])+"
+_ARGUMENT = rf"(?:[^,()\[\]{{}}\"'`]++|{_STRING}|[(\[{{]{INSIDE}[)\]}}])+"
 
 
 def split_args(args) -> Column:

@@ -233,7 +233,7 @@ def extract_struct_fields(blocks: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ X3
 # A call with a literal first argument: its name, the literal, and the second argument up to the comma or bracket
 # that ends it.  Found anywhere on the line, so also in a chain of calls.
-_ROUTE = (r"""\.([A-Za-z_]\w*)\(\s*("[^"]*"|`[^`]*`)\s*,\s*((?:[^(),"`{}\[\]]|"[^"]*"|`[^`]*`|[(\[{]"""
+_ROUTE = (r"""\.([A-Za-z_]\w*)\(\s*("[^"]*"|`[^`]*`)\s*,\s*((?:[^(),"`{}\[\]]++|"[^"]*"|`[^`]*`|[(\[{]"""
           + G.INSIDE + r"""[)\]}])+)""")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
 
@@ -42,25 +41,23 @@ ok AS (SELECT request_id, arg_min(status_code, ord) AS status_code FROM c
 
 def make_registry_client():
     """Stand-in model for tests and queries: answers an analysis prompt with the
-    routes it lists, as a fenced JSON array (some answers with a trailing
-    comma).  What fails depends on the prompt and its attempt alone, not on
-    how prompts are partitioned: a seventh of them fail the first time."""
+    routes it lists, as a fenced JSON array with a trailing comma.  What fails
+    depends on the prompt and its attempt alone, not on how prompts are
+    partitioned: one whose legacy route's number is a multiple of 5 fails the
+    first time."""
     tried = set()
 
     def client(system: str, prompt: str) -> str:
-        h = int(hashlib.sha256(prompt.encode()).hexdigest()[:6], 16)
-        if h % 7 == 0 and h not in tried:
-            tried.add(h)
+        legacy = re.search(r"/legacy/(\d+)", prompt)
+        if legacy and int(legacy.group(1)) % 5 == 0 and prompt not in tried:
+            tried.add(prompt)
             raise RuntimeError("transient upstream error")
-        tried.discard(h)
+        tried.discard(prompt)
         m = re.search(r"### Routes \(JSON\)\n(.*?)\n\n### ", prompt, re.S)
         routes = json.loads(m.group(1)) if m else []
         eps = [{"method": r["method"], "path": r["path"], "description": r["handler"], "request_body": None,
                 "response_body": {"type": "object", "fields": []}, "status_code": 200} for r in routes]
-        text = json.dumps(eps)
-        if h % 3 == 0 and eps:
-            text = text[:-1] + ",]"
-        return "```json\n" + text + "\n```"
+        return "```json\n" + json.dumps(eps)[:-1] + ",]\n```"
 
     return client
 
@@ -106,7 +103,10 @@ def q_analysis_prompts_chunked(spark, sf_dir):
     return GEN.build_analysis_prompts(sf, rt, hd, fw, by_package_over=1200)
 
 
-@register("batch_infer")
+@register("batch_infer", f"""
+WITH {_SCAN_CTES}
+SELECT repo, CASE WHEN max(TRY_CAST(split_part(route, '/legacy/', 2) AS INTEGER)) % 5 = 0 THEN 2 ELSE 1 END AS attempts,
+  CAST(NULL AS VARCHAR) AS error, CAST(count(*) AS BIGINT) AS n_endpoints FROM routes GROUP BY repo""")
 def q_batch_infer(spark, sf_dir):
     """G4 + G1: analysis prompts through the (stand-in) model with retries, parsed into endpoints."""
     sf, rt, hd, fw, _, _ = _corpus_flow(spark, sf_dir)
