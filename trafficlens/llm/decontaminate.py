@@ -68,7 +68,7 @@ def _stretches(ids: np.ndarray, shortest: int) -> list[tuple[int, int]]:
 
 
 class Shard:
-    """Documents' stretches gathered for one index; ``search`` gives (document, start, length, item list) findings."""
+    """Documents' stretches gathered for one index; ``search`` adds their spans (document, start, end) and items."""
 
     def __init__(self, phrases: Phrases, limit: int):
         self.phrases, self.limit = phrases, limit
@@ -77,7 +77,7 @@ class Shard:
         self.word: list[int] = []
         self.at: list[int] = []
         self.size = 0
-        self.hits: dict[int, list[tuple[int, int]]] = {}
+        self.spans: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.items: dict[int, set] = {}
 
     def add(self, doc: int, ids: np.ndarray) -> None:
@@ -100,35 +100,40 @@ class Shard:
             return
         index = FMIndex(np.concatenate(self.parts), len(self.phrases.words) + 1)
         at, owner, word = np.array(self.at), np.array(self.owner), np.array(self.word)
+        found = []
         for n, rows in self.phrases.rows.items():
             lo, hi = index.ranges(rows)
-            found = np.flatnonzero(hi > lo)
-            if not len(found):
+            some = np.flatnonzero(hi > lo)
+            if not len(some):
                 continue
-            count = (hi - lo)[found]
-            phrase = np.repeat(found, count)
-            row = np.repeat(lo[found] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+            count = (hi - lo)[some]
+            phrase = np.repeat(some, count)
+            row = np.repeat(lo[some] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
             pos = index.locate(row)
             part = np.searchsorted(at, pos, "right") - 1
             docs, starts = owner[part], word[part] + pos - at[part]
-            for d, s, p in zip(docs.tolist(), starts.tolist(), phrase.tolist()):
-                self.hits.setdefault(d, []).append((s, s + n))
-                self.items.setdefault(d, set()).update(self.phrases.items[n][p])
+            found.append((docs, starts, starts + n))
+            for pair in np.unique(docs * len(rows) + phrase).tolist():
+                self.items.setdefault(pair // len(rows), set()).update(self.phrases.items[n][pair % len(rows)])
+        if found:
+            self.spans.append(merge_spans(*map(np.concatenate, zip(*found))))
         self.parts, self.owner, self.word, self.at, self.size = [], [], [], [], 0
 
 
-def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+def merge_spans(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spans of each document, in order, with those that touch or overlap as one."""
+    if not len(docs):
+        return docs, starts, ends
+    far = np.int64(ends.max() + 2)  # sets the documents apart on one line
+    order = np.lexsort((starts, docs))
+    a, z = (starts + docs * far)[order], np.maximum.accumulate((ends + docs * far)[order])
+    first = np.flatnonzero(np.concatenate([[True], a[1:] > z[:-1]]))
+    last = np.concatenate([first[1:], [len(a)]]) - 1
+    docs = docs[order][first]
+    return docs, a[first] - docs * far, z[last] - docs * far
 
 
 SCHEMA = "n_words long, spans array<struct<start:long,end:long>>, items array<long>"
-SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
 
 def _search_block(phrases: Phrases, shard_symbols: int):
@@ -137,24 +142,29 @@ def _search_block(phrases: Phrases, shard_symbols: int):
     def run(batches):
         known = phrases.words.get
         shard = Shard(phrases, shard_symbols)
-        waiting: list[tuple[int, np.ndarray, list, list]] = []
-        base = 0
+        waiting: list[np.ndarray] = []  # words of each row, by batch
+        known_spans: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held = 0
 
         def flush():
+            nonlocal held
             shard.search()
-            first = base - sum(w[0] for w in waiting)
-            for n, counts, spans, items in waiting:
-                out_spans, out_items = [], []
-                for d in range(n):
-                    s = merge_spans(shard.hits.get(first + d, []) + [(x["start"], x["end"]) for x in spans[d] or []])
-                    out_spans.append([{"start": a, "end": b} for a, b in s])
-                    out_items.append(sorted(shard.items.get(first + d, set()) | set(items[d] or [])))
+            docs, starts, ends = merge_spans(*(np.concatenate(x).astype(np.int64) for x in zip(
+                *shard.spans, *known_spans, (np.empty(0, np.int64),) * 3)))
+            first = 0
+            for counts in waiting:
+                n = len(counts)
+                lo, hi = np.searchsorted(docs, [first, first + n])
+                per_row = np.bincount(docs[lo:hi] - first, minlength=n)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32))
+                spans = pa.StructArray.from_arrays([pa.array(starts[lo:hi]), pa.array(ends[lo:hi])], ["start", "end"])
+                yield {"n_words": pa.array(counts), "spans": pa.ListArray.from_arrays(offsets, spans),
+                       "items": pa.array([sorted(shard.items.get(d, ())) for d in range(first, first + n)],
+                                         pa.list_(pa.int64()))}
                 first += n
-                yield {"n_words": pa.array(counts), "spans": pa.array(out_spans, pa.list_(SPAN)),
-                       "items": pa.array(out_items, pa.list_(pa.int64()))}
-            waiting.clear()
-            shard.hits.clear()
-            shard.items.clear()
+            held = 0
+            for x in (waiting, known_spans, shard.spans, shard.items):
+                x.clear()
 
         for cols in batches:
             texts = utf8(cols["text"])
@@ -163,10 +173,16 @@ def _search_block(phrases: Phrases, shard_symbols: int):
                 words = t.translate(WORD_BYTES).split()
                 counts[d] = len(words)
                 if phrases.shortest and len(words) >= phrases.shortest:
-                    shard.add(base + d, np.fromiter((known(w, 0) for w in words), np.int64, len(words)))
-            waiting.append((len(texts), counts, cols["spans"].to_pylist(), cols["items"].to_pylist()))
-            base += len(texts)
-            if sum(w[0] for w in waiting) >= SHARD_ROWS:
+                    shard.add(held + d, np.fromiter((known(w, 0) for w in words), np.int64, len(words)))
+            before, own = cols["spans"], cols["spans"].flatten()
+            known_spans.append((held + np.repeat(np.arange(len(texts)), before.value_lengths().to_numpy()),
+                                *(own.field(k).to_numpy() for k in (0, 1))))
+            for d, x in enumerate(cols["items"].to_pylist()):
+                if x:
+                    shard.items.setdefault(held + d, set()).update(x)
+            waiting.append(counts)
+            held += len(texts)
+            if held >= SHARD_ROWS:
                 yield from flush()
         yield from flush()
 
