@@ -82,12 +82,23 @@ def test_words_beyond_the_table_are_counted(spark, tables):
         assert r["n_known"] == w[1] and math.isclose(r["base_score"], w[2], rel_tol=1e-9)
 
 
+def test_more_segments_for_more_text(spark, tables, monkeypatch):
+    rows, (want, _) = tables
+    assert b.segments_for(1) == 1024 and b.segments_for(200 << 30) == 4096
+    monkeypatch.setattr(b, "BYTES_PER_SEGMENT", 500)
+    docs = table(spark, SF, "documents").select("doc_id", "text")
+    got, model = b.language_model_scores(docs, docs.filter(f"NOT ({b.HELD_OUT})"), ["doc_id"])
+    assert len(model.filter.bits) == 8192
+    assert all(r["score"] >= want[r["doc_id"]][3] - 1e-6 for r in got.collect())
+
+
 def test_filter_levels():
     rng = np.random.default_rng(4)
     pair = rng.integers(0, 1 << 63, 20_000).astype(np.uint64) * np.uint64(2)
     count = np.minimum(rng.geometric(0.3, len(pair)), 40)
     every = np.repeat(pair, count)
-    segments = [b.build_segment(b.fingerprint(every[b.segment_of(every) == s])) for s in range(b.SEGMENTS)]
+    n = b.LEAST_SEGMENTS
+    segments = [b.build_segment(b.fingerprint(every[b.segment_of(every, n) == s])) for s in range(n)]
     got = b.LogFrequencyFilter.of(segments).levels(pair)
     true = np.where(count >= 2, b.level(count), 0)
     assert (got >= true).all() and (got > true).mean() < 0.03

@@ -6,12 +6,12 @@ is entered in the filter once per level 1..q, where q is its quantised count,
 1 + floor(log2(count)).  Reading a count back probes level after level until
 one is missing; false positives can only raise it, and rarely by much.
 
-The filter is cut into segments by bigram hash.  Bigram occurrences are
-shuffled as packed 32-bit fingerprints, so that one task holds one segment's
-bigrams, counts them and sets the segment's bits; its size follows its
-number of entries up to ``max_segment_bits``.  So the broadcast filter has at
-most SEGMENTS * max_segment_bits bits (64 MB); beyond that load its error
-rises, but nothing is left out.
+The filter is cut into segments by bigram hash, more of them for more text
+(``segments_for``).  Bigram occurrences are shuffled as packed 32-bit
+fingerprints, so that one task holds one segment's bigrams, counts them and
+sets the segment's bits; a segment's size follows its number of entries up to
+its share of FILTER_BITS.  So the broadcast filter has at most 64 MB; beyond
+that load its error rises, but nothing is left out.
 
 Probability of word w after v, by interpolation of the quantised bigram
 estimate with add-one word frequencies:
@@ -46,8 +46,9 @@ from trafficlens.llm.common import WordHashes, map_rows, mix64, prepare, table,
 from trafficlens.llm.registry import register
 
 END = b"\n"  # no word has this byte
-SEGMENTS = 1024
-MAX_SEGMENT_BITS = 1 << 19
+LEAST_SEGMENTS = 1024
+BYTES_PER_SEGMENT = 64 << 20
+FILTER_BITS = 1 << 29
 PROBES = 3
 BITS_PER_ENTRY = 10
 MIN_COUNT = 2
@@ -83,15 +84,24 @@ def bigrams(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 END_HASH = np.uint64(WordHashes()[END])
 
 
-def segment_of(pair: np.ndarray) -> np.ndarray:
-    return (pair >> np.uint64(54)).astype(np.int64)
+def segments_for(text_bytes: int) -> int:
+    """Number of segments, a power of two: each has the bigrams of at most some BYTES_PER_SEGMENT of text."""
+    n = LEAST_SEGMENTS
+    while n * BYTES_PER_SEGMENT < text_bytes:
+        n *= 2
+    return n
+
+
+def segment_of(pair: np.ndarray, segments: int) -> np.ndarray:
+    """The highest bits of a hash."""
+    return (pair >> np.uint64(64 - (segments.bit_length() - 1))).astype(np.int64)
 
 
 def fingerprint(pair: np.ndarray) -> np.ndarray:
     return pair.astype(np.uint32)
 
 
-def _counted(batches: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[dict], segments: int) -> Iterator[pa.RecordBatch]:
     """Per task: word counts as packed rows (segment, words, counts) and bigram fingerprints by segment."""
     words_of = WordHashes()
     held: list[np.ndarray] = []
@@ -101,14 +111,13 @@ def _counted(batches: Iterator[dict]) -> Iterator[pa.RecordBatch]:
     def flush():
         word, n = np.unique(np.concatenate(held), return_counts=True)
         pair = np.concatenate(pairs)
-        pair = pair[np.argsort(segment_of(pair), kind="stable")]
-        at = np.searchsorted(segment_of(pair), np.arange(SEGMENTS + 1))
+        pair = pair[np.argsort(segment_of(pair, segments), kind="stable")]
+        at = np.searchsorted(segment_of(pair, segments), np.arange(segments + 1))
         low = fingerprint(pair)
-        place = np.searchsorted(word, np.arange(SEGMENTS, dtype=np.uint64) << np.uint64(54))
-        place = np.append(place, len(word))
-        cut = range(SEGMENTS)
+        place = np.searchsorted(segment_of(word, segments), np.arange(segments + 1))
+        cut = np.flatnonzero((at[1:] > at[:-1]) | (place[1:] > place[:-1])).tolist()
         yield pa.RecordBatch.from_pydict({
-            "segment": pa.array(np.arange(SEGMENTS), pa.int32()),
+            "segment": pa.array(cut, pa.int32()),
             "words": pa.array([word[place[i]:place[i + 1]].tobytes() for i in cut], pa.binary()),
             "counts": pa.array([n[place[i]:place[i + 1]].astype(np.uint32).tobytes() for i in cut], pa.binary()),
             "pairs": pa.array([low[at[i]:at[i + 1]].tobytes() for i in cut], pa.binary())})
@@ -145,7 +154,7 @@ def places(low: np.ndarray, lev: np.ndarray, bits: np.ndarray | int) -> np.ndarr
     return (at % np.asarray(bits, np.uint64).reshape(-1, 1)).astype(np.int64)
 
 
-def build_segment(low: np.ndarray, max_bits: int = MAX_SEGMENT_BITS) -> bytes:
+def build_segment(low: np.ndarray, max_bits: int = FILTER_BITS // LEAST_SEGMENTS) -> bytes:
     """The bits of a segment from all its bigram occurrences (fingerprints)."""
     key, n = np.unique(low, return_counts=True)
     key, lev = key[n >= MIN_COUNT], level(n[n >= MIN_COUNT])
@@ -172,7 +181,7 @@ class LogFrequencyFilter:
         """The highest level up to which every probe of a bigram hits."""
         out = np.zeros(len(pair), np.int64)
         live = np.arange(len(pair))
-        low, seg = fingerprint(pair), segment_of(pair)
+        low, seg = fingerprint(pair), segment_of(pair, len(self.bits))
         q = 1
         while len(live):
             s = seg[live]
@@ -202,12 +211,16 @@ class Model:
     """What scoring needs: the filter, the frequent words, N, V, and whether there are words beyond the table."""
 
     def __init__(self, spark: SparkSession, train: DataFrame, table_words: int = TABLE_WORDS):
+        size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        count_segments = segments_for(size)
+        max_bits = FILTER_BITS // count_segments
+
         def count(batches):
             def feed():
                 for b in batches:
                     if b.num_rows:
                         yield {"text": b["text"]}
-            yield from _counted(feed())
+            yield from _counted(feed(), count_segments)
 
         packed = train.select("text").mapInArrow(count, "segment int, words binary, counts binary, pairs binary")
 
@@ -219,7 +232,7 @@ class Model:
                 n = np.frombuffer(b"".join(r["counts"] for r in held), np.uint32).astype(np.int64)
                 word, at = np.unique(word, return_inverse=True)
                 n = np.bincount(at, n, len(word)).astype(np.int64)
-                bits = build_segment(np.frombuffer(b"".join(r["pairs"] for r in held), np.uint32))
+                bits = build_segment(np.frombuffer(b"".join(r["pairs"] for r in held), np.uint32), max_bits)
                 # how many words have a count of 2**(q - 1) or more but less than 2**q
                 by_level = np.bincount(level(n), minlength=64)[:64]
                 out = {"segment": held[0]["segment"], "words": word.tobytes(), "counts": n.tobytes(), "bits": bits,
@@ -239,7 +252,7 @@ class Model:
                 yield flush()
 
         n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-        segments = (packed.repartition(min(n, SEGMENTS), "segment").sortWithinPartitions("segment").mapInArrow(
+        segments = (packed.repartition(n, "segment").sortWithinPartitions("segment").mapInArrow(
             build, "segment int, words binary, counts binary, bits binary, n_words long, n_tokens long, "
                    "by_level array<long>").checkpoint())
         sizes = {r["segment"]: r for r in segments.select(
@@ -265,8 +278,8 @@ class Model:
                         "counts": [count_[keep].astype(np.uint32).tobytes()], "bits": [r["bits"]]})
 
         # segments come one partition at a time, straight into their places: segment order is word order
-        kept = [int(sum(sizes[i]["by_level"][self.least:])) if i in sizes else 0 for i in range(SEGMENTS)]
-        width = [sizes[i]["bytes"] if i in sizes else 8 for i in range(SEGMENTS)]
+        kept = [int(sum(sizes[i]["by_level"][self.least:])) if i in sizes else 0 for i in range(count_segments)]
+        width = [sizes[i]["bytes"] if i in sizes else 8 for i in range(count_segments)]
         at, bit_at = np.concatenate([[0], np.cumsum(kept)]), np.concatenate([[0], np.cumsum(width)])
         words, counts = np.empty(at[-1], np.uint64), np.empty(at[-1], np.uint32)
         data = np.zeros(bit_at[-1], np.uint8)
