@@ -92,6 +92,38 @@ def test_more_segments_for_more_text(spark, tables, monkeypatch):
     assert all(r["score"] >= want[r["doc_id"]][3] - 1e-6 for r in got.collect())
 
 
+def test_filter_above_one_block_keeps_its_error_rate(spark, tables, monkeypatch):
+    rows, (want, _) = tables
+    docs = table(spark, SF, "documents").select("doc_id", "text")
+    train = docs.filter(f"NOT ({b.HELD_OUT})")
+    whole = {r["doc_id"]: r for r in b.language_model_scores(docs, train, ["doc_id"])[0].collect()}
+    monkeypatch.setattr(b, "FILTER_BITS", 1 << 17)
+    got, model = b.language_model_scores(docs, train, ["doc_id"])
+    got = {r["doc_id"]: r for r in got.collect()}
+    assert len(model.blocks.parts) > 2 and got == whole
+    assert sum((got[i]["score"] - want[i][3]) / -want[i][3] for i, _ in rows) / len(rows) < 0.01
+    # the same with words beyond the table
+    for r in b.language_model_scores(docs, train, ["doc_id"], table_words=500)[0].collect():
+        assert math.isclose(r["score"], whole[r["doc_id"]]["score"], rel_tol=1e-9)
+
+
+def test_error_rate_does_not_depend_on_the_entries():
+    rng = np.random.default_rng(5)
+    for n in (1_000, 100_000):
+        low = rng.choice(1 << 32, 2 * n, replace=False).astype(np.uint32)
+        bits = b.build_segment(np.repeat(low[:n], 2))
+        f = b.LogFrequencyFilter(np.frombuffer(bits, np.uint8), np.array([8 * len(bits)]))
+        at = b.places(low[n:], np.ones(n, np.int64), 8 * len(bits))
+        wrong = ((f.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1).mean()
+        assert wrong < 0.03
+
+
+def test_full_segment_ends():
+    pair = np.arange(100, dtype=np.uint64)
+    full = b.LogFrequencyFilter(np.full(8, 255, np.uint8), np.array([64]), np.array([3]), 0, 1 << 10)
+    assert (full.levels(pair) == 3).all()
+
+
 def test_filter_levels():
     rng = np.random.default_rng(4)
     pair = rng.integers(0, 1 << 63, 20_000).astype(np.uint64) * np.uint64(2)

@@ -9,9 +9,13 @@ one is missing; false positives can only raise it, and rarely by much.
 The filter is cut into segments by bigram hash, more of them for more text
 (``segments_for``).  Bigram occurrences are shuffled as packed 32-bit
 fingerprints, so that one task holds one segment's bigrams, counts them and
-sets the segment's bits; a segment's size follows its number of entries up to
-its share of FILTER_BITS.  So the broadcast filter has at most 64 MB; beyond
-that load its error rises, but nothing is left out.
+sets the segment's bits; a segment's size follows its number of entries, so
+the error of a probe is the same at every size: with 10 bits an entry and 3
+probes a missing level reads as present with probability 1.7 %.  The segments
+are broadcast in blocks of at most FILTER_BITS (64 MB; about 54 million
+entries).  A scoring task reads its documents once, in groups of about FLUSH
+tokens, and a group's bigrams meet block after block, one of which is in
+memory at a time.  An executor stores all blocks (10 bits an entry).
 
 Probability of word w after v, by interpolation of the quantised bigram
 estimate with add-one word frequencies:
@@ -48,7 +52,7 @@ from trafficlens.llm.registry import register
 END = b"\n"  # no word has this byte
 LEAST_SEGMENTS = 1024
 BYTES_PER_SEGMENT = 64 << 20
-FILTER_BITS = 1 << 29
+FILTER_BITS = 1 << 29  # of one block
 PROBES = 3
 BITS_PER_ENTRY = 10
 MIN_COUNT = 2
@@ -154,23 +158,34 @@ def places(low: np.ndarray, lev: np.ndarray, bits: np.ndarray | int) -> np.ndarr
     return (at % np.asarray(bits, np.uint64).reshape(-1, 1)).astype(np.int64)
 
 
-def build_segment(low: np.ndarray, max_bits: int = FILTER_BITS // LEAST_SEGMENTS) -> bytes:
-    """The bits of a segment from all its bigram occurrences (fingerprints)."""
+def build_segment(low: np.ndarray, max_bits: int | None = None) -> bytes:
+    """The bits of a segment from all its bigram occurrences (fingerprints); ``max_bits`` bounds them, at a higher error."""
+    return segment_bits(low, max_bits)[0]
+
+
+def segment_bits(low: np.ndarray, max_bits: int | None = None) -> tuple[bytes, int]:
+    """As build_segment, with the highest level entered."""
     key, n = np.unique(low, return_counts=True)
     key, lev = key[n >= MIN_COUNT], level(n[n >= MIN_COUNT])
     entries = int(lev.sum())
-    bits = min(max_bits, max(64, -(-entries * BITS_PER_ENTRY // 64) * 64))
+    bits = max(64, -(-entries * BITS_PER_ENTRY // 64) * 64)
+    if max_bits is not None:
+        bits = min(max_bits, bits)
+    top = int(lev.max(initial=0))
     out = np.zeros(bits, np.uint8)
-    for q in range(1, int(lev.max(initial=0)) + 1):
+    for q in range(1, top + 1):
         out[places(key[lev >= q], np.full((lev >= q).sum(), q), bits).ravel()] = 1
-    return np.packbits(out, bitorder="little").tobytes()
+    return np.packbits(out, bitorder="little").tobytes(), top
 
 
 class LogFrequencyFilter:
-    """All segments' bits in one array."""
+    """The bits of consecutive segments, from segment ``first`` on, in one array; all ``segments`` unless said."""
 
-    def __init__(self, data: np.ndarray, bits: np.ndarray):
-        self.data, self.bits = data, bits
+    def __init__(self, data: np.ndarray, bits: np.ndarray, tops: np.ndarray | None = None, first: int = 0,
+                 segments: int | None = None):
+        self.data, self.bits, self.first = data, bits, first
+        self.segments = segments or len(bits)
+        self.tops = np.full(len(bits), 64, np.int64) if tops is None else tops
         self.start = np.concatenate([[0], np.cumsum(bits)[:-1]])
 
     @classmethod
@@ -178,12 +193,13 @@ class LogFrequencyFilter:
         return cls(np.frombuffer(b"".join(segments), np.uint8), np.array([8 * len(s) for s in segments], np.int64))
 
     def levels(self, pair: np.ndarray) -> np.ndarray:
-        """The highest level up to which every probe of a bigram hits."""
+        """The highest level up to which every probe of a bigram hits; the bigrams are of these segments."""
         out = np.zeros(len(pair), np.int64)
+        low, seg = fingerprint(pair), segment_of(pair, self.segments) - self.first
+        top = self.tops[seg]
         live = np.arange(len(pair))
-        low, seg = fingerprint(pair), segment_of(pair, len(self.bits))
         q = 1
-        while len(live):
+        while len(live := live[top[live] >= q]):
             s = seg[live]
             at = places(low[live], np.full(len(live), q), self.bits[s]) + self.start[s][:, None]
             hit = ((self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
@@ -193,6 +209,35 @@ class LogFrequencyFilter:
         return out
 
 
+class Blocks:
+    """A filter in blocks, each a broadcast of some consecutive segments; ``cuts`` has their first segments and the end."""
+
+    def __init__(self, parts: list, cuts: list[int]):
+        self.parts, self.cuts = parts, np.array(cuts, np.int64)
+
+    def levels(self, pair: np.ndarray) -> np.ndarray:
+        """As the filter's; ``pair`` is sorted, so that each block has one run of it."""
+        out = np.zeros(len(pair), np.int64)
+        at = np.searchsorted(segment_of(pair, int(self.cuts[-1])), self.cuts)
+        for part, a, b in zip(self.parts, at.tolist(), at[1:].tolist()):
+            if a < b:
+                out[a:b] = part.value.levels(pair[a:b])
+                if len(self.parts) > 1 and getattr(part, "_path", None):
+                    part.__dict__.pop("_value", None)  # read again from its file for the next group
+        return out
+
+
+def block_cuts(width: list[int], most: int) -> list[int]:
+    """First segments of blocks of at most ``most`` bytes (or one segment), and the number of segments."""
+    cuts, size = [0], 0
+    for i, w in enumerate(width):
+        if size and size + w > most:
+            cuts.append(i)
+            size = 0
+        size += w
+    return [*cuts, len(width)]
+
+
 class WordTable:
     """Sorted word hashes and their counts."""
 
@@ -213,7 +258,6 @@ class Model:
     def __init__(self, spark: SparkSession, train: DataFrame, table_words: int = TABLE_WORDS):
         size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         count_segments = segments_for(size)
-        max_bits = FILTER_BITS // count_segments
 
         def count(batches):
             def feed():
@@ -232,16 +276,16 @@ class Model:
                 n = np.frombuffer(b"".join(r["counts"] for r in held), np.uint32).astype(np.int64)
                 word, at = np.unique(word, return_inverse=True)
                 n = np.bincount(at, n, len(word)).astype(np.int64)
-                bits = build_segment(np.frombuffer(b"".join(r["pairs"] for r in held), np.uint32), max_bits)
+                bits, top = segment_bits(np.frombuffer(b"".join(r["pairs"] for r in held), np.uint32))
                 # how many words have a count of 2**(q - 1) or more but less than 2**q
                 by_level = np.bincount(level(n), minlength=64)[:64]
                 out = {"segment": held[0]["segment"], "words": word.tobytes(), "counts": n.tobytes(), "bits": bits,
-                       "n_words": len(word), "n_tokens": int(n.sum()), "by_level": by_level.tolist()}
+                       "top": top, "n_words": len(word), "n_tokens": int(n.sum()), "by_level": by_level.tolist()}
                 held.clear()
                 return pa.RecordBatch.from_pylist([out], schema)
 
             schema = pa.schema([("segment", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()),
-                                ("bits", pa.binary()), ("n_words", pa.int64()), ("n_tokens", pa.int64()),
+                                ("bits", pa.binary()), ("top", pa.int32()), ("n_words", pa.int64()), ("n_tokens", pa.int64()),
                                 ("by_level", pa.list_(pa.int64()))])
             for b in batches:
                 for r in b.to_pylist():
@@ -253,10 +297,10 @@ class Model:
 
         n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
         segments = (packed.repartition(n, "segment").sortWithinPartitions("segment").mapInArrow(
-            build, "segment int, words binary, counts binary, bits binary, n_words long, n_tokens long, "
-                   "by_level array<long>").checkpoint())
+            build, "segment int, words binary, counts binary, bits binary, top int, n_words long, "
+                   "n_tokens long, by_level array<long>").checkpoint())
         sizes = {r["segment"]: r for r in segments.select(
-            "segment", "n_words", "n_tokens", "by_level", F.octet_length("bits").alias("bytes")).collect()}
+            "segment", "n_words", "n_tokens", "by_level", "top", F.octet_length("bits").alias("bytes")).collect()}
         self.n_tokens = sum(r["n_tokens"] for r in sizes.values())
         self.n_words = sum(r["n_words"] for r in sizes.values())
         # the lowest level from which all words fit the table
@@ -280,18 +324,32 @@ class Model:
         # segments come one partition at a time, straight into their places: segment order is word order
         kept = [int(sum(sizes[i]["by_level"][self.least:])) if i in sizes else 0 for i in range(count_segments)]
         width = [sizes[i]["bytes"] if i in sizes else 8 for i in range(count_segments)]
-        at, bit_at = np.concatenate([[0], np.cumsum(kept)]), np.concatenate([[0], np.cumsum(width)])
+        tops = np.array([sizes[i]["top"] if i in sizes else 0 for i in range(count_segments)], np.int64)
+        at = np.concatenate([[0], np.cumsum(kept)])
         words, counts = np.empty(at[-1], np.uint64), np.empty(at[-1], np.uint32)
-        data = np.zeros(bit_at[-1], np.uint8)
-        rows = segments.select("segment", "words", "counts", "bits").mapInArrow(
-            frequent, "segment int, words binary, counts binary, bits binary")
-        for r in rows.toLocalIterator():
-            i = r["segment"]
-            words[at[i]:at[i + 1]] = np.frombuffer(r["words"], np.uint64)
-            counts[at[i]:at[i + 1]] = np.frombuffer(r["counts"], np.uint32)
-            data[bit_at[i]:bit_at[i + 1]] = np.frombuffer(r["bits"], np.uint8)
+        cuts = block_cuts(width, FILTER_BITS // 8)
+        blocks = []
+        for lo, hi in zip(cuts, cuts[1:]):
+            bit_at = np.concatenate([[0], np.cumsum(width[lo:hi])])
+            data = np.zeros(bit_at[-1], np.uint8)
+            rows = segments.filter((F.col("segment") >= lo) & (F.col("segment") < hi)).select(
+                "segment", "words", "counts", "bits").mapInArrow(
+                frequent, "segment int, words binary, counts binary, bits binary")
+            for r in rows.toLocalIterator():
+                i = r["segment"]
+                words[at[i]:at[i + 1]] = np.frombuffer(r["words"], np.uint64)
+                counts[at[i]:at[i + 1]] = np.frombuffer(r["counts"], np.uint32)
+                data[bit_at[i - lo]:bit_at[i - lo + 1]] = np.frombuffer(r["bits"], np.uint8)
+            block = LogFrequencyFilter(data, 8 * np.array(width[lo:hi], np.int64), tops[lo:hi], lo, count_segments)
+            blocks.append(spark.sparkContext.broadcast(block))
+            del data, block
         self.table = WordTable(words, counts)
-        self.filter = LogFrequencyFilter(data, 8 * np.array(width, np.int64))
+        self.blocks = Blocks(blocks, cuts)
+
+    @property
+    def filter(self) -> LogFrequencyFilter:
+        """The first block: the whole filter, if there is one block."""
+        return self.blocks.parts[0].value
 
     def rare(self) -> DataFrame:
         """(word, count) of the words that the broadcast table does not hold."""
@@ -317,7 +375,7 @@ def _sums(model, texts: list[bytes], words_of: WordHashes, extra: dict | None =
 
     extra: per text, counts of words beyond the table (word hash -> count).
     """
-    data, bloom, n_tokens, n_words = model
+    (data, n_tokens, n_words), bloom = model
     h, sizes = tokens(texts, words_of)
     unique, at = np.unique(h, return_inverse=True)
     count = data.of(unique)
@@ -346,7 +404,8 @@ SCHEMA = "n_tokens long, n_known long, base_score double, score double"
 def score_texts(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """``docs`` (doc_id, text) with token counts, base score and model score."""
     spark = docs.sparkSession
-    parts = spark.sparkContext.broadcast((model.table, model.filter, model.n_tokens, model.n_words))
+    parts = spark.sparkContext.broadcast((model.table, model.n_tokens, model.n_words))
+    blocks = model.blocks
 
     def done(sums):
         return {k: pa.array(v, t) for k, v, t in zip(("n_tokens", "n_known", "base_score", "score"), sums,
@@ -355,14 +414,40 @@ def score_texts(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     if model.whole:
         def run(batches):
             words_of = WordHashes()
-            for cols in batches:
-                yield done(_sums(parts.value, utf8(cols["text"]), words_of))
+            for group in _grouped(batches, len(blocks.parts) > 1):
+                sums = _sums((parts.value, blocks), [t for g in group for t in utf8(g["text"])], words_of)
+                yield from _dealt(done, sums, group)
         return map_rows(docs, {"text": "text"}, run, SCHEMA, keep)
     return _score_with_rare(docs, model, parts, done, keep)
 
 
+def _grouped(batches: Iterator[dict], several: bool) -> Iterator[list[dict]]:
+    """Batches in groups of about FLUSH tokens (by six bytes each), if the filter has several blocks; else one by one."""
+    held: list[dict] = []
+    size = 0
+    for cols in batches:
+        held.append(cols)
+        size += cols["text"].nbytes
+        if not several or size >= 6 * FLUSH:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _dealt(done, sums, group: list[dict]) -> Iterator[dict]:
+    """A group's sums, batch by batch."""
+    at = 0
+    for cols in group:
+        n = len(cols["text"])
+        yield done([v[at:at + n] for v in sums])
+        at += n
+
+
 def _score_with_rare(docs, model: Model, parts, done, keep: list[str]) -> DataFrame:
     """As score_texts where words lie beyond the broadcast table: their counts reach each document by a shuffle."""
+    blocks = model.blocks
+
     def beyond(batches):
         words_of = WordHashes()
         for cols in batches:
@@ -387,11 +472,12 @@ def _score_with_rare(docs, model: Model, parts, done, keep: list[str]) -> DataFr
 
     def run(batches):
         words_of = WordHashes()
-        for cols in batches:
+        for group in _grouped(batches, len(blocks.parts) > 1):
             extra: dict = {}
-            for m in cols["extra"].to_pylist():
+            for m in (m for g in group for m in g["extra"].to_pylist()):
                 extra.update(m or [])
-            yield done(_sums(parts.value, utf8(cols["text"]), words_of, extra))
+            texts = [t for g in group for t in utf8(g["text"])]
+            yield from _dealt(done, _sums((parts.value, blocks), texts, words_of, extra), group)
 
     return map_rows(both, {"text": "text", "extra": "extra"}, run, SCHEMA, keep)
 
