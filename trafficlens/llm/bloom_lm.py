@@ -1,8 +1,8 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
 Training documents give two tables, counted over all of them: exact word
-counts (64-bit word hashes), and bigram counts.  A bigram seen twice or more
-is entered in the filter once per level 1..q, where q is its quantised count,
+counts (64-bit word hashes), and bigram counts.  Every bigram, also one
+seen once, is entered in the filter once per level 1..q, where q is its quantised count,
 1 + floor(log2(count)).  Reading a count back probes level after level until
 one is missing; false positives can only raise it, and rarely by much.
 
@@ -55,10 +55,11 @@ BYTES_PER_SEGMENT = 64 << 20
 FILTER_BITS = 1 << 29  # of one block
 PROBES = 3
 BITS_PER_ENTRY = 10
-MIN_COUNT = 2
+MIN_COUNT = 1
 WEIGHT = 0.4
 TABLE_WORDS = 4_000_000
 FLUSH = 1_500_000
+LOOK_UP = 1 << 17  # bigrams probed at once
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 HELD_OUT = "crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 7 = 2"
@@ -217,11 +218,14 @@ class Blocks:
 
     def levels(self, pair: np.ndarray) -> np.ndarray:
         """As the filter's; ``pair`` is sorted, so that each block has one run of it."""
-        out = np.zeros(len(pair), np.int64)
+        out = np.zeros(len(pair), np.uint8)
         at = np.searchsorted(segment_of(pair, int(self.cuts[-1])), self.cuts)
         for part, a, b in zip(self.parts, at.tolist(), at[1:].tolist()):
             if a < b:
-                out[a:b] = part.value.levels(pair[a:b])
+                block = part.value
+                for i in range(a, b, LOOK_UP):
+                    out[i:min(b, i + LOOK_UP)] = block.levels(pair[i:min(b, i + LOOK_UP)])
+                del block
                 if len(self.parts) > 1 and getattr(part, "_path", None):
                     part.__dict__.pop("_value", None)  # read again from its file for the next group
         return out
@@ -370,13 +374,30 @@ def _unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(cols[0], np.uint64), np.frombuffer(cols[1], np.int64)
 
 
-def _sums(model, texts: list[bytes], words_of: WordHashes, extra: dict | None = None):
+def _group_sums(parts, blocks: Blocks, group: list[dict], words_of: WordHashes) -> Iterator[tuple]:
+    """The sums of each batch of a group, whose bigrams are looked up together: each block is read once."""
+    held = [tokens(utf8(cols["text"]), words_of) for cols in group]
+    unique, back = np.unique(np.concatenate([bigrams(h, sizes)[0] for h, sizes in held]), return_inverse=True)
+    found = blocks.levels(unique)[back]
+    del unique, back
+    at = 0
+    for (h, sizes), cols in zip(held, group):
+        extra: dict | None = None
+        if "extra" in cols:
+            extra = {}
+            for m in cols["extra"].to_pylist():
+                extra.update(m or [])
+        yield _sums(parts, h, sizes, found[at:at + len(h)], extra)
+        at += len(h)
+
+
+def _sums(parts, h: np.ndarray, sizes: np.ndarray, found: np.ndarray, extra: dict | None = None):
     """Per text: tokens, known tokens, base sum, model sum.
 
-    extra: per text, counts of words beyond the table (word hash -> count).
+    found: the level of each token's bigram.  extra: counts of words beyond
+    the table (word hash -> count).
     """
-    (data, n_tokens, n_words), bloom = model
-    h, sizes = tokens(texts, words_of)
+    data, n_tokens, n_words = parts
     unique, at = np.unique(h, return_inverse=True)
     count = data.of(unique)
     if extra is not None:
@@ -384,9 +405,7 @@ def _sums(model, texts: list[bytes], words_of: WordHashes, extra: dict | None =
         count = np.maximum(count, rare)
     c = count[at]
     whole = n_tokens + n_words + 1
-    pair, before = bigrams(h, sizes)
-    pairs, back = np.unique(pair, return_inverse=True)
-    seen = mean_count(bloom.levels(pairs))[back]
+    seen = mean_count(found.astype(np.int64))
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
     past = np.empty_like(c)
     past[1:] = c[:-1]
@@ -415,8 +434,7 @@ def score_texts(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         def run(batches):
             words_of = WordHashes()
             for group in _grouped(batches, len(blocks.parts) > 1):
-                sums = _sums((parts.value, blocks), [t for g in group for t in utf8(g["text"])], words_of)
-                yield from _dealt(done, sums, group)
+                yield from map(done, _group_sums(parts.value, blocks, group, words_of))
         return map_rows(docs, {"text": "text"}, run, SCHEMA, keep)
     return _score_with_rare(docs, model, parts, done, keep)
 
@@ -435,15 +453,6 @@ def _grouped(batches: Iterator[dict], several: bool) -> Iterator[list[dict]]:
         yield held
 
 
-def _dealt(done, sums, group: list[dict]) -> Iterator[dict]:
-    """A group's sums, batch by batch."""
-    at = 0
-    for cols in group:
-        n = len(cols["text"])
-        yield done([v[at:at + n] for v in sums])
-        at += n
-
-
 def _score_with_rare(docs, model: Model, parts, done, keep: list[str]) -> DataFrame:
     """As score_texts where words lie beyond the broadcast table: their counts reach each document by a shuffle."""
     blocks = model.blocks
@@ -473,11 +482,7 @@ def _score_with_rare(docs, model: Model, parts, done, keep: list[str]) -> DataFr
     def run(batches):
         words_of = WordHashes()
         for group in _grouped(batches, len(blocks.parts) > 1):
-            extra: dict = {}
-            for m in (m for g in group for m in g["extra"].to_pylist()):
-                extra.update(m or [])
-            texts = [t for g in group for t in utf8(g["text"])]
-            yield from _dealt(done, _sums((parts.value, blocks), texts, words_of, extra), group)
+            yield from map(done, _group_sums(parts.value, blocks, group, words_of))
 
     return map_rows(both, {"text": "text", "extra": "extra"}, run, SCHEMA, keep)
 
