@@ -100,6 +100,30 @@ def test_constants_reach_sensitive_names():
     assert sec.literal_spans(b'color = "Zk39dkW02mmq81"') == []
 
 
+def test_no_literal_name_or_chain_is_cut():
+    def found(text):
+        return [text[a:b] for a, b, _ in sec.literal_spans(text)]
+
+    key = b"Zk39dkW02mmq81ab" * 400
+    for quote in (b'"', b"'", b"`"):
+        assert found(b"private_key = " + quote + key + quote + b"\n") == [key]
+    assert found(b"password_of_" + b"a_very_long_name_" * 20 + b' = "Zk39dkW02mmq81"') == [b"Zk39dkW02mmq81"]
+    assert found(b"passphrase" + b" " * 300 + b'= "Zk39dkW02mmq81"') == [b"Zk39dkW02mmq81"]
+    parts = [b"Zk39dkW%05dmq81" % i for i in range(100)]
+    assert found(b"k = " + b" + ".join(b'"%s"' % p for p in parts) + b"\ndb_password = k") == parts
+    # a constant that grows over many lines, and one used by many names: each binding is looked at once
+    many = [b"Zk39dkW%05dmq81" % i for i in range(20_000)]
+    assert found(b"".join(b'k = k + "%s"\n' % p for p in many[1:]).replace(b"k + ", b"", 1) + b"auth_token = k"
+                 ) == many[1:]
+
+
+def test_long_literals_are_redacted(spark):
+    key = "Zk39dkW02mmq81ab" * 400
+    docs = spark.createDataFrame([(1, f'private_key = "{key}"', "x", "s", 3)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    assert sec.redact_secrets(spark, docs, "").first()["text"] == 'private_key = "<secret>"'
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, HARD[0], "x", "s", 3), (2, None, None, None, 7), (3, "clean é", "x", "s", 7)],
                                  "doc_id long, text string, lang string, source string, n_chars long")

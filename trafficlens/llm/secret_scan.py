@@ -46,12 +46,11 @@ SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "sec
 THRESHOLD = 0.5
 
 OPERATOR = re.compile(rb":=|=>|=(?!=)|:(?!:|//)")
-NAME_BEFORE = re.compile(rb"""([A-Za-z_][A-Za-z0-9_.\-]{0,79})["'`]?\]?[ \t]*\Z""")
-TERM = re.compile(rb"""[ \t]*(?:"([^"\n]{0,4096})"|'([^'\n]{0,4096})'|`([^`\n]{0,4096})`|\$\{([A-Za-z_][A-Za-z0-9_.]*)\}"""
+NAME_BACKWARDS = re.compile(rb"""[ \t]*+\]?["'`]?([A-Za-z0-9_.\-]*[A-Za-z_])""")  # on the reversed text
+TERM = re.compile(rb"""[ \t]*+(?:"([^"\n]*+)"|'([^'\n]*+)'|`([^`\n]*+)`|\$\{([A-Za-z_][A-Za-z0-9_.]*)\}"""
                   rb"""|\$?([A-Za-z_][A-Za-z0-9_.]*)(?![A-Za-z0-9+/_=\-])|([A-Za-z0-9+/_.=\-]{8,}))""")
 PLUS = re.compile(rb"[ \t]*\+")
 PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
-LOOK_BACK = 96
 
 
 def sensitivity(name: str) -> float:
@@ -78,26 +77,30 @@ def randomness(value: bytes) -> float:
 def literal_spans(text: bytes) -> list[tuple[int, int, float]]:
     """Byte spans of literals whose score by target names reaches the threshold, with that score.
 
-    Constants are held by name as the spans of the literals they are made
-    of; a name bound to another shares its spans (at most 64 per name).
+    Each binding is a node: its own literals and the nodes of the names it
+    uses.  Weights of sensitive names go from each node to the older ones it
+    uses, last node first, so every binding and use is looked at once.
     """
-    bound: dict[bytes, tuple[tuple[int, int], ...]] = {}
-    best: dict[tuple[int, int], float] = {}
+    bound: dict[bytes, int] = {}
+    nodes: list[tuple[list[tuple[int, int]], list[int]]] = []
+    weights: list[float] = []
+    back = text[::-1]
     at = 0
     for op in OPERATOR.finditer(text):
         if op.start() < at:
             continue
-        name = NAME_BEFORE.search(text, max(0, op.start() - LOOK_BACK), op.start())
+        name = NAME_BACKWARDS.match(back, len(text) - op.start())
         if not name:
             continue
         spans: list[tuple[int, int]] = []
+        uses: list[int] = []
         pos = op.end()
         while term := TERM.match(text, pos):
             k = term.lastindex
             if k in (1, 2, 3, 6):
                 spans.append(term.span(k))
             elif term.group(k) in bound:
-                spans.extend(bound[term.group(k)])
+                uses.append(bound[term.group(k)])
             elif k == 5:
                 spans.append(term.span(k))  # a bare word: a literal in configuration files
             pos = term.end()
@@ -105,20 +108,24 @@ def literal_spans(text: bytes) -> list[tuple[int, int, float]]:
             if not more:
                 break
             pos = more.end()
-        if not spans:
+        if not spans and not uses:
             continue
         if text[op.start():op.end()] != b":":
             at = pos
-        target = name.group(1)
-        known = tuple(dict.fromkeys(spans))[:64]
-        bound[target] = known
-        weight = sensitivity(target.decode())
-        if weight:
-            for s in dict.fromkeys(spans):
-                score = weight * randomness(text[s[0]:s[1]])
-                if score >= THRESHOLD:
-                    best[s] = max(score, best.get(s, 0.0))
-    return [(a, b, w) for (a, b), w in sorted(best.items())]
+        target = name.group(1)[::-1]
+        bound[target] = len(nodes)
+        nodes.append((spans, uses))
+        weights.append(sensitivity(target.decode()))
+    best: dict[tuple[int, int], float] = {}
+    for i in range(len(nodes) - 1, -1, -1):
+        if weight := weights[i]:
+            spans, uses = nodes[i]
+            for s in spans:
+                best[s] = max(weight, best.get(s, 0.0))
+            for u in uses:
+                weights[u] = max(weight, weights[u])
+    scored = ((a, b, w * randomness(text[a:b])) for (a, b), w in sorted(best.items()))
+    return [(a, b, w) for a, b, w in scored if w >= THRESHOLD]
 
 
 def scan_text(text: bytes) -> list[tuple[int, int, str]]:
