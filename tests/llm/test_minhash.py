@@ -1,5 +1,6 @@
 import random
 import sys
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -94,6 +95,20 @@ def test_chains_and_large_groups(spark, monkeypatch, block, small):
     assert result(m.near_duplicates(df, 2)) == brute(rows, 2)
 
 
+def test_one_id_with_two_texts_and_repeated_rows(spark):
+    a, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "acd")
+    near = lambda t: t.replace(t.split()[-1], "other")
+    rows = [(1, a), (5, near(a)), (5, c), (9, near(c)), (5, d), (11, near(d))]
+    rows += [(20, "b0 " + a.replace("a", "b"))] * 40 + [(21, near("b0 " + a.replace("a", "b")))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = Counter(map(tuple, m.drop_near_duplicates(spark, df, "").collect()))
+    # every group has one document: 5 goes as a copy of 1, and stays for its own two groups
+    assert left == Counter({(1, a): 1, (5, c): 1, (5, d): 1, rows[6]: 40})
+    got = [(r["doc_id"], r["component_id"], r["kept"]) for r in m.near_duplicates(df, 5).collect()]
+    assert Counter(got) == Counter({(1, 1, True): 1, (5, 1, False): 1, (5, 5, True): 2, (9, 5, False): 1,
+                                    (11, 5, False): 1, (20, 20, True): 40, (21, 20, False): 1})
+
+
 def test_estimate():
     rng = np.random.default_rng(1)
     for target in (0.3, 0.8, 0.95):

@@ -136,9 +136,15 @@ def _sign(size: int):
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, print (of the set), sig, bands."""
-    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), {"text": "text"}, _sign(size),
-                    "n_shingles long, print binary, sig binary, bands array<long>", keep=["doc_id"])
+    """doc_id, text_key, n_shingles, print (of the set), sig, bands."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
+    return map_rows(docs, {"text": "text"}, _sign(size),
+                    "n_shingles long, print binary, sig binary, bands array<long>", keep=["doc_id", "text_key"])
+
+
+def text_key():
+    """Digest of the text, which tells rows of one doc_id apart."""
+    return F.unhex(F.md5(F.col("text").cast("binary")))
 
 
 def _passing(least: int):
@@ -278,14 +284,18 @@ def within_buckets(members: DataFrame, reps: DataFrame, comps: DataFrame, least:
 
 
 def full_sets(clustered: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """doc_id and set of the clustered documents (doc_id, print), from their texts."""
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP))
-    bitmap = (clustered.select(spot.alias("s")).groupBy(F.expr("s div 64").alias("w"))
+    """doc_id (of the node) and set of the clustered nodes (doc_id, class_id, text_key, print), from their texts."""
+    def spot(c):
+        return F.pmod(F.xxhash64(c, "text_key"), F.lit(BITMAP))
+
+    bitmap = (clustered.select(spot("class_id").alias("s")).groupBy(F.expr("s div 64").alias("w"))
               .agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-    texts = (texts.withColumn("s", spot).withColumn("w", F.expr("s div 64"))
+    texts = (docs.select(F.col("doc_id").cast("long").alias("class_id"), text_key().alias("text_key"), "text")
+             .filter("class_id IS NOT NULL AND text IS NOT NULL"))
+    texts = (texts.withColumn("s", spot("class_id")).withColumn("w", F.expr("s div 64"))
              .join(F.broadcast(bitmap), "w").filter("shiftright(bits, cast(s % 64 as int)) & 1 = 1")
-             .select("doc_id", "text").join(clustered.select("doc_id", "print"), "doc_id"))
+             .select("class_id", "text_key", "text").dropDuplicates(["class_id", "text_key"])
+             .join(clustered.select("doc_id", "class_id", "text_key", "print"), ["class_id", "text_key"]))
 
     def sets(batches):
         words_of = WordHashes()
@@ -329,7 +339,7 @@ def confirmed(clusters: DataFrame, reps: DataFrame, members: DataFrame, docs: Da
               percent: int) -> DataFrame:
     """(id, component) by links that the full sets confirm; clusters: id, component (checkpointed)."""
     own = (clusters.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"))
-           .join(reps.select("doc_id", "n_shingles", "print"), "doc_id").checkpoint())
+           .join(reps.select("doc_id", "n_shingles", "print", "class_id", "text_key"), "doc_id").checkpoint())
     stats = (own.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(8 * F.col("n_shingles")).alias("bytes"))
              .select("cluster", "n", F.greatest(F.expr(f"(n + {BLOCK} - 1) div {BLOCK}"),
                                                 F.expr(f"(bytes + {BLOCK_BYTES} - 1) div {BLOCK_BYTES}")).alias("blocks"))
@@ -382,9 +392,10 @@ def confirmed(clusters: DataFrame, reps: DataFrame, members: DataFrame, docs: Da
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, and class_id.
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, class_id and text_key.
 
-    class_id: the smallest doc_id with an equal set; size: words a shingle;
+    Sets are linked, not ids: rows of one id with other texts may lie in
+    different groups, each kept or not by its own.  class_id: the smallest doc_id with an equal set; size: words a shingle;
     percent: least similarity of a link, in hundredths.
     """
     prepare(docs.sparkSession)
@@ -392,11 +403,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     signed = signatures(docs, size).checkpoint()
     some = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = (some.groupBy("print").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"))
-               .filter("n > 1").checkpoint())
+               .filter("n > 1").withColumn("rows", F.col("n")).checkpoint())
     total = signed.count()
     classed = (attach(some, classes, "print", "n", total)
                .withColumn("class_id", F.coalesce("class_id", "doc_id"))).checkpoint()
-    reps = classed.filter("class_id = doc_id").select("doc_id", "n_shingles", "print", "sig", "bands")
+    # the graph's nodes: one row per set, with an id of its own (doc_id from here on); its text is that of a row of class_id
+    own = classed.filter("class_id = doc_id").select("class_id", "text_key", "n_shingles", "print", "sig", "bands", "rows")
+    reps = (own.filter("rows IS NULL").unionByName(own.filter("rows IS NOT NULL").dropDuplicates(["print"]))
+            .withColumn("doc_id", F.monotonically_increasing_id()).checkpoint())
 
     banded = reps.select("doc_id", F.explode("bands").alias("key"))
     buckets = (banded.groupBy("key").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("top"),
@@ -413,15 +427,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
                               .unionByName(more)).checkpoint()
     comps = confirmed(clusters, reps, members, docs, size, percent)
 
-    by_class = (classed.groupBy("class_id").agg(F.count("*").alias("n"))
-                .join(comps.withColumnRenamed("id", "class_id"), "class_id").checkpoint())
-    own = classed.select("doc_id", "n_shingles", "class_id")
-    linked = attach(own, by_class, "class_id", "n", total).withColumn("component", F.coalesce("component", "class_id"))
+    nodes = (comps.withColumnRenamed("id", "doc_id").join(reps.select("doc_id", "class_id", "print", "rows"), "doc_id")
+             .select("component", "class_id", "print", F.coalesce("rows", F.lit(1)).alias("n")).checkpoint())
+    least_ids = nodes.groupBy("component").agg(F.min("class_id").alias("least_id"), F.count("*").alias("m")).checkpoint()
+    by_print = (attach(nodes.select("component", "print", "n"), least_ids, "component", "m", total, "inner")
+                .select("print", "n", F.col("least_id").alias("component")).checkpoint())
+    own = classed.select("doc_id", "text_key", "n_shingles", "class_id", "print")
+    linked = (attach(own, by_print, "print", "n", total).drop("print")
+              .withColumn("component", F.coalesce("component", "class_id")))
     apart = (signed.filter("NOT (n_shingles > 0 AND doc_id IS NOT NULL)")
-             .select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component")))
+             .select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component")))
     return linked.unionByName(apart).select(
         "doc_id", "n_shingles", F.col("component").alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"), "class_id")
+        F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"), "class_id", "text_key")
 
 
 @register("op7_minhash", oracle=r"""
@@ -446,5 +464,7 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each near-duplicate group stays (five-word shingles, similarity 0.8)."""
-    gone = near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    gone = (near_duplicates(docs).filter("NOT kept")
+            .select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__text")).distinct())
+    return docs.join(gone, (F.col("doc_id").cast("long") == F.col("__gone")) & (text_key() == F.col("__text")),
+                     "left_anti")
