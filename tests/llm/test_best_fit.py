@@ -59,6 +59,16 @@ def test_bins_keep_the_rules(spark):
     assert packed.n_tokens.sum() / (500 * packed.groupby(["shard", "bin"]).ngroups) > 0.85
 
 
+def test_repeated_long_rows(spark):
+    """Every bin, those of full pieces too, holds at most its capacity; repeated rows spread over the shards."""
+    rows = [(1, "w " * 5000, "a")] * 2 + [(None, "v " * 4100, None)] * 3 + [(2, "x " * 7, "a")] * 3000
+    got = b.best_fit_packing(spark.createDataFrame(rows, "doc_id long, text string, source string"), shard_rows=100).toPandas()
+    assert len(got) == 2 * 3 + 3 * 3 + 3000
+    assert (got.groupby(["shard", "bin"]).n_tokens.sum() <= 2048).all()
+    assert (got[got.shard < 0].groupby(["shard", "bin"]).size() == 1).all() and (got.shard < 0).sum() == 2 * 2 + 3 * 2
+    assert got[got.shard >= 0].groupby("shard").size().max() < 300
+
+
 def test_odd_rows(spark):
     got = b.best_fit_packing(odd_docs(spark)).toPandas()
     assert got[got.piece == 0].shape[0] == 12 and got[got.doc_id == 6].n_tokens.sum() == 300_000

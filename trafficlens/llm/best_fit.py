@@ -12,9 +12,9 @@ rest is packed like any other.  A duplicate cluster is the documents of equal
 lower-cased words.
 
 Packing runs in shards: Spark deals the pieces (ids and sizes, never texts)
-by a hash over shards of about ``shard_rows`` pieces, so hot sources and
-large clusters spread evenly and a task's memory is bounded at any input
-size.  Bins never cross shards; each shard leaves at most a few bins that a
+by a hash of the row's number over shards of about ``shard_rows`` pieces, so
+hot sources, large clusters and rows repeated very often spread evenly and a
+task's memory is bounded at any input size.  Bins never cross shards; each shard leaves at most a few bins that a
 global search could have filled better.
 
 A null source conflicts with nothing, nor does a null text's cluster; null
@@ -128,14 +128,15 @@ def _measure(batches: Iterator[dict]) -> Iterator[dict]:
 def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row per piece: doc_id, piece, n_tokens, source, shard, bin (within its shard) and offset in the bin.
 
+    Full pieces of a long row have a shard of their own, numbered below 0.
     docs: doc_id, text, source.
     """
     prepare(docs.sparkSession)
     sized = map_rows(docs, {"text": "text"}, _measure, "n_tokens long, cluster binary", keep=["doc_id", "source"])
-    # ids, sizes and clusters only; stored, as the number of shards follows from the count
-    sized = sized.checkpoint()
+    # ids, sizes and clusters only; stored, as the number of shards follows from the count and a row keeps its number
+    sized = sized.checkpoint().withColumn("row", F.monotonically_increasing_id())
     pieces = sized.select(
-        "doc_id", "source", "cluster", F.col("n_tokens").alias("doc_tokens"),
+        "doc_id", "source", "cluster", "row", F.col("n_tokens").alias("doc_tokens"),
         F.explode(F.sequence(F.lit(0).cast("long"),
                              F.greatest(F.lit(0).cast("long"), F.expr(f"(n_tokens - 1) div {capacity}")))).alias("piece"))
     pieces = pieces.withColumn("n_tokens", F.least(F.lit(capacity).cast("long"),
@@ -143,7 +144,7 @@ def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int
     full = pieces.filter((F.col("n_tokens") == capacity) & (F.col("doc_tokens") > capacity))
     rest = pieces.filter((F.col("n_tokens") < capacity) | (F.col("doc_tokens") <= capacity))
     shards = max(1, -(-sized.count() // shard_rows))
-    rest = (rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "source", "cluster", F.lit(10)), F.lit(shards)))
+    rest = (rest.withColumn("shard", F.pmod(F.xxhash64("row", F.lit(10)), F.lit(shards)))
             .withColumn("place", F.xxhash64("doc_id", "source", "cluster"))
             .repartition(shards, "shard")
             .sortWithinPartitions("shard", F.desc("n_tokens"), "doc_id", "place"))
@@ -174,8 +175,8 @@ def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int
     packed = rest.select("doc_id", "piece", "n_tokens", "source", "cluster", "shard").mapInArrow(
         pack, f"doc_id {kinds['doc_id']}, piece long, n_tokens long, source {kinds['source']}, shard long, "
               "bin long, offset long")
-    alone = full.select("doc_id", "piece", "n_tokens", "source", F.lit(-1).cast("long").alias("shard"),
-                        F.xxhash64("doc_id", "source", "cluster", "piece").alias("bin"),
+    alone = full.select("doc_id", "piece", "n_tokens", "source", (-1 - F.col("row")).alias("shard"),
+                        F.col("piece").alias("bin"),
                         F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(alone)
 
