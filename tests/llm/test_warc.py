@@ -62,3 +62,13 @@ def test_small_payloads_stay_responses(spark):
 def test_no_pages(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert w.read_warc(w.write_warc(df, shared_path(spark, "warc-test"))).count() == 0
+
+
+def test_long_url_and_many_archives(spark):
+    """A url longer than any buffer, and archives that are closed after every few records."""
+    rows = [(i, "http://h/" + "a/" * 150_000 if i < 3 else f"u{i}", f"p{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    manifest = w.write_warc(df, shared_path(spark, "warc-test"), archive_bytes=2000)
+    assert manifest.count() > 5 and manifest.agg(F.sum("records")).first()[0] == 60
+    got = {r["page_id"]: (r["url"], r["payload_bytes"]) for r in w.read_warc(manifest).collect()}
+    assert got == {i: (u, len(p)) for i, u, p in rows}

@@ -1,16 +1,16 @@
 """WARC archives of pages: written one gzip member per record, read back sequentially.
 
-Writing: each task writes its pages to one ``.warc.gz`` file in the shared
-folder, under a name of its own per attempt; only the manifest of successful
-tasks (checkpointed) names the files that count, so a lost or repeated task
-does no harm.  A payload that other pages have too is stored once: its
+Writing: each task writes its pages to ``.warc.gz`` files in the shared
+folder, a new one after ``ARCHIVE_BYTES``, under names of their own per
+attempt; only the manifest of successful tasks (checkpointed) names the files
+that count, so a lost or repeated task does no harm.  A payload that other pages have too is stored once: its
 smallest page_id is a ``response`` record, the others are ``revisit`` records
 that refer to it.
 
 Reading: one task per archive streams it in small chunks through an
 incremental zlib decompressor, a member at a time, frames each record by its
 Content-Length and verifies the payload's SHA-1 digest.  A damaged record
-raises an error.  Headers are bounded, payloads are hashed as they stream.
+raises an error.  A header takes as much memory as its url, payloads are hashed as they stream.
 
 Which payloads are equal comes from a SHA-1 grouping; payloads held by 1/1000
 of the pages or more (at most 1000) meet their pages by broadcast, all others
@@ -43,7 +43,8 @@ from trafficlens.llm.registry import register
 from trafficlens.session import shared_path
 
 CHUNK = 1 << 18
-MAX_HEADER = 1 << 16
+#: An archive is closed once it has this size; one read task takes about one archive.
+ARCHIVE_BYTES = 1 << 30
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMESPACE = uuid.UUID(int=0x7761726370616765)
@@ -118,12 +119,15 @@ class Reader:
 
     def head(self) -> dict[str, str]:
         """Lines up to the empty one, as header fields; the first line is field ''."""
-        while b"\r\n\r\n" not in self.buffer:
+        held, end = bytearray(self.buffer), self.buffer.find(b"\r\n\r\n")
+        while end < 0:
             more = next(self.pieces, None)
-            if more is None or len(self.buffer) > MAX_HEADER:
+            if more is None:
                 raise BadRecord("no end of header")
-            self.buffer += more
-        head, self.buffer = self.buffer.split(b"\r\n\r\n", 1)
+            seen = max(0, len(held) - 3)
+            held += more
+            end = held.find(b"\r\n\r\n", seen)
+        head, self.buffer = bytes(held[:end]), bytes(held[end + 4:])
         lines = head.decode().split("\r\n")
         fields = {"": lines[0]}
         for x in lines[1:]:
@@ -163,8 +167,6 @@ def read_record(pieces: Iterator[bytes]) -> dict:
             if b"\r\n\r\n" in head:
                 first, data = head.split(b"\r\n\r\n", 1)
                 http = dict(x.split(": ", 1) for x in first.decode().split("\r\n")[1:])
-            elif len(head) > MAX_HEADER:
-                raise BadRecord("no end of the HTTP header")
             else:
                 continue
         payload.update(data)
@@ -206,13 +208,19 @@ def mark_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return got.unionByName(own.filter("page_id IS NULL").withColumn("first", F.lit(None).cast("long")))
 
 
-def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, level: int = 4) -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, level: int = 4,
+               archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes the archives; the manifest: archive, records, bytes (stored, so the writing happens once)."""
     prepare(pages.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = pafs.FileSystem.from_uri(folder)
         name, out, records, size = "", None, 0, 0
+
+        def closed():
+            out.close()
+            return pa.RecordBatch.from_pydict({"archive": [f"{folder}/{name}"], "records": [records], "bytes": [size]})
+
         for b in batches:
             cols = [b.column(c).to_pylist() for c in ("page_id", "url", "html", "first")]
             for page_id, url, html, first in zip(*cols):
@@ -224,9 +232,11 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, level: int = 4
                 out.write(data)
                 records += 1
                 size += len(data)
+                if size >= archive_bytes:
+                    yield closed()
+                    out, records, size = None, 0, 0
         if out is not None:
-            out.close()
-            yield pa.RecordBatch.from_pydict({"archive": [f"{folder}/{name}"], "records": [records], "bytes": [size]})
+            yield closed()
 
     marked = mark_revisits(pages, min_bytes)
     return marked.mapInArrow(write, "archive string, records long, bytes long").checkpoint()
@@ -264,7 +274,7 @@ def read_warc(manifest: DataFrame, rows: int = 2000) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(held, schema)
 
     n = max(1, manifest.count())
-    return manifest.repartition(n, "archive").mapInArrow(read, RECORD_SCHEMA)
+    return manifest.repartitionByRange(n, "archive").mapInArrow(read, RECORD_SCHEMA)
 
 
 @register("op2_warc", oracle=r"""
