@@ -67,5 +67,15 @@ def test_odd_rows(spark):
                 assert got.columns == docs.columns
 
 
+def test_one_of_repeated_rows_stays(spark):
+    text, other = " ".join(f"w{i}" for i in range(50)), " ".join(f"v{i}" for i in range(50))
+    rows = [(1, text, "a")] * 5 + [(2, text, "b"), (3, text + " more", "c")] + [(4, other, "d")] * 3
+    rows += [(None, text, "e")] * 2 + [(5, "", "f")] * 2 + [(1, other + " end x", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert sorted((r["doc_id"] or 0, r["source"]) for r in got.collect()) == [
+        (0, "e"), (0, "e"), (1, "a"), (1, "g"), (5, "f"), (5, "f")]
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0

@@ -244,6 +244,34 @@ def _by_group(names: tuple[str, ...], work):
     return run
 
 
+def bucket_rows(members: DataFrame, keys: DataFrame, total: int) -> DataFrame:
+    """key, doc_id, component, far, i, j: what lies outside a bucket's main cluster (far) meets each member once.
+
+    members: key, doc_id, component; keys: key, n, main, sides, blocks.  Two
+    members of the main cluster need not meet, so a bucket of n members with
+    few outside it gives about n rows.
+    """
+    rows = attach(members, keys, "key", "n", total, "inner").withColumn("far", F.col("component") != F.col("main"))
+    spot = lambda n: F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col(n))
+    cols = ["key", "doc_id", "component", "far", "i", "j"]
+    out = (rows.filter("far").withColumn("i", spot("sides"))
+           .withColumn("j", F.explode(F.expr("sequence(0L, blocks - 1)"))).select(*cols))
+    every = (rows.withColumn("far", F.lit(False)).withColumn("i", F.explode(F.expr("sequence(0L, sides - 1)")))
+             .withColumn("j", spot("blocks")).select(*cols))
+    return out.unionByName(every)
+
+
+def bucket_keys(members: DataFrame) -> DataFrame:
+    """Buckets whose members lie in several clusters, with the largest one (main); members: key, doc_id, component."""
+    parts = members.groupBy("key", "component").agg(F.count("*").alias("m"))
+    return (parts.groupBy("key").agg(F.max(F.struct("m", "component")).alias("main"), F.count("*").alias("parts"),
+                                     F.sum("m").alias("n"))
+            .filter("parts > 1 AND n > 2")
+            .select("key", "n", F.col("main.component").alias("main"),
+                    F.expr(f"(n - main.m + {BLOCK} - 1) div {BLOCK}").alias("sides"),
+                    F.expr(f"(n + {BLOCK} - 1) div {BLOCK}").alias("blocks")))
+
+
 def within_buckets(members: DataFrame, reps: DataFrame, comps: DataFrame, least: int, percent: int) -> DataFrame | None:
     """Pairs (a, b) that pass the estimate and join different candidate clusters of one bucket; None if none may.
 
@@ -251,26 +279,19 @@ def within_buckets(members: DataFrame, reps: DataFrame, comps: DataFrame, least:
     """
     now = (members.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left")
            .withColumn("component", F.coalesce("component", "doc_id")).checkpoint())
-    keys = (now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"),
-                                   F.count("*").alias("n"))
-            .filter("x <> y AND n > 2").select("key", "n", F.col("n").alias("rows")).checkpoint())
+    keys = bucket_keys(now).checkpoint()
     if not keys.head(1):
         return None
-    blocks = F.expr(f"(rows + {BLOCK} - 1) div {BLOCK}")
-    rows = (attach(now, keys, "key", "n", now.count(), "inner")
-            .join(reps.select("doc_id", "sig", "n_shingles"), "doc_id")
-            .withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(3)), blocks))
-            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-            .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id",
-                    "block", "n_shingles", "component", "sig")
-            .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"))
+    pairs = (bucket_rows(now, keys, now.count()).join(reps.select("doc_id", "sig", "n_shingles"), "doc_id")
+             .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"))
 
     def work(t: pa.Table) -> list[tuple[int, int]]:
-        doc, block, n, comp = (t[c].to_numpy() for c in ("doc_id", "block", "n_shingles", "component"))
+        doc, n, comp = (t[c].to_numpy() for c in ("doc_id", "n_shingles", "component"))
         if len(np.unique(comp)) == 1:
             return []
         sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(doc), -1)
-        left, right = np.flatnonzero(block == t["i"][0].as_py()), np.flatnonzero(block == t["j"][0].as_py())
+        far = t["far"].to_numpy(zero_copy_only=False)
+        left, right = np.flatnonzero(far), np.flatnonzero(~far)
         ok = np.zeros((len(left), len(right)), bool)
         for lo in range(0, len(left), 128):
             part = left[lo:lo + 128]
@@ -280,7 +301,7 @@ def within_buckets(members: DataFrame, reps: DataFrame, comps: DataFrame, least:
         ok &= comp[left][:, None] != comp[right][None, :]
         return [(int(doc[left[x]]), int(doc[right[y]])) for x, y in forest(ok, comp[left], comp[right])]
 
-    return rows.mapInArrow(_by_group(("key", "i", "j"), work), "a long, b long").distinct()
+    return pairs.mapInArrow(_by_group(("key", "i", "j"), work), "a long, b long").distinct()
 
 
 def full_sets(clustered: DataFrame, docs: DataFrame, size: int) -> DataFrame:
@@ -463,8 +484,23 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each near-duplicate group stays (five-word shingles, similarity 0.8)."""
-    gone = (near_duplicates(docs).filter("NOT kept")
-            .select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__text")).distinct())
-    return docs.join(gone, (F.col("doc_id").cast("long") == F.col("__gone")) & (text_key() == F.col("__text")),
-                     "left_anti")
+    """Pipeline stage: one document of each near-duplicate group stays (five-word shingles, similarity 0.8).
+
+    Of rows alike in doc_id and text one stays, whole; rows without a doc_id,
+    or without a word, are in no group, and all stay.
+    """
+    known = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    marked = (near_duplicates(docs).filter(known).groupBy("doc_id", "text_key")
+              .agg(F.first("kept").alias("kept"), F.count("*").alias("n")).filter("NOT kept OR n > 1")
+              .select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text"), F.col("kept").alias("__kept"))
+              .checkpoint())
+
+    def same(marks: DataFrame):
+        return (F.col("doc_id").cast("long") == marks["__id"]) & (text_key() == marks["__text"])
+
+    rest = docs.join(marked, same(marked), "left_anti")
+    again = marked.filter("__kept")
+    if not again.head(1):
+        return rest
+    once = docs.join(again, same(again)).dropDuplicates(["__id", "__text"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rest.unionByName(once)
