@@ -1,7 +1,7 @@
 """Column functions over Go source text (types, tags, route patterns, status codes).
 
-They work on single lines of gofmt-formatted code; see ``operators.extract``
-for the layout contract.
+They work on the texts of types, tags and call arguments that one pass over a
+file finds (``goscan``), whatever lines those span.
 """
 
 from __future__ import annotations
@@ -47,18 +47,19 @@ def type_text(t) -> Column:
     """Render a source type the way the extractor reports it.
 
     Identifiers, qualified names, pointers, slices, maps, variadics and
-    interface types are kept (fixed-size arrays render as ``[]T``); function,
-    channel, inline struct and generic types become ``unknown``.
+    interface types are kept (fixed-size arrays render as ``[]T``); a function,
+    channel, inline struct or generic type becomes ``unknown``, also behind
+    pointers, slices and maps (``[]unknown``).
     """
     t = F.regexp_replace(strip(t), "\\s+", " ")
     arrays = F.regexp_replace(t, "(^|[*\\]])\\[[^\\]]+\\]", "$1[]")
     iface = F.regexp_replace(arrays, "interface ?\\{[^}]*\\}", "interface{}")
     compact = F.regexp_replace(iface, "map\\[ *([^\\]]*?) *\\] *", "map[$1]")
-    no_maps = F.regexp_replace(compact, "map\\[", "map(")
-    unknown = (no_maps.rlike("(^|[^A-Za-z0-9_])(chan|func)([^A-Za-z0-9_]|$)")
-               | no_maps.rlike("struct ?\\{") | no_maps.rlike("[A-Za-z0-9_}]\\[")
-               | ~compact.rlike("^[A-Za-z0-9_.*\\[\\]{}]+$"))
-    return F.when(unknown, F.lit("unknown")).otherwise(compact)
+    before = r"^((?:[*] *|\[\] *|\.\.\. *|map\[[^\[\]]*\])*)"
+    core = F.regexp_replace(compact, before, "")
+    named = core.rlike(rf"^{IDENT}(\.{IDENT})*$") & ~core.isin("chan", "func", "struct")
+    return F.concat(F.regexp_replace(F.regexp_extract(compact, before, 1), " ", ""),
+                    F.when(named | (core == "interface{}"), core).otherwise(F.lit("unknown")))
 
 
 def parse_json_tag(tag) -> Column:
@@ -87,7 +88,7 @@ def parse_route_pattern(s) -> Column:
 def status_code(expr) -> Column:
     """integer literal, or a named http status constant; 0 otherwise."""
     e = strip(expr)
-    name = F.regexp_extract(e, f"^{IDENT}\\.({IDENT})$", 1)
+    name = F.regexp_extract(e, f"^[\\w.]+\\.({IDENT})$", 1)
     consts = F.create_map(*[x for k, v in STATUS_CONSTANTS.items() for x in (F.lit(k), F.lit(v))])
     lit = F.when(e.rlike("^[0-9]+$"), F.coalesce(e.try_cast("int"), F.lit(0)))
     return F.coalesce(lit, F.when(name != "", consts[name]), F.lit(0))
@@ -133,33 +134,21 @@ def map_source_type(t) -> Column:
         nullable.alias("nullable"))
 
 
-# possessive runs of characters, so that long lines need no deep recursion
-_STRING = r"""\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"|`[^`]*+`|'[^'\\]*+(?:\\.[^'\\]*+)*+'"""
-
-
-def _nested(levels: int = 8) -> str:
-    """A bracketed text (any of the three kinds, strings respected) nested up to ``levels`` deep on a line."""
-    inner = rf"(?:[^()\[\]{{}}\"'`]++|{_STRING})*+"
-    for _ in range(levels):
-        inner = rf"(?:[^()\[\]{{}}\"'`]++|{_STRING}|[(\[{{]{inner}[)\]}}])*+"
-    return inner
-
-
-#: What stands between a call's brackets, and one of its arguments.
-INSIDE = _nested()
-_ARGUMENT = rf"(?:[^,()\[\]{{}}\"'`]++|{_STRING}|[(\[{{]{INSIDE}[)\]}}])+"
+def handler_name(arg) -> Column:
+    """Route handler argument: dotted name as written, '<anonymous>' for a func literal, '<unknown>' for anything
+    else; a field of anything else keeps the field's name ('<unknown>.Name')."""
+    a = strip(arg)
+    field = F.regexp_extract(a, rf"(?s)^[^\s+\-/<>=|&]*[)\]}}]((?:\.{IDENT})+)$", 1)
+    return (F.when(a.rlike(f"^{IDENT}(\\.{IDENT})*$"), a)
+            .when(a.rlike(r"(?s)^func\s*\(.*\}$"), F.lit("<anonymous>"))
+            .otherwise(F.concat(F.lit("<unknown>"), field)))
 
 
-def split_args(args) -> Column:
-    """Top-level comma split of a call's argument text (quotes and brackets respected)."""
-    parts = F.regexp_extract_all(F.coalesce(_col(args), F.lit("")), F.lit(_ARGUMENT), F.lit(0))
-    return F.filter(F.transform(parts, strip), lambda x: x != "")
+# A composite literal, as a whole: its type, braces to the end.
+_LITERAL = r"(?s)^((?:interface ?\{\}|struct ?\{\}|[A-Za-z0-9_.*\[\] ])+?)\s*\{.*\}$"
 
 
-def handler_name(arg) -> Column:
-    """Route handler argument: dotted name as written, '<anonymous>' for a func
-    literal, '<unknown>' for anything else."""
-    a = strip(arg)
-    return (F.when(a.rlike(f"^{IDENT}(\\.{IDENT})*$"), a)
-            .when(a.rlike("^func\\s*\\("), F.lit("<anonymous>"))
-            .otherwise(F.lit("<unknown>")))
+def literal_type(value) -> Column:
+    """The rendered type of ``T{...}`` or of a sign before it (``&T{...}``); NULL for anything else."""
+    v = F.regexp_replace(strip(value), r"^[&!+\-^]\s*", "")
+    return F.when(v.rlike(_LITERAL) & ~v.rlike(r"^func\s*\("), type_text(F.regexp_extract(v, _LITERAL, 1)))

@@ -1,23 +1,28 @@
 """Contract extraction over a source corpus.
 
-This is not a language parser: it is line-oriented Spark SQL over a ``lines``
-table.  Layout contract (what ``gofmt`` produces): declarations start in
-column 0; one struct field, route registration or call per line; struct
-fields are indented by exactly one tab.  Comments, grouped type declarations
-and anonymous struct types are brought into that layout first.
-
-Every step is a projection, a window partitioned by file (a file's lines
-are one bounded group, already one row of the input), or a join keyed by
-(repo, path, block); nothing is collected.
+A file is one row.  ``scan_source`` passes over its text once and keeps what
+the extractors need as arrays: statements, calls and function headers, over
+any number of lines and any depth of brackets.  The extractors are column
+expressions over those arrays, inside the file's own row: no shuffle but the
+one that numbers struct fields is needed, and nothing is collected.  A file
+whose brackets do not match, or that has no package clause, is skipped, as a
+parser would.  Lines, declaration blocks and imports (W2, X1) read the text
+line by line; declarations there start in column 0.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from trafficlens.functions import gosrc as G
-from trafficlens.session import qualified_path
+from trafficlens.functions.goscan import scan
+from trafficlens.session import qualified_path, ship_package
 
 IDENT = G.IDENT
 DECL = "^(func|type|var|const|import|package)([^A-Za-z0-9_]|$)"
@@ -194,173 +199,227 @@ def framework_from_imports(imports: DataFrame) -> DataFrame:
                       .alias("framework"))
 
 
+# ------------------------------------------------------------------ X2-X6: one pass over a file
+SCANNED = ("package string, statements array<struct<block:int,start:int,line:int,depth:int,owner:string,text:string,"
+           "targets:string,values:array<string>>>, calls array<struct<block:int,line:int,start:int,stop:int,name:string,"
+           "args:array<string>>>, funcs array<struct<block:int,receiver:string,name:string,params:array<string>>>")
+_CALLS = {*G.DECODE_CALLS, *G.ENCODE_CALLS, "WriteHeader", "HandleFunc", "Handle"}
+
+
+def _wanted(name: str) -> bool:
+    return name in _CALLS or name.upper() in G.HTTP_VERBS
+
+
+def scan_source(files: DataFrame) -> DataFrame:
+    """repo, path and what one pass over each file finds (SCANNED); files that do not parse are left out."""
+    ship_package(files.sparkSession)
+    made = T._parse_datatype_string(SCANNED)
+    fields = {f.name: [e.name for e in f.dataType.elementType] for f in made if isinstance(f.dataType, T.ArrayType)}
+    arrow = to_arrow_schema(made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [None if c is None else scan(c, _wanted) for c in b.column("content").to_pylist()]
+            keep = pa.array([f is not None for f in found])
+            rows = [{"package": f["package"], **{k: [dict(zip(names, x)) for x in f[k]] for k, names in fields.items()}}
+                    for f in found if f is not None]
+            out = pa.RecordBatch.from_pylist(rows, arrow)
+            yield pa.RecordBatch.from_arrays([b.column("repo").filter(keep), b.column("path").filter(keep), *out.columns],
+                                             ["repo", "path", *arrow.names])
+
+    src = files.select("repo", "path", F.regexp_replace("content", "\r\n", "\n").alias("content"))
+    return src.mapInArrow(run, T.StructType([*src.schema.fields[:2], *made.fields]))
+
+
+def _scanned(source: DataFrame) -> DataFrame:
+    """``scan_source`` of a table of lines (their files put together), or the table itself if it is scanned."""
+    if "calls" in source.columns:
+        return source
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
+    return scan_source(source.groupBy("repo", "path").agg(text.alias("content")))
+
+
 # ------------------------------------------------------------------ X2
-def extract_struct_fields(blocks: DataFrame) -> DataFrame:
+_STRUCT = rf"(?s)^type\s+({IDENT})\s*(\[.*\])?\s*=?\s*struct$"
+_NAMED = rf"(?s)^({IDENT}(\s*,\s*{IDENT})*)\s+(\S.*)$"
+_TAG = r"(?s)(`[^`]*`|\"(?:[^\"\\]|\\.)*\")$"
+
+
+def extract_struct_fields(source: DataFrame) -> DataFrame:
     """Repo, path, package, struct, pos, field, type, json_tag, omitempty.
 
-    Top-level ``type X struct {`` only.  Unexported named fields are skipped;
-    an embedded field is named by its type; ``A, B int`` gives two rows; a
-    missing tag becomes the lower-cased name (not for embedded fields).
+    Struct types declared at the file's level, alone or in a group, on one
+    line or several, with or without type parameters.  Unexported named fields
+    are skipped; an embedded field is named by its type; ``A, B int`` gives
+    two rows; a missing tag becomes the lower-cased name (not for embedded
+    fields).
     """
-    sname = F.regexp_extract(F.col("header"), f"^type\\s+({IDENT})\\s+struct\\s*\\{{\\s*$", 1)
-    body = (blocks.withColumn("struct", sname)
-            .where((F.col("struct") != "") & F.col("text").rlike("^\\t[^\\t}]") & ~F.col("text").startswith("type ")))
-    content = G.strip(F.col("text"))
-    tag = F.regexp_extract(content, "(`[^`]*`)$", 1)
-    decl = G.strip(F.regexp_replace(content, "`[^`]*`$", ""))
-    named = F.regexp_extract(decl, f"^({IDENT}(\\s*,\\s*{IDENT})*)\\s+(\\S.*)$", 1)
-    ftype = F.when(named != "", F.regexp_extract(decl, f"^({IDENT}(\\s*,\\s*{IDENT})*)\\s+(\\S.*)$", 3)).otherwise(decl)
+    body = (_scanned(source).select("repo", "path", "package", F.explode("statements").alias("s"))
+            .where((F.col("s.depth") == 1) & F.col("s.owner").rlike(_STRUCT))
+            .select("repo", "path", "package", F.regexp_extract("s.owner", _STRUCT, 1).alias("struct"),
+                    F.col("s.start").alias("start"), F.col("s.text").alias("content")))
+    tag = F.regexp_extract("content", _TAG, 1)
+    decl = G.strip(F.regexp_replace("content", _TAG, ""))
+    # what stands before a space is a name, unless it is a type's own word
+    is_named = decl.rlike(_NAMED) & ~decl.rlike(r"^(chan|func|map|struct|interface)\b")
+    ftype = F.when(is_named, F.regexp_extract(decl, _NAMED, 3)).otherwise(decl)
     parsed = body.select(
-        "repo", "path", "package", "struct", "line",
-        F.when(named != "", F.split(named, "\\s*,\\s*")).alias("_names"),
+        "repo", "path", "package", "struct", "start",
+        F.when(is_named, F.split(F.regexp_extract(decl, _NAMED, 1), "\\s*,\\s*")).alias("_names"),
         G.type_text(ftype).alias("type"), G.parse_json_tag(tag).alias("_tag"))
     named_rows = (parsed.where(F.col("_names").isNotNull())
                   .select("*", F.posexplode("_names").alias("_i", "field"))
-                  .where(F.substring("field", 1, 1).rlike("^[A-Z]"))
-                  .select("repo", "path", "package", "struct", "line", "_i", "field", "type",
+                  .where(F.substring("field", 1, 1).rlike("^\\p{Lu}"))
+                  .select("repo", "path", "package", "struct", "start", "_i", "field", "type",
                           F.when(F.col("_tag.key") == "", F.lower("field")).otherwise(F.col("_tag.key")).alias("json_tag"),
                           F.col("_tag.omitempty").alias("omitempty")))
     embedded = (parsed.where(F.col("_names").isNull())
-                .select("repo", "path", "package", "struct", "line", F.lit(0).alias("_i"),
+                .select("repo", "path", "package", "struct", "start", F.lit(0).alias("_i"),
                         F.col("type").alias("field"), "type", F.col("_tag.key").alias("json_tag"),
                         F.col("_tag.omitempty").alias("omitempty")))
     rows = named_rows.unionByName(embedded)
-    w = Window.partitionBy("repo", "path", "struct").orderBy("line", "_i")
+    w = Window.partitionBy("repo", "path", "struct").orderBy("start", "_i")
     return rows.select("repo", "path", "package", "struct", (F.row_number().over(w) - 1).alias("pos"),
                        "field", "type", "json_tag", "omitempty")
 
 
 # ------------------------------------------------------------------ X3
-# A call with a literal first argument: its name, the literal, and the second argument up to the comma or bracket
-# that ends it.  Found anywhere on the line, so also in a chain of calls.
-_ROUTE = (r"""\.([A-Za-z_]\w*)\(\s*("[^"]*"|`[^`]*`)\s*,\s*((?:[^(),"`{}\[\]]++|"[^"]*"|`[^`]*`|[(\[{]"""
-          + G.INSIDE + r"""[)\]}])+)""")
+_STRING = r'(?s)^("(?:[^"\\]|\\.)*"|`[^`]*`)$'
 
 
-def extract_routes(blocks: DataFrame) -> DataFrame:
+def extract_routes(source: DataFrame) -> DataFrame:
     """Repo, path, line, method, route, handler.
 
     ``.Verb("lit", h, ...)`` for the seven verbs (case-insensitive) on any
     receiver, also inside a chain of calls; ``HandleFunc``/``Handle`` with a
-    'METHOD /path' pattern or method ANY.  Handler = second argument.
-    Non-literal or empty routes are dropped; a back-quoted literal keeps its
-    back-quotes.
+    'METHOD /path' pattern or method ANY.  Handler = second argument; line =
+    where the receiver begins.  Non-literal or empty routes are dropped; a
+    back-quoted literal keeps its back-quotes.
     """
-    found = (blocks.where(F.col("text").rlike(_ROUTE))
-             .select("repo", "path", "line", F.explode(F.regexp_extract_all("text", F.lit(_ROUTE), F.lit(0))).alias("_call")))
-    part = lambda k: F.regexp_extract("_call", _ROUTE, k)
-    calls = (found.select("repo", "path", "line", part(1).alias("_name"), part(2).alias("_first"),
-                          G.strip(part(3)).alias("_second"))
-             .where(F.upper("_name").isin(*G.HTTP_VERBS) | F.col("_name").isin("HandleFunc", "Handle")))
-    lit = F.when(F.col("_first").startswith('"'), F.regexp_replace("_first", '^"+|"+$', "")).otherwise(F.col("_first"))
+    verb = F.upper("c.name").isin(*G.HTTP_VERBS)
+    first = F.get("c.args", F.lit(0))
+    calls = (_scanned(source).select("repo", "path", F.explode("calls").alias("c"))
+             .where((verb | F.col("c.name").isin("HandleFunc", "Handle")) & (F.size("c.args") >= 2) & first.rlike(_STRING)))
+    lit = F.when(first.startswith('"'), F.regexp_replace(first, '^"+|"+$', "")).otherwise(first)
     pat = G.parse_route_pattern(lit)
-    verb = F.upper("_name").isin(*G.HTTP_VERBS)
-    method = F.when(verb, F.upper("_name")).otherwise(F.coalesce(pat["method"], F.lit("ANY")))
+    method = F.when(verb, F.upper("c.name")).otherwise(F.coalesce(pat["method"], F.lit("ANY")))
     route = F.when(verb, lit).otherwise(F.coalesce(pat["path"], lit))
-    out = calls.select("repo", "path", "line", method.alias("method"), route.alias("route"),
-                       G.handler_name(F.col("_second")).alias("handler"))
+    out = calls.select("repo", "path", F.col("c.line").alias("line"), method.alias("method"), route.alias("route"),
+                       G.handler_name(F.get("c.args", F.lit(1))).alias("handler"))
     return out.where(F.col("route") != "")
 
 
 # ------------------------------------------------------------------ X4
-_FUNC = f"^func\\s*(\\(\\s*({IDENT}\\s+)?([^)]*)\\))?\\s*({IDENT})\\s*\\(([^)]*)\\)"
+def _param_type(p):
+    """A parameter's rendered type: without its names (of ``a, b T`` the last carries it)."""
+    bare = F.regexp_replace(p, rf"^{IDENT}\s+(?=\S)", "")
+    return G.type_text(F.when(p.rlike(r"^(chan|func|map|struct|interface)\b"), p).otherwise(bare))
+
+
+def _handlers(source: DataFrame) -> DataFrame:
+    """One row per handler, with its file's arrays."""
+    f = _scanned(source).select("*", F.explode("funcs").alias("_f"))
+    types = F.transform("_f.params", _param_type)
+    is_handler = F.exists(types, lambda t: t.contains("ResponseWriter") | t.contains("Request") | t.contains("Context"))
+    recv = F.regexp_replace(G.strip("_f.receiver"), rf"^{IDENT}\s+(?=\S)", "")
+    return (f.where(is_handler & F.col("_f.name").rlike("^\\p{Lu}"))
+            .select("repo", "path", "package", F.col("_f.block").alias("block"), F.col("_f.name").alias("name"),
+                    F.when(recv == "", F.lit("")).otherwise(G.type_text(recv)).alias("receiver"), "statements", "calls"))
 
 
-def extract_handlers(blocks: DataFrame) -> DataFrame:
+def extract_handlers(source: DataFrame) -> DataFrame:
     """Repo, path, package, block, name, receiver for exported functions whose
     parameter types mention ResponseWriter, Request or Context."""
-    head = blocks.where(F.col("text").rlike(_FUNC) & (F.col("text") == F.col("header")))
-    params = F.split(F.regexp_extract(F.col("text"), _FUNC, 5), ",")
-    types = F.transform(params, lambda p: F.when(G.strip(p).contains(" "), F.substring_index(G.strip(p), " ", -1))
-                        .otherwise(G.strip(p)))
-    is_handler = F.exists(types, lambda t: t.contains("ResponseWriter") | t.contains("Request") | t.contains("Context"))
-    name = F.regexp_extract(F.col("text"), _FUNC, 4)
-    recv = F.regexp_extract(F.col("text"), _FUNC, 3)
-    return (head.where(is_handler & name.rlike("^[A-Z]"))
-            .select("repo", "path", "package", "block", name.alias("name"),
-                    F.when(G.strip(recv) == "", F.lit("")).otherwise(G.type_text(recv)).alias("receiver")))
+    return _handlers(source).drop("statements", "calls")
 
 
 # ------------------------------------------------------------------ X5
-_VAR = f"^\\s*var\\s+({IDENT}(\\s*,\\s*{IDENT})*)\\s+([^=]+?)\\s*(=.*)?$"
-_LIT = f"^\\s*({IDENT})\\s*:?=\\s*&?([A-Za-z0-9_.*\\[\\]]+)\\s*\\{{"
+_VAR = f"(?s)^var\\s+({IDENT}(\\s*,\\s*{IDENT})*)\\s+([^=\\s][^=]*?)\\s*(=.*)?$"
 
 
-def local_types(body: DataFrame) -> DataFrame:
-    """(repo, path, block, var, type) from ``var x T``, ``x := T{...}`` and
-    ``x := &T{...}``; the last assignment in the body wins."""
-    var_names = F.split(F.regexp_extract(F.col("text"), _VAR, 1), "\\s*,\\s*")
-    v = (body.where(F.col("text").rlike(_VAR))
-         .select("repo", "path", "block", "line", F.explode(var_names).alias("var"),
-                 G.type_text(F.regexp_extract(F.col("text"), _VAR, 3)).alias("type")))
-    c = (body.where(F.col("text").rlike(_LIT))
-         .select("repo", "path", "block", "line", F.regexp_extract(F.col("text"), _LIT, 1).alias("var"),
-                 G.type_text(F.regexp_extract(F.col("text"), _LIT, 2)).alias("type")))
-    return (v.unionByName(c).groupBy("repo", "path", "block", "var")
-            .agg(F.max_by("type", "line").alias("type")))
+def _locals(handlers: DataFrame) -> DataFrame:
+    """``handlers`` with ``_locals``: (start, var, type) of its typed variables, in order."""
+    h = handlers.withColumn("_s", F.filter("statements", lambda s: s["block"] == F.col("block")))
+    declared = F.flatten(F.transform(F.filter("_s", lambda s: s["text"].rlike(_VAR)), lambda s: F.transform(
+        F.split(F.regexp_extract(s["text"], _VAR, 1), "\\s*,\\s*"), lambda n: F.struct(
+            s["start"].alias("start"), n.alias("var"), G.type_text(F.regexp_extract(s["text"], _VAR, 3)).alias("type")))))
+    assigned = F.flatten(F.transform(F.filter("_s", lambda s: F.size(s["values"]) > 0), lambda s: F.zip_with(
+        F.split(s["targets"], "\\s*,\\s*"), s["values"], lambda n, v: F.struct(
+            s["start"].alias("start"), n.alias("var"), G.literal_type(v).alias("type")))))
+    assigned = F.filter(assigned, lambda x: x["type"].isNotNull() & x["var"].rlike(f"^{IDENT}$"))
+    return h.withColumn("_locals", F.array_sort(F.concat(declared, assigned))).drop("_s", "statements")
+
+
+def local_types(source: DataFrame) -> DataFrame:
+    """(repo, path, block, var, type) of each handler from ``var x T``, ``x := T{...}`` and
+    ``x := &T{...}``, also in lists; the last assignment in the body wins."""
+    rows = (_locals(_handlers(source)).select("repo", "path", "block", F.explode("_locals").alias("v"))
+            .select("repo", "path", "block", "v.*"))
+    return rows.groupBy("repo", "path", "block", "var").agg(F.max_by("type", "start").alias("type"))
 
 
 # ------------------------------------------------------------------ X6, A8
-def handler_calls(blocks: DataFrame, handlers: DataFrame) -> DataFrame:
+def _resolved(arg, locals_):
+    """The type name an argument stands for: a variable's type, an inline literal's, or a dotted name; else ''."""
+    bare = F.regexp_replace(arg, r"^(?:[&!+\-^]|<-)\s*", "")
+    own = F.try_element_at(F.filter(locals_, lambda x: x["var"] == bare), F.lit(-1))["type"]
+    name = G.handler_name(bare)
+    return (F.when(bare.rlike(f"^{IDENT}$"), F.coalesce(own, bare))
+            .when(name.rlike(r"\.") & ~bare.startswith('"'), name)
+            .otherwise(F.coalesce(G.literal_type(bare), F.lit(""))))
+
+
+def _handler_call_rows(source: DataFrame) -> DataFrame:
+    """Handlers with ``_calls``: their decode, encode and status calls in the order in which a reader of the syntax
+    tree meets them (an outer call before those inside it)."""
+    h = _locals(_handlers(source))
+    mine = F.filter("calls", lambda c: (c["block"] == F.col("block")) & (F.size(c["args"]) > 0))
+    ordered = F.array_sort(F.transform(mine, lambda c: F.struct(
+        c["start"].alias("start"), (-c["stop"]).alias("stop"), c["line"].alias("line"), c["name"].alias("name"),
+        c["args"].alias("args"))))
+
+    def row(c, kind, arg, resolved):
+        return F.struct(c["line"].alias("line"), c["start"].alias("start"), c["stop"].alias("stop"), kind.alias("kind"),
+                        arg.alias("arg"), resolved.alias("resolved"))
+
+    def typed(c):
+        kind = F.when(c["name"].isin(*G.DECODE_CALLS), "decode").when(c["name"].isin(*G.ENCODE_CALLS), "encode")
+        last = F.element_at(c["args"], -1)
+        return row(c, kind, last, _resolved(last, F.col("_locals")))
+
+    def status(c):
+        has = (c["name"] == "WriteHeader") | (c["name"].isin("JSON", "JSONP") & (F.size(c["args"]) >= 2))
+        first = F.get(c["args"], F.lit(0))
+        code = G.status_code(first)
+        return row(c, F.when(has & (code > 0), "status"), first, code.cast("string"))
+
+    both = F.flatten(F.transform("_c", lambda c: F.array(typed(c), status(c))))
+    return (h.withColumn("_c", ordered)
+            .withColumn("_calls", F.filter(both, lambda x: x["kind"].isNotNull())).drop("_c", "calls", "_locals"))
+
+
+def _only(rows: DataFrame, handlers: DataFrame | None) -> DataFrame:
+    return rows if handlers is None else rows.join(handlers.select("repo", "path", "block"), ["repo", "path", "block"], "left_semi")
+
+
+def handler_calls(source: DataFrame, handlers: DataFrame | None = None) -> DataFrame:
     """Decode / encode / status calls inside handler bodies, arguments resolved.
 
     repo, path, block, line, kind, arg, resolved (type name for decode/encode,
-    code for status).  The resolved type of ``&x``/``x`` comes from X5, an
-    inline ``T{...}`` gives ``T``, a dotted name is kept, any other
-    expression gives ''.
+    code for status), call_pos.  The resolved type of ``&x``/``x`` comes from
+    X5, an inline ``T{...}`` gives ``T``, a dotted name is kept, any other
+    expression gives ''.  handlers: keeps only those.
     """
-    body = blocks.join(handlers.select("repo", "path", "block"), ["repo", "path", "block"], "left_semi")
-    locals_ = local_types(body)
-    # every such call on the line with its arguments
-    call = r"\.(" + "|".join([*G.DECODE_CALLS, *G.ENCODE_CALLS, "WriteHeader"]) + r")\((" + G.INSIDE + r")\)"
-    calls = (body.where(F.col("text").rlike(call))
-             .select("repo", "path", "block", "line",
-                     F.posexplode(F.regexp_extract_all("text", F.lit(call), F.lit(0))).alias("_k", "_call"))
-             .select("repo", "path", "block", "line", "_k", F.regexp_extract("_call", call, 1).alias("_name"),
-                     G.split_args(F.regexp_extract("_call", call, 2)).alias("_args")))
-    n = F.size("_args")
-    last = F.get(F.col("_args"), n - 1)
-    kind_rows = calls.select(
-        "*",
-        F.when(F.col("_name").isin(*G.DECODE_CALLS), "decode")
-        .when(F.col("_name").isin(*G.ENCODE_CALLS), "encode").alias("_dk"),
-        F.when(F.col("_name") == "WriteHeader", F.get(F.col("_args"), 0))
-        .when(F.col("_name").isin("JSON", "JSONP") & (n >= 2), F.get(F.col("_args"), 0)).alias("_status_arg"))
-    typed = kind_rows.where(F.col("_dk").isNotNull() & (n > 0)).select(
-        "repo", "path", "block", "line", "_k", F.col("_dk").alias("kind"), last.alias("arg"))
-    bare = F.regexp_replace(G.strip("arg"), "^&\\s*", "")
-    typed = typed.withColumn("_bare", bare).join(
-        locals_.withColumnRenamed("var", "_bare").withColumnRenamed("type", "_local"),
-        ["repo", "path", "block", "_bare"], "left")
-    resolved = (F.when(F.col("_bare").rlike(f"^{IDENT}$"), F.coalesce("_local", "_bare"))
-                .when(F.col("_bare").rlike(f"^{IDENT}(\\.{IDENT})+$"), F.col("_bare"))
-                .when(F.col("_bare").rlike("^[A-Za-z0-9_.*\\[\\]]+\\s*\\{"),
-                      G.type_text(F.regexp_extract("_bare", "^([A-Za-z0-9_.*\\[\\]]+)\\s*\\{", 1)))
-                .when(F.col("_bare").rlike("^\\{"), F.lit("unknown"))
-                .otherwise(F.lit("")))
-    typed = typed.select("repo", "path", "block", "line", "_k", "kind", "arg", resolved.alias("resolved"))
-    status = (kind_rows.where(F.col("_status_arg").isNotNull())
-              .select("repo", "path", "block", "line", "_k", F.lit("status").alias("kind"),
-                      F.col("_status_arg").alias("arg"), G.status_code(F.col("_status_arg")).cast("string")
-                      .alias("resolved"))
-              .where(F.col("resolved") != "0"))
-    return typed.unionByName(status).withColumnRenamed("_k", "call_pos")
-
-
-def collect_handler_calls(blocks: DataFrame, handlers: DataFrame) -> DataFrame:
+    rows = _only(_handler_call_rows(source), handlers)
+    return (rows.select("repo", "path", "block", F.posexplode("_calls").alias("call_pos", "c"))
+            .select("repo", "path", "block", "c.line", "c.kind", "c.arg", "c.resolved", "call_pos"))
+
+
+def collect_handler_calls(source: DataFrame, handlers: DataFrame | None = None) -> DataFrame:
     """A8 + X4: handlers with last decode type, last encode type and status codes in order."""
-    calls = handler_calls(blocks, handlers)
-    order = F.struct("line", "call_pos")
-    agg = calls.groupBy("repo", "path", "block").agg(
-        F.max_by(F.when(F.col("kind") == "decode", F.col("resolved")),
-                 F.when(F.col("kind") == "decode", order)).alias("decodes"),
-        F.max_by(F.when(F.col("kind") == "encode", F.col("resolved")),
-                 F.when(F.col("kind") == "encode", order)).alias("encodes"),
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "status", F.struct(
-            "line", "call_pos", F.col("resolved").cast("int").alias("code"))))).alias("_codes"))
-    return (handlers.join(agg, ["repo", "path", "block"], "left")
-            .select("repo", "path", "package", "block", "name", "receiver",
-                    F.coalesce("decodes", F.lit("")).alias("decodes"),
-                    F.coalesce("encodes", F.lit("")).alias("encodes"),
-                    F.coalesce(F.transform("_codes", lambda c: c["code"]), F.array().cast("array<int>"))
-                    .alias("status_codes")))
+    rows = _only(_handler_call_rows(source), handlers)
+    of = lambda kind: F.transform(F.filter("_calls", lambda c: c["kind"] == kind), lambda c: c["resolved"])
+    last = lambda kind: F.coalesce(F.try_element_at(of(kind), F.lit(-1)), F.lit(""))
+    return rows.select("repo", "path", "package", "block", "name", "receiver", last("decode").alias("decodes"),
+                       last("encode").alias("encodes"),
+                       F.transform(of("status"), lambda c: c.cast("int")).alias("status_codes"))

@@ -78,7 +78,7 @@ def _route_struct(r: DataFrame) -> Column:
 def _fits(r: Column, np: Column, method: Column) -> Column:
     segs = path_segments(np.substr(F.length(r["_r_pfx"]) + 1, F.lit(_REST)))
     return (np.startswith(r["_r_pfx"])
-            & ((r["_r_method"] == method) | (r["_r_method"] == "ANY"))
+            & (r["_r_method"].eqNullSafe(method) | (r["_r_method"] == "ANY"))
             & (F.size(segs) == F.size(r["_r_psegs"]))
             & F.forall(F.zip_with(r["_r_psegs"], segs, lambda p, s: p["is_param"] | (p["value"] == s)),
                        lambda ok: ok))
@@ -120,7 +120,7 @@ def _match_hash(requests: DataFrame, routes: DataFrame) -> DataFrame:
     cand = cand.withColumn("mkey", F.array_join(F.transform(
         "_segs", lambda s, i: F.when(F.col("mask").substr(i + 1, F.lit(1)) == "1", F.lit("")).otherwise(s)), "/"))
     hit = (cand.join(routes, ["pfx", "nseg", "mask", "mkey"])
-           .where((F.col("ep_method") == F.col("_m")) | (F.col("ep_method") == "ANY")))
+           .where(F.col("ep_method").eqNullSafe(F.col("_m")) | (F.col("ep_method") == "ANY")))
     best = hit.groupBy("_m", "_p").agg(F.min(F.struct(
         (-F.col("plen")).alias("neg_plen"), F.col("ord"), F.col("dependency"), F.col("ep_method"),
         F.col("ep_path"), F.col("status_code"), F.col("psegs"), F.col("_segs"))).alias("_best"))
@@ -133,7 +133,8 @@ def _match_hash(requests: DataFrame, routes: DataFrame) -> DataFrame:
         F.col("_best.status_code").alias("status_code"),
         params_from_segments(F.col("_best.psegs"), F.col("_best._segs")).alias("path_params")).checkpoint()
     # stored, so that both sides of this join are plain shuffles and Spark can split a very common path
-    out = requests.join(best, (requests["method"] == best["_m"]) & (requests["path"] == best["_p"]), "left")
+    # null-safe: a request without a method still meets an endpoint of any method
+    out = requests.join(best, requests["method"].eqNullSafe(best["_m"]) & requests["path"].eqNullSafe(best["_p"]), "left")
     return out.select(*requests.columns, *MATCH_COLS)
 
 

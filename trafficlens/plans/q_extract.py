@@ -142,13 +142,17 @@ def _import_blocks(spark, sf_dir):
     return X.file_blocks(X.scan_filter(_files(spark, sf_dir), for_imports=True))
 
 
+def _scanned(spark, sf_dir):
+    return X.scan_source(X.scan_filter(_files(spark, sf_dir)))
+
+
 def _scan(spark, sf_dir):
     """Scan outputs, each materialised once in the shared checkpoint folder
     (they feed several joins; without this every consumer re-runs extraction)."""
-    b = _blocks(spark, sf_dir)
+    b = _scanned(spark, sf_dir).checkpoint()
     sf = X.extract_struct_fields(b).checkpoint()
     rt = X.extract_routes(b).checkpoint()
-    hd = X.collect_handler_calls(b, X.extract_handlers(b)).checkpoint()
+    hd = X.collect_handler_calls(b).checkpoint()
     fw = X.detect_framework(X.extract_imports(_import_blocks(spark, sf_dir)), _files(spark, sf_dir)).checkpoint()
     return b, sf, rt, hd, fw
 
@@ -205,20 +209,19 @@ def q_framework_from_imports(spark, sf_dir):
 @register("struct_fields", f"WITH {lines_cte()}, {_FIELDS} SELECT * FROM struct_fields")
 def q_struct_fields(spark, sf_dir):
     """X2 (+F12): exported struct fields with JSON tags."""
-    return X.extract_struct_fields(_blocks(spark, sf_dir))
+    return X.extract_struct_fields(_scanned(spark, sf_dir))
 
 
 @register("routes", f"WITH {lines_cte()}, {_ROUTES} SELECT * FROM routes")
 def q_routes(spark, sf_dir):
     """X3 (+F13): route registrations."""
-    return X.extract_routes(_blocks(spark, sf_dir))
+    return X.extract_routes(_scanned(spark, sf_dir))
 
 
 @register("handlers", f"WITH {lines_cte()}, {_HANDLERS} SELECT repo, path, package, name, receiver, decodes, encodes, status_codes FROM handlers")
 def q_handlers(spark, sf_dir):
     """X4 + X5 + X6 + A8: handlers with decoded / encoded types and status codes."""
-    b = _blocks(spark, sf_dir)
-    h = X.collect_handler_calls(b, X.extract_handlers(b))
+    h = X.collect_handler_calls(_scanned(spark, sf_dir))
     return h.select("repo", "path", "package", "name", "receiver", "decodes", "encodes",
                     F.array_join(F.transform("status_codes", lambda c: c.cast("string")), ",").alias("status_codes"))
 
@@ -230,16 +233,91 @@ SELECT repo, path, line, CASE name WHEN 'Decode' THEN 'decode' WHEN 'Encode' THE
        WHEN arg = 'http.StatusCreated' THEN '201' ELSE arg END AS resolved FROM hcr""")
 def q_handler_calls(spark, sf_dir):
     """Every decode / encode / status call with its resolved argument."""
-    b = _blocks(spark, sf_dir)
-    return X.handler_calls(b, X.extract_handlers(b)).select("repo", "path", "line", "kind", "arg", "resolved")
+    return X.handler_calls(_scanned(spark, sf_dir)).select("repo", "path", "line", "kind", "arg", "resolved")
 
 
 @register("local_types", f"WITH {lines_cte()}, {_HANDLERS} SELECT repo, path, var, type FROM ltl")
 def q_local_types(spark, sf_dir):
     """Local variable types inside handler bodies."""
-    b = _blocks(spark, sf_dir)
-    body = b.join(X.extract_handlers(b).select("repo", "path", "block"), ["repo", "path", "block"], "left_semi")
-    return X.local_types(body).select("repo", "path", "var", "type")
+    return X.local_types(_scanned(spark, sf_dir)).select("repo", "path", "var", "type")
+
+
+def _sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+#: CTE ``files``: the files of the service corpus, with line comments taken out; the broken one is no Go file.
+_SERVICE = "files AS (SELECT 'svc-' || p_partkey AS repo, f.path, regexp_replace(replace(replace(f.text, '%N%', " + \
+    "CAST(p_size AS VARCHAR)), '%D%', CAST(p_size % 10 AS VARCHAR)), '//[^\\n]*', '', 'g') AS t FROM part, (VALUES " + \
+    ", ".join(f"({_sql_text(p)}, {_sql_text(t)})" for p, t in D.SERVICE_FILES) + \
+    ") f(path, text) WHERE f.path <> 'cmd/server/broken.go')"
+
+# a receiver, what may stand between, the verb, a literal and the start of the second argument, over any lines
+_CALL = (r"""[A-Za-z_]\w*\s*\.\s*(?:With\([a-z]+\)\s*\.\s*)?(Get|Post|Put|HandleFunc|Handle)\(\s*"([^"]*)"\s*,\s*"""
+         r"""(func\(|[A-Za-z_][\w.]*\s*[,)]|[^,)\s])""")
+
+
+@register("routes_multiline", f"""
+WITH {_SERVICE},
+m AS (SELECT repo, path, string_split(regexp_replace(t, '{_CALL}', chr(1) || '\\0', 'g'), chr(1)) AS p FROM files),
+c AS (SELECT repo, path, p[i + 1] AS s, 1 + len(string_split(array_to_string(p[1:i], ''), chr(10))) - 1 AS line
+      FROM m, range(1, 50) r(i) WHERE i < len(p)),
+g AS (SELECT repo, path, line, regexp_extract(s, '{_CALL}', 1) AS name, regexp_extract(s, '{_CALL}', 2) AS lit,
+             regexp_extract(s, '{_CALL}', 3) AS second FROM c)
+SELECT repo, path, CAST(line AS INTEGER) AS line,
+  CASE WHEN name IN ('Get', 'Post', 'Put') THEN upper(name) WHEN contains(lit, ' ') THEN split_part(lit, ' ', 1) ELSE 'ANY' END AS method,
+  CASE WHEN contains(lit, ' ') THEN split_part(lit, ' ', 2) ELSE lit END AS route,
+  CASE WHEN second = 'func(' THEN '<anonymous>' WHEN regexp_matches(second, '[,)]$') THEN regexp_replace(second, '\\s*[,)]$', '')
+       ELSE '<unknown>' END AS handler
+FROM g""")
+def q_routes_multiline(spark, sf_dir):
+    """X3 over calls that span lines, chains, nested functions and deep arguments, in several files per repo."""
+    return X.extract_routes(X.scan_source(X.scan_filter(D.service_files(spark, sf_dir))))
+
+
+@register("handlers_multiline", f"""
+WITH {_SERVICE},
+f AS (SELECT repo, path, unnest(regexp_extract_all(t, '(?s)\\nfunc [^\\n]*.*?\\n\\}}')) AS f FROM files WHERE path LIKE 'api/%'),
+h AS (SELECT repo, path, f, regexp_extract(f, '^\\nfunc \\(\\w+ ([^)]*)\\) (\\w+)\\(([^)]*)\\)', 1) AS receiver,
+             regexp_extract(f, '^\\nfunc \\(\\w+ ([^)]*)\\) (\\w+)\\(([^)]*)\\)', 2) AS name,
+             regexp_extract(f, '^\\nfunc \\(\\w+ ([^)]*)\\) (\\w+)\\(([^)]*)\\)', 3) AS params FROM f),
+k AS (SELECT *, regexp_extract(f, '\\.Decode\\(\\s*&(\\w+)', 1) AS dvar,
+             coalesce(nullif(regexp_extract(f, '\\.Encode\\(\\s*(\\w+)', 1), ''), regexp_extract(f, ', (\\w+)\\)\\n', 1)) AS evar,
+             regexp_extract(f, '\\.(?:WriteHeader|JSON)\\(\\s*([\\w.]+)', 1) AS code
+      FROM h WHERE regexp_matches(params, 'ResponseWriter|Request|Context')),
+v AS (SELECT *, regexp_extract(f, 'var ' || dvar || ' (\\S+)', 1) AS decodes,
+             regexp_extract(f, evar || ' := ([\\w.\\[\\]]+)\\{{', 1) AS encodes FROM k)
+SELECT repo, path, 'api' AS package, name, receiver, decodes, encodes,
+  CASE code WHEN 'http.StatusCreated' THEN '201' ELSE code END AS status_codes FROM v""")
+def q_handlers_multiline(spark, sf_dir):
+    """X4-X6 and A8 over signatures and calls that span lines, with arguments nested eleven deep."""
+    h = X.collect_handler_calls(X.scan_source(X.scan_filter(D.service_files(spark, sf_dir))))
+    return h.select("repo", "path", "package", "name", "receiver", "decodes", "encodes",
+                    F.array_join(F.transform("status_codes", lambda c: c.cast("string")), ",").alias("status_codes"))
+
+
+@register("struct_fields_generic", f"""
+WITH {_SERVICE},
+s AS (SELECT repo, path, unnest(regexp_extract_all(t, '\\w+(?:\\[[^\\]]*\\])? struct ?\\{{[^{{}}]*\\}}')) AS s FROM files),
+b AS (SELECT repo, path, regexp_extract(s, '^\\w+') AS struct,
+             list_filter(list_transform(string_split_regex(regexp_extract(s, '\\{{([^{{}}]*)\\}}', 1), '[;\\n]'),
+               lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS l FROM s),
+d AS (SELECT repo, path, struct, i, regexp_replace(l[i], '\\s*`[^`]*`$', '') AS decl,
+             regexp_extract(l[i], 'json:"([^"]*)"', 1) AS tag FROM b, range(1, 20) r(i) WHERE i <= len(l)),
+n AS (SELECT *, CASE WHEN regexp_matches(decl, '^\\w+(, \\w+)* \\S') THEN
+               string_split(regexp_extract(decl, '^(\\w+(?:, \\w+)*) ', 1), ', ') ELSE [''] END AS names,
+             regexp_replace(decl, '^\\w+(, \\w+)* ', '') AS ty FROM d),
+x AS (SELECT *, unnest(names) AS nm, unnest(range(1, len(names) + 1)) AS j,
+             CASE WHEN regexp_matches(ty, '\\w\\[\\w') AND NOT starts_with(ty, 'map') THEN 'unknown' ELSE ty END AS type FROM n)
+SELECT repo, path, 'model' AS package, struct,
+  CAST(row_number() OVER (PARTITION BY repo, path, struct ORDER BY i, j) - 1 AS INTEGER) AS pos,
+  CASE WHEN nm = '' THEN type ELSE nm END AS field, type,
+  CASE WHEN tag <> '' THEN split_part(tag, ',', 1) WHEN nm = '' THEN '' ELSE lower(nm) END AS json_tag,
+  contains(tag, ',omitempty') AS omitempty
+FROM x WHERE nm = '' OR regexp_matches(nm, '^[A-Z]')""")
+def q_struct_fields_generic(spark, sf_dir):
+    """X2 over structs with type parameters, on one line, in groups, and embedded generic types."""
+    return X.extract_struct_fields(X.scan_source(X.scan_filter(D.service_files(spark, sf_dir))))
 
 
 @register("type_mapping", f"""
@@ -258,7 +336,7 @@ SELECT repo, struct, field, type,
 FROM struct_fields""")
 def q_type_mapping(spark, sf_dir):
     """F11 + F15 over every extracted field type."""
-    sf = X.extract_struct_fields(_blocks(spark, sf_dir))
+    sf = X.extract_struct_fields(_scanned(spark, sf_dir))
     m, r = G.map_source_type(F.col("type")), G.type_ref(F.col("type"))
     return sf.select("repo", "struct", "field", "type", m["json_type"].alias("json_type"),
                      m["format"].alias("format"), m["nullable"].alias("nullable"),
@@ -336,7 +414,7 @@ EXPANDED = ["repo", "root_dir", "root_package", "root", "field_path", "depth", "
 @register("expand_fields", f"WITH RECURSIVE {lines_cte()}, {_FIELDS}, {_expand_sql('struct_fields')}")
 def q_expand_fields(spark, sf_dir):
     """Every struct's fields fully expanded (nested structs inlined)."""
-    return R.expand_fields(X.extract_struct_fields(_blocks(spark, sf_dir))).select(*EXPANDED)
+    return R.expand_fields(X.extract_struct_fields(_scanned(spark, sf_dir))).select(*EXPANDED)
 
 
 _NESTED_VALUES = ", ".join("(" + ", ".join(str(v).lower() if isinstance(v, bool) else repr(v) for v in row) + ")"

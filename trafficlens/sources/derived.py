@@ -124,6 +124,100 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_files_from_parts(table(spark, sf_dir, "part"))
 
 
+# The files of one service, as (path, text); %N% is the part's size.  Calls, signatures and structs run
+# over several lines or stand on one, routes lie in nested functions, arguments nest deeply.
+SERVICE_FILES = [
+    ("model/types.go", """package model
+
+type (
+	Page[T any] struct {
+		Items []T `json:"items"`
+		Total int `json:"total_%N%"`
+	}
+	Pair[K comparable, V any] struct { Key K `json:"key"`; Value *V `json:"value,omitempty"` }
+)
+
+type Item struct{ ID string `json:"id"`; Size, Weight int; hidden bool }
+
+type ItemPage struct {
+	Page[Item]
+	Next Pair[string, Item] `json:"next"`
+	Seen map[string][]time.Time `json:"seen"`
+}
+"""),
+    ("api/items.go", """package api
+
+import "net/http"
+
+// Create stores an item; its signature runs over lines.
+func (h *Handler) Create(
+	w http.ResponseWriter, // the answer
+	r *http.Request,
+) {
+	var in model.Item
+	if err := json.NewDecoder(
+		r.Body,
+	).Decode(
+		&in,
+	); err != nil {
+		http.Error(w, "bad )", http.StatusBadRequest)
+		return
+	}
+	out := model.ItemPage{
+		Next: model.Pair[string, model.Item]{},
+	}
+	w.WriteHeader(
+		http.StatusCreated,
+	)
+	json.NewEncoder(w).Encode(
+		out,
+	)
+}
+
+func (h *Handler) List(c *gin.Context) {
+	items := []model.Item{}
+	c.JSON(20%D%, wrap(a(b(c1(d(e(f(g(h1(i(j("(%N%"))))))))))), items)
+}
+
+func helper(n int) int { return n }
+"""),
+    ("cmd/server/main.go", """package main
+
+func routes(r chi.Router, h *api.Handler) {
+	r.Post(
+		"/items",
+		h.Create,
+	)
+	r.
+		With(auth).
+		Get("/items/%N%", h.List)
+	r.Route("/v1", func(r chi.Router) {
+		r.Get("/deep", func(w http.ResponseWriter, r *http.Request) {
+			w.WriteHeader(200)
+		})
+		r.Put("/items/{id}", limit(m1(m2(m3(m4(m5(m6(m7(m8(m9(h.Create)))))))))))
+	})
+	mux.HandleFunc("DELETE /items/{id}", h.List)
+	mux.Handle(
+		"/raw", h.List)
+}
+"""),
+    ("cmd/server/broken.go", "package main\n\nfunc broken() {\n\tr.Get(\"/lost\", h.Lost\n}\n"),
+]
+
+
+def service_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several files and directories per part; the status in one handler comes from the part (200 to 209)."""
+    size = F.col("p_size").cast("string")
+    digit = (F.col("p_size") % 10).cast("string")
+    each = F.array(*[F.struct(F.lit(p).alias("path"), F.lit(t).alias("text")) for p, t in SERVICE_FILES])
+    files = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("svc-"), F.col("p_partkey").cast("string")).alias("repo"), size.alias("n"), digit.alias("d"),
+        F.inline(each))
+    text = F.replace(F.replace("text", F.lit("%N%"), F.col("n")), F.lit("%D%"), F.col("d"))
+    return files.select("repo", "path", text.alias("content"))
+
+
 # Further structs of every nested corpus, as (path, package, struct, pos, field, type, json_tag, omitempty).
 NESTED_STRUCTS = [
     ("models/user.go", "models", "User", 0, "Name", "string", "name", False),
@@ -192,5 +286,5 @@ def fixture_registry(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 
 __all__ = [
     "table", "requests", "requests_from_events", "page_requests", "raw_outputs",
-    "source_files", "source_files_from_parts", "nested_struct_fields", "fixture_registry", "FIXTURE_ROUTES", "schemas",
+    "source_files", "source_files_from_parts", "service_files", "nested_struct_fields", "fixture_registry", "FIXTURE_ROUTES", "schemas",
 ]
