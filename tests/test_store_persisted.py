@@ -47,3 +47,27 @@ def test_lookup_never_answers_from_the_future(spark):
     req = spark.createDataFrame([(1, "k", T0), (2, "k", T0 + dt.timedelta(hours=1)), (3, "k", T0 + dt.timedelta(days=3))],
                                 "request_id long, request_key string, ts timestamp")
     assert {r["request_id"]: r["hit"] for r in S.lookup_responses(req, s).collect()} == {1: False, 2: True, 3: False}
+
+
+def test_one_key_rewrites_one_bucket(spark):
+    """The plan reads one bucket of all, and only its files change."""
+    path = shared_path(spark, "store-test")
+    S.upsert_persisted(spark, path, _rows(spark, [(f"k{i}", f"d{i % 2}", "x", T0) for i in range(300)]), 3600, buckets=8)
+    assert S.stored_buckets(spark, path) == 8
+
+    def files():
+        return {(d, b): tuple(list_names(spark, f"{path}/{d}/{b}")) for d in list_names(spark, path) if d.startswith("dep")
+                for b in list_names(spark, f"{path}/{d}")}
+
+    before = files()
+    one = _rows(spark, [("k7", "d1", "new", T0 + dt.timedelta(hours=1))])
+    plan = S.bucket_rows(spark, path, one, 8)._jdf.queryExecution().toString()
+    assert "bucket" in plan.split("PartitionFilters: ")[1].split("]")[0]
+    assert S.bucket_rows(spark, path, one, 8).select("bucket").distinct().count() == 1
+    S.upsert_persisted(spark, path, one, 3600, buckets=99)
+    after = files()
+    assert set(after) == set(before) and sum(after[k] != before[k] for k in before) == 1
+    assert _state(spark, path)["k7"] == ("d1", "new") and len(_state(spark, path)) == 300
+    # a key that moves to another dependency changes two partitions of its bucket
+    S.upsert_persisted(spark, path, _rows(spark, [("k7", "d0", "moved", T0 + dt.timedelta(hours=2))]), 3600)
+    assert sum(files()[k] != after[k] for k in after) == 2 and len(_state(spark, path)) == 300

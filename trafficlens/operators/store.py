@@ -1,22 +1,25 @@
 """Response store: entries, upsert, lookup, stats, purge.
 
-The store is a Parquet table partitioned by ``dependency`` with one row per
-``key_hash``.  ``upsert_persisted`` and ``purge_persisted`` change a stored
-table: they write the touched partitions beside it, then put each in place of
-the old one; a partition left without rows is removed.  No plan reads what it
-overwrites.
+The store is a Parquet table with one row per ``key_hash``, partitioned by
+``dependency`` and ``bucket`` (a hash of the key, with the number of buckets in
+its name).  ``upsert_persisted`` reads only the buckets of the keys it writes,
+and ``purge_persisted`` only the dependency it removes; Spark's dynamic
+partition overwrite replaces the partitions that change and leaves all others
+as they are.  A partition left without rows is removed after that; should the
+job end in between, a key that moved to another dependency is there twice
+until its bucket is written again, which keeps the later row.
 """
 
 from __future__ import annotations
 
-import uuid
+import urllib.parse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trafficlens import schemas
 from trafficlens.functions.keys import is_live, stamp_expiry
-from trafficlens.session import delete, list_names, path_exists, rename
+from trafficlens.session import delete, list_names, path_exists
 
 STORE_COLS = [f.name for f in schemas.RESPONSE_STORE.fields]
 JSON_HEADERS = '{"Content-Type":"application/json"}'
@@ -47,13 +50,28 @@ def upsert_responses(store: DataFrame | None, new: DataFrame, ttl_seconds: float
     return latest.select("key_hash", *[F.col(f"_r.{c}").alias(c) for c in STORE_COLS if c != "key_hash"])
 
 
-def write_store(store: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Persist partitioned by dependency (dynamic overwrite replaces only touched partitions)."""
-    store.write.mode(mode).partitionBy("dependency").parquet(path)
+#: Buckets of a new store; a stored one keeps its own number.
+BUCKETS = 64
+PARTITION = ["dependency", "bucket"]
+
+
+def bucket_of(key: Column, buckets: int) -> Column:
+    return F.concat(F.pmod(F.xxhash64(key), F.lit(buckets)).cast("string"), F.lit(f"of{buckets}"))
+
+
+def write_store(store: DataFrame, path: str, mode: str = "overwrite", buckets: int = BUCKETS) -> None:
+    """Persist partitioned by dependency and bucket (dynamic overwrite replaces only partitions that get rows)."""
+    rows = store.withColumn("bucket", bucket_of(F.col("key_hash"), buckets))
+    (rows.repartition(*PARTITION).write.mode(mode).option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*PARTITION).parquet(path))
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{schemas.RESPONSE_STORE.toDDL()}, bucket string").parquet(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.RESPONSE_STORE).parquet(path).select(*STORE_COLS)
+    return _stored(spark, path).select(*STORE_COLS)
 
 
 def lookup_responses(requests: DataFrame, store: DataFrame, now=None, key_col: str = "request_key") -> DataFrame:
@@ -92,70 +110,95 @@ def store_stats(store: DataFrame, by_dependency: bool = False) -> DataFrame:
     return store.rollup("dependency").agg(*aggs, F.grouping("dependency").alias("is_total"))
 
 
-def purge(store: DataFrame, dependency: str | None = None, expired_before=None) -> tuple[DataFrame, DataFrame]:
-    """(remaining rows, deleted count).  ''/None dependency = every dependency;
-    ``expired_before`` additionally restricts deletion to rows expired by then."""
+def _purged(dependency: str | None, expired_before) -> Column:
     cond = F.lit(True)
     if dependency:
         cond = cond & (F.col("dependency") == dependency)
     if expired_before is not None:
         t = expired_before if not isinstance(expired_before, str) else F.lit(expired_before).cast("timestamp")
         cond = cond & F.col("expires_at").isNotNull() & (F.col("expires_at") < t)
-    flagged = store.withColumn("_del", F.coalesce(cond, F.lit(False)))
+    return F.coalesce(cond, F.lit(False))
+
+
+def purge(store: DataFrame, dependency: str | None = None, expired_before=None) -> tuple[DataFrame, DataFrame]:
+    """(remaining rows, deleted count).  ''/None dependency = every dependency;
+    ``expired_before`` additionally restricts deletion to rows expired by then."""
+    flagged = store.withColumn("_del", _purged(dependency, expired_before))
     remaining = flagged.where(~F.col("_del")).drop("_del")
     deleted = flagged.agg(F.sum(F.col("_del").cast("long")).alias("deleted"))
     return remaining, deleted
 
 
 # ------------------------------------------------------------ persisted store
-def _with_partition(spark: SparkSession, path: str) -> DataFrame:
-    """The stored rows with the name of their partition's folder."""
-    part = F.regexp_extract(F.input_file_name(), "/(dependency=[^/]*)/[^/]*$", 1)
-    return spark.read.schema(schemas.RESPONSE_STORE).parquet(path).select(
-        *STORE_COLS, F.url_decode(F.replace(part, F.lit("+"), F.lit("%2B"))).alias("_part"))
-
-
-def _folders(rows: DataFrame) -> list[str]:
-    """Distinct partition folders of the rows (at most one per dependency)."""
-    return sorted(r[0] for r in rows.select("_part").distinct().collect())
-
-
-def _replace(spark: SparkSession, path: str, rows: DataFrame, touched: list[str]) -> None:
-    """Puts ``rows`` in place of the partitions ``touched`` (and of none besides).
-
-    New partitions are written in full before any old one is moved; readers
-    skip folders that begin with an underscore.
-    """
-    run = uuid.uuid4().hex[:12]
-    new, old = f"{path}/_new-{run}", f"{path}/_old-{run}"
-    rows.write.partitionBy("dependency").parquet(new)
-    made = [n for n in list_names(spark, new) if n.startswith("dependency=")]
-    for name in touched:
-        rename(spark, f"{path}/{name}", f"{old}/{name}")
-    for name in made:
-        rename(spark, f"{new}/{name}", f"{path}/{name}")
-    delete(spark, old, new)
+def stored_buckets(spark: SparkSession, path: str) -> int | None:
+    """How many buckets a stored table has; None if it has no partition."""
+    for name in list_names(spark, path):
+        if name.startswith("dependency="):
+            for b in list_names(spark, f"{path}/{name}"):
+                if b.startswith("bucket="):
+                    return int(b.rpartition("of")[2])
+    return None
+
+
+def bucket_rows(spark: SparkSession, path: str, keys: DataFrame, buckets: int) -> DataFrame:
+    """The stored rows of all buckets that hold one of ``keys`` (column key_hash); the scan reads no others."""
+    touched = sorted(r[0] for r in keys.select(bucket_of(F.col("key_hash"), buckets)).distinct().collect())
+    return _stored(spark, path).where(F.col("bucket").isin(touched))
+
+
+def _replace(spark: SparkSession, path: str, rows: DataFrame, before: DataFrame, buckets: int) -> None:
+    """Puts ``rows`` in place of the partitions of ``before``, row (PARTITION) each."""
+    had = {tuple(r) for r in before.collect()}
+    rows = rows.checkpoint()
+    write_store(rows, path, buckets=buckets)
+    have = {tuple(r) for r in rows.select("dependency", bucket_of(F.col("key_hash"), buckets)).distinct().collect()}
+    gone = had - have
+    by_name = {}
+    for name in list_names(spark, path) if gone else ():
+        if name.startswith("dependency="):
+            by_name[unescape_path(name[len("dependency="):])] = name
+    for dependency, bucket in gone:
+        folder = f"{path}/{by_name[dependency or '__HIVE_DEFAULT_PARTITION__']}"
+        delete(spark, f"{folder}/bucket={bucket}")
+        if not any(n.startswith("bucket=") for n in list_names(spark, folder)):
+            delete(spark, folder)
+
+
+def unescape_path(name: str) -> str:
+    """A partition's value from its folder's name (Spark writes special characters as %XX)."""
+    return urllib.parse.unquote(name)
 
 
 def upsert_persisted(spark: SparkSession, path: str, new: DataFrame, ttl_seconds: float | None = 86400,
-                     batch_id: int = 0) -> None:
-    """S4 on a stored table: only partitions that hold a new row's key or dependency are rewritten."""
-    if not path_exists(spark, path):
-        write_store(upsert_responses(None, new, ttl_seconds, batch_id), path)
+                     batch_id: int = 0, buckets: int = BUCKETS) -> None:
+    """S4 on a stored table: only buckets that hold a new row's key are read and rewritten."""
+    at = stored_buckets(spark, path) if path_exists(spark, path) else None
+    if at is None:
+        write_store(upsert_responses(None, new, ttl_seconds, batch_id), path, buckets=buckets)
         return
-    now = _with_partition(spark, path)
-    touched = sorted({*_folders(now.join(new.select("key_hash").distinct(), "key_hash", "left_semi")),
-                      *_folders(now.join(new.select("dependency").distinct(), "dependency", "left_semi"))})
-    kept = now.where(F.col("_part").isin(touched)).drop("_part")
-    _replace(spark, path, upsert_responses(kept, new, ttl_seconds, batch_id), touched)
+    # of the dependencies in a bucket, those that neither lose nor gain a row stay as they are
+    now = bucket_rows(spark, path, new, at).checkpoint()
+    latest = upsert_responses(now, new, ttl_seconds, batch_id).withColumn("bucket", bucket_of(F.col("key_hash"), at))
+    changed = (now.join(new.select("key_hash"), "key_hash", "left_semi").select(*PARTITION)
+               .unionByName(new.select("dependency", bucket_of(F.col("key_hash"), at).alias("bucket"))).distinct().checkpoint())
+    same = latest["dependency"].eqNullSafe(changed["dependency"]) & (latest["bucket"] == changed["bucket"])
+    _replace(spark, path, latest.join(F.broadcast(changed), same, "left_semi").drop("bucket"),
+             changed.join(now.select(*PARTITION).distinct(), PARTITION, "left_semi"), at)
 
 
 def purge_persisted(spark: SparkSession, path: str, dependency: str | None = None, expired_before=None) -> int:
-    """A6 on a stored table: removes the rows and returns how many."""
-    now = _with_partition(spark, path)
-    remaining, _ = purge(now, dependency, expired_before)
-    gone = now.join(remaining.select("key_hash"), "key_hash", "left_anti").groupBy("_part").count().collect()
-    touched = sorted(r["_part"] for r in gone)
-    if touched:
-        _replace(spark, path, remaining.where(F.col("_part").isin(touched)).drop("_part"), touched)
-    return sum(r["count"] for r in gone)
+    """A6 on a stored table: removes the rows and returns how many; partitions without such rows are only read."""
+    at = stored_buckets(spark, path)
+    if at is None:
+        return 0
+    now = _stored(spark, path)
+    if dependency:
+        now = now.where(F.col("dependency") == dependency)
+    flagged = now.withColumn("_del", _purged(dependency, expired_before))
+    per = flagged.groupBy(*PARTITION).agg(F.sum(F.col("_del").cast("long")).alias("n")).where("n > 0").checkpoint()
+    n = per.agg(F.sum("n")).first()[0] or 0
+    if n:
+        same = F.col("l.dependency").eqNullSafe(F.col("r.dependency")) & (F.col("l.bucket") == F.col("r.bucket"))
+        kept = flagged.where(~F.col("_del")).alias("l").join(F.broadcast(per).alias("r"), same, "left_semi")
+        _replace(spark, path, kept.select(*STORE_COLS), per.select(*PARTITION), at)
+    return n

@@ -15,8 +15,9 @@ to find them:
 * ``jump`` (the default): skew-safe for any key size.  nxt() for every distinct time comes
   from a successor search whose windows are bounded by construction (fine
   1-second buckets, then groups of 4096 buckets, then per-key group heads),
-  and the chain is followed by pointer doubling (log2 of the longest chain
-  rounds of joins over unique (key, time) rows, each level a stored table).
+  and the chain is followed by jumps of 1, 4, 16, ... entries (log4 of the
+  longest chain rounds of joins over unique (key, time) rows; each level is a
+  stored table, removed once the starts are known).
 
 Both then attach to every request its covering start with one equi-join on
 (key, ttl bucket): starts lie more than ``ttl`` apart, so each ttl-wide
@@ -31,7 +32,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trafficlens.session import stored
+from trafficlens.session import delete, stored
 
 FINE_US = 1_000_000      # fine bucket: 1 s -> at most 2e6 rows per window partition
 GROUP_BUCKETS = 4096     # fine buckets per group -> at most 8192 rows per partition
@@ -107,7 +108,15 @@ def successor(nodes: DataFrame, probes: DataFrame, keys) -> DataFrame:
     return out.select(*keys, "_pid", F.coalesce("_s1", "_s2", "_s3").alias("_succ"))
 
 
+def _hops(one: DataFrame, keys) -> DataFrame:
+    """From the next time of each time (keys, _t, _n1): the next four (_n1 to _n4, null behind a key's last)."""
+    two = one.join(one.select(*keys, F.col("_t").alias("_n1"), F.col("_n1").alias("_n2")), [*keys, "_n1"], "left")
+    far = two.select(*keys, F.col("_t").alias("_n2"), F.col("_n1").alias("_n3"), F.col("_n2").alias("_n4"))
+    return two.join(far, [*keys, "_n2"], "left").select(*keys, "_t", "_n1", "_n2", "_n3", "_n4")
+
+
 def _starts_jump(nodes: DataFrame, keys, ttl_us: int | None) -> DataFrame:
+    spark = nodes.sparkSession
     nodes = nodes.checkpoint()
     roots = nodes.groupBy(*keys).agg(F.min("_t").alias("_t"))
     if ttl_us is None:
@@ -115,22 +124,26 @@ def _starts_jump(nodes: DataFrame, keys, ttl_us: int | None) -> DataFrame:
     # Longest possible chain: starts lie in distinct ttl buckets.
     longest = (nodes.select(*keys, F.floor(F.col("_t") / ttl_us).alias("_b")).distinct()
                .groupBy(*keys).count().agg(F.max("count")).first()[0]) or 1
-    levels = max(1, math.ceil(math.log2(longest + 1)))
-    probes = nodes.select(*keys, F.col("_t").alias("_pid"), (F.col("_t") + F.lit(ttl_us)).alias("_x"))
-    nxt = successor(nodes, probes, keys)
-    jumps = [stored(nxt.select(*keys, F.col("_pid").alias("_t"), F.col("_succ").alias("_n")), "jump")[0]]
-    for _ in range(1, levels):
-        j = jumps[-1]
-        hop = j.select(*keys, F.col("_t").alias("_n"), F.col("_n").alias("_n2"))
-        jumps.append(stored(j.join(hop, [*keys, "_n"], "left")
-                            .select(*keys, "_t", F.col("_n2").alias("_n")), "jump")[0])
-    reached = roots
-    for j in reversed(jumps):
-        step = reached.join(j, [*keys, "_t"]).where(F.col("_n").isNotNull()).select(
-            *keys, F.col("_n").alias("_t"))
-        reached = stored(reached.unionByName(step).distinct(), "reached")[0]
-    return reached.join(nodes, [*keys, "_t"]).select(
-        *keys, F.col("_t").alias("_s"), F.col("_tid").alias("_sid"))
+    if longest > 1:
+        probes = nodes.select(*keys, F.col("_t").alias("_pid"), (F.col("_t") + F.lit(ttl_us)).alias("_x"))
+        nxt = successor(nodes, probes, keys).select(*keys, F.col("_pid").alias("_t"), F.col("_succ").alias("_n1"))
+        scratch, levels = [], []
+        for _ in range(max(1, math.ceil(math.log(longest + 1, 4)))):
+            level, path = stored(_hops(nxt, keys), "jump")
+            levels.append(level)
+            scratch.append(path)
+            nxt = level.select(*keys, "_t", F.col("_n4").alias("_n1"))
+        reached = roots
+        for level in reversed(levels):
+            step = (reached.join(level, [*keys, "_t"])
+                    .select(*keys, F.explode(F.array("_t", "_n1", "_n2", "_n3")).alias("_t")).where(F.col("_t").isNotNull()))
+            reached, path = stored(step, "reached")
+            scratch.append(path)
+        out = reached.join(nodes, [*keys, "_t"]).checkpoint()
+        delete(spark, *scratch)
+    else:
+        out = roots.join(nodes, [*keys, "_t"])
+    return out.select(*keys, F.col("_t").alias("_s"), F.col("_tid").alias("_sid"))
 
 
 def entry_starts(df: DataFrame, key, ts: str = "ts", id_col: str = "request_id",

@@ -4,22 +4,24 @@
   (``foreachBatch``), so the registry-size check and the hash-join form work
   unchanged; output is written per batch id, so a retried batch overwrites
   itself (idempotent).
-* T2 ``ttl_dedup_stream``: every micro-batch runs the batch operator W1 on its
-  rows and the open entry of each key, kept as a table per batch id.  Thus a
-  batch may hold any number of rows of a key, in any order.
+* T2 ``ttl_dedup_stream``: the live entries of each key are a table per batch
+  id; a micro-batch is answered from them, and its other rows go through the
+  batch operator W1.  Thus a batch may hold any number of rows of a key, in any
+  order.  Entries that end before the watermark are dropped.
 * T3 ``traffic_kpis_stream``: watermark + tumbling window x dependency,
   update mode; late rows beyond the watermark are dropped by Spark.
-* T4 ``upsert_stream``: ``foreachBatch`` -> S4 upsert into a versioned store
-  directory per batch id (never overwrites what it reads).
+* T4 ``upsert_stream``: ``foreachBatch`` -> S4 upsert into the persisted store,
+  of which a batch rewrites only the buckets of its keys.  A retried batch
+  finds its own rows and writes the same again.
 
-A batch reads version N-1 of its state and writes version N, so a retried
+T2's batch reads version N-1 of its state and writes version N, so a retried
 batch finds what it found before; a version that should be there and cannot
 be read is an error.  Versions before N-1 are removed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trafficlens import schemas
@@ -66,43 +68,84 @@ def match_stream(stream: DataFrame, routes: DataFrame, out_path: str, checkpoint
             .trigger(availableNow=True).start())
 
 
-CARRIED = -(1 << 63)  # before any request id, so that a request at an entry's own instant is a hit
+def dedup_batch(batch: DataFrame, entries: DataFrame | None, key: str, ttl_seconds: float | None) -> DataFrame:
+    """W1 on a micro-batch, going on from the entries (key, start, stop) of the batches before.
 
-
-def dedup_batch(batch: DataFrame, open_entries: DataFrame | None, key: str, ttl_seconds: float | None) -> DataFrame:
-    """W1 on a micro-batch, going on from the open entries (key, start) of the batches before.
-
-    A request older than its key's open entry is answered by that entry.
+    An entry answers from its start to its stop: the end of its time to live,
+    or the instant before the key's next entry.  A request that no entry
+    answers opens one, also if it is older than others of its key; what was
+    answered before stays as it is, and no request is answered by an entry
+    that begins after it.  Returns request_id, key, ts, hit, entry_created_at.
     """
     rows = batch.select("request_id", key, "ts")
-    if open_entries is not None:
-        rows = (rows.join(open_entries, key, "left")
-                .select("request_id", key, F.greatest("ts", "start").alias("ts"))
-                .unionByName(open_entries.select(F.lit(CARRIED).alias("request_id"), key, F.col("start").alias("ts"))))
-    return ttl_dedup(rows, key, ttl_seconds=ttl_seconds)
+    if entries is None:
+        return ttl_dedup(rows, key, ttl_seconds=ttl_seconds)
+    t = F.unix_micros("ts")
+    if ttl_seconds is None or ttl_seconds <= 0:
+        by, spans = F.lit(0).cast("long"), entries.withColumn("_b", F.lit(0).cast("long"))
+    else:  # an entry lies in at most two buckets of a time to live each
+        ttl = F.lit(int(round(ttl_seconds * 1_000_000)))
+        by = F.floor(t / ttl).cast("long")
+        at = lambda c: F.floor(F.col(c) / ttl).cast("long")
+        spans = entries.withColumn("_b", F.explode(F.sequence(at("start"), at("stop"))))
+    spans = spans.select(F.col(key).alias("_k"), "_b", "start", "stop")
+    j = rows.withColumn("_t", t).withColumn("_c", by).join(
+        spans, (F.col(key) == F.col("_k")) & (F.col("_c") == F.col("_b")) & (F.col("_t") >= F.col("start"))
+        & (F.col("_t") <= F.col("stop")), "left").checkpoint()
+    known = j.where(F.col("start").isNotNull()).select(
+        "request_id", key, "ts", F.lit(True).alias("hit"), F.timestamp_micros("start").alias("entry_created_at"))
+    fresh = ttl_dedup(j.where(F.col("start").isNull()).select("request_id", key, "ts"), key, ttl_seconds=ttl_seconds)
+    return known.unionByName(fresh.select(*known.columns))
+
+
+def live_entries(entries: DataFrame | None, answered: DataFrame, key: str, ttl_seconds: float | None,
+                 watermark_us: int | None) -> DataFrame:
+    """The entries (key, start, stop) after a batch, without those that end before the watermark."""
+    opened = answered.where(~F.col("hit")).select(key, F.unix_micros("entry_created_at").alias("start"))
+    every = opened if entries is None else opened.unionByName(entries.select(key, "start"))
+    if ttl_seconds is None or ttl_seconds <= 0:  # the first entry of a key stays for ever
+        return every.groupBy(key).agg(F.min("start").alias("start")).withColumn("stop", F.lit((1 << 63) - 1))
+    ends = F.col("start") + F.lit(int(round(ttl_seconds * 1_000_000)))
+    if watermark_us is not None:
+        every = every.where(ends >= F.lit(watermark_us))
+    # a key's live entries are few: they begin within a lateness and a time to live
+    after = F.lead("start").over(Window.partitionBy(key).orderBy("start"))
+    return every.distinct().withColumn("stop", F.least(ends, after - 1))
 
 
 def ttl_dedup_stream(stream: DataFrame, key: str, ttl_seconds: float | None, out_path: str, state_path: str,
-                     checkpoint: str):
+                     checkpoint: str, lateness_seconds: float = 86400):
     """Streaming W1 (request_id, key, hit, entry_created_at under out_path/batch=<id>).
 
     Equal to the batch operator when batches arrive in time order, whatever
-    the order within them and however many rows a key has.  Rows without a key
-    are left out, as they have no entry.
+    the order within them and however many rows a key has.  The watermark is
+    the latest time of the batches before, less ``lateness_seconds``: older
+    rows are not answered but written under out_path/_late/batch=<id>, and
+    entries that ended before it leave the state.  Rows without a key or a
+    time are left out, as they have no entry.
     """
     spark = stream.sparkSession
 
     def run(batch: DataFrame, batch_id: int) -> None:
         prev = _previous(spark, state_path, batch_id)
-        batch = batch.where(F.col(key).isNotNull()).persist()
-        got = dedup_batch(batch, None if prev is None else spark.read.parquet(prev), key, ttl_seconds)
-        whole = f"{out_path}/_work/batch={batch_id}"
-        got.write.mode("overwrite").parquet(whole)
-        got = spark.read.schema(got.schema).parquet(whole)
-        got.where(F.col("request_id") != CARRIED).drop("ts").write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
-        state = got.groupBy(key).agg(F.max("entry_created_at").alias("start"))
-        state.write.mode("overwrite").parquet(f"{state_path}/v={batch_id}")
-        delete(spark, whole)
+        entries, latest = None, None
+        if prev is not None:
+            entries = spark.read.parquet(f"{prev}/entries")
+            latest = spark.read.parquet(f"{prev}/clock").first()["latest"]
+        mark = None if latest is None else latest - int(round(lateness_seconds * 1_000_000))
+        batch = batch.where(F.col(key).isNotNull() & F.col("ts").isNotNull()).persist()
+        old = F.lit(False) if mark is None else F.unix_micros("ts") < F.lit(mark)
+        batch.where(old).select("request_id", key, "ts").write.mode("overwrite").parquet(f"{out_path}/_late/batch={batch_id}")
+        got = dedup_batch(batch.where(~old), entries, key, ttl_seconds)
+        whole = f"{out_path}/batch={batch_id}"
+        got.select("request_id", key, "hit", "entry_created_at").write.mode("overwrite").parquet(whole)
+        newest = batch.agg(F.max(F.unix_micros("ts"))).first()[0]
+        now = max((x for x in (latest, newest) if x is not None), default=None)
+        after = None if now is None else now - int(round(lateness_seconds * 1_000_000))
+        state = f"{state_path}/v={batch_id}"
+        live_entries(entries, spark.read.schema("request_id long, " + f"{key} {dict(got.dtypes)[key]}, hit boolean, "
+                     "entry_created_at timestamp").parquet(whole), key, ttl_seconds, after).write.mode("overwrite").parquet(f"{state}/entries")
+        spark.createDataFrame([(now,)], "latest long").write.mode("overwrite").parquet(f"{state}/clock")
         _forget(spark, state_path, batch_id)
         batch.unpersist()
 
@@ -141,27 +184,28 @@ def latest_updates(spark: SparkSession, out_path: str, keys: list[str]) -> DataF
             .select(*keys, "_r.*"))
 
 
-def upsert_stream(new_rows: DataFrame, store_root: str, checkpoint: str, ttl_seconds: float | None = 86400):
-    """T4: keep a store current.  Batch N reads version N-1 (batch 0: the store
-    under ``start``, if there is one) and writes version N; a retried batch
-    rewrites its own version only."""
+def upsert_stream(new_rows: DataFrame, store_root: str, checkpoint: str, ttl_seconds: float | None = 86400,
+                  buckets: int = S.BUCKETS):
+    """T4: keep a persisted store current; a batch reads and rewrites the buckets of its keys and no others.
+
+    A batch that is tried again writes the rows it wrote before, which win by
+    the same order, so the store ends up the same.
+    """
     spark = new_rows.sparkSession
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        at = _previous(spark, store_root, batch_id)
-        prev = None if at is None else S.read_store(spark, at)
-        S.write_store(S.upsert_responses(prev, batch, ttl_seconds=ttl_seconds, batch_id=batch_id),
-                      f"{store_root}/v={batch_id}")
-        _forget(spark, store_root, batch_id)
+        batch = batch.persist()
+        if not batch.isEmpty():
+            S.upsert_persisted(spark, store_root, batch, ttl_seconds, batch_id=batch_id, buckets=buckets)
+        batch.unpersist()
 
     return (new_rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
 def current_store(spark: SparkSession, store_root: str) -> DataFrame:
-    """The newest version of a T4 store."""
-    last = max(int(n[2:]) for n in list_names(spark, store_root) if n.startswith("v="))
-    return S.read_store(spark, f"{store_root}/v={last}")
+    """The store that T4 keeps."""
+    return S.read_store(spark, store_root)
 
 
 def stage_in_time_order(df: DataFrame, path: str, rows_per_file: int = 250_000, least_files: int = 8) -> int:
