@@ -61,9 +61,10 @@ def test_one_key_rewrites_one_bucket(spark):
 
     before = files()
     one = _rows(spark, [("k7", "d1", "new", T0 + dt.timedelta(hours=1))])
-    plan = S.bucket_rows(spark, path, one, 8)._jdf.queryExecution().toString()
-    assert "bucket" in plan.split("PartitionFilters: ")[1].split("]")[0]
-    assert S.bucket_rows(spark, path, one, 8).select("bucket").distinct().count() == 1
+    read = S.touched_rows(spark, path, one, 8)
+    filters = read._jdf.queryExecution().toString().split("PartitionFilters: ")[1].split("PushedFilters")[0]
+    assert "bucket" in filters and "dependency" in filters
+    assert read.select("dependency", "bucket").distinct().count() == 1
     S.upsert_persisted(spark, path, one, 3600, buckets=99)
     after = files()
     assert set(after) == set(before) and sum(after[k] != before[k] for k in before) == 1

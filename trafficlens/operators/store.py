@@ -2,8 +2,10 @@
 
 The store is a Parquet table with one row per ``key_hash``, partitioned by
 ``dependency`` and ``bucket`` (a hash of the key, with the number of buckets in
-its name).  ``upsert_persisted`` reads only the buckets of the keys it writes,
-and ``purge_persisted`` only the dependency it removes; Spark's dynamic
+its name; a new store gets as many as keep partitions near a million rows).
+``upsert_persisted`` reads the partitions that its rows belong to, and of the
+others in their buckets the keys alone, to find a key that moves;
+``purge_persisted`` reads only the dependency it removes.  Spark's dynamic
 partition overwrite replaces the partitions that change and leaves all others
 as they are.  A partition left without rows is removed after that; should the
 job end in between, a key that moved to another dependency is there twice
@@ -50,8 +52,8 @@ def upsert_responses(store: DataFrame | None, new: DataFrame, ttl_seconds: float
     return latest.select("key_hash", *[F.col(f"_r.{c}").alias(c) for c in STORE_COLS if c != "key_hash"])
 
 
-#: Buckets of a new store; a stored one keeps its own number.
-BUCKETS = 64
+#: Rows of a partition that a new store's number of buckets aims at; a stored one keeps its number.
+PARTITION_ROWS = 1_000_000
 PARTITION = ["dependency", "bucket"]
 
 
@@ -59,8 +61,17 @@ def bucket_of(key: Column, buckets: int) -> Column:
     return F.concat(F.pmod(F.xxhash64(key), F.lit(buckets)).cast("string"), F.lit(f"of{buckets}"))
 
 
-def write_store(store: DataFrame, path: str, mode: str = "overwrite", buckets: int = BUCKETS) -> None:
+def _fitting(store: DataFrame) -> int:
+    """Buckets for the largest dependency's rows."""
+    most = store.groupBy("dependency").count().agg(F.max("count")).first()[0] or 0
+    return max(1, -(-most // PARTITION_ROWS))
+
+
+def write_store(store: DataFrame, path: str, mode: str = "overwrite", buckets: int | None = None) -> None:
     """Persist partitioned by dependency and bucket (dynamic overwrite replaces only partitions that get rows)."""
+    if buckets is None:
+        store = store.checkpoint()
+        buckets = _fitting(store)
     rows = store.withColumn("bucket", bucket_of(F.col("key_hash"), buckets))
     (rows.repartition(*PARTITION).write.mode(mode).option("partitionOverwriteMode", "dynamic")
      .partitionBy(*PARTITION).parquet(path))
@@ -140,10 +151,25 @@ def stored_buckets(spark: SparkSession, path: str) -> int | None:
     return None
 
 
-def bucket_rows(spark: SparkSession, path: str, keys: DataFrame, buckets: int) -> DataFrame:
-    """The stored rows of all buckets that hold one of ``keys`` (column key_hash); the scan reads no others."""
-    touched = sorted(r[0] for r in keys.select(bucket_of(F.col("key_hash"), buckets)).distinct().collect())
-    return _stored(spark, path).where(F.col("bucket").isin(touched))
+LISTED = 1000
+
+
+def touched_rows(spark: SparkSession, path: str, new: DataFrame, buckets: int) -> DataFrame:
+    """The stored rows of all partitions that ``new`` (key_hash, dependency) changes: those its rows belong to, and
+    those that hold one of its keys under another dependency.  The scan leaves out all others."""
+    new = new.select("key_hash", "dependency", bucket_of(F.col("key_hash"), buckets).alias("bucket")).checkpoint()
+    own = new.select(*PARTITION).distinct()
+    in_buckets = F.col("bucket").isin(sorted(r[0] for r in own.select("bucket").distinct().collect()))
+    moved = (_stored(spark, path).where(in_buckets).select("key_hash", *PARTITION)
+             .join(new.select("key_hash", F.col("dependency").alias("_to")), "key_hash")
+             .where(~F.col("dependency").eqNullSafe(F.col("_to"))).select(*PARTITION))
+    parts = own.unionByName(moved).distinct().checkpoint()
+    rows = _stored(spark, path).where(in_buckets)
+    names = [r[0] for r in parts.select("dependency").distinct().limit(LISTED + 1).collect()]
+    if len(names) <= LISTED and None not in names:
+        rows = rows.where(F.col("dependency").isin(names))
+    same = rows["dependency"].eqNullSafe(parts["dependency"]) & (rows["bucket"] == parts["bucket"])
+    return rows.join(parts, same, "left_semi")
 
 
 def _replace(spark: SparkSession, path: str, rows: DataFrame, before: DataFrame, buckets: int) -> None:
@@ -170,20 +196,14 @@ def unescape_path(name: str) -> str:
 
 
 def upsert_persisted(spark: SparkSession, path: str, new: DataFrame, ttl_seconds: float | None = 86400,
-                     batch_id: int = 0, buckets: int = BUCKETS) -> None:
-    """S4 on a stored table: only buckets that hold a new row's key are read and rewritten."""
+                     batch_id: int = 0, buckets: int | None = None) -> None:
+    """S4 on a stored table: only partitions that gain or lose a row are rewritten.  buckets: of a new table."""
     at = stored_buckets(spark, path) if path_exists(spark, path) else None
     if at is None:
         write_store(upsert_responses(None, new, ttl_seconds, batch_id), path, buckets=buckets)
         return
-    # of the dependencies in a bucket, those that neither lose nor gain a row stay as they are
-    now = bucket_rows(spark, path, new, at).checkpoint()
-    latest = upsert_responses(now, new, ttl_seconds, batch_id).withColumn("bucket", bucket_of(F.col("key_hash"), at))
-    changed = (now.join(new.select("key_hash"), "key_hash", "left_semi").select(*PARTITION)
-               .unionByName(new.select("dependency", bucket_of(F.col("key_hash"), at).alias("bucket"))).distinct().checkpoint())
-    same = latest["dependency"].eqNullSafe(changed["dependency"]) & (latest["bucket"] == changed["bucket"])
-    _replace(spark, path, latest.join(F.broadcast(changed), same, "left_semi").drop("bucket"),
-             changed.join(now.select(*PARTITION).distinct(), PARTITION, "left_semi"), at)
+    now = touched_rows(spark, path, new, at).checkpoint()
+    _replace(spark, path, upsert_responses(now, new, ttl_seconds, batch_id), now.select(*PARTITION).distinct(), at)
 
 
 def purge_persisted(spark: SparkSession, path: str, dependency: str | None = None, expired_before=None) -> int:

@@ -185,7 +185,7 @@ def latest_updates(spark: SparkSession, out_path: str, keys: list[str]) -> DataF
 
 
 def upsert_stream(new_rows: DataFrame, store_root: str, checkpoint: str, ttl_seconds: float | None = 86400,
-                  buckets: int = S.BUCKETS):
+                  buckets: int = 16):
     """T4: keep a persisted store current; a batch reads and rewrites the buckets of its keys and no others.
 
     A batch that is tried again writes the rows it wrote before, which win by
