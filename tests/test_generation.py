@@ -1,5 +1,7 @@
 """Prompts, bodies, conformance and the model path on a small corpus."""
 import json
+import re
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -84,16 +86,67 @@ def test_bodies_and_conformance(spark):
                for r in ok)
 
 
-def test_conformance_at_depth():
-    schema = [{"field_path": p, "depth": p.count("."), "json_key": p.rsplit(".", 1)[-1], "json_type": t, "required": q,
-               "nullable": False} for p, t, q in (("id", "string", True), ("home", "object", True), ("home.city", "string", True),
-                                                  ("past", "array", False), ("past[].city", "string", True))]
-    c = GEN.conformance('{"id": 1, "home": {"town": "x"}, "past": [{"city": "a"}, {}], "more": 0}', schema, False)
+def _conformance(spark, bodies, schema):
+    """Results by body; schema: (path, type, required[, nullable]) of one struct; a body in a list stands for a list body."""
+    names = ("repo", "root_dir", "root_package", "root")
+    rows = [("r", "d", "p", "S", f[0], f[0].count("."), f[0].rsplit(".", 1)[-1], f[1], f[2], f[3] if len(f) > 3 else False)
+            for f in schema]
+    fields = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names) + ", field_path string, depth int, "
+                                   "json_key string, json_type string, required boolean, nullable boolean")
+    given = [(i, "r", "d", "p", "S", "array" if is_list else "object", b) for i, (b, is_list) in enumerate(bodies)]
+    df = spark.createDataFrame(given, "request_id long, repo string, response_dir string, response_package string, "
+                               "response_type string, body_type string, body string")
+    got = {r["request_id"]: r for r in GEN.check_conformance(df, fields).collect()}
+    return [got[i] for i in range(len(bodies))]
+
+
+def test_conformance_at_depth(spark):
+    schema = [("id", "string", True), ("home", "object", True), ("home.city", "string", True), ("past", "array", False),
+              ("past[].city", "string", True)]
+    c, *rest = _conformance(spark, [
+        ('{"id": 1, "home": {"town": "x"}, "past": [{"city": "a"}, {}], "more": 0}', False), ('{"id": "a", "id": "b"}', False),
+        ("[]", False), ("[]", True), (None, False), ('[{"id": "a", "home": {"city": "c"}}, 7]', True), ("{}", False), ("", True)], schema)
     assert (c["missing"], c["unexpected"], c["mismatched"]) == ("home.city,past[].city", "home.town,more", "id")
     assert c["n_fields"] == 5 and c["n_ok"] == 2
-    assert not GEN.conformance('{"id": "a", "id": "b"}', schema, False)["valid_json"]
-    assert not GEN.conformance("[]", schema, False)["valid_json"] and GEN.conformance("[]", schema, True)["valid_json"]
-    assert not GEN.conformance(None, schema, False)["valid_json"]
+    assert [r["valid_json"] for r in rest] == [False, False, True, False, True, True, False]
+    assert [(r["n_fields"], r["n_ok"]) for r in rest] == [(3, 0), (3, 0), (0, 0), (3, 0), (4, 3), (3, 0), (3, 0)]
+    assert (rest[4]["mismatched"], rest[5]["missing"]) == ("[]", "home,id")
+
+
+def test_conformance_of_every_type(spark):
+    """Each JSON value against each type, nulls only where they may be."""
+    values = {"string": '"x"', "integer": "7", "long": "123456789012345678901234567890", "number": "7.5", "one": "1.0", "exp": "1e3",
+              "boolean": "true", "array": "[1]", "object": '{"a": {"b": [1]}}', "null": "null"}
+    fits = {"string": {"string"}, "integer": {"integer", "long"}, "number": {"integer", "long", "number", "one", "exp"},
+            "boolean": {"boolean"}, "array": {"array"}, "object": {"object"}, "ref": {"object"}, "any": set(values)}
+    for nullable in (False, True):
+        schema = [(t, t, False, nullable) for t in fits]
+        bodies = [("{" + ", ".join(f'"{t}": {v}' for t in fits) + "}", False) for v in values.values()]
+        for name, r in zip(values, _conformance(spark, bodies, schema)):
+            want = [t for t in fits if name not in fits[t] and not (name == "null" and nullable)]
+            assert r["mismatched"] == ",".join(sorted(want)), (name, nullable)
+
+
+def test_body_values_by_type(spark):
+    """A body is fixed by its request key; path values come back where they fit the type."""
+    schema = [("id", "integer", None), ("code", "string", None), ("when", "string", "date-time"), ("uid", "string", "uuid"),
+              ("cost", "number", None), ("on", "boolean", None), ("x", "any", None)]
+    rows = [("r", "d", "p", "S", k, 0, i, k, t, f, None) for i, (k, t, f) in enumerate(schema)]
+    fields = spark.createDataFrame(rows, "repo string, root_dir string, root_package string, root string, field_path string, "
+                                   "depth int, pos int, json_key string, json_type string, format string, item_type string")
+    misses = spark.createDataFrame(
+        [("k1", "r", "d", "p", "S", "object", [("id", "42"), ("code", 'a"b')]), ("k2", "r", "d", "p", "S", "object", [("id", "x")]),
+         ("k1", "r", "d", "p", "S", "array", None), (None, "r", "d", "p", "none", "object", None)],
+        "request_key string, repo string, response_dir string, response_package string, response_type string, body_type string, "
+        "path_params array<struct<key:string,value:string>>")
+    got = [json.loads(r["body"]) for r in GEN.generate_responses(misses, fields).collect()]
+    again = [json.loads(r["body"]) for r in GEN.generate_responses(misses, fields).collect()]
+    assert got == again
+    one = next(b for b in got if isinstance(b, dict) and b.get("id") == 42)
+    assert one["code"] == 'a"b' and re.fullmatch(r"20\d\d-\d\d-\d\dT\d\d:\d\d:\d\dZ", one["when"]) and one["x"] is None
+    assert uuid.UUID(one["uid"]).version == 4 and isinstance(one["cost"], float) and isinstance(one["on"], bool)
+    lists = [b for b in got if isinstance(b, list)]
+    assert len(lists) == 1 and len({b["uid"] for b in lists[0]}) == len(lists[0]) in (2, 3) and {} in got
 
 
 def test_prompts_do_not_fan_out_and_carry_their_own_schema(spark):

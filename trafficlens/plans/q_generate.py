@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -39,6 +40,38 @@ ok AS (SELECT request_id, arg_min(status_code, ord) AS status_code FROM c
         lambda z: {O.is_param('z[1]')} OR z[1] = z[2])), true) GROUP BY request_id)"""
 
 
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _field(path: str, key: str, kind: str, required: str, fmt: str = "") -> str:
+    """A field of a prompt's schema, as JSON in SQL text; ``%s`` stands for the part's size."""
+    return (f'{{"field_path":"{path}","json_key":"{key}","json_type":"{kind}",' + (f'"format":"{fmt}",' if fmt else "")
+            + f'"required":{required}}}')
+
+
+#: The schema of the corpus's one top struct, in order.
+_PART_SCHEMA = "[" + ",".join([
+    _field("id", "id", "string", "true"), _field("size_%s", "size_%s", "integer", "false"),
+    _field("made", "made", "object", "true"), _field("made.name", "name", "string", "true"),
+    _field("made.tags", "tags", "array", "false"), _field("seen", "seen", "string", "true", "date-time")]) + "]"
+
+#: CTEs over the scan's: ``mr``, the matched lineitem requests with endpoint, part size and request key.
+_MATCHED = f"""
+best AS (SELECT request_id, arg_min({{'ord': ord, 'status_code': status_code}}, ord) AS b FROM c
+  WHERE len(rsegs) = len(psegs) AND coalesce(list_bool_and(list_transform(list_zip(psegs, rsegs),
+        lambda z: {O.is_param('z[1]')} OR z[1] = z[2])), true) GROUP BY request_id),
+rr AS (SELECT r.repo, CAST(row_number() OVER (PARTITION BY r.repo ORDER BY r.path, r.line) - 1 AS INTEGER) AS ord,
+         r.method || ' ' || r.route || ' handled by ' || r.handler AS description FROM routes r),
+mr AS (SELECT r.request_id, r.method, r.path, best.b.ord AS ord, best.b.status_code AS status_code, eps.method AS ep_method,
+         eps.endpoint_path, eps.request_type, eps.response_type, eps.repo, rr.description,
+         CAST(p.p_size AS VARCHAR) AS n, sha256(r.method || '|' || r.path || '||') AS request_key,
+         CASE WHEN r.path LIKE '%/parts/%' THEN split_part(r.path, '/', 4) END AS id
+       FROM best JOIN r USING (request_id) JOIN eps ON eps.repo = split_part(r.path, '/', 2) AND eps.ord = best.b.ord
+       JOIN rr ON rr.repo = eps.repo AND rr.ord = eps.ord
+       JOIN part p ON 'svc-' || p.p_partkey = eps.repo)"""
+
+
 def make_registry_client():
     """Stand-in model for tests and queries: answers an analysis prompt with the
     routes it lists, as a fenced JSON array with a trailing comma.  What fails
@@ -79,7 +112,18 @@ def _corpus_flow(spark, sf_dir):
     return sf, rt, hd, fw, eps, routes
 
 
-@register("response_prompts")
+@register("response_prompts", f"""
+WITH {_SCAN_CTES},
+{_LINEITEM_MATCH},
+{_MATCHED}
+SELECT request_id, request_key,
+  {_sql(GEN.PROMPT_HEAD)} || ep_method || ' ' || endpoint_path || chr(10) || 'Purpose: ' || description || chr(10) || 'Status: '
+  || status_code || chr(10)
+  || CASE WHEN id IS NULL THEN '' ELSE concat(chr(10), 'Values in the path:', chr(10), '  id = ', id, chr(10)) END
+  || CASE WHEN response_type = 'Part' THEN concat(chr(10), 'Schema of the body:', chr(10), replace({_sql(_PART_SCHEMA)}, '%s', n), chr(10)) ELSE '' END
+  || CASE WHEN request_type = 'Part' THEN concat(chr(10), 'Schema of the body sent:', chr(10), replace({_sql(_PART_SCHEMA)}, '%s', n), chr(10)) ELSE '' END
+  || chr(10) || 'Rules:' || chr(10) || {_sql(chr(10).join(GEN.RESPONSE_RULES))} || chr(10) AS prompt
+FROM mr""")
 def q_response_prompts(spark, sf_dir):
     """One generation prompt per matched request (lineitem traffic on the scanned registry)."""
     sf, _, _, _, eps, routes = _corpus_flow(spark, sf_dir)
@@ -89,14 +133,43 @@ def q_response_prompts(spark, sf_dir):
     return GEN.build_response_prompts(m, eps, R.expand_fields(sf))
 
 
-@register("analysis_prompts")
+def _analysis_sql(over: int | None) -> str:
+    """G3 in SQL: the facts as JSON items, sorted within their kind."""
+    size = "false" if over is None else f"sum(length(item)) OVER (PARTITION BY repo) > {over}"
+    part = lambda k: f"'[' || coalesce(string_agg(item, ',' ORDER BY item) FILTER (kind = '{k}'), '') || ']'"
+    return f"""
+WITH {_SCAN_CTES},
+framework AS (SELECT 'svc-' || p_partkey AS repo, CASE p_size % 5 WHEN 0 THEN 'chi' WHEN 1 THEN 'gin' WHEN 2 THEN 'echo'
+  WHEN 3 THEN 'gorilla' ELSE 'stdlib' END AS framework FROM part),
+items AS (
+  SELECT repo, regexp_replace(path, '/?[^/]*$', '') AS dir, 's' AS kind, to_json({{'name': struct, 'package': package, 'file': path,
+    'fields': list({{'name': field, 'type': type, 'json_tag': json_tag, 'omitempty': omitempty}} ORDER BY pos)}})::VARCHAR AS item
+  FROM struct_fields GROUP BY repo, path, package, struct
+  UNION ALL
+  SELECT repo, regexp_replace(path, '/?[^/]*$', ''), 'r', to_json({{'method': method, 'path': route, 'handler': handler,
+    'file': path, 'line': line}})::VARCHAR FROM routes
+  UNION ALL
+  SELECT repo, regexp_replace(path, '/?[^/]*$', ''), 'h', to_json({{'name': name, 'receiver': receiver, 'file': path,
+    'decodes': decodes, 'encodes': encodes,
+    'status_codes': list_transform(list_filter(string_split(status_codes, ','), lambda x: x <> ''), lambda x: x::INTEGER)}})::VARCHAR
+  FROM handlers),
+sized AS (SELECT *, {size} AS big FROM items),
+per AS (SELECT repo, CASE WHEN big THEN dir END AS package, {part('s')} AS s, {part('r')} AS r, {part('h')} AS h
+        FROM sized GROUP BY ALL)
+SELECT repo, package, 'Facts about a Go service that uses: ' || coalesce(framework, 'unknown') || chr(10) || chr(10)
+  || '### Structs (JSON)' || chr(10) || s || chr(10) || chr(10) || '### Routes (JSON)' || chr(10) || r || chr(10) || chr(10)
+  || '### Handlers (JSON)' || chr(10) || h || chr(10) || chr(10) || {_sql(GEN.ANALYSIS_TASK)} AS prompt
+FROM per LEFT JOIN framework USING (repo)"""
+
+
+@register("analysis_prompts", _analysis_sql(None))
 def q_analysis_prompts(spark, sf_dir):
     """One analysis prompt per repo."""
     sf, rt, hd, fw, _, _ = _corpus_flow(spark, sf_dir)
     return GEN.build_analysis_prompts(sf, rt, hd, fw)
 
 
-@register("analysis_prompts_chunked")
+@register("analysis_prompts_chunked", _analysis_sql(1200))
 def q_analysis_prompts_chunked(spark, sf_dir):
     """Prompts longer than 1,200 characters are split per package."""
     sf, rt, hd, fw, _, _ = _corpus_flow(spark, sf_dir)
@@ -126,35 +199,82 @@ def _bodies(spark, sf_dir):
          .withColumn("request_key", K.request_key("method", "path", F.lit(""), F.lit(""))))
     m = m.join(eps.select("dependency", F.col("ord").alias("endpoint_ord"), *BODY, "body_type"),
                ["dependency", "endpoint_ord"])
-    fields = R.expand_fields(sf)
+    fields = R.expand_fields(sf).checkpoint()
     return GEN.generate_responses(m.select("request_id", "request_key", *BODY, "body_type", "path_params"), fields), fields
 
 
-@register("generate_responses")
+def _body_sql() -> str:
+    """G5 in SQL for the corpus's top struct: each value from the digest of request key and field path."""
+    digest = lambda path: f"sha256(request_key || '|' || {path})"
+    number = lambda path: f"('0x' || substr({digest(path)}, 1, 7))::BIGINT"
+    text = lambda key, path: f"'\"{key}-' || substr({digest(path)}, 1, 8) || '\"'"
+    tags = ",' || ".join(text("tags", f"'made.tags#{i}'") + " || '" for i in range(2 + zlib.crc32(b"made.tags") % 2))
+    when = (f"strftime(to_timestamp(1700000000 + {number(_sql('seen'))} % 31536000) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ')")
+    return f"""CASE WHEN response_type = 'Part' THEN
+  '{{"id":' || coalesce('"' || id || '"', {text('id', _sql('id'))}) || ',"size_' || n || '":' || {number("'size_' || n")} % 1000
+  || ',"made":{{"name":' || {text('name', _sql('made.name'))} || ',"tags":[' || {tags}]}},"seen":"' || {when} || '"}}'
+  ELSE '{{}}' END"""
+
+
+@register("generate_responses", f"""
+WITH {_SCAN_CTES},
+{_LINEITEM_MATCH},
+{_MATCHED}
+SELECT request_id, request_key, repo, response_type, {_body_sql()} AS body FROM mr""")
 def q_generate_responses(spark, sf_dir):
     """Schema-conforming bodies, deterministic per request key, params echoed."""
     b, _ = _bodies(spark, sf_dir)
     return b.select("request_id", "request_key", "repo", "response_type", "body")
 
 
-@register("check_conformance")
-def q_check_conformance(spark, sf_dir):
-    """Field accuracy of generated bodies and of repaired model outputs."""
-    b, fields = _bodies(spark, sf_dir)
-    gen = GEN.check_conformance(b.select("request_id", *BODY, "body_type", "body"), fields)
-    # every model output is held against the schema of the Part that its id names
-    raw = D.raw_outputs(spark, sf_dir)
+def _model_bodies(spark, sf_dir):
+    """Every model output, to be held against the schema of the Part that its id names."""
     parts = D.table(spark, sf_dir, "part").agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    model = raw.select(
+    return D.raw_outputs(spark, sf_dir).select(
         F.col("output_id").alias("request_id"),
         F.concat(F.lit("svc-"), (F.col("output_id") % parts + 1).cast("string")).alias("repo"),
         F.lit("api").alias("response_dir"), F.lit("api").alias("response_package"),
         F.lit("Part").alias("response_type"), F.lit("array").alias("body_type"), repair_json("raw").alias("body"))
+
+
+#: CTE ``model``: the events' model outputs: how many objects in the list (null: no list), and their own keys.
+_MODEL_SQL = """
+model AS (SELECT event_id AS request_id, 'svc-' || (event_id % (SELECT count(*) FROM part) + 1) AS repo,
+  CASE event_id % 5 WHEN 3 THEN 0 WHEN 4 THEN NULL ELSE 1 END AS objects, json_keys(props) AS keys FROM events),
+known AS (SELECT 'svc-' || p_partkey AS repo, p_size FROM part WHERE p_size % 7 > 1)"""
+
+
+@register("check_conformance", f"""
+WITH {_SCAN_CTES},
+{_LINEITEM_MATCH},
+{_MODEL_SQL}
+SELECT 'generated' AS source, count(*) AS bodies, count(*) AS valid_bodies, 1.0::DOUBLE AS field_accuracy FROM ok
+UNION ALL
+SELECT 'model', count(*), count(objects), 0.0::DOUBLE FROM model""")
+def q_check_conformance(spark, sf_dir):
+    """Field accuracy of generated bodies and of repaired model outputs."""
+    b, fields = _bodies(spark, sf_dir)
+    gen = GEN.check_conformance(b.select("request_id", *BODY, "body_type", "body"), fields)
+    model = _model_bodies(spark, sf_dir)
     mod = GEN.check_conformance(model, fields)
     return GEN.field_accuracy(gen.withColumn("source", F.lit("generated")), ["source"]).unionByName(
         GEN.field_accuracy(mod.withColumn("source", F.lit("model")), ["source"]))
 
 
+@register("conformance_rows", f"""
+WITH {_MODEL_SQL}
+SELECT request_id, objects IS NOT NULL AS valid_json,
+  CASE WHEN objects > 0 AND p_size IS NOT NULL THEN 'id,made,seen' ELSE '' END AS missing,
+  CASE WHEN objects > 0 AND p_size IS NOT NULL THEN array_to_string(list_sort(keys), ',') ELSE '' END AS unexpected,
+  '' AS mismatched, CASE WHEN p_size IS NULL OR objects = 0 THEN 0 ELSE 4 END::BIGINT AS n_fields, 0::BIGINT AS n_ok
+FROM model LEFT JOIN known USING (repo)""")
+def q_conformance_rows(spark, sf_dir):
+    """G6 per model output: what is missing and what is unexpected against the schema that its id names."""
+    _, sf, _, _, _ = _scan(spark, sf_dir)
+    return GEN.check_conformance(_model_bodies(spark, sf_dir), R.expand_fields(sf).checkpoint()).select(
+        "request_id", "valid_json", "missing", "unexpected", "mismatched", "n_fields", "n_ok")
+
+
 def make_body_client():
     """Stand-in model that writes bodies: it never answers where a path value ends in 7, and its answers are
     fenced and have a trailing comma."""
