@@ -152,6 +152,8 @@ def match_requests(requests: DataFrame, routes: DataFrame, strategy: str = "auto
     if strategy == "array":
         return _match_array(requests, routes)
     if strategy == "hash":
+        if requests.isStreaming:
+            raise ValueError("too many routes to ride along a stream: match it per micro-batch (match_stream)")
         return _match_hash(requests, routes)
     raise ValueError(f"unknown strategy {strategy!r}")
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from trafficlens import schemas
 from trafficlens.functions import gosrc as G
 from trafficlens.functions.paths import normalize_param
+from trafficlens.operators import extract as X
+from trafficlens.session import delete, list_names, path_exists
 
 
 def directory(path: F.Column) -> F.Column:
@@ -262,3 +264,58 @@ def load_or_scan(spark: SparkSession, path: str, scan, rescan: bool = False) ->
                 raise
     scan()
     return read_registry(spark, path)
+
+
+# ------------------------------------------------------------ rescan of changed files
+def _overwrite(spark: SparkSession, rows: DataFrame, path: str, touched: list[str]) -> None:
+    """Replaces the buckets ``touched`` by ``rows`` (all of them in these buckets); one left without rows is removed."""
+    rows = rows.checkpoint()
+    (rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("bucket").parquet(path))
+    have = {r[0] for r in rows.select("bucket").distinct().collect()}
+    delete(spark, *[f"{path}/bucket={b}" for b in touched if b not in have])
+
+
+def rescan(spark: SparkSession, files: DataFrame, path: str, buckets: int = 64) -> tuple[DataFrame, int]:
+    """S3 for a corpus that changes: (endpoints as J3 gives them for all files, how many files were extracted).
+
+    files: (repo, path, content), the whole corpus, already filtered (S1).
+    Under ``path`` lie what was found in each file, with the digest of its
+    text, and the endpoints; both by buckets of repos.  Only files that are
+    new or differ are extracted, only buckets with such files or with removed
+    ones are rewritten, and only their repos' endpoints are joined again.
+    Files that do not parse are remembered too.  A run that ended early is
+    repaired by the next: a file's digest is written with what was found in it,
+    and buckets whose endpoints were not written are in ``_pending``.
+    """
+    scan_path, end_path, pending = f"{path}/scan", f"{path}/endpoints", f"{path}/_pending"
+    bucket = F.concat(F.lit("b"), F.pmod(F.xxhash64("repo"), F.lit(buckets)).cast("string"))
+    now = files.select("repo", "path", F.sha2("content", 256).alias("digest"), bucket.alias("bucket"))
+    known = (spark.read.schema("repo string, path string, digest string, bucket string").parquet(scan_path)
+             if path_exists(spark, scan_path) else now.limit(0))
+    old = known.select("repo", "path", F.col("digest").alias("_old"), F.col("bucket").alias("_b"))
+    diff = (now.join(old, ["repo", "path"], "full_outer").where(~F.col("digest").eqNullSafe(F.col("_old")))
+            .select("repo", "path", "digest", F.coalesce("bucket", "_b").alias("bucket")).checkpoint())
+    touched = sorted({r[0] for r in diff.select("bucket").distinct().collect()}
+                     | {n[2:] for n in list_names(spark, pending) if n.startswith("b=")})
+    changed = diff.where(F.col("digest").isNotNull())
+    n = changed.count()
+    if touched:
+        spark.createDataFrame([(b,) for b in touched], "b string").withColumn("x", F.lit(1)).write.mode("append").partitionBy("b").parquet(pending)
+        found = X.scan_source(files.join(changed.select("repo", "path"), ["repo", "path"], "left_semi"))
+        fresh = changed.join(found, ["repo", "path"], "left")
+        kept = None
+        if path_exists(spark, scan_path):
+            kept = (spark.read.schema(fresh.schema).parquet(scan_path).where(F.col("bucket").isin(touched))
+                    .join(diff.select("repo", "path"), ["repo", "path"], "left_anti"))
+        _overwrite(spark, fresh if kept is None else kept.select(*fresh.columns).unionByName(fresh), scan_path, touched)
+        again = spark.read.schema(fresh.schema).parquet(scan_path).where(F.col("bucket").isin(touched) & F.col("package").isNotNull())
+        ends = build_registry(X.extract_routes(again).checkpoint(), X.collect_handler_calls(again).checkpoint(),
+                              X.extract_struct_fields(again).checkpoint())
+        _overwrite(spark, ends.withColumn("bucket", bucket), end_path, touched)
+        delete(spark, pending)
+    out = spark.read.parquet(end_path) if any(x.startswith("bucket=") for x in list_names(spark, end_path)) else None
+    if out is None:
+        empty = X.scan_source(files.limit(0))
+        return build_registry(X.extract_routes(empty), X.collect_handler_calls(empty), X.extract_struct_fields(empty)), n
+    return out.drop("bucket"), n

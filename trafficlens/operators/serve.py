@@ -17,6 +17,13 @@ def with_keys(df: DataFrame) -> DataFrame:
         "request_key", request_key(F.col("method"), F.col("path"), F.col("query"), F.col("body_hash")))
 
 
+def match_keyed(requests: DataFrame, routes: DataFrame, match_strategy: str = "auto") -> tuple[DataFrame, DataFrame]:
+    """(matched requests with their keys, unmatched requests), from one stored matching."""
+    # matched requests feed the dedup, the attach join and the unmatched rows
+    m = match_requests(requests, routes, strategy=match_strategy).checkpoint()
+    return with_keys(m.where(F.col("endpoint_path").isNotNull())), m.where(F.col("endpoint_path").isNull())
+
+
 def serve_flags(requests: DataFrame, routes: DataFrame, ttl_seconds: float | None = 86400,
                 match_strategy: str = "auto", dedup_strategy: str = "auto") -> DataFrame:
     """Match every request, then decide hit/miss per key for the matched ones.
@@ -24,13 +31,10 @@ def serve_flags(requests: DataFrame, routes: DataFrame, ttl_seconds: float | Non
     Unmatched requests never reach the store (match precedes lookup): their
     ``hit`` and ``request_key`` are NULL and their status is 501.
     """
-    # matched requests feed the dedup, the attach join and the unmatched rows
-    m = match_requests(requests, routes, strategy=match_strategy).checkpoint()
-    matched = with_keys(m.where(F.col("endpoint_path").isNotNull()))
+    matched, missed = match_keyed(requests, routes, match_strategy)
     flagged = ttl_dedup(matched, "request_key", ts="ts", id_col="request_id",
                         ttl_seconds=ttl_seconds, strategy=dedup_strategy)
-    unmatched = (m.where(F.col("endpoint_path").isNull())
-                 .withColumn("body_hash", F.lit(None).cast("string"))
+    unmatched = (missed.withColumn("body_hash", F.lit(None).cast("string"))
                  .withColumn("request_key", F.lit(None).cast("string"))
                  .withColumn("hit", F.lit(None).cast("boolean"))
                  .withColumn("entry_created_at", F.lit(None).cast("timestamp")))

@@ -320,6 +320,42 @@ def q_struct_fields_generic(spark, sf_dir):
     return X.extract_struct_fields(X.scan_source(X.scan_filter(D.service_files(spark, sf_dir))))
 
 
+_EXTRA = "package main\n\nfunc extra() {\n\tr.Put(\"/extra\", h.List)\n}\n"
+
+
+def _changed_corpus(spark, sf_dir):
+    """The service corpus after an edit: some files changed, some gone, some new."""
+    part = F.substring_index("repo", "-", -1).cast("long")
+    main = F.col("path") == "cmd/server/main.go"
+    f = X.scan_filter(D.service_files(spark, sf_dir)).withColumn("_p", part)
+    kept = f.where(~(main & (F.col("_p") % 7 == 0))).withColumn("content", F.when(
+        main & (F.col("_p") % 5 == 0), F.replace("content", F.lit('"/raw"'), F.lit('"/raw2"'))).otherwise(F.col("content")))
+    new = f.where(main & (F.col("_p") % 11 == 0)).withColumn("path", F.lit("cmd/extra/main.go")).withColumn("content", F.lit(_EXTRA))
+    return kept.unionByName(new).drop("_p")
+
+
+@register("rescan_changed", f"""
+WITH {_SERVICE},
+p AS (SELECT 'svc-' || p_partkey AS repo, p_partkey AS k FROM part),
+v AS (SELECT repo, path, CASE WHEN k % 5 = 0 AND path = 'cmd/server/main.go' THEN replace(t, '"/raw"', '"/raw2"') ELSE t END AS t
+      FROM files JOIN p USING (repo) WHERE NOT (k % 7 = 0 AND path = 'cmd/server/main.go')
+      UNION ALL SELECT repo, 'cmd/extra/main.go', {_sql_text(_EXTRA)} FROM p WHERE k % 11 = 0),
+m AS (SELECT repo, path, string_split(regexp_replace(t, '{_CALL}', chr(1) || '\\0', 'g'), chr(1)) AS p FROM v),
+c AS (SELECT repo, path, i, p[i + 1] AS s FROM m, range(1, 50) r(i) WHERE i < len(p)),
+g AS (SELECT repo, path, i, regexp_extract(s, '{_CALL}', 1) AS name, regexp_extract(s, '{_CALL}', 2) AS lit FROM c)
+SELECT repo AS dependency, CAST(row_number() OVER (PARTITION BY repo ORDER BY path, i) - 1 AS INTEGER) AS ord,
+  CASE WHEN name IN ('Get', 'Post', 'Put') THEN upper(name) WHEN contains(lit, ' ') THEN split_part(lit, ' ', 1) ELSE 'ANY' END AS method,
+  CASE WHEN contains(lit, ' ') THEN split_part(lit, ' ', 2) ELSE lit END AS endpoint_path,
+  (SELECT count(*) FILTER (k % 5 = 0 AND k % 7 <> 0) + count(*) FILTER (k % 11 = 0) FROM p)::BIGINT AS extracted
+FROM g""")
+def q_rescan_changed(spark, sf_dir):
+    """S3: a corpus is scanned, edited and scanned again; only the edited files are extracted the second time."""
+    path = shared_path(spark, "rescan")
+    R.rescan(spark, X.scan_filter(D.service_files(spark, sf_dir)), path)
+    ends, n = R.rescan(spark, _changed_corpus(spark, sf_dir), path)
+    return ends.select("dependency", "ord", "method", "endpoint_path", F.lit(n).cast("long").alias("extracted"))
+
+
 @register("type_mapping", f"""
 WITH {lines_cte()}, {_FIELDS}
 SELECT repo, struct, field, type,

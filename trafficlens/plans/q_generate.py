@@ -185,7 +185,7 @@ def q_batch_infer(spark, sf_dir):
     sf, rt, hd, fw, _, _ = _corpus_flow(spark, sf_dir)
     prompts = GEN.build_analysis_prompts(sf, rt, hd, fw)
     out = GEN.batch_infer(prompts, make_registry_client, system=GEN.ANALYSIS_SYSTEM, max_retries=2,
-                          validate="endpoints", sleep=_no_sleep)
+                          validate="endpoints", sleep=_no_sleep, answers_path=shared_path(spark, "answers"))
     parsed, _ = parse_endpoints(out.select(F.col("repo").alias("output_id"), F.col("response").alias("raw")))
     n = parsed.groupBy("output_id").agg(F.count(F.lit(1)).alias("n_endpoints"))
     return out.join(n, out["repo"] == n["output_id"], "left").select(
@@ -334,6 +334,48 @@ def q_error_responses(spark, sf_dir):
     return GEN.error_responses(m.where(F.col("endpoint_path").isNull()))
 
 
+def _dated_requests(spark, sf_dir):
+    li = D.table(spark, sf_dir, "lineitem")
+    return (_lineitem_requests(spark, sf_dir)
+            .join(li.select(lineitem_request_id().alias("request_id"),
+                            F.col("l_shipdate").cast("timestamp").alias("ts"),
+                            F.col("l_quantity").cast("double").alias("latency_ms")), "request_id")
+            .withColumn("query", F.lit("")).withColumn("body", F.lit("")))
+
+
+CUT, KEEP_DAYS = "1995-06-17 00:00:00", 400
+
+
+@register("serve_batch_stored", f"""
+WITH RECURSIVE {_SCAN_CTES}, {_LINEITEM_MATCH}, {_MATCHED},
+mk AS (SELECT mr.*, r.ts FROM mr JOIN r USING (request_id)),
+early AS (SELECT * FROM mk WHERE ts < TIMESTAMP '{CUT}'),
+{ttl_cte('early', 'request_key', KEEP_DAYS * 86400 * 1_000_000, 'a')},
+held AS (SELECT k, max(s) AS s FROM astarts GROUP BY k),
+looked AS (SELECT mk.*, coalesce(epoch_us(ts) <= held.s + {KEEP_DAYS * 86400 * 1_000_000}, false) AS stored
+           FROM mk LEFT JOIN held ON held.k = mk.request_key WHERE ts >= TIMESTAMP '{CUT}'),
+rest AS (SELECT * FROM looked WHERE NOT stored),
+{ttl_cte('rest', 'request_key', KEEP_DAYS * 86400 * 1_000_000, 'b')}
+SELECT l.request_id, l.request_key, l.status_code AS status, l.stored OR d.hit AS hit,
+  CASE WHEN stored THEN '{{"kept":' || {_body_sql()} || '}}' ELSE {_body_sql()} END AS body
+FROM looked l LEFT JOIN bdedup d USING (request_id)
+UNION ALL
+SELECT request_id, NULL, 501, NULL, to_json({{'error': 'no matching endpoint', 'method': method, 'path': path}})
+FROM r WHERE ts >= TIMESTAMP '{CUT}' AND request_id NOT IN (SELECT request_id FROM mk)""")
+def q_serve_batch_stored(spark, sf_dir):
+    """G8 against a filled store: earlier traffic fills it (bodies marked), later traffic is answered from its live
+    entries, from new ones where it has none or an expired one, and with 501 rows."""
+    sf, _, _, _, eps, routes = _corpus_flow(spark, sf_dir)
+    fields = R.expand_fields(sf).checkpoint()
+    req = _dated_requests(spark, sf_dir)
+    early = F.col("ts") < F.lit(CUT).cast("timestamp")
+    _, store = GEN.serve_batch(req.where(early), routes, eps, fields, ttl_seconds=KEEP_DAYS * 86400)
+    path = shared_path(spark, "served-store")
+    S.write_store(store.withColumn("response_body", F.concat(F.lit('{"kept":'), "response_body", F.lit("}"))), path)
+    got, _ = GEN.serve_batch(req.where(~early), routes, eps, fields, S.read_store(spark, path), ttl_seconds=KEEP_DAYS * 86400)
+    return got.select("request_id", "request_key", "status", "hit", "body")
+
+
 @register("serve_batch", f"""
 WITH RECURSIVE {_SCAN_CTES}, {_LINEITEM_MATCH},
 mk AS (SELECT r.request_id, r.ts, r.method || '|' || r.path AS request_key, ok.status_code FROM r JOIN ok USING (request_id)),
@@ -345,12 +387,7 @@ SELECT status, hit, CAST(count(*) AS BIGINT) AS responses, CAST(count(*) AS BIGI
 def q_serve_batch(spark, sf_dir):
     """The whole flow on lineitem traffic: responses by status and hit, plus store size."""
     sf, _, _, _, eps, routes = _corpus_flow(spark, sf_dir)
-    li = D.table(spark, sf_dir, "lineitem")
-    req = (_lineitem_requests(spark, sf_dir)
-           .join(li.select(lineitem_request_id().alias("request_id"),
-                           F.col("l_shipdate").cast("timestamp").alias("ts"),
-                           F.col("l_quantity").cast("double").alias("latency_ms")), "request_id")
-           .withColumn("query", F.lit("")).withColumn("body", F.lit("")))
+    req = _dated_requests(spark, sf_dir)
     responses, store = GEN.serve_batch(req, routes, eps, R.expand_fields(sf), ttl_seconds=30 * 86400)
     summary = responses.groupBy("status", "hit").agg(F.count(F.lit(1)).alias("responses"),
                                                      F.count("body").alias("with_body"))
