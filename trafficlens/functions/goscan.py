@@ -59,7 +59,7 @@ def scan(content: str, wanted) -> dict | None:
     """package, statements, calls (of names that ``wanted`` accepts) and funcs of a file; None if it does not parse.
 
     statements: (block, start, line, depth, owner, text, targets, values), those below
-    the file's level; owner is the head of the type declaration around it, if
+    the file's level and type declarations; owner is the head of the type declaration around it, if
     any.  calls: (block, line, start, stop, name, args) of ``x.name(args)``,
     the line being that of x.  funcs: (block, receiver, name, params).
     """
@@ -85,7 +85,7 @@ def scan(content: str, wanted) -> dict | None:
                 funcs.append((at, start, stop, args))
             else:
                 calls.append((at, first_line, start, stop, name, args))
-        if s.depth and text:
+        if text and (s.depth or text.startswith("type ")):
             whole = s.text()
             values = _cut(whole, [s.equals, *s.commas, s.size]) if s.equals >= 0 else []
             targets = whole[:s.equals].rstrip(":= ") if s.equals >= 0 else ""

@@ -203,7 +203,8 @@ def framework_from_imports(imports: DataFrame) -> DataFrame:
 SCANNED = ("package string, statements array<struct<block:int,start:int,line:int,depth:int,owner:string,text:string,"
            "targets:string,values:array<string>>>, calls array<struct<block:int,line:int,start:int,stop:int,name:string,"
            "args:array<string>>>, funcs array<struct<block:int,receiver:string,name:string,params:array<string>>>")
-_CALLS = {*G.DECODE_CALLS, *G.ENCODE_CALLS, "WriteHeader", "HandleFunc", "Handle"}
+_GROUPS = ["Route", "Group"]
+_CALLS = {*G.DECODE_CALLS, *G.ENCODE_CALLS, "WriteHeader", "HandleFunc", "Handle", *_GROUPS}
 
 
 def _wanted(name: str) -> bool:
@@ -245,19 +246,21 @@ _NAMED = rf"(?s)^({IDENT}(\s*,\s*{IDENT})*)\s+(\S.*)$"
 _TAG = r"(?s)(`[^`]*`|\"(?:[^\"\\]|\\.)*\")$"
 
 
-def extract_struct_fields(source: DataFrame) -> DataFrame:
+def extract_struct_fields(source: DataFrame, generics: bool = False) -> DataFrame:
     """Repo, path, package, struct, pos, field, type, json_tag, omitempty.
 
     Struct types declared at the file's level, alone or in a group, on one
     line or several, with or without type parameters.  Unexported named fields
     are skipped; an embedded field is named by its type; ``A, B int`` gives
     two rows; a missing tag becomes the lower-cased name (not for embedded
-    fields).
+    fields).  With ``generics`` two more columns let J4 expand generic types:
+    source_type (the type as written) and type_params (the struct's).
     """
     body = (_scanned(source).select("repo", "path", "package", F.explode("statements").alias("s"))
             .where((F.col("s.depth") == 1) & F.col("s.owner").rlike(_STRUCT))
             .select("repo", "path", "package", F.regexp_extract("s.owner", _STRUCT, 1).alias("struct"),
-                    F.col("s.start").alias("start"), F.col("s.text").alias("content")))
+                    F.col("s.start").alias("start"), F.col("s.text").alias("content"),
+                    F.regexp_replace(F.regexp_extract("s.owner", _STRUCT, 2), r"^\[|\]$", "").alias("_params")))
     tag = F.regexp_extract("content", _TAG, 1)
     decl = G.strip(F.regexp_replace("content", _TAG, ""))
     # what stands before a space is a name, unless it is a type's own word
@@ -266,47 +269,120 @@ def extract_struct_fields(source: DataFrame) -> DataFrame:
     parsed = body.select(
         "repo", "path", "package", "struct", "start",
         F.when(is_named, F.split(F.regexp_extract(decl, _NAMED, 1), "\\s*,\\s*")).alias("_names"),
-        G.type_text(ftype).alias("type"), G.parse_json_tag(tag).alias("_tag"))
+        G.type_text(ftype).alias("type"), G.parse_json_tag(tag).alias("_tag"),
+        F.regexp_replace(G.strip(ftype), r"\s+", " ").alias("source_type"),
+        F.filter(F.transform(F.split("_params", ","), lambda x: F.regexp_extract(x, rf"^\s*({IDENT})", 1)), lambda x: x != "")
+        .alias("type_params"))
+    more = ["source_type", "type_params"] if generics else []
     named_rows = (parsed.where(F.col("_names").isNotNull())
                   .select("*", F.posexplode("_names").alias("_i", "field"))
                   .where(F.substring("field", 1, 1).rlike("^\\p{Lu}"))
                   .select("repo", "path", "package", "struct", "start", "_i", "field", "type",
                           F.when(F.col("_tag.key") == "", F.lower("field")).otherwise(F.col("_tag.key")).alias("json_tag"),
-                          F.col("_tag.omitempty").alias("omitempty")))
+                          F.col("_tag.omitempty").alias("omitempty"), *more))
     embedded = (parsed.where(F.col("_names").isNull())
                 .select("repo", "path", "package", "struct", "start", F.lit(0).alias("_i"),
                         F.col("type").alias("field"), "type", F.col("_tag.key").alias("json_tag"),
-                        F.col("_tag.omitempty").alias("omitempty")))
+                        F.col("_tag.omitempty").alias("omitempty"), *more))
     rows = named_rows.unionByName(embedded)
     w = Window.partitionBy("repo", "path", "struct").orderBy("start", "_i")
     return rows.select("repo", "path", "package", "struct", (F.row_number().over(w) - 1).alias("pos"),
-                       "field", "type", "json_tag", "omitempty")
+                       "field", "type", "json_tag", "omitempty", *more)
+
+
+_NAMED_TYPE = rf"(?s)^type\s+({IDENT})\s*=?\s*([^\s=\[({{][^({{]*|\[.*|map\[.*)$"
+
+
+def named_types(source: DataFrame) -> DataFrame:
+    """repo, path, package, name, target of types declared as another type: ``type UserID string``, ``type IDs = []UserID``.
+
+    Structs, interfaces, functions and types with parameters are left out.
+    """
+    text = F.regexp_replace(F.col("s.text"), r"\s+", " ")
+    rows = (_scanned(source).select("repo", "path", "package", F.explode("statements").alias("s"))
+            .where((F.col("s.depth") == 0) & text.rlike(_NAMED_TYPE)))
+    target = G.type_text(F.regexp_extract(text, _NAMED_TYPE, 2))
+    return (rows.select("repo", "path", "package", F.regexp_extract(text, _NAMED_TYPE, 1).alias("name"), target.alias("target"))
+            .where(~F.col("target").contains("unknown") & ~F.col("target").rlike(r"(^|\W)(struct|interface)(\W|$)")))
+
+
+_WRAPPED = r"^((?:[*]|\[\]|\.\.\.)*)(.*)$"
+
+
+def _home(path):
+    return F.regexp_replace(path, "/?[^/]*$", "")
+
+
+def resolve_named_types(struct_fields: DataFrame, named: DataFrame) -> DataFrame:
+    """``struct_fields`` with named types and aliases replaced by what they stand for, through any chain of them.
+
+    A name without a package belongs to the field's directory and package; ``pkg.Name`` to
+    the first directory (in order) of a package of that name.  A name that
+    leads back to itself stays as it is.  One join per link of the longest chain.
+    """
+    n = named.select("repo", _home(F.col("path")).alias("_dir"), F.col("package").alias("_pkg"), F.col("name").alias("_name"),
+                     F.col("target").alias("_target"))
+    first = Window.partitionBy("repo", "_pkg", "_name").orderBy("_dir")
+    n = n.groupBy("repo", "_dir", "_pkg", "_name").agg(F.min("_target").alias("_target"))
+    n = n.withColumn("_first", F.row_number().over(first) == 1).withColumnRenamed("repo", "_repo").checkpoint()
+    rows = struct_fields.withColumn("_at", _home(F.col("path"))).withColumn("_in", F.col("package")).withColumn(
+        "_seen", F.array().cast("array<string>")).withColumn("_now", F.col("type")).withColumn("_open", F.lit(True))
+    hit, key = F.col("_name").isNotNull(), F.concat_ws("\n", "_dir", "_pkg", "_name")
+    again = hit & F.array_contains("_seen", key)
+    while True:
+        rows = rows.withColumn("_base", F.regexp_extract("_now", _WRAPPED, 2))
+        dotted = F.col("_base").contains(".")
+        same = (F.col("_open") & (F.col("repo") == F.col("_repo")) & (F.substring_index("_base", ".", -1) == F.col("_name"))
+                & (F.when(dotted, F.substring_index("_base", ".", 1)).otherwise(F.col("_in")) == F.col("_pkg"))
+                & F.when(dotted, F.col("_first")).otherwise(F.col("_at") == F.col("_dir")))
+        rows = rows.join(n, same, "left").select(
+            *struct_fields.columns,
+            F.when(again, F.col("type")).when(hit, F.concat(F.regexp_extract("_now", _WRAPPED, 1), F.col("_target")))
+            .otherwise(F.col("_now")).alias("_now"),
+            F.when(hit, F.col("_dir")).otherwise(F.col("_at")).alias("_at"),
+            F.when(hit, F.col("_pkg")).otherwise(F.col("_in")).alias("_in"),
+            F.when(hit, F.array_append("_seen", key)).otherwise(F.col("_seen")).alias("_seen"),
+            (hit & ~again).alias("_open")).checkpoint()
+        if rows.where("_open").isEmpty():
+            break
+    return rows.select(*[F.col("_now").alias("type") if c == "type" else F.col(c) for c in struct_fields.columns])
 
 
 # ------------------------------------------------------------------ X3
 _STRING = r'(?s)^("(?:[^"\\]|\\.)*"|`[^`]*`)$'
 
 
-def extract_routes(source: DataFrame) -> DataFrame:
+def _group_prefix(c):
+    """The joined first arguments of the group calls around a call, from the outside in (``calls``: all of the file's)."""
+    around = F.filter("calls", lambda g: g["name"].isin(*_GROUPS) & (F.size(g["args"]) >= 2) & (g["start"] < c["start"])
+                      & (g["stop"] >= c["stop"]) & F.get(g["args"], F.lit(0)).rlike(_STRING))
+    ordered = F.array_sort(F.transform(around, lambda g: F.struct(g["start"].alias("start"), g["args"].alias("args"))))
+    return F.array_join(F.transform(ordered, lambda g: F.regexp_replace(F.get(g["args"], F.lit(0)), r"^[\"`]|/*[\"`]$", "")), "")
+
+
+def extract_routes(source: DataFrame, groups: bool = False) -> DataFrame:
     """Repo, path, line, method, route, handler.
 
     ``.Verb("lit", h, ...)`` for the seven verbs (case-insensitive) on any
     receiver, also inside a chain of calls; ``HandleFunc``/``Handle`` with a
     'METHOD /path' pattern or method ANY.  Handler = second argument; line =
     where the receiver begins.  Non-literal or empty routes are dropped; a
-    back-quoted literal keeps its back-quotes.
+    back-quoted literal keeps its back-quotes.  With ``groups`` a route inside
+    ``x.Route("/prefix", func...)`` or ``x.Group("/prefix", func...)`` has that
+    prefix, and those of the groups around it, before it.
     """
     verb = F.upper("c.name").isin(*G.HTTP_VERBS)
     first = F.get("c.args", F.lit(0))
-    calls = (_scanned(source).select("repo", "path", F.explode("calls").alias("c"))
+    calls = (_scanned(source).select("repo", "path", *(["calls"] if groups else []), F.explode("calls").alias("c"))
              .where((verb | F.col("c.name").isin("HandleFunc", "Handle")) & (F.size("c.args") >= 2) & first.rlike(_STRING)))
     lit = F.when(first.startswith('"'), F.regexp_replace(first, '^"+|"+$', "")).otherwise(first)
     pat = G.parse_route_pattern(lit)
     method = F.when(verb, F.upper("c.name")).otherwise(F.coalesce(pat["method"], F.lit("ANY")))
     route = F.when(verb, lit).otherwise(F.coalesce(pat["path"], lit))
+    prefix = _group_prefix(F.col("c")) if groups else F.lit("")
     out = calls.select("repo", "path", F.col("c.line").alias("line"), method.alias("method"), route.alias("route"),
-                       G.handler_name(F.get("c.args", F.lit(1))).alias("handler"))
-    return out.where(F.col("route") != "")
+                       G.handler_name(F.get("c.args", F.lit(1))).alias("handler"), prefix.alias("_prefix"))
+    return out.where(F.col("route") != "").withColumn("route", F.concat("_prefix", "route")).drop("_prefix")
 
 
 # ------------------------------------------------------------------ X4

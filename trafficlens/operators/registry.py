@@ -94,6 +94,32 @@ def build_registry(routes: DataFrame, handlers: DataFrame, struct_fields: DataFr
     return out.withColumn("ord", (F.row_number().over(wo) - 1).cast("int"))
 
 
+_INSTANCE = rf"(?s)^((?:[*]|\[\]|\.\.\.)*)(?!map\[)({G.IDENT}(?:\.{G.IDENT})?)\[(.*)\]$"
+
+
+def _type_args(text) -> F.Column:
+    """The arguments of a generic type, split at the commas that stand in no bracket of their own."""
+    def open_(t):
+        return F.length(F.replace(t, F.lit("["), F.lit(""))) != F.length(F.replace(t, F.lit("]"), F.lit("")))
+
+    def step(acc, x):
+        last = F.try_element_at(acc, F.lit(-1))
+        return F.when((F.size(acc) > 0) & open_(last), F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), F.concat(last, F.lit(","), x))) \
+            .otherwise(F.array_append(acc, G.strip(x)))
+
+    return F.aggregate(F.split(text, ","), F.array().cast("array<string>"), step)
+
+
+def _with_args(text, params, args) -> F.Column:
+    """A type's text with type parameters replaced by their arguments, all at once."""
+    name = lambda p: F.concat(F.lit(r"(?<![\w.])"), p, F.lit(r"(?!\w)"))
+    spot = lambda i: F.concat(F.lit("\x01"), i.cast("string"), F.lit("\x02"))
+    each = F.sequence(F.lit(0), F.size(params) - 1)
+    marked = F.aggregate(each, text, lambda t, i: F.regexp_replace(t, name(F.get(params, i)), spot(i)))
+    filled = F.aggregate(each, marked, lambda t, i: F.replace(t, spot(i), F.coalesce(F.get(args, i), F.get(params, i))))
+    return F.when((F.size(params) > 0) & (F.size(args) > 0), filled).otherwise(text)
+
+
 def expand_fields(struct_fields: DataFrame) -> DataFrame:
     """Every struct fully expanded into (repo, root_dir, root_package, root, field_path, depth, ...).
 
@@ -104,21 +130,35 @@ def expand_fields(struct_fields: DataFrame) -> DataFrame:
     stops there, and nothing else does, so the loop ends with the longest
     path.  Each level is one equi-join of the frontier with the field table
     and is checkpointed, so the plan stays linear in depth.
+
+    With X2's columns source_type and type_params (``generics``) a field of
+    type ``Page[User]`` expands to the fields of Page with User in place of its
+    parameter.  A generic struct stops where it repeats on its own path with
+    arguments that hold the ones it had.
     """
     sf = struct_fields.where(F.col("json_tag") != "-").withColumn("dir", directory(F.col("path")))
-    typed = sf.withColumn("_m", G.map_source_type(F.col("type"))).checkpoint()
+    if "source_type" not in sf.columns:
+        sf = sf.withColumn("source_type", F.col("type")).withColumn("type_params", F.array().cast("array<string>"))
+    typed = sf.withColumn("_embeds", F.col("field") == F.col("type")).checkpoint()
     structs = typed.select("repo", "package", "struct", "path").distinct().checkpoint()
     roots = ["repo", "root_dir", "root_package", "root"]
     name_of = lambda d, p, s: F.concat_ws("\n", d, p, s)  # noqa: E731 - no path has a newline in this corpus layout
+    own = ["pos", F.col("field").alias("name"), "type", "json_tag", "omitempty", "source_type", "type_params", "_embeds"]
     level = (typed.select(
         "repo", F.col("dir").alias("root_dir"), F.col("package").alias("root_package"), F.col("struct").alias("root"),
-        F.col("dir").alias("_dir"), "pos", F.col("field").alias("name"), "type", "json_tag", "omitempty", "_m",
-        F.array(name_of("dir", "package", "struct")).alias("_seen"), F.lit("").alias("_prefix"),
-        F.lit(0).alias("depth"), F.array(F.col("pos")).alias("_order")))
+        F.col("dir").alias("_dir"), *own, F.array().cast("array<string>").alias("_args"),
+        F.array(F.struct(name_of("dir", "package", "struct").alias("key"), F.lit("").alias("args"))).alias("_seen"),
+        F.lit("").alias("_prefix"), F.lit(0).alias("depth"), F.array(F.col("pos")).alias("_order")))
     out_levels = []
     while True:
+        written = _with_args(F.col("source_type"), F.col("type_params"), F.col("_args"))
+        level = level.withColumn("_written", written).withColumn("_inside", F.regexp_extract("_written", _INSTANCE, 3))
+        plain = F.when((F.size("_args") > 0) & (F.size("type_params") > 0), G.type_text(F.col("_written"))).otherwise(F.col("type"))
+        level = level.withColumn("type", F.when(F.col("_inside") != "", F.concat(
+            F.regexp_extract("_written", _INSTANCE, 1), F.regexp_extract("_written", _INSTANCE, 2))).otherwise(plain))
+        level = level.withColumn("_m", G.map_source_type(F.col("type")))
         level = _struct_lookup(level, structs, "type", "_dir", "child", [*roots, "_order"])
-        embedded = (F.col("name") == F.col("type")) & F.col("child_struct").isNotNull()
+        embedded = F.col("_embeds") & F.col("child_struct").isNotNull()
         key = F.when(F.col("json_tag") == "", F.lower("name")).otherwise(F.col("json_tag"))
         emit = level.where(~embedded).select(
             *roots, F.concat("_prefix", key).alias("field_path"), "depth",
@@ -131,18 +171,20 @@ def expand_fields(struct_fields: DataFrame) -> DataFrame:
             (~F.col("omitempty")).alias("required"), F.col("_m.nullable").alias("nullable"))
         out_levels.append(emit)
         child = name_of("child_dir", "child_package", "child_struct")
-        grow = level.where(F.col("child_struct").isNotNull() & ~F.array_contains("_seen", child))
+        repeats = F.exists("_seen", lambda s: (s["key"] == child) & F.col("_inside").contains(s["args"]))
+        grow = level.where(F.col("child_struct").isNotNull() & ~repeats)
         child_prefix = F.when(embedded, F.col("_prefix")).otherwise(
             F.concat(F.col("_prefix"), key, F.when(F.col("child_array"), F.lit("[].")).otherwise(F.lit("."))))
         parents = grow.select(
             *roots, F.col("child_struct").alias("_cs"), F.col("child_package").alias("_cp"),
             F.col("child_dir").alias("_cd"),
-            F.array_append("_seen", child).alias("_seen"), child_prefix.alias("_prefix"),
+            F.array_append("_seen", F.struct(child.alias("key"), F.col("_inside").alias("args"))).alias("_seen"),
+            child_prefix.alias("_prefix"),
+            F.when(F.col("_inside") != "", _type_args(F.col("_inside"))).otherwise(F.array().cast("array<string>")).alias("_args"),
             F.when(embedded, F.col("depth")).otherwise(F.col("depth") + 1).alias("depth"),
             F.col("_order").alias("_porder"))
         kids = typed.select("repo", F.col("dir").alias("_cd"), F.col("package").alias("_cp"),
-                            F.col("struct").alias("_cs"), F.col("dir").alias("_dir"), "pos",
-                            F.col("field").alias("name"), "type", "json_tag", "omitempty", "_m")
+                            F.col("struct").alias("_cs"), F.col("dir").alias("_dir"), *own)
         level = (parents.join(kids, ["repo", "_cd", "_cp", "_cs"])
                  .withColumn("_order", F.concat("_porder", F.array(F.col("pos"))))
                  .drop("_cd", "_cp", "_cs", "_porder")).checkpoint()

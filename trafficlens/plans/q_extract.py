@@ -184,16 +184,14 @@ def q_imports(spark, sf_dir):
 WITH {lines_cte("ends_with(path, '.go')")}, {_IMPORTS},
 c AS (SELECT repo, coalesce(fwmap.fw, CASE WHEN imports.import = 'net/http' THEN 'stdlib' END) AS fw, count(*) AS n
       FROM imports LEFT JOIN fwmap USING (import)
-      WHERE NOT (import = 'net/http' AND repo LIKE '%7') GROUP BY ALL HAVING fw IS NOT NULL),
+      GROUP BY ALL HAVING fw IS NOT NULL),
 b AS (SELECT repo, arg_min(fw, (-n, fw)) FILTER (WHERE fw <> 'stdlib') AS best,
       max(n) FILTER (WHERE fw = 'stdlib') AS std FROM c GROUP BY repo)
 SELECT repo, coalesce(best, CASE WHEN std > 0 THEN 'stdlib' END, 'unknown') AS framework
 FROM (SELECT DISTINCT repo FROM files) LEFT JOIN b USING (repo)""")
 def q_detect_framework(spark, sf_dir):
-    """A1: framework per repo by import counts (some repos are left without a known import)."""
-    imports = X.extract_imports(_import_blocks(spark, sf_dir))
-    imports = imports.where(~((F.col("import") == "net/http") & F.col("repo").endswith("7")))
-    return X.detect_framework(imports, _files(spark, sf_dir))
+    """A1: framework per repo by import counts."""
+    return X.detect_framework(X.extract_imports(_import_blocks(spark, sf_dir)), _files(spark, sf_dir))
 
 
 @register("framework_from_imports", f"""
@@ -296,7 +294,7 @@ def q_handlers_multiline(spark, sf_dir):
                     F.array_join(F.transform("status_codes", lambda c: c.cast("string")), ",").alias("status_codes"))
 
 
-@register("struct_fields_generic", f"""
+_GENERIC_SQL = f"""
 WITH {_SERVICE},
 s AS (SELECT repo, path, unnest(regexp_extract_all(t, '\\w+(?:\\[[^\\]]*\\])? struct ?\\{{[^{{}}]*\\}}')) AS s FROM files),
 b AS (SELECT repo, path, regexp_extract(s, '^\\w+') AS struct,
@@ -314,12 +312,56 @@ SELECT repo, path, 'model' AS package, struct,
   CASE WHEN nm = '' THEN type ELSE nm END AS field, type,
   CASE WHEN tag <> '' THEN split_part(tag, ',', 1) WHEN nm = '' THEN '' ELSE lower(nm) END AS json_tag,
   contains(tag, ',omitempty') AS omitempty
-FROM x WHERE nm = '' OR regexp_matches(nm, '^[A-Z]')""")
+FROM x WHERE nm = '' OR regexp_matches(nm, '^[A-Z]')"""
+
+
+@register("struct_fields_generic", _GENERIC_SQL)
 def q_struct_fields_generic(spark, sf_dir):
     """X2 over structs with type parameters, on one line, in groups, and embedded generic types."""
     return X.extract_struct_fields(X.scan_source(X.scan_filter(D.service_files(spark, sf_dir))))
 
 
+@register("resolved_types", f"""
+SELECT repo, path, struct, field, CASE type WHEN 'Codes' THEN '[]string' WHEN '*SKU' THEN '*string' ELSE type END AS type
+FROM ({_GENERIC_SQL})""")
+def q_resolved_types(spark, sf_dir):
+    """Named types and aliases closed over before the types are mapped (opt-in)."""
+    s = X.scan_source(X.scan_filter(D.service_files(spark, sf_dir))).checkpoint()
+    return X.resolve_named_types(X.extract_struct_fields(s), X.named_types(s)).select("repo", "path", "struct", "field", "type")
+
+
+#: The fields of ItemPage once its generic types are expanded: path, depth, json_type, item_type, required.
+_ITEM_PAGE = [("items", 0, "array", "object", True), ("items[].id", 1, "string", None, True), ("items[].size", 1, "integer", None, True),
+              ("items[].weight", 1, "integer", None, True), ("total_%N%", 0, "integer", None, True), ("next", 0, "object", None, True),
+              ("next.key", 1, "string", None, True), ("next.value", 1, "object", None, False), ("next.value.id", 2, "string", None, True),
+              ("next.value.size", 2, "integer", None, True), ("next.value.weight", 2, "integer", None, True),
+              ("seen", 0, "object", None, True), ("codes", 0, "ref", None, True), ("first", 0, "ref", None, True)]
+
+
+@register("expand_fields_generic", "SELECT 'svc-' || p_partkey AS repo, replace(v.path, '%N%', CAST(p_size AS VARCHAR)) AS field_path, "
+          "v.depth, v.pos, v.json_type, v.item_type, v.required FROM part, (VALUES "
+          + ", ".join(f"({_sql_text(p)}, {d}, {i}, '{t}', {_sql_text(x) if x else 'NULL'}, {str(q).lower()})"
+                      for i, (p, d, t, x, q) in enumerate(_ITEM_PAGE)) + ") v(path, depth, pos, json_type, item_type, required)")
+def q_expand_fields_generic(spark, sf_dir):
+    """J4 with generic structs: embedded Page[Item] and Pair[string, Item] expand to the fields of their arguments."""
+    s = X.scan_source(X.scan_filter(D.service_files(spark, sf_dir)))
+    return R.expand_fields(X.extract_struct_fields(s, generics=True)).where(F.col("root") == "ItemPage").select(
+        "repo", "field_path", "depth", "pos", "json_type", "item_type", "required")
+
+
+@register("routes_grouped", f"""
+WITH {_SERVICE},
+m AS (SELECT repo, path, string_split(regexp_replace(t, '{_CALL}', chr(1) || '\\0', 'g'), chr(1)) AS p FROM files),
+c AS (SELECT repo, path, p[i + 1] AS s, split_part(array_to_string(p[1:i], ''), 'r.Route("/v1"', 2) AS since
+      FROM m, range(1, 50) r(i) WHERE i < len(p)),
+g AS (SELECT repo, path, since, regexp_extract(s, '{_CALL}', 2) AS lit FROM c)
+SELECT repo, path, CASE WHEN since <> '' AND NOT contains(since, chr(10) || chr(9) || '}})') THEN '/v1' ELSE '' END
+  || CASE WHEN contains(lit, ' ') THEN split_part(lit, ' ', 2) ELSE lit END AS route FROM g""")
+def q_routes_grouped(spark, sf_dir):
+    """X3 with the prefixes of the route groups around each route (opt-in)."""
+    return X.extract_routes(X.scan_source(X.scan_filter(D.service_files(spark, sf_dir))), groups=True).select("repo", "path", "route")
+
+
 _EXTRA = "package main\n\nfunc extra() {\n\tr.Put(\"/extra\", h.List)\n}\n"
 
 

@@ -139,10 +139,16 @@ type (
 
 type Item struct{ ID string `json:"id"`; Size, Weight int; hidden bool }
 
+type SKU string
+
+type Codes = []SKU
+
 type ItemPage struct {
 	Page[Item]
 	Next Pair[string, Item] `json:"next"`
 	Seen map[string][]time.Time `json:"seen"`
+	Codes Codes `json:"codes"`
+	First *SKU `json:"first"`
 }
 """),
     ("api/items.go", """package api
