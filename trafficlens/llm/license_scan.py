@@ -3,11 +3,16 @@ parser evaluates the tags' ``AND`` / ``OR`` / ``WITH`` expressions.
 
 A text is lower-cased (A-Z only) and cut into words of digits, letters and
 non-ASCII characters; phrases are searched as consecutive words.  The base
-phrases give the base labels; the longer phrase list and the identifiers of
-well-formed tag expressions add labels of their own.
+phrases give the base labels; the longer phrase list (names, notices, short
+names, identifiers written out, in both spellings) and the identifiers of
+well-formed tag expressions add labels of their own; an identifier of no known
+family is labelled ``other``.
 
-``score`` (0 to 1) is the chance that the text carries a licence statement:
-1 - prod(1 - weight) over its distinct findings.
+A tag's expression is evaluated in one pass over its postfix form:
+``required`` has the labels that every way to satisfy it needs, ``choices``
+those that only some need.  ``score`` (0 to 1) is the chance that the text
+carries a licence statement: 1 - prod(1 - weight) over its distinct findings;
+each required label of an expression is one, its choices together are one.
 
 Null and empty texts have no words, no places, empty labels and score 0.
 Malformed expressions (unbalanced, missing operand, stray characters) add
@@ -29,6 +34,8 @@ from trafficlens.llm.registry import register
 # The base phrases and their labels.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
+BASE_WEIGHT, TAG_WEIGHT = 0.9, 0.95
+
 # Further notice phrases: label and how strongly the phrase alone speaks for a licence statement.
 NOTICE_PHRASES = {
     "lesser general public license": ("lgpl", 0.9),
@@ -45,14 +52,51 @@ NOTICE_PHRASES = {
     "permission is hereby granted free of charge": ("mit", 0.8),
     "redistribution and use in source and binary forms": ("bsd", 0.8),
     "all rights reserved": ("proprietary", 0.5),
+    "permission to use copy modify and or distribute this software": ("isc", 0.8),
+    "this is free and unencumbered software released into the public domain": ("unlicense", 0.9),
+    "boost software license": ("boost", 0.9),
+    "common development and distribution license": ("cddl", 0.9),
+    "zlib license": ("zlib", 0.8),
+    "artistic license": ("artistic", 0.8),
+    "do what the fuck you want to public license": ("wtfpl", 0.9),
+    "python software foundation license": ("psf", 0.9),
+    "server side public license": ("sspl", 0.9),
+    "open software license": ("osl", 0.8),
+    "academic free license": ("afl", 0.8),
+    "dedicated to the public domain": ("public-domain", 0.7),
 }
-BASE_WEIGHT, TAG_WEIGHT = 0.9, 0.95
+
+# Identifiers with their versions, as they stand in headers and file lists.
+IDENTIFIERS = {"apache": ("2.0", "1.1"), "gpl": ("2.0", "3.0"), "lgpl": ("2.0", "2.1", "3.0"), "agpl": ("1.0", "3.0"),
+               "mpl": ("1.1", "2.0"), "epl": ("1.0", "2.0"), "cc by": ("3.0", "4.0"), "cc by sa": ("3.0", "4.0"),
+               "cc0": ("1.0",), "cddl": ("1.0", "1.1")}
+
+
+def notice_phrases() -> dict[str, tuple[str, float]]:
+    """All notice phrases: those listed, short names with versions, and ``licence`` beside ``license``."""
+    out = dict(NOTICE_PHRASES)
+    for name, versions in IDENTIFIERS.items():
+        label = "cc" if name.startswith("cc") and name != "cddl" else name
+        for v in versions:
+            major, minor = v.split(".")
+            for form in (f"{name} {major} {minor}", f"{name} v{major}", f"{name} v{major} {minor}", f"{name} version {major}",
+                         f"{name}v{major}"):
+                out.setdefault(form, (label, 0.6))
+    for name in ("gpl", "lgpl", "agpl"):
+        out[f"gnu {name}"] = (name, 0.7)
+    both = {**out, **{p: (label, BASE_WEIGHT) for p, label in BASE_PHRASES.items()}}
+    out |= {p.replace("license", "licence"): x for p, x in both.items() if "license" in p}
+    out |= {p.replace("licensed", "licenced"): x for p, x in out.items() if "licensed" in p}
+    return out
+
+
 TAG = "spdx license identifier"
 
 # Identifier prefixes (lower case) and their label.
 FAMILIES = (("apache", "apache"), ("agpl", "agpl"), ("lgpl", "lgpl"), ("gpl", "gpl"), ("mit", "mit"),
             ("bsd", "bsd"), ("mpl", "mpl"), ("epl", "epl"), ("isc", "isc"), ("cc", "cc"), ("unlicense", "unlicense"),
-            ("zlib", "zlib"))
+            ("zlib", "zlib"), ("bsl", "boost"), ("cddl", "cddl"), ("artistic", "artistic"), ("wtfpl", "wtfpl"),
+            ("python", "psf"), ("psf", "psf"), ("sspl", "sspl"), ("osl", "osl"), ("afl", "afl"))
 
 #: Every byte to what the words' alphabet makes of it: A-Z lower-cased, letters, digits and non-ASCII kept, else a space.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
@@ -61,12 +105,13 @@ WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <=
 TAG_LINE = re.compile(r"spdx[^0-9A-Za-z\n]*license[^0-9A-Za-z\n]*identifier[ \t]*:?[ \t]*([^\n]*)", re.I | re.A)
 TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
 PRIORITY = {"or": 1, "and": 2, "with": 3}
+NOTICES = notice_phrases()
 
 
 def automaton() -> ahocorasick.Automaton:
     """Finds all phrases in text of the form " word word ... "; a finding is (phrase, number of characters)."""
     out = ahocorasick.Automaton()
-    for p in {*BASE_PHRASES, *NOTICE_PHRASES, TAG}:
+    for p in {*BASE_PHRASES, *NOTICES, TAG}:
         out.add_word(f" {p} ", (p, len(p) + 2))
     out.make_automaton()
     return out
@@ -159,22 +204,51 @@ def expression_ids(expression: str) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def family(identifier: str) -> str | None:
+def family(identifier: str) -> str:
     low = identifier.lower()
-    return next((label for prefix, label in FAMILIES if low.startswith(prefix)), None)
+    return next((label for prefix, label in FAMILIES if low.startswith(prefix)), "other")
+
+
+def obligations(expression: str) -> tuple[frozenset[str], frozenset[str]] | None:
+    """(required, choices): labels that every way to satisfy an expression needs, and those that only some need.
+
+    None for a malformed expression.  One pass over the postfix form; as
+    labels are few, a long expression stays linear.  An exception (``WITH``)
+    belongs to the licence before it and needs a single one there.
+    """
+    rpn = postfix(expression)
+    if rpn is None:
+        return None
+    stack: list[tuple[frozenset[str], frozenset[str], bool]] = []  # required, all, a single licence
+    for t in rpn:
+        if t not in PRIORITY:
+            one = frozenset([family(t)])
+            stack.append((one, one, True))
+            continue
+        b, a = stack.pop(), stack.pop()
+        if t == "with":
+            if not (a[2] and b[2]):
+                return None
+            stack.append((a[0], a[1], False))
+        elif t == "and":
+            stack.append((a[0] | b[0], a[1] | b[1], False))
+        else:
+            stack.append((a[0] & b[0], a[1] | b[1], False))
+    required, every, _ = stack[0]
+    return required, every - required
 
 
 def scan_text(text: bytes, machine: ahocorasick.Automaton) -> dict:
     words = text.translate(WORD_BYTES).split()
     out = {"n_words": len(words), "n_base": 0, "first_word": None, "last_word": None, "base_labels": "",
-           "labels": "", "score": 0.0, "expressions": [], "starts": [], "phrases": []}
+           "labels": "", "required": "", "choices": "", "score": 0.0, "expressions": [], "ids": [], "starts": [], "phrases": []}
     flat = " " + b" ".join(words).decode("latin-1") + " "
     found = [(end - n + 1, p) for end, (p, n) in machine.iter(flat)]
     if not found:
         return out
     found.sort()
     weight: dict[str, float] = {}
-    base, labels = set(), set()
+    base, labels, required, choices = set(), set(), set(), set()
     at = word = 0
     tagged = False
     for start, p in found:
@@ -192,29 +266,34 @@ def scan_text(text: bytes, machine: ahocorasick.Automaton) -> dict:
             base.add(BASE_PHRASES[p])
             labels.add(BASE_PHRASES[p])
             weight[p] = BASE_WEIGHT
-        if p in NOTICE_PHRASES:
-            label, w = NOTICE_PHRASES[p]
+        if p in NOTICES:
+            label, w = NOTICES[p]
             labels.add(label)
             weight[p] = max(w, weight.get(p, 0))
     if tagged:
         for m in TAG_LINE.finditer(text.decode()):
-            ids = expression_ids(m.group(1))
-            if ids:
-                out["expressions"].append(m.group(1).strip())
-            for x in ids:
-                label = family(x)
-                if label:
-                    labels.add(label)
-                weight[f"id {x}"] = TAG_WEIGHT if label else 0.5
+            got = obligations(m.group(1))
+            if got is None:
+                continue
+            out["expressions"].append(m.group(1).strip())
+            out["ids"] += [x for x in expression_ids(m.group(1)) if x not in out["ids"]]
+            required |= got[0]
+            choices |= got[1]
+            for x in got[0]:
+                weight[f"id {x}"] = max(0.5 if x == "other" else TAG_WEIGHT, weight.get(f"id {x}", 0))
+            if got[1]:
+                weight["one of " + ",".join(sorted(got[1]))] = 0.5 if got[1] == {"other"} else TAG_WEIGHT
+    labels |= required | choices
     miss = 1.0
     for k in sorted(weight):
         miss *= 1 - weight[k]
-    out |= {"base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(labels)), "score": 1 - miss}
+    out |= {"base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(labels)), "score": 1 - miss,
+            "required": ",".join(sorted(required)), "choices": ",".join(sorted(choices - required))}
     return out
 
 
 SCHEMA = ("n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
-          "score double, expressions array<string>, starts array<long>, phrases array<string>")
+          "required string, choices string, score double, expressions array<string>, ids array<string>, starts array<long>, phrases array<string>")
 
 
 def license_scan(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -225,8 +304,8 @@ def license_scan(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
         machine = automaton()
         for cols in batches:
             got = [scan_text(t, machine) for t in utf8(cols["text"])]
-            kinds = {"base_labels": pa.string(), "labels": pa.string(), "score": pa.float64(),
-                     "expressions": pa.list_(pa.string()), "starts": pa.list_(pa.int64()),
+            kinds = {"base_labels": pa.string(), "labels": pa.string(), "required": pa.string(), "choices": pa.string(), "score": pa.float64(),
+                     "expressions": pa.list_(pa.string()), "ids": pa.list_(pa.string()), "starts": pa.list_(pa.int64()),
                      "phrases": pa.list_(pa.string())}
             yield {k: pa.array([g[k] for g in got], kinds.get(k, pa.int64())) for k in got[0]}
 
@@ -236,4 +315,5 @@ def license_scan(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 @register("op3_license_scan")
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = license_scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
-    return got.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return got.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score",
+                      "required", "choices")
