@@ -2,12 +2,15 @@
 
 Base spans come from three patterns (assign, access, hex).  The lexer reads
 ``name = literal``, ``name: literal``, ``"name": "literal"``, ``name := ...``,
-``name => ...`` pairs.  A literal keeps its place; a plain name on the right
+``name => ...`` pairs, also with a type between (``name: str = ...``, ``var
+name string = ...``); literals may hold escaped quotes or run over lines
+between triple quotes.  A literal keeps its place; a plain name on the right
 side, ``${name}`` or a ``+`` chain of literals and names is resolved through
-the constants bound earlier in the text.  A literal is scored by the names it
-reaches (how sensitive they are, directly or through constants) times how
-much it looks like key material; at 0.5 or more it becomes a ``literal``
-span.  Base spans always stay.
+the constants bound earlier in the text, and of a call that reads a setting
+(``getenv("NAME", "default")``) the defaults count.  A literal is scored by
+the names it reaches (how sensitive they are, directly or through constants)
+times how much it looks like key material or a passphrase; at 0.5 or more it
+becomes a ``literal`` span.  Base spans always stay.
 
 Spans are code points, end exclusive.  Null and empty texts have none
 (digest of the empty string).  Repeated rows get equal results, an empty
@@ -47,8 +50,19 @@ THRESHOLD = 0.5
 
 OPERATOR = re.compile(rb":=|=>|=(?!=)|:(?!:|//)")
 NAME_BACKWARDS = re.compile(rb"""[ \t]*+\]?["'`]?([A-Za-z0-9_.\-]*[A-Za-z_])""")  # on the reversed text
-TERM = re.compile(rb"""[ \t]*+(?:"([^"\n]*+)"|'([^'\n]*+)'|`([^`\n]*+)`|\$\{([A-Za-z_][A-Za-z0-9_.]*)\}"""
-                  rb"""|\$?([A-Za-z_][A-Za-z0-9_.]*)(?![A-Za-z0-9+/_=\-])|([A-Za-z0-9+/_.=\-]{8,}))""")
+# Typed declarations, on the reversed text: the name before ``: type``, or between a keyword and a type.
+ANNOTATED = re.compile(rb"""[ \t]*+[A-Za-z0-9_.\[\], |<>?*&]*+:[ \t]*+["']?([A-Za-z0-9_.\-]*[A-Za-z_])""")
+DECLARED = re.compile(rb"[ \t]*+[A-Za-z0-9_.\[\]*<>]++[ \t]++([A-Za-z0-9_]+)[ \t]++(?:rav|tsnoc|tel|lav|lanif|citats)(?![A-Za-z0-9_])")
+_QUOTED = (rb'"""((?:(?!""").)*+)"""|' rb"'''((?:(?!''').)*+)'''|"
+           rb"""\"((?:[^\"\\\n]|\\.)*+)\"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`""")
+TERM = re.compile(rb"""[ \t]*+(?:""" + _QUOTED + rb"""|\$\{([A-Za-z_][A-Za-z0-9_.]*)\}"""
+                  rb"""|\$?([A-Za-z_][A-Za-z0-9_.]*)(?![A-Za-z0-9+/_=\-])|([A-Za-z0-9+/_.=\-]{8,}))""", re.S)
+LITERAL, REFERENCE, WORD, BARE = (1, 2, 3, 4, 5), 6, 7, 8
+# A call's literals: of one that reads a setting, those behind its name; of one that only wraps a text, all.
+CALL = re.compile(rb"[ \t]*\(")
+ARGUMENT = re.compile(rb"[ \t\n]*+,?[ \t\n]*+(?:" + _QUOTED + rb")", re.S)
+GETTERS = (b"getenv", b"get", b"env", b"environ", b"lookup", b"config", b"getproperty", b"setting")
+WRAPPERS = (b"str", b"bytes", b"string", b"secretstr", b"secret", b"b64decode", b"bytearray")
 PLUS = re.compile(rb"[ \t]*\+")
 PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 
@@ -60,11 +74,23 @@ def sensitivity(name: str) -> float:
     return max((SENSITIVE.get(p, 0.0) for p in parts), default=0.0)
 
 
+def passphrase(value: bytes) -> float:
+    """0.6 for several words that do not read like a message, 1 for a private key, else 0."""
+    if b"PRIVATE KEY" in value:
+        return 1.0
+    words = value.split()
+    message = value.rstrip()[-1:] in b".?!:" or any(
+        k in value.lower() for k in (b"password", b"token", b"secret", b"key", b"please", b"enter", b"your", b"must", b"invalid"))
+    return 0.6 if len(words) >= 3 and len(value) >= 16 and b"\n" not in value and not message else 0.0
+
+
 def randomness(value: bytes) -> float:
-    """0 to 1: how much a literal looks like key material (length, entropy, mixed characters, no spaces)."""
+    """0 to 1: how much a literal looks like key material (length, entropy, mixed characters), or like a passphrase."""
     n = len(value)
-    if n < 8 or b" " in value or b"\t" in value:
+    if n < 8:
         return 0.0
+    if b" " in value or b"\t" in value or b"\n" in value:
+        return passphrase(value)
     counts: dict[int, int] = {}
     for c in value:
         counts[c] = counts.get(c, 0) + 1
@@ -74,6 +100,19 @@ def randomness(value: bytes) -> float:
     return min(1.0, entropy / 3.0) * min(1.0, n / 12) * (1.0 if digits and alpha else 0.6)
 
 
+def call_literals(text: bytes, callee: bytes, at: int) -> tuple[list[tuple[int, int]], int]:
+    """The spans that a call behind ``callee`` hands on, and where they end; ``at``: behind the callee."""
+    called = CALL.match(text, at)
+    last = callee.rpartition(b".")[2].lower()
+    if not called or not (last in WRAPPERS or last.endswith(GETTERS)):
+        return [], at
+    spans, pos = [], called.end()
+    while arg := ARGUMENT.match(text, pos):
+        spans.append(arg.span(arg.lastindex))
+        pos = arg.end()
+    return (spans if last in WRAPPERS else spans[1:]), pos
+
+
 def literal_spans(text: bytes) -> list[tuple[int, int, float]]:
     """Byte spans of literals whose score by target names reaches the threshold, with that score.
 
@@ -96,14 +135,15 @@ def literal_spans(text: bytes) -> list[tuple[int, int, float]]:
         uses: list[int] = []
         pos = op.end()
         while term := TERM.match(text, pos):
-            k = term.lastindex
-            if k in (1, 2, 3, 6):
+            k, end = term.lastindex, term.end()
+            if k in LITERAL or k == BARE:
                 spans.append(term.span(k))
             elif term.group(k) in bound:
                 uses.append(bound[term.group(k)])
-            elif k == 5:
-                spans.append(term.span(k))  # a bare word: a literal in configuration files
-            pos = term.end()
+            elif k == WORD:
+                handed, end = call_literals(text, term.group(k), end)
+                spans += handed or [term.span(k)]  # a bare word: a literal in configuration files
+            pos = end
             more = PLUS.match(text, pos)
             if not more:
                 break
@@ -112,10 +152,15 @@ def literal_spans(text: bytes) -> list[tuple[int, int, float]]:
             continue
         if text[op.start():op.end()] != b":":
             at = pos
-        target = name.group(1)[::-1]
-        bound[target] = len(nodes)
+        names = [name.group(1)[::-1]]
+        if text[op.start():op.end()] == b"=":
+            typed = ANNOTATED.match(back, len(text) - op.start()) or DECLARED.match(back, len(text) - op.start())
+            if typed:
+                names.append(typed.group(1)[::-1])
+        for target in names:
+            bound[target] = len(nodes)
         nodes.append((spans, uses))
-        weights.append(sensitivity(target.decode()))
+        weights.append(max(sensitivity(t.decode()) for t in names))
     best: dict[tuple[int, int], float] = {}
     for i in range(len(nodes) - 1, -1, -1):
         if weight := weights[i]:
