@@ -211,7 +211,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_
     learned = learn_words(rows.filter("part = 'fit'"), max(1, fit_n[1]), fit_n[0])
     assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     train = assemble.transform(text_features(rows, learned, ["toxic", "part"])).select("features", "toxic", "part")
-    train = train.coalesce(4).checkpoint()
+    train = train.repartition(4).checkpoint()  # the sample is small; the scan before it keeps its own tasks
     fit, calibrate = train.filter("part = 'fit'"), train.filter("part = 'calibrate'")
     if not all(fit_n) or not all(tally.get(("calibrate", k), 0) for k in (0, 1)):
         fit = calibrate = train  # too few rows for two parts
