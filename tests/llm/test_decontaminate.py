@@ -109,3 +109,18 @@ def test_odd_rows(spark):
     assert all(not r["spans"] for r in got if r["doc_id"] != 6)
     assert d.find_contamination(no_docs(spark), items).count() == 0
     assert all(not r["spans"] for r in d.find_contamination(odd_docs(spark), items.limit(0)).collect())
+
+
+def test_text_ids_repeated_items_and_many_blocks(spark):
+    """Ids that are texts stay in the list; equal texts under many ids spread over blocks; repeated rows count once."""
+    text = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
+    items = [(f"q-{i}", text) for i in range(40)] + [("one", "mu nu xi")] * 500 + [(None, "omicron pi")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    docs = spark.createDataFrame([(1, f"so {text} end"), (2, "mu nu xi omicron pi"), (3, "nothing here")], "doc_id long, text string")
+    want = None
+    for block_bytes in (1 << 20, 100):
+        got = {r["doc_id"]: (r["items"], [(s["start"], s["end"]) for s in r["spans"]])
+               for r in d.find_contamination(docs, bench, block_bytes=block_bytes).collect()}
+        want = want or got
+        assert got == want
+    assert want == {1: (sorted(f"q-{i}" for i in range(40)), [(1, 12)]), 2: (["one"], [(0, 5)]), 3: ([], [])}

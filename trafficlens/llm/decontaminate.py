@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trafficlens.llm.common import map_rows, prepare, table, utf8
 from trafficlens.llm.fm_index import FMIndex
@@ -36,14 +37,35 @@ from trafficlens.llm.registry import register
 WINDOW = 10
 SHARD_SYMBOLS = 1 << 19
 SHARD_ROWS = 20_000
-BLOCK_BYTES = 32 << 20
+#: Benchmark text of one block.  Its windows take some 80 times that in a task (measured: 81), so 2 MB are about 160 MB;
+#: the driver holds and broadcasts the text alone.
+BLOCK_BYTES = 2 << 20
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
+class Block:
+    """A block of items as it is broadcast: its texts; a task's process makes the windows from them, once."""
+
+    def __init__(self, items: list[tuple], window: int):
+        self.items, self.window, self._phrases = items, window, None
+
+    def __getstate__(self):
+        return self.items, self.window
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+    @property
+    def phrases(self) -> Phrases:
+        if self._phrases is None:
+            self._phrases = Phrases(self.items, self.window)
+        return self._phrases
+
+
 class Phrases:
     """The windows of a block of items: words as numbers from 1 (0 is the break), rows by length, items of each row."""
 
-    def __init__(self, items: list[tuple[int | None, bytes]], window: int):
+    def __init__(self, items: list[tuple[int | str | None, bytes]], window: int):
         self.words: dict[bytes, int] = {}
         owners: dict[tuple[int, ...], set] = {}
         for item, text in items:
@@ -133,13 +155,18 @@ def merge_spans(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     return docs, a[first] - docs * far, z[last] - docs * far
 
 
-SCHEMA = "n_words long, spans array<struct<start:long,end:long>>, items array<long>"
+SCHEMA = "n_words long, spans array<struct<start:long,end:long>>, items array<{}>"
 
 
-def _search_block(phrases: Phrases, shard_symbols: int):
-    """Function for map_rows; holds small columns of up to SHARD_ROWS rows until their shard is searched."""
+def _search_block(block, shard_symbols: int, id_type: str):
+    """Function for map_rows; holds small columns of up to SHARD_ROWS rows until their shard is searched.
+
+    block: broadcast Block; id_type: long or string.
+    """
+    ids = pa.list_(pa.int64() if id_type == "long" else pa.string())
 
     def run(batches):
+        phrases = block.value.phrases
         known = phrases.words.get
         shard = Shard(phrases, shard_symbols)
         waiting: list[np.ndarray] = []  # words of each row, by batch
@@ -159,8 +186,7 @@ def _search_block(phrases: Phrases, shard_symbols: int):
                 offsets = pa.array(np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32))
                 spans = pa.StructArray.from_arrays([pa.array(starts[lo:hi]), pa.array(ends[lo:hi])], ["start", "end"])
                 yield {"n_words": pa.array(counts), "spans": pa.ListArray.from_arrays(offsets, spans),
-                       "items": pa.array([sorted(shard.items.get(d, ())) for d in range(first, first + n)],
-                                         pa.list_(pa.int64()))}
+                       "items": pa.array([sorted(shard.items.get(d, ())) for d in range(first, first + n)], ids)}
                 first += n
             held = 0
             for x in (waiting, known_spans, shard.spans, shard.items):
@@ -193,23 +219,26 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
                        shard_symbols: int = SHARD_SYMBOLS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with ``n_words``, merged ``spans`` of hit words and the ``items`` whose windows occur.
 
-    benchmark: ``item_id`` (integer) and ``text``.
+    benchmark: ``item_id`` (whole numbers stay such, all else counts as text) and ``text``.
     """
     prepare(docs.sparkSession)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).filter("text IS NOT NULL")
+    id_type = "long" if isinstance(benchmark.schema["item_id"].dataType, T.IntegralType) else "string"
+    # one row per item, however often it is repeated
+    items = (benchmark.select(F.col("item_id").cast(id_type).alias("item_id"), F.col("text")).filter("text IS NOT NULL")
+             .distinct().checkpoint())
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     kept = docs.columns if keep is None else keep
     own = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.struct(F.lit(True).alias("_"))
     out = docs.select(own.alias("own"), F.col("text"),
                       F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("spans"),
-                      F.expr("cast(array() as array<long>)").alias("items"))
+                      F.expr(f"cast(array() as array<{id_type}>)").alias("items"))
     for b in range(blocks):
-        mine = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b)
-        phrases = Phrases([(r[0], r[1].encode()) for r in mine.collect()], window)
+        mine = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)) == b)
+        block = docs.sparkSession.sparkContext.broadcast(Block([(r[0], r[1].encode()) for r in mine.collect()], window))
         last = b == blocks - 1
         out = map_rows(out, {"text": "text", "spans": "spans", "items": "items"},
-                       _search_block(phrases, shard_symbols), SCHEMA, keep=["own"] if last else ["own", "text"])
+                       _search_block(block, shard_symbols, id_type), SCHEMA.format(id_type), keep=["own"] if last else ["own", "text"])
         if not last:
             out = out.checkpoint()
     return out.select(*[F.col(f"own.`{c}`").alias(c) for c in kept if c not in ("n_words", "spans", "items")],
