@@ -31,7 +31,7 @@ from trafficlens.llm.registry import register
 RULES = ("length", "word_length", "symbols", "dup_lines", "repeat_words", "runs", "function_words",
          "line_ends", "top_word", "letters", "marked_words")
 WINDOW = 8
-CACHE = 400_000
+CACHE = 100_000
 
 # Frequent function words of English, French, German and Spanish.
 FUNCTION_WORDS = frozenset(
@@ -173,24 +173,38 @@ def _pattern_votes(pattern: np.ndarray) -> np.ndarray:
     return out
 
 
+def _portions(texts: list[bytes], size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The texts in runs of about ``size`` bytes, so that the arrays over their words stay small."""
+    held: list[bytes] = []
+    n = 0
+    for t in texts:
+        held.append(t)
+        n += len(t)
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def _features(batches: Iterator[dict]) -> Iterator[dict]:
-    cache, kinds = WordHashes(), WordKinds()
+    cache, kinds = WordHashes(CACHE), WordKinds()
     for cols in batches:
-        texts = utf8(cols["text"])
-        words = Words(texts, cache)
-        kind = np.fromiter(map(kinds.__getitem__, words.flat), np.int64, len(words.flat))
-        counted = [x.tolist() for x in (words.sizes, words.repeated(), words.runs(), words.totals(kind & FUNCTION > 0),
-                                        words.totals(kind & MARKED > 0), words.most_frequent())]
         got: list[tuple] = []
-        for t, n, repeats, runs, func, marked, top in zip(texts, *counted):
-            chars = len(t.translate(None, NOT_WORD_CHARS))
-            symbols = len(t) - len(t.translate(None, SYMBOLS))
-            size, other = len(t.translate(None, SPACES)), len(t.translate(None, SPACES + LETTERS))
-            lines = [x for x in t.split(b"\n") if x.strip(SPACES)]
-            dups = len(lines) - len(set(lines))
-            ended = sum(x.rstrip(SPACES).endswith(LINE_END) for x in lines)
-            got.append((n, chars, symbols, dups, repeats, _pattern(_votes(
-                n, size, other, chars, symbols, dups, repeats, len(lines), ended, runs, func, marked, top))))
+        for texts in _portions(utf8(cols["text"])):
+            words = Words(texts, cache)
+            kind = np.fromiter(map(kinds.__getitem__, words.flat), np.int64, len(words.flat))
+            counted = [x.tolist() for x in (words.sizes, words.repeated(), words.runs(), words.totals(kind & FUNCTION > 0),
+                                            words.totals(kind & MARKED > 0), words.most_frequent())]
+            for t, n, repeats, runs, func, marked, top in zip(texts, *counted):
+                chars = len(t.translate(None, NOT_WORD_CHARS))
+                symbols = len(t) - len(t.translate(None, SYMBOLS))
+                size, other = len(t.translate(None, SPACES)), len(t.translate(None, SPACES + LETTERS))
+                lines = [x for x in t.split(b"\n") if x.strip(SPACES)]
+                dups = len(lines) - len(set(lines))
+                ended = sum(x.rstrip(SPACES).endswith(LINE_END) for x in lines)
+                got.append((n, chars, symbols, dups, repeats, _pattern(_votes(
+                    n, size, other, chars, symbols, dups, repeats, len(lines), ended, runs, func, marked, top))))
         yield dict(zip((*FEATURES, "pattern"), (pa.array(a, pa.int64()) for a in zip(*got))))
 
 
