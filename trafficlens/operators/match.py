@@ -176,18 +176,18 @@ def diagnose_unmatched(matched: DataFrame, routes: DataFrame) -> DataFrame:
     # Longest prefix per prefix string; ties between dependencies sharing a prefix -> registry order.
     dep_of_prefix = pref.groupBy("pfx", "plen").agg(F.min(F.struct("ord", "dependency"))["dependency"].alias("dep"))
     lens = routes.select(F.sort_array(F.collect_set("plen"), asc=False).alias("l")).scalar()
-    np = normalize_path(F.col("path"))
-    probe = (um.select(F.col("request_id").alias("_rid"), np.alias("_np"))
-             .select("_rid", F.explode(lens).alias("_l"), "_np")
-             .select("_rid", F.col("_np").substr(F.lit(1), F.col("_l")).alias("pfx")))
+    # the dependency follows from the path alone: repeated paths are looked up once
+    probe = (um.select(F.col("path").alias("_path")).distinct().withColumn("_np", normalize_path(F.col("_path")))
+             .select("_path", F.explode(lens).alias("_l"), "_np")
+             .select("_path", F.col("_np").substr(F.lit(1), F.col("_l")).alias("pfx")))
     longest = (probe.join(dep_of_prefix, "pfx")
-               .groupBy("_rid").agg(F.max(F.struct("plen", "dep"))["dep"].alias("_dep")))
+               .groupBy("_path").agg(F.max(F.struct("plen", "dep"))["dep"].alias("_dep")))
     ops = (routes.groupBy("dependency")
            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "ep_method", "ep_path"))),
                                          lambda x: F.concat(x["ep_method"], F.lit(" "), x["ep_path"])), ",")
                 .alias("available_operations")))
     prefixes = routes.select(F.array_join(F.array_sort(F.collect_set("pfx")), ",").alias("p")).scalar()
-    d = um.join(longest, um["request_id"] == longest["_rid"], "left").join(
+    d = um.join(longest, um["path"] == longest["_path"], "left").join(
         ops, F.col("_dep") == ops["dependency"], "left")
     no_dep = F.col("_dep").isNull()
     return d.select(
