@@ -241,9 +241,11 @@ def blocks(turns: DataFrame) -> DataFrame:
     conv_type = turns.schema["conv_id"].dataType.simpleString()
     plain = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"),
                          F.coalesce("text", F.lit("")).alias("text"))
-    rows = (map_rows(plain, {"role": "role", "text": "text"}, _digests, "digest binary, size long")
-            .repartitionByRange(n, "conv_id", "turn", "role", F.substring("text", 1, RANGE_CHARS))
-            .sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn").checkpoint())
+    ordered = (plain.repartitionByRange(n, "conv_id", "turn", "role", F.substring("text", 1, RANGE_CHARS))
+               .sortWithinPartitions("conv_id", "turn", "role", "text"))
+    # digests behind the shuffle: what samples the range bounds does not make them
+    rows = map_rows(ordered, {"role": "role", "text": "text"}, _digests, "digest binary, size long",
+                    keep=["conv_id", "role", "text"]).checkpoint()
     rows = rows.withColumn("shard", F.spark_partition_id())
     schema = f"shard int, first {conv_type}, last {conv_type}, one boolean, turns long, tokens long, hash binary"
     before = _before(rows.select("shard", "conv_id", "digest", "size").mapInArrow(_stretches, schema).collect())
