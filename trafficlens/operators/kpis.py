@@ -7,39 +7,53 @@ from pyspark.sql import functions as F
 
 ACCURACY = 10_000  # of the sketch that finds where an exact percentile lies
 MARGIN = 5 / ACCURACY
-SMALL = 20_000
+SMALL = 20_000  # rows; the margin spans several ranks of larger groups
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
-    """Per group of ``keys``: columns p0, p1, ... with the interpolated percentiles of ``value`` (nulls left out).
+    """Per group of ``keys`` (nulls are keys too): columns p0, p1, ... with the interpolated percentiles of ``value``
+    (null values left out).
+
+    Groups are counted first.  One of at most SMALL rows is aggregated by
+    itself; the others go by ``_banded``, so no task holds a large group's
+    values.  ``df`` is read for both: pass a stored frame.
+    """
+    d = df.select(F.struct(*keys).alias("_k"), F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+    large = (d.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > SMALL).select("_k").checkpoint())
+    at = F.percentile("_v", F.array(*map(F.lit, shares)))
+    each = lambda rows: rows.groupBy("_k").agg(at.alias("_p")).select(
+        "_k", *[F.col("_p")[i].alias(f"p{i}") for i in range(len(shares))])
+    if large.isEmpty():
+        found = each(d)
+    else:
+        found = each(d.join(large, "_k", "left_anti")).unionByName(_banded(d.join(large, "_k", "left_semi"), shares))
+    return found.select(*[F.col("_k")[k].alias(k) for k in keys], *[c for c in found.columns if c != "_k"])
+
+
+def _banded(d: DataFrame, shares: list[float]) -> DataFrame:
+    """Percentiles of ``_v`` by ``_k`` for large groups.
 
     A sketch per group gives two values between which each percentile lies
     (its error is a fifth of the margin); only distinct values in between are
-    counted and ranked, so no task holds a group's values.
+    counted and ranked.
     """
-    d = df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
     cuts = [x for p in shares for x in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
-    groups = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-                                  F.percentile_approx("_v", cuts, ACCURACY).alias("_cut"))
-    # where the margin is less than some ranks, the whole (small) group is the band
-    ends = F.array(*[F.lit(x) for x in range(len(cuts))])
-    groups = groups.withColumn("_cut", F.when(F.col("_n") > SMALL, F.col("_cut")).otherwise(
-        F.transform(ends, lambda i: F.when(i % 2 == 0, F.col("_min")).otherwise(F.col("_max"))))).drop("_min", "_max").checkpoint()
-    rows = d.join(groups, keys)
+    groups = d.groupBy("_k").agg(F.percentile_approx("_v", cuts, ACCURACY).alias("_cut")).checkpoint()
+    rows = d.join(groups, "_k")
     lo, hi = (lambda i: F.col("_cut")[2 * i]), (lambda i: F.col("_cut")[2 * i + 1])
-    below = rows.groupBy(*keys).agg(F.first("_n").alias("_n"), F.array(*[
+    below = rows.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"), F.array(*[
         F.count_if(F.col("_v") < lo(i)) for i in range(len(shares))]).alias("_below"))
     bands = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("share"), lo(i).alias("lo"), hi(i).alias("hi"))
                       for i, p in enumerate(shares)])
-    band = (rows.select(*keys, "_v", F.explode(bands).alias("_b")).where(F.col("_v").between(F.col("_b.lo"), F.col("_b.hi")))
-            .groupBy(*keys, "_b.i", "_b.share", "_v").agg(F.count(F.lit(1)).alias("_c")).join(below, keys))
-    end = F.get("_below", F.col("i")) + F.sum("_c").over(Window.partitionBy(*keys, "i").orderBy("_v"))
+    band = (rows.select("_k", "_v", F.explode(bands).alias("_b")).where(F.col("_v").between(F.col("_b.lo"), F.col("_b.hi")))
+            .groupBy("_k", "_b.i", "_b.share", "_v").agg(F.count(F.lit(1)).alias("_c")).join(below, "_k"))
+    end = F.get("_below", F.col("i")) + F.sum("_c").over(Window.partitionBy("_k", "i").orderBy("_v"))
     place = F.col("share") * (F.col("_n") - 1)
     at = lambda k: F.max(F.when((k >= F.col("_end") - F.col("_c")) & (k < F.col("_end")), F.col("_v")))
-    found = (band.withColumn("_end", end).withColumn("_place", place).groupBy(*keys, "i")
+    found = (band.withColumn("_end", end).withColumn("_place", place).groupBy("_k", "i")
              .agg(at(F.floor("_place")).alias("_a"), at(F.ceil("_place")).alias("_z"), F.first("_place").alias("_place")))
     one = F.col("_a") + (F.col("_z") - F.col("_a")) * (F.col("_place") - F.floor("_place"))
-    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, one)).alias(f"p{i}") for i in range(len(shares))])
+    return found.groupBy("_k").agg(*[F.max(F.when(F.col("i") == i, one)).alias(f"p{i}") for i in range(len(shares))])
 
 
 def traffic_kpis(flags: DataFrame, by_endpoint: bool = False, approx: bool = False) -> DataFrame:
