@@ -29,9 +29,8 @@ def exact(docs, train):
         pairs.update(zip([b"\n", *w], w))
     n, v = sum(words.values()), len(words)
 
-    def mean(c):
-        q = c.bit_length()
-        return (3 * 2 ** (q - 1) - 1) / 2 if c else 0
+    def least(c):
+        return 2 ** (c.bit_length() - 1) if c else 0
 
     out = {}
     for i, t in docs:
@@ -40,7 +39,7 @@ def exact(docs, train):
         for prev, x in zip([b"\n", *w], w):
             p = (words[x] + 1) / (n + v + 1)
             past = words[prev] if prev != b"\n" else max(1, words[prev])
-            ratio = min(1, mean(pairs[prev, x]) / past) if past else 0
+            ratio = min(1, least(pairs[prev, x]) / past) if past else 0
             base += math.log10(p)
             score += math.log10(0.4 * ratio + 0.6 * p)
         out[i] = (len(w), sum(words[x] > 0 for x in w), base, score)
@@ -106,8 +105,8 @@ def true_scores(docs, train):
         score = 0
         for prev, x in zip([b"\n", *w], w):
             c, past = pairs[prev, x], max(words[prev], prev == b"\n")
-            mean = (3 * 2 ** (c.bit_length() - 1) - 1) / 2 if c else 0
-            score += math.log10(0.4 * (min(1, mean / past) if past else 0) + 0.6 * (words[x] + 1) / (n + v + 1))
+            least = 2 ** (c.bit_length() - 1) if c else 0
+            score += math.log10(0.4 * (min(1, least / past) if past else 0) + 0.6 * (words[x] + 1) / (n + v + 1))
         out[i] = score
     return out
 
@@ -150,6 +149,21 @@ def test_error_rate_does_not_depend_on_the_entries():
         assert wrong < 0.03
 
 
+def test_probabilities_after_a_word_add_up_to_at_most_one():
+    # texts of one word, so each follows the end token
+    for times in ([2] * 40, [3] * 40, [1, 2, 3, 7, 15, 31] * 5):
+        count = np.array([*times, sum(times)])
+        word = np.sort(np.concatenate([np.arange(1, len(times) + 1, dtype=np.uint64), [b.END_HASH]]))
+        assert word[-1] == b.END_HASH
+        unknown = np.uint64(len(times) + 5)
+        h = np.concatenate([word, [unknown]])
+        found = b.level(np.concatenate([times, [0, 0]]))  # neither the end nor the unknown word was seen first
+        sizes = np.ones(len(h), np.int64)
+        parts = (b.WordTable(word, count), int(count.sum()), len(count))
+        total = (10 ** b._sums(parts, h, sizes, found)[3]).sum()
+        assert 1 - b.WEIGHT / 2 < total <= 1 + 1e-12
+
+
 def test_full_segment_ends():
     pair = np.arange(100, dtype=np.uint64)
     full = b.LogFrequencyFilter(np.full(8, 255, np.uint8), np.array([64]), np.array([3]), 0, 1 << 10)

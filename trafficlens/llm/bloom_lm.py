@@ -20,9 +20,11 @@ memory at a time.  An executor stores all blocks (10 bits an entry).
 Probability of word w after v, by interpolation of the quantised bigram
 estimate with add-one word frequencies:
 p(w | v) = k * c(v, w) / c(v) + (1 - k) * (c(w) + 1) / (N + V + 1), k = 0.4,
-where c(v, w) comes from the filter (the mean of its level's counts; 0 if it
-has no level 1) and c(v) is exact; the first ratio is at most 1 and is 0 for
-an unseen v.
+where c(v, w) comes from the filter (the least count of its level; 0 if it has
+no level 1) and c(v) is exact; the first ratio is at most 1 and is 0 for an
+unseen v.  As no count is taken for more than it was, the probabilities of all
+words after v add up to at most 1 (but for false positives); what is missing
+from 1 is less than half of k, and k for an unseen v.
 
 Word counts: the most frequent ``table_words`` words are broadcast as two
 sorted arrays (12 bytes a word, so the size is bounded).  Words beyond
@@ -146,9 +148,9 @@ def level(count: np.ndarray) -> np.ndarray:
     return np.frexp(count.astype(np.float64))[1].astype(np.int64)
 
 
-def mean_count(levels: np.ndarray) -> np.ndarray:
-    """The count a level stands for: the middle of [2**(q - 1), 2**q - 1]; 0 for level 0."""
-    return np.where(levels > 0, (3.0 * 2.0 ** (levels - 1.0) - 1) / 2, 0.0)
+def least_count(levels: np.ndarray) -> np.ndarray:
+    """The count a level stands for: its least, 2**(q - 1); 0 for level 0."""
+    return np.where(levels > 0, 2.0 ** (levels - 1.0), 0.0)
 
 
 def places(low: np.ndarray, lev: np.ndarray, bits: np.ndarray | int) -> np.ndarray:
@@ -303,12 +305,12 @@ class Model:
         segments = (packed.repartition(n, "segment").sortWithinPartitions("segment").mapInArrow(
             build, "segment int, words binary, counts binary, bits binary, top int, n_words long, "
                    "n_tokens long, by_level array<long>").checkpoint())
-        sizes = {r["segment"]: r for r in segments.select(
-            "segment", "n_words", "n_tokens", "by_level", "top", F.octet_length("bits").alias("bytes")).collect()}
-        self.n_tokens = sum(r["n_tokens"] for r in sizes.values())
-        self.n_words = sum(r["n_words"] for r in sizes.values())
+        tally = np.zeros(64, np.int64)
+        for r in segments.select(F.posexplode("by_level")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
+            tally[r["pos"]] = r["n"]
+        sums = segments.agg(F.sum("n_tokens"), F.sum("n_words")).first()
+        self.n_tokens, self.n_words = (x or 0 for x in sums)
         # the lowest level from which all words fit the table
-        tally = np.sum([r["by_level"] for r in sizes.values()], axis=0) if sizes else np.zeros(64, np.int64)
         self.least = 1
         while tally[self.least:].sum() > table_words:
             self.least += 1
@@ -326,12 +328,10 @@ class Model:
                         "counts": [count_[keep].astype(np.uint32).tobytes()], "bits": [r["bits"]]})
 
         # segments come one partition at a time, straight into their places: segment order is word order
-        kept = [int(sum(sizes[i]["by_level"][self.least:])) if i in sizes else 0 for i in range(count_segments)]
-        width = [sizes[i]["bytes"] if i in sizes else 8 for i in range(count_segments)]
-        tops = np.array([sizes[i]["top"] if i in sizes else 0 for i in range(count_segments)], np.int64)
+        kept, width, tops = self._widths(count_segments)
         at = np.concatenate([[0], np.cumsum(kept)])
         words, counts = np.empty(at[-1], np.uint64), np.empty(at[-1], np.uint32)
-        cuts = block_cuts(width, FILTER_BITS // 8)
+        cuts = block_cuts(width.tolist(), FILTER_BITS // 8)
         blocks = []
         for lo, hi in zip(cuts, cuts[1:]):
             bit_at = np.concatenate([[0], np.cumsum(width[lo:hi])])
@@ -344,12 +344,30 @@ class Model:
                 words[at[i]:at[i + 1]] = np.frombuffer(r["words"], np.uint64)
                 counts[at[i]:at[i + 1]] = np.frombuffer(r["counts"], np.uint32)
                 data[bit_at[i - lo]:bit_at[i - lo + 1]] = np.frombuffer(r["bits"], np.uint8)
-            block = LogFrequencyFilter(data, 8 * np.array(width[lo:hi], np.int64), tops[lo:hi], lo, count_segments)
+            block = LogFrequencyFilter(data, 8 * width[lo:hi], tops[lo:hi], lo, count_segments)
             blocks.append(spark.sparkContext.broadcast(block))
             del data, block
         self.table = WordTable(words, counts)
         self.blocks = Blocks(blocks, cuts)
 
+    def _widths(self, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per segment: words that the table holds, bytes of its bits, highest level (32 bytes a segment to the driver)."""
+        least = self.least
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                held = [sum(x[least:]) for x in b["by_level"].to_pylist()]
+                rows = np.column_stack([b["segment"].to_numpy(), held, b["bytes"].to_numpy(), b["top"].to_numpy()])
+                yield pa.RecordBatch.from_pydict({"rows": [rows.astype(np.int64).tobytes()]})
+
+        packed = self.segments.select("segment", "by_level", F.octet_length("bits").alias("bytes"), "top").mapInArrow(
+            pack, "rows binary").collect()
+        rows = np.frombuffer(b"".join(r["rows"] for r in packed), np.int64).reshape(-1, 4)
+        out = np.zeros((3, segments), np.int64)
+        out[1] = 8  # of a segment without bigrams
+        out[:, rows[:, 0]] = rows[:, 1:].T
+        return tuple(out)
+
     @property
     def filter(self) -> LogFrequencyFilter:
         """The first block: the whole filter, if there is one block."""
@@ -405,7 +423,7 @@ def _sums(parts, h: np.ndarray, sizes: np.ndarray, found: np.ndarray, extra: dic
         count = np.maximum(count, rare)
     c = count[at]
     whole = n_tokens + n_words + 1
-    seen = mean_count(found.astype(np.int64))
+    seen = least_count(found.astype(np.int64))
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
     past = np.empty_like(c)
     past[1:] = c[:-1]
