@@ -14,34 +14,33 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, shares: list[f
     """Per group of ``keys`` (nulls are keys too): columns p0, p1, ... with the interpolated percentiles of ``value``
     (null values left out).
 
-    Groups are counted first.  One of at most SMALL rows is aggregated by
-    itself; the others go by ``_banded``, so no task holds a large group's
-    values.  ``df`` is read for both: pass a stored frame.
+    A first pass counts each group and sketches two values between which each
+    percentile lies (the sketch's error is a fifth of the margin).  Where no
+    group has more than SMALL rows, each is aggregated by itself; otherwise by
+    ``_banded``, so no task holds a large group's values.  ``df`` is read
+    twice: pass a stored frame.
     """
     d = df.select(F.struct(*keys).alias("_k"), F.col(value).alias("_v")).where(F.col("_v").isNotNull())
-    large = (d.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > SMALL).select("_k").checkpoint())
-    at = F.percentile("_v", F.array(*map(F.lit, shares)))
-    each = lambda rows: rows.groupBy("_k").agg(at.alias("_p")).select(
-        "_k", *[F.col("_p")[i].alias(f"p{i}") for i in range(len(shares))])
-    if large.isEmpty():
-        found = each(d)
+    cuts = [x for p in shares for x in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
+    groups = d.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+                                 F.percentile_approx("_v", cuts, ACCURACY).alias("_cut")).checkpoint()
+    if groups.where(F.col("_n") > SMALL).isEmpty():
+        found = d.groupBy("_k").agg(F.percentile("_v", F.array(*map(F.lit, shares))).alias("_p")).select(
+            "_k", *[F.col("_p")[i].alias(f"p{i}") for i in range(len(shares))])
     else:
-        found = each(d.join(large, "_k", "left_anti")).unionByName(_banded(d.join(large, "_k", "left_semi"), shares))
+        # where the margin is less than some ranks, the whole (small) group is the band
+        ends = F.array(*[F.lit(x) for x in range(len(cuts))])
+        whole = F.transform(ends, lambda i: F.when(i % 2 == 0, F.col("_min")).otherwise(F.col("_max")))
+        found = _banded(d, groups.select(
+            "_k", "_n", F.when(F.col("_n") > SMALL, F.col("_cut")).otherwise(whole).alias("_cut")), shares)
     return found.select(*[F.col("_k")[k].alias(k) for k in keys], *[c for c in found.columns if c != "_k"])
 
 
-def _banded(d: DataFrame, shares: list[float]) -> DataFrame:
-    """Percentiles of ``_v`` by ``_k`` for large groups.
-
-    A sketch per group gives two values between which each percentile lies
-    (its error is a fifth of the margin); only distinct values in between are
-    counted and ranked.
-    """
-    cuts = [x for p in shares for x in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
-    groups = d.groupBy("_k").agg(F.percentile_approx("_v", cuts, ACCURACY).alias("_cut")).checkpoint()
+def _banded(d: DataFrame, groups: DataFrame, shares: list[float]) -> DataFrame:
+    """Percentiles of ``_v`` by ``_k``: only distinct values between a group's cuts are counted and ranked."""
     rows = d.join(groups, "_k")
     lo, hi = (lambda i: F.col("_cut")[2 * i]), (lambda i: F.col("_cut")[2 * i + 1])
-    below = rows.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"), F.array(*[
+    below = rows.groupBy("_k").agg(F.first("_n").alias("_n"), F.array(*[
         F.count_if(F.col("_v") < lo(i)) for i in range(len(shares))]).alias("_below"))
     bands = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("share"), lo(i).alias("lo"), hi(i).alias("hi"))
                       for i, p in enumerate(shares)])
