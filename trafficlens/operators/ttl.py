@@ -10,15 +10,18 @@ The entry starts of a key form the chain root, nxt(root), nxt(nxt(root)), ...
 where nxt(v) is the first request time strictly after v + ttl.  Two exact ways
 to find them:
 
-* ``fold``: collect each key's distinct times and fold them in order; on
-  request only, for keys that are known to be small.
-* ``jump`` (the default): skew-safe for any key size.  nxt() for every distinct time comes
+* ``fold``: collect each key's distinct times and fold them in order; for
+  small keys only.
+* ``jump``: skew-safe for any key size.  nxt() for every distinct time comes
   from a successor search whose windows are bounded by construction (fine
   1-second buckets, then groups of 4096 buckets, then per-key group heads),
   and the chain is followed by jumps of 1, 4, 16, ... entries (log4 of the
   longest chain rounds of joins over unique (key, time) rows; each level is a
   stored table, removed once the starts are known).
 
+The default counts the times of every key: keys of at most ``FOLD_ROWS`` are
+folded, one shuffle of their rows; larger ones, if there are any, take the jumps.
+
 Both then attach to every request its covering start with one equi-join on
 (key, ttl bucket): starts lie more than ``ttl`` apart, so each ttl-wide
 bucket holds at most one start and a request is covered by the start of its
@@ -27,6 +30,7 @@ own bucket or the one before.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import DataFrame, Window
@@ -36,6 +40,7 @@ from trafficlens.session import delete, stored
 
 FINE_US = 1_000_000      # fine bucket: 1 s -> at most 2e6 rows per window partition
 GROUP_BUCKETS = 4096     # fine buckets per group -> at most 8192 rows per partition
+FOLD_ROWS = 512          # distinct times of a key that are folded as one array
 
 
 def _keys(key) -> list[str]:
@@ -116,36 +121,53 @@ def _hops(one: DataFrame, keys) -> DataFrame:
 
 
 def _starts_jump(nodes: DataFrame, keys, ttl_us: int | None) -> DataFrame:
+    """The search and the jumps carry a number for each key, whatever the key's length; rows with a null key have no entry."""
     spark = nodes.sparkSession
     nodes = nodes.checkpoint()
-    roots = nodes.groupBy(*keys).agg(F.min("_t").alias("_t"))
     if ttl_us is None:
+        roots = nodes.groupBy(*keys).agg(F.min("_t").alias("_t"))
         return roots.join(nodes, [*keys, "_t"]).select(*keys, F.col("_t").alias("_s"), F.col("_tid").alias("_sid"))
+    names = nodes.select(*keys).distinct().withColumn("_k", F.monotonically_increasing_id()).checkpoint()
+    nodes = nodes.join(names, keys).select("_k", "_t", "_tid").checkpoint()
+    roots = nodes.groupBy("_k").agg(F.min("_t").alias("_t"))
     # Longest possible chain: starts lie in distinct ttl buckets.
-    longest = (nodes.select(*keys, F.floor(F.col("_t") / ttl_us).alias("_b")).distinct()
-               .groupBy(*keys).count().agg(F.max("count")).first()[0]) or 1
+    longest = (nodes.select("_k", F.floor(F.col("_t") / ttl_us).alias("_b")).distinct()
+               .groupBy("_k").count().agg(F.max("count")).first()[0]) or 1
     if longest > 1:
-        probes = nodes.select(*keys, F.col("_t").alias("_pid"), (F.col("_t") + F.lit(ttl_us)).alias("_x"))
-        nxt = successor(nodes, probes, keys).select(*keys, F.col("_pid").alias("_t"), F.col("_succ").alias("_n1"))
+        probes = nodes.select("_k", F.col("_t").alias("_pid"), (F.col("_t") + F.lit(ttl_us)).alias("_x"))
+        nxt = successor(nodes, probes, ["_k"]).select("_k", F.col("_pid").alias("_t"), F.col("_succ").alias("_n1"))
         scratch, levels = [], []
         for _ in range(max(1, math.ceil(math.log(longest + 1, 4)))):
-            level, path = stored(_hops(nxt, keys), "jump")
+            level, path = stored(_hops(nxt, ["_k"]), "jump")
             levels.append(level)
             scratch.append(path)
-            nxt = level.select(*keys, "_t", F.col("_n4").alias("_n1"))
+            nxt = level.select("_k", "_t", F.col("_n4").alias("_n1"))
         reached = roots
         for level in reversed(levels):
-            step = (reached.join(level, [*keys, "_t"])
-                    .select(*keys, F.explode(F.array("_t", "_n1", "_n2", "_n3")).alias("_t")).where(F.col("_t").isNotNull()))
+            step = (reached.join(level, ["_k", "_t"])
+                    .select("_k", F.explode(F.array("_t", "_n1", "_n2", "_n3")).alias("_t")).where(F.col("_t").isNotNull()))
             reached, path = stored(step, "reached")
             scratch.append(path)
-        out = reached.join(nodes, [*keys, "_t"]).checkpoint()
+        out = reached.join(nodes, ["_k", "_t"]).join(names, "_k").checkpoint()
         delete(spark, *scratch)
     else:
-        out = roots.join(nodes, [*keys, "_t"])
+        out = roots.join(nodes, ["_k", "_t"]).join(names, "_k")
     return out.select(*keys, F.col("_t").alias("_s"), F.col("_tid").alias("_sid"))
 
 
+def _starts_by_size(nodes: DataFrame, keys, ttl_us: int) -> DataFrame:
+    """Small keys folded, large ones by jumps; both see every row of their keys."""
+    nodes = nodes.where(F.col("_t").isNotNull()).checkpoint()
+    large = nodes.groupBy(*keys).count().where(F.col("count") > FOLD_ROWS).select(*keys).checkpoint()
+    if large.isEmpty():
+        return _starts_fold(nodes, keys, ttl_us).checkpoint()
+    same = lambda k: F.col(f"n.{k}").eqNullSafe(F.col(f"l.{k}"))
+    on = functools.reduce(lambda a, b: a & b, [same(k) for k in keys])
+    small = nodes.alias("n").join(large.alias("l"), on, "left_anti")
+    rest = nodes.alias("n").join(large.alias("l"), on, "left_semi")
+    return _starts_fold(small, keys, ttl_us).unionByName(_starts_jump(rest, keys, ttl_us)).checkpoint()
+
+
 def entry_starts(df: DataFrame, key, ts: str = "ts", id_col: str = "request_id",
                  ttl_seconds: float | None = 86400, strategy: str = "auto") -> DataFrame:
     """Entry starts per key: (keys..., _s micros, _sid id of the opening request)."""
@@ -154,8 +176,10 @@ def entry_starts(df: DataFrame, key, ts: str = "ts", id_col: str = "request_id",
     nodes = _nodes(df, keys, ts, id_col)
     if strategy == "fold":
         return _starts_fold(nodes, keys, ttl_us)
-    if strategy in ("auto", "jump"):
+    if strategy == "jump" or (strategy == "auto" and ttl_us is None):
         return _starts_jump(nodes, keys, ttl_us)
+    if strategy == "auto":
+        return _starts_by_size(nodes, keys, ttl_us)
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
