@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trafficlens.functions.goscan import scan
 from trafficlens.operators import extract as X
+from trafficlens.operators import generate as GEN
 from trafficlens.operators import registry as R
 from trafficlens.operators import ttl
 from trafficlens.sources import derived as D
@@ -78,3 +79,15 @@ def test_small_keys_take_no_jumps(spark, monkeypatch):
                                "request_id long, key string, ts timestamp")
     monkeypatch.setattr(ttl, "_starts_jump", lambda *_: (_ for _ in ()).throw(AssertionError("jumps for small keys")))
     assert ttl.ttl_dedup(df, "key", ttl_seconds=30).where("not hit").count() == 15
+
+
+def test_corpus_joins_broadcast_nothing(spark, tmp_path):
+    _part(spark, str(tmp_path), 20)
+    s = X.scan_source(D.source_files(spark, str(tmp_path))).checkpoint()
+    sf, rt, hd = X.extract_struct_fields(s).checkpoint(), X.extract_routes(s).checkpoint(), X.collect_handler_calls(s).checkpoint()
+    fw = spark.createDataFrame([("svc-1", "chi")], "repo string, framework string")
+    eps = R.build_registry(rt, hd, sf)
+    deps = rt.select(F.col("repo").alias("name"), "repo").distinct()
+    for df in (eps, R.registry_summary(eps, deps, fw), R.scan_summary(rt, sf, rt, hd, fw),
+               GEN.build_analysis_prompts(sf, rt, hd, fw, by_package_over=10)):
+        assert "BroadcastHashJoin" not in _plan(df)
