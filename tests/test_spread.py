@@ -1,9 +1,12 @@
 """Work made from small tables runs on many tasks; planner's guesses of sizes decide no broadcast; keys cost no more for length."""
 import datetime as dt
 import random
+import threading
+import time
 
 from pyspark.sql import functions as F
 
+from trafficlens.functions import gosrc as G
 from trafficlens.functions.goscan import scan
 from trafficlens.operators import extract as X
 from trafficlens.operators import generate as GEN
@@ -91,3 +94,27 @@ def test_corpus_joins_broadcast_nothing(spark, tmp_path):
     for df in (eps, R.registry_summary(eps, deps, fw), R.scan_summary(rt, sf, rt, hd, fw),
                GEN.build_analysis_prompts(sf, rt, hd, fw, by_package_over=10)):
         assert "BroadcastHashJoin" not in _plan(df)
+
+
+def test_finds_become_columns_without_an_object_for_each(spark, monkeypatch):
+    text = "package p\n\ntype A struct {\n\tX int\n}\n\nfunc F(c C) {\n\tx, y := A{}, &B{1}\n\tx.JSON(201, y)\n}\n"
+    files = spark.createDataFrame([("r", f"a{i:03}.go", None if i == 7 else "x" if i == 8 else "package q" if i == 9 else text)
+                                   for i in range(600)], "repo string, path string, content string").coalesce(1)
+    monkeypatch.setattr(X, "_SCAN_ROWS", 100)
+    got = {r["path"]: r for r in X.scan_source(files).collect()}
+    assert len(got) == 598 and "a007.go" not in got and "a008.go" not in got
+    assert got["a009.go"]["statements"] == got["a009.go"]["calls"] == got["a009.go"]["funcs"] == []
+    one, found = got["a599.go"], scan(text, X._wanted)
+    assert [tuple(s) for s in one["statements"]] == found["statements"] and [tuple(c) for c in one["calls"]] == found["calls"]
+    assert [tuple(f) for f in one["funcs"]] == found["funcs"] and one["package"] == "p"
+
+
+def test_a_types_text_is_made_once(spark):
+    types = ["Part", "*Part", " []http.Part\t", "...*a.B", "chan", "*func", "struct", "[4]int", "map[ string ] []T", "map[K]chan int",
+             "interface { F() }", "Page[T]", "", "a.b.c", "func(x int)", "[][]byte", "[]map[string]*q.T", None]
+    df = spark.createDataFrame([(t,) for t in types], "t string").coalesce(1)
+    assert [r[0] for r in df.select(G.type_text("t")).collect()] == [
+        "Part", "*Part", "[]http.Part", "...*a.B", "unknown", "*unknown", "unknown", "[]int", "map[string][]T", "map[K]unknown",
+        "interface{}", "unknown", "unknown", "a.b.c", "unknown", "[][]byte", "[]map[string]*q.T", None]
+    text = df.select(F.transform(F.array("t"), G.type_text).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert text.count("interface ?") <= 2  # was written out for each use of its result
