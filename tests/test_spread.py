@@ -12,6 +12,7 @@ from trafficlens.operators import extract as X
 from trafficlens.operators import generate as GEN
 from trafficlens.operators import registry as R
 from trafficlens.operators import ttl
+from trafficlens.plans import q_generate
 from trafficlens.sources import derived as D
 
 
@@ -136,3 +137,12 @@ def test_calls_share_a_thread_for_each_client(spark):
     got = {r["id"]: r for r in GEN.batch_infer(prompts, make, max_retries=1, sleep=lambda _: None, timeout_seconds=0.5).collect()}
     assert {r["response"] for r in got.values() if r["id"] not in (5, 6)} == {"1"}  # a thread for every call before
     assert all(got[i]["response"] is None and "no answer in 0.5 s" in got[i]["error"] and got[i]["attempts"] == 2 for i in (5, 6))
+
+
+def test_the_matchings_registry_is_stored_once(spark, tmp_path):
+    _part(spark, str(tmp_path), 20)
+    _, _, _, _, eps, routes = q_generate._corpus_flow(spark, str(tmp_path), matched=True)
+    for df in (eps, routes):  # each read of the routes joined and numbered the registry anew before
+        text = _plan(df)
+        assert "Window" not in text and "Scan parquet" in text and "Broadcast" not in text
+    assert eps.count() == sum(1 for k in range(20) if k % 50 % 7 > 1) * 3
