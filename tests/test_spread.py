@@ -146,3 +146,30 @@ def test_the_matchings_registry_is_stored_once(spark, tmp_path):
         text = _plan(df)
         assert "Window" not in text and "Scan parquet" in text and "Broadcast" not in text
     assert eps.count() == sum(1 for k in range(20) if k % 50 % 7 > 1) * 3
+
+
+def test_a_scan_returns_what_its_reader_needs(spark):
+    text = ("package p\n\ntype (\n\tA struct {\n\t\tX, Y int `json:\"x\"`\n\t\tB\n\t}\n\tID string\n)\n\nfunc F(c C) {\n\ttype L struct {\n\t\tZ int\n\t}\n"
+            "\tv := A{}\n\tr.Route(\"/v\", func(r R) {\n\t\tr.Get(\"/a\", h.A)\n\t})\n}\n")
+    files = spark.createDataFrame([("r", "a.go", text), ("r", "b.go", "package q\nfunc g() {\n"), ("r", "c.go", "package q\n")],
+                                  "repo string, path string, content string").coalesce(1)
+    every, types, calls = (X.scan_source(files, k).checkpoint() for k in ("all", "types", "calls"))
+    assert types.columns == ["repo", "path", "package", "statements"] and calls.columns == ["repo", "path", "package", "calls"]
+    assert {r["path"] for r in types.collect()} == {r["path"] for r in calls.collect()} == {"a.go", "c.go"}
+    rows = lambda df: sorted(map(str, df.collect()))
+    for generics in (False, True):
+        assert rows(X.extract_struct_fields(types, generics)) == rows(X.extract_struct_fields(every, generics)) != []
+    assert rows(X.named_types(types)) == rows(X.named_types(every)) != []
+    assert rows(X.extract_routes(calls, groups=True)) == rows(X.extract_routes(every, groups=True)) != []
+    assert all("v :=" not in s["text"] for r in types.collect() for s in r["statements"])
+
+
+def test_a_text_without_block_comments_is_not_cut_in_pieces(spark):
+    texts = ["package p // c\n", "a := \"//x\" // \"y\n", "b := `// raw\n//` // z", "r := '\"' // q\n", "x := \"\\\"//\" + '\\'' // e", "type (\n\tA struct {\n\t\tB int\n\t}\n)\n",
+             "type T struct {\n\tN struct {\n\t\tA int // c\n\t} `json:\"n\"`\n}\n", "/* a\n// b */ c // d", "\"/*\" // x", "a\r\n// b\r\nc", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    assert [r[0] for r in df.orderBy("i").select(X.clean_source(F.col("t"))).collect()] == [
+        "package p \n", "a := \"//x\" \n", "b := `// raw\n//` ", "r := '\"' \n", "x := \"\\\"//\" + '\\'' ", "\ntype A struct {\n\tB int\n}\n\n",
+        "type T struct {\n\tN struct{} `json:\"n\"`\n\n\n}\n", "\n c ", "\"/*\" ", "a\n\nc", "", None]
+    plain = df.select(F.transform(F.array("t"), lambda t: X._count_breaks(t)).alias("n"))
+    assert [r[0][0] for r in plain.collect()] == [None if t is None else t.count("\n") for t in texts]

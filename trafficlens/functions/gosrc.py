@@ -43,7 +43,7 @@ def strip(c) -> Column:
     return F.regexp_replace(_col(c), "^[ \\t]+|[ \\t]+$", "")
 
 
-def _let(value, body) -> Column:
+def let(value, body) -> Column:
     """``body(value)`` with the value made once: inside a lambda, Spark makes an expression as often as it is written."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -65,16 +65,16 @@ def type_text(t) -> Column:
     def rendered(c):
         named = lambda core: core.rlike(rf"^{IDENT}(\.{IDENT})*$") & ~core.isin("chan", "func", "struct")
         return F.concat(F.regexp_replace(F.regexp_extract(c, before, 1), " ", ""),
-                        _let(F.regexp_replace(c, before, ""), lambda core: F.when(
+                        let(F.regexp_replace(c, before, ""), lambda core: F.when(
                             named(core) | (core == "interface{}"), core).otherwise(F.lit("unknown"))))
 
     def full(t):
         t = F.regexp_replace(strip(t), "\\s+", " ")
         arrays = F.regexp_replace(t, "(^|[*\\]])\\[[^\\]]+\\]", "$1[]")
         iface = F.regexp_replace(arrays, "interface ?\\{[^}]*\\}", "interface{}")
-        return _let(F.regexp_replace(iface, "map\\[ *([^\\]]*?) *\\] *", "map[$1]"), rendered)
+        return let(F.regexp_replace(iface, "map\\[ *([^\\]]*?) *\\] *", "map[$1]"), rendered)
 
-    return _let(_col(t), lambda t: F.when(t.rlike(_PLAIN), t).otherwise(full(t)))
+    return let(_col(t), lambda t: F.when(t.rlike(_PLAIN), t).otherwise(full(t)))
 
 
 def parse_json_tag(tag) -> Column:

@@ -86,13 +86,19 @@ def scan_filter(files: DataFrame, scan_paths: DataFrame | None = None, for_impor
 # ------------------------------------------------------------------ lines, W2
 # A file's pieces: block comment, line comment, interpreted string, raw string, rune, other text.
 _PIECES = (r"""(?s)/\*.*?\*/|//[^\n]*|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|`[^`]*`|'(?:\\.|[^'\\\n])+'|[^/"`']+|.""")
+# A line comment, or as $1 what may hold its sign: for texts without block comments.
+_NO_COMMENT = r"""(?s)//[^\n]*|("[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|`[^`]*`|'(?:\\.|[^'\\\n])+')"""
 _GROUP = r"(?ms)^type \($.*?^\)$|.+?(?=^type \($|\z)"
 _ANON = r"(?m)^\t[A-Za-z_][\w, ]* (?:\[\]|\*)*struct \{\n(?:\t\t.*\n|\n)*\t\}[^\n]*$|(?s).+?(?=^\t[A-Za-z_][\w, ]* (?:\[\]|\*)*struct \{$|\z)"
 
 
 def _breaks(text):
     """As many line breaks as the text has, so that line numbers stay."""
-    return F.regexp_replace(text, "[^\n]", "")
+    return F.repeat(F.lit("\n"), _count_breaks(text))
+
+
+def _count_breaks(text):
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
 def _pieces(text, pattern: str, change):
@@ -102,14 +108,19 @@ def _pieces(text, pattern: str, change):
 def clean_source(content):
     """A file's text without comments (strings kept), with grouped ``type ( ... )`` declarations
     written one by one and anonymous struct types shortened to ``struct{}``; line numbers stay."""
-    text = F.regexp_replace(content, "\r\n", "\n")
-    text = _pieces(text, _PIECES, lambda p: F.when(p.startswith("/*"), _breaks(p)).when(p.startswith("//"), F.lit("")).otherwise(p))
+    text = F.replace(content, F.lit("\r\n"), F.lit("\n"))
+    # a step that would change nothing is left out: cutting a text in pieces costs far more than looking for what it changes
+    text = G.let(text, lambda t: F.when(t.contains("/*"), _pieces(t, _PIECES, lambda p: F.when(
+        p.startswith("/*"), _breaks(p)).when(p.startswith("//"), F.lit("")).otherwise(p))).otherwise(
+        F.regexp_replace(t, _NO_COMMENT, "$1")))
     one_by_one = lambda p: F.concat(F.lit(""), F.regexp_replace(F.regexp_replace(F.regexp_replace(
         p, r"\Atype \(|\)\z", ""), "(?m)^\t", ""), r"(?m)^([A-Za-z_]\w*)(?= )", "type $1"))
-    text = _pieces(text, _GROUP, lambda p: F.when(p.startswith("type (\n"), one_by_one(p)).otherwise(p))
+    text = G.let(text, lambda t: F.when(t.contains("type (\n"), _pieces(t, _GROUP, lambda p: F.when(
+        p.startswith("type (\n"), one_by_one(p)).otherwise(p))).otherwise(t))
     short = lambda p: F.concat(F.regexp_extract(p, r"^(\t[^\n]*?)struct \{", 1), F.lit("struct{}"),
                                F.regexp_extract(p, r"\n\t\}([^\n]*)$", 1), _breaks(p))
-    return _pieces(text, _ANON, lambda p: F.when(p.rlike(r"\A\t[^\n]* (?:\[\]|\*)*struct \{\n"), short(p)).otherwise(p))
+    return G.let(text, lambda t: F.when(t.rlike(r"(?m)^\t[^\n]* (?:\[\]|\*)*struct \{\n"), _pieces(t, _ANON, lambda p: F.when(
+        p.rlike(r"\A\t[^\n]* (?:\[\]|\*)*struct \{\n"), short(p)).otherwise(p))).otherwise(t))
 
 
 def source_lines(files: DataFrame) -> DataFrame:
@@ -141,7 +152,7 @@ def file_blocks(files: DataFrame) -> DataFrame:
                  F.split("_text", cut).alias("_parts"))
     starts = F.aggregate(
         "_parts", F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda acc, p: F.struct((acc["at"] + F.length(_breaks(p))).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")),
+        lambda acc, p: F.struct((acc["at"] + _count_breaks(p)).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")),
         lambda acc: acc["out"])
     b = f.select("repo", "path", "_pkg", F.get("_parts", F.lit(0)).rlike(DECL).alias("_first"),
                  F.size("_parts").alias("_n"),
@@ -227,16 +238,24 @@ def _list_column(lists: list, kind: pa.ListType) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(made, fields=list(of)), type=kind)
 
 
-def scan_source(files: DataFrame) -> DataFrame:
-    """repo, path and what one pass over each file finds (SCANNED); files that do not parse are left out."""
+#: The lists that each kind of scan returns; extractors that need one of them alone ask for no more.
+FINDS = {"all": ["statements", "calls", "funcs"], "types": ["statements"], "calls": ["calls"]}
+
+
+def scan_source(files: DataFrame, finds: str = "all") -> DataFrame:
+    """repo, path and what one pass over each file finds (SCANNED); files that do not parse are left out.
+
+    ``finds``: "all"; "types" for ``extract_struct_fields`` and ``named_types`` (type declarations and
+    what stands in them); "calls" for ``extract_routes``.
+    """
     ship_package(files.sparkSession)
-    made = T._parse_datatype_string(SCANNED)
+    made = T.StructType([f for f in T._parse_datatype_string(SCANNED).fields if f.name in ("package", *FINDS[finds])])
     arrow = to_arrow_schema(made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in (whole.slice(lo, _SCAN_ROWS) for lo in range(0, whole.num_rows, _SCAN_ROWS)):
-                found = [None if c is None else scan(c, _wanted) for c in b.column("content").to_pylist()]
+                found = [None if c is None else scan(c, _wanted, finds) for c in b.column("content").to_pylist()]
                 keep = pa.array([f is not None for f in found])
                 rows = [f for f in found if f is not None]
                 columns = [_list_column([f[c.name] for f in rows], c.type) if pa.types.is_list(c.type)
@@ -248,12 +267,12 @@ def scan_source(files: DataFrame) -> DataFrame:
     return src.mapInArrow(run, T.StructType([*src.schema.fields[:2], *made.fields]))
 
 
-def _scanned(source: DataFrame) -> DataFrame:
+def _scanned(source: DataFrame, finds: str) -> DataFrame:
     """``scan_source`` of a table of lines (their files put together), or the table itself if it is scanned."""
-    if "calls" in source.columns:
+    if {"statements", "calls"} & {*source.columns}:
         return source
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
-    return scan_source(source.groupBy("repo", "path").agg(text.alias("content")))
+    return scan_source(source.groupBy("repo", "path").agg(text.alias("content")), finds)
 
 
 # ------------------------------------------------------------------ X2
@@ -272,21 +291,24 @@ def extract_struct_fields(source: DataFrame, generics: bool = False) -> DataFram
     fields).  With ``generics`` two more columns let J4 expand generic types:
     source_type (the type as written) and type_params (the struct's).
     """
-    body = (_scanned(source).select("repo", "path", "package", F.explode("statements").alias("s"))
-            .where((F.col("s.depth") == 1) & F.col("s.owner").rlike(_STRUCT))
+    inside = F.filter("statements", lambda s: (s["depth"] == 1) & s["owner"].startswith("type"))
+    # each step's columns are made once: Spark does not merge steps that would make them again
+    body = (_scanned(source, "types").select("repo", "path", "package", F.explode(inside).alias("s"))
+            .where(F.col("s.owner").rlike(_STRUCT))
             .select("repo", "path", "package", F.regexp_extract("s.owner", _STRUCT, 1).alias("struct"),
                     F.col("s.start").alias("start"), F.col("s.text").alias("content"),
                     F.regexp_replace(F.regexp_extract("s.owner", _STRUCT, 2), r"^\[|\]$", "").alias("_params")))
-    tag = F.regexp_extract("content", _TAG, 1)
-    decl = G.strip(F.regexp_replace("content", _TAG, ""))
+    kept = ["repo", "path", "package", "struct", "start", "_params"]
     # what stands before a space is a name, unless it is a type's own word
-    is_named = decl.rlike(_NAMED) & ~decl.rlike(r"^(chan|func|map|struct|interface)\b")
-    ftype = F.when(is_named, F.regexp_extract(decl, _NAMED, 3)).otherwise(decl)
-    parsed = body.select(
-        "repo", "path", "package", "struct", "start",
-        F.when(is_named, F.split(F.regexp_extract(decl, _NAMED, 1), "\\s*,\\s*")).alias("_names"),
-        G.type_text(ftype).alias("type"), G.parse_json_tag(tag).alias("_tag"),
-        F.regexp_replace(G.strip(ftype), r"\s+", " ").alias("source_type"),
+    is_named = F.col("_decl").rlike(_NAMED) & ~F.col("_decl").rlike(r"^(chan|func|map|struct|interface)\b")
+    parsed = body.select(*kept, F.regexp_extract("content", _TAG, 1).alias("_raw"),
+                         G.strip(F.regexp_replace("content", _TAG, "")).alias("_decl"))
+    parsed = parsed.select(*kept, "_raw", "_decl", is_named.alias("_is"))
+    parsed = parsed.select(*kept, "_raw", F.when(F.col("_is"), F.split(F.regexp_extract("_decl", _NAMED, 1), "\\s*,\\s*")).alias("_names"),
+                           F.when(F.col("_is"), F.regexp_extract("_decl", _NAMED, 3)).otherwise(F.col("_decl")).alias("_type"))
+    parsed = parsed.select(
+        "repo", "path", "package", "struct", "start", "_names", G.type_text("_type").alias("type"), G.parse_json_tag("_raw").alias("_tag"),
+        F.regexp_replace(G.strip("_type"), r"\s+", " ").alias("source_type"),
         F.filter(F.transform(F.split("_params", ","), lambda x: F.regexp_extract(x, rf"^\s*({IDENT})", 1)), lambda x: x != "")
         .alias("type_params"))
     more = ["source_type", "type_params"] if generics else []
@@ -311,7 +333,7 @@ def named_types(source: DataFrame) -> DataFrame:
     Structs, interfaces, functions and types with parameters are left out.
     """
     text = F.regexp_replace(F.col("s.text"), r"\s+", " ")
-    rows = (_scanned(source).select("repo", "path", "package", F.explode("statements").alias("s"))
+    rows = (_scanned(source, "types").select("repo", "path", "package", F.explode("statements").alias("s"))
             .where((F.col("s.depth") == 0) & text.rlike(_NAMED_TYPE)))
     target = G.type_text(F.regexp_extract(text, _NAMED_TYPE, 2))
     return (rows.select("repo", "path", "package", F.regexp_extract(text, _NAMED_TYPE, 1).alias("name"), target.alias("target"))
@@ -385,7 +407,7 @@ def extract_routes(source: DataFrame, groups: bool = False) -> DataFrame:
     """
     verb = F.upper("c.name").isin(*G.HTTP_VERBS)
     first = F.get("c.args", F.lit(0))
-    calls = (_scanned(source).select("repo", "path", *(["calls"] if groups else []), F.explode("calls").alias("c"))
+    calls = (_scanned(source, "calls").select("repo", "path", *(["calls"] if groups else []), F.explode("calls").alias("c"))
              .where((verb | F.col("c.name").isin("HandleFunc", "Handle")) & (F.size("c.args") >= 2) & first.rlike(_STRING)))
     lit = F.when(first.startswith('"'), F.regexp_replace(first, '^"+|"+$', "")).otherwise(first)
     pat = G.parse_route_pattern(lit)
@@ -406,7 +428,7 @@ def _param_type(p):
 
 def _handlers(source: DataFrame) -> DataFrame:
     """One row per handler, with its file's arrays."""
-    f = _scanned(source).select("*", F.explode("funcs").alias("_f"))
+    f = _scanned(source, "all").select("*", F.explode("funcs").alias("_f"))
     is_handler = F.exists("_f.params", lambda p: _param_type(p).rlike("ResponseWriter|Request|Context"))
     recv = F.regexp_replace(G.strip("_f.receiver"), rf"^{IDENT}\s+(?=\S)", "")
     return (f.where(F.col("_f.name").rlike("^\\p{Lu}") & is_handler)
