@@ -72,3 +72,26 @@ def test_one_key_rewrites_one_bucket(spark):
     # a key that moves to another dependency changes two partitions of its bucket
     S.upsert_persisted(spark, path, _rows(spark, [("k7", "d0", "moved", T0 + dt.timedelta(hours=2))]), 3600)
     assert sum(files()[k] != after[k] for k in after) == 2 and len(_state(spark, path)) == 300
+
+
+def test_many_dependencies_share_folders(spark, monkeypatch):
+    monkeypatch.setattr(S, "FOLDERS", 10)
+    monkeypatch.setattr(S, "PARTITION_ROWS", 40)
+    path, hour = shared_path(spark, "store-test"), dt.timedelta(hours=1)
+    S.upsert_persisted(spark, path, _rows(spark, [(f"k{i}", f"d{i % 50}" if i else None, "x", T0) for i in range(100)]), 3600)
+    folders = [n for n in list_names(spark, path) if "=" in n]
+    assert S.stored_groups(spark, path) == 3 and len(folders) <= 3  # one for each dependency before
+    want = {f"k{i}": (f"d{i % 50}" if i else None, "x") for i in range(100)}
+    assert _state(spark, path) == want
+    one = _rows(spark, [("k7", "d7", "new", T0 + hour), ("k8", "d9", "moved", T0 + hour), ("k0", "d1", "named", T0 + hour)])
+    read = S.touched_rows(spark, path, one.where("key_hash = 'k7'"), S.stored_buckets(spark, path))
+    assert read.select("group", "bucket").distinct().count() == 1
+    S.upsert_persisted(spark, path, one, 3600)
+    want |= {"k7": ("d7", "new"), "k8": ("d9", "moved"), "k0": ("d1", "named")}
+    assert _state(spark, path) == want
+    assert S.purge_persisted(spark, path, dependency="d9") == 3
+    want = {k: v for k, v in want.items() if v[0] != "d9"}
+    assert _state(spark, path) == want
+    assert S.purge_persisted(spark, path, expired_before="2024-01-01 01:30:00") == len(want) - 2
+    assert set(_state(spark, path)) == {"k7", "k0"}
+    assert S.purge_persisted(spark, path) == 2 and _state(spark, path) == {}

@@ -2,7 +2,9 @@
 
 The store is a Parquet table with one row per ``key_hash``, partitioned by
 ``dependency`` and ``bucket`` (a hash of the key, with the number of buckets in
-its name; a new store gets as many as keep partitions near a million rows).
+its name; a new store gets as many as keep partitions near a million rows).  A
+new store of more than ``FOLDERS`` dependencies has ``group`` (a hash of the
+dependency) in its place, so that the files follow the rows.
 ``upsert_persisted`` reads the partitions that its rows belong to, and of the
 others in their buckets the keys alone, to find a key that moves;
 ``purge_persisted`` reads only the dependency it removes.  Spark's dynamic
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from trafficlens import schemas
 from trafficlens.functions.keys import is_live, stamp_expiry
-from trafficlens.session import delete, list_names, path_exists
+from trafficlens.session import delete, list_names, path_exists, stored
 
 STORE_COLS = [f.name for f in schemas.RESPONSE_STORE.fields]
 JSON_HEADERS = '{"Content-Type":"application/json"}'
@@ -54,31 +56,55 @@ def upsert_responses(store: DataFrame | None, new: DataFrame, ttl_seconds: float
 
 #: Rows of a partition that a new store's number of buckets aims at; a stored one keeps its number.
 PARTITION_ROWS = 1_000_000
-PARTITION = ["dependency", "bucket"]
+#: Dependencies that get a folder each; a new store with more has groups of them, as many as its rows need.
+FOLDERS = 1000
+
+
+def _hashed(value: Column, parts: int) -> Column:
+    return F.concat(F.pmod(F.xxhash64(value), F.lit(parts)).cast("string"), F.lit(f"of{parts}"))
 
 
 def bucket_of(key: Column, buckets: int) -> Column:
-    return F.concat(F.pmod(F.xxhash64(key), F.lit(buckets)).cast("string"), F.lit(f"of{buckets}"))
+    return _hashed(key, buckets)
+
+
+def _placed(rows: DataFrame, buckets: int, groups: int | None) -> DataFrame:
+    """``rows`` with the columns of their partition; groups: None where each dependency has a folder."""
+    rows = rows.withColumn("bucket", bucket_of(F.col("key_hash"), buckets))
+    return rows if groups is None else rows.withColumn("group", _hashed(F.col("dependency"), groups))
+
 
+def _folder(groups: int | None) -> str:
+    return "dependency" if groups is None else "group"
 
-def _fitting(store: DataFrame) -> int:
-    """Buckets for the largest dependency's rows."""
-    most = store.groupBy("dependency").count().agg(F.max("count")).first()[0] or 0
-    return max(1, -(-most // PARTITION_ROWS))
 
+def _fitting(store: DataFrame) -> tuple[int, int | None]:
+    """Buckets for the largest dependency's rows, and groups where the dependencies are many."""
+    per = store.groupBy("dependency").count()
+    n, most, rows = per.agg(F.count(F.lit(1)), F.max("count"), F.sum("count")).first()
+    fit = lambda x: max(1, -(-(x or 0) // PARTITION_ROWS))
+    return fit(most), fit(rows) if n > FOLDERS else None
 
-def write_store(store: DataFrame, path: str, mode: str = "overwrite", buckets: int | None = None) -> None:
-    """Persist partitioned by dependency and bucket (dynamic overwrite replaces only partitions that get rows)."""
+
+def write_store(store: DataFrame, path: str, mode: str = "overwrite", buckets: int | None = None, groups: int | None = None) -> None:
+    """Persist partitioned by dependency (or group of dependencies) and bucket; dynamic overwrite replaces only
+    partitions that get rows.  Without buckets, both are found by counting."""
     if buckets is None:
-        store = store.checkpoint()
-        buckets = _fitting(store)
-    rows = store.withColumn("bucket", bucket_of(F.col("key_hash"), buckets))
-    (rows.repartition(*PARTITION).write.mode(mode).option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*PARTITION).parquet(path))
+        store = stored(store, "store-rows")[0]
+        buckets, groups = _fitting(store)
+    by = [_folder(groups), "bucket"]
+    (_placed(store, buckets, groups).repartition(*by).write.mode(mode).option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*by).parquet(path))
+
 
+def stored_groups(spark: SparkSession, path: str) -> int | None:
+    """How many groups of dependencies a stored table has; None where each dependency has a folder."""
+    return next((int(n.rpartition("of")[2]) for n in list_names(spark, path) if n.startswith("group=")), None)
 
-def _stored(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(f"{schemas.RESPONSE_STORE.toDDL()}, bucket string").parquet(path)
+
+def _stored(spark: SparkSession, path: str, groups: int | None = None) -> DataFrame:
+    extra = "" if groups is None else ", `group` string"
+    return spark.read.schema(f"{schemas.RESPONSE_STORE.toDDL()}, bucket string{extra}").parquet(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -144,7 +170,7 @@ def purge(store: DataFrame, dependency: str | None = None, expired_before=None)
 def stored_buckets(spark: SparkSession, path: str) -> int | None:
     """How many buckets a stored table has; None if it has no partition."""
     for name in list_names(spark, path):
-        if name.startswith("dependency="):
+        if name.startswith(("dependency=", "group=")):
             for b in list_names(spark, f"{path}/{name}"):
                 if b.startswith("bucket="):
                     return int(b.rpartition("of")[2])
@@ -157,34 +183,37 @@ LISTED = 1000
 def touched_rows(spark: SparkSession, path: str, new: DataFrame, buckets: int) -> DataFrame:
     """The stored rows of all partitions that ``new`` (key_hash, dependency) changes: those its rows belong to, and
     those that hold one of its keys under another dependency.  The scan leaves out all others."""
-    new = new.select("key_hash", "dependency", bucket_of(F.col("key_hash"), buckets).alias("bucket")).checkpoint()
-    own = new.select(*PARTITION).distinct()
+    groups = stored_groups(spark, path)
+    folder = _folder(groups)
+    new = _placed(new.select("key_hash", "dependency"), buckets, groups).checkpoint()
+    own = new.select(folder, "bucket").distinct()
     in_buckets = F.col("bucket").isin(sorted(r[0] for r in own.select("bucket").distinct().collect()))
-    moved = (_stored(spark, path).where(in_buckets).select("key_hash", *PARTITION)
+    moved = (_stored(spark, path, groups).where(in_buckets).select("key_hash", "dependency", folder, "bucket")
              .join(new.select("key_hash", F.col("dependency").alias("_to")), "key_hash")
-             .where(~F.col("dependency").eqNullSafe(F.col("_to"))).select(*PARTITION))
+             .where(~F.col("dependency").eqNullSafe(F.col("_to"))).select(folder, "bucket"))
     parts = own.unionByName(moved).distinct().checkpoint()
-    rows = _stored(spark, path).where(in_buckets)
-    names = [r[0] for r in parts.select("dependency").distinct().limit(LISTED + 1).collect()]
+    rows = _stored(spark, path, groups).where(in_buckets)
+    names = [r[0] for r in parts.select(folder).distinct().limit(LISTED + 1).collect()]
     if len(names) <= LISTED and None not in names:
-        rows = rows.where(F.col("dependency").isin(names))
-    same = rows["dependency"].eqNullSafe(parts["dependency"]) & (rows["bucket"] == parts["bucket"])
+        rows = rows.where(F.col(folder).isin(names))
+    same = rows[folder].eqNullSafe(parts[folder]) & (rows["bucket"] == parts["bucket"])
     return rows.join(parts, same, "left_semi")
 
 
-def _replace(spark: SparkSession, path: str, rows: DataFrame, before: DataFrame, buckets: int) -> None:
-    """Puts ``rows`` in place of the partitions of ``before``, row (PARTITION) each."""
+def _replace(spark: SparkSession, path: str, rows: DataFrame, before: DataFrame, buckets: int, groups: int | None) -> None:
+    """Puts ``rows`` in place of the partitions of ``before``, a row (folder, bucket) each."""
+    name = _folder(groups)
     had = {tuple(r) for r in before.collect()}
     rows = rows.checkpoint()
-    write_store(rows, path, buckets=buckets)
-    have = {tuple(r) for r in rows.select("dependency", bucket_of(F.col("key_hash"), buckets)).distinct().collect()}
+    write_store(rows, path, buckets=buckets, groups=groups)
+    have = {tuple(r) for r in _placed(rows.select("key_hash", "dependency"), buckets, groups).select(name, "bucket").distinct().collect()}
     gone = had - have
     by_name = {}
-    for name in list_names(spark, path) if gone else ():
-        if name.startswith("dependency="):
-            by_name[unescape_path(name[len("dependency="):])] = name
-    for dependency, bucket in gone:
-        folder = f"{path}/{by_name[dependency or '__HIVE_DEFAULT_PARTITION__']}"
+    for n in list_names(spark, path) if gone else ():
+        if n.startswith(f"{name}="):
+            by_name[unescape_path(n[len(name) + 1:])] = n
+    for value, bucket in gone:
+        folder = f"{path}/{by_name[value or '__HIVE_DEFAULT_PARTITION__']}"
         delete(spark, f"{folder}/bucket={bucket}")
         if not any(n.startswith("bucket=") for n in list_names(spark, folder)):
             delete(spark, folder)
@@ -202,8 +231,10 @@ def upsert_persisted(spark: SparkSession, path: str, new: DataFrame, ttl_seconds
     if at is None:
         write_store(upsert_responses(None, new, ttl_seconds, batch_id), path, buckets=buckets)
         return
+    groups = stored_groups(spark, path)
     now = touched_rows(spark, path, new, at).checkpoint()
-    _replace(spark, path, upsert_responses(now, new, ttl_seconds, batch_id), now.select(*PARTITION).distinct(), at)
+    before = now.select(_folder(groups), "bucket").distinct()
+    _replace(spark, path, upsert_responses(now, new, ttl_seconds, batch_id), before, at, groups)
 
 
 def purge_persisted(spark: SparkSession, path: str, dependency: str | None = None, expired_before=None) -> int:
@@ -211,14 +242,18 @@ def purge_persisted(spark: SparkSession, path: str, dependency: str | None = Non
     at = stored_buckets(spark, path)
     if at is None:
         return 0
-    now = _stored(spark, path)
-    if dependency:
+    groups = stored_groups(spark, path)
+    by = [_folder(groups), "bucket"]
+    now = _stored(spark, path, groups)
+    if dependency and groups is not None:
+        now = now.where(F.col("group") == _hashed(F.lit(dependency), groups))
+    elif dependency:
         now = now.where(F.col("dependency") == dependency)
     flagged = now.withColumn("_del", _purged(dependency, expired_before))
-    per = flagged.groupBy(*PARTITION).agg(F.sum(F.col("_del").cast("long")).alias("n")).where("n > 0").checkpoint()
+    per = flagged.groupBy(*by).agg(F.sum(F.col("_del").cast("long")).alias("n")).where("n > 0").checkpoint()
     n = per.agg(F.sum("n")).first()[0] or 0
     if n:
-        same = F.col("l.dependency").eqNullSafe(F.col("r.dependency")) & (F.col("l.bucket") == F.col("r.bucket"))
+        same = F.col(f"l.{by[0]}").eqNullSafe(F.col(f"r.{by[0]}")) & (F.col("l.bucket") == F.col("r.bucket"))
         kept = flagged.where(~F.col("_del")).alias("l").join(F.broadcast(per).alias("r"), same, "left_semi")
-        _replace(spark, path, kept.select(*STORE_COLS), per.select(*PARTITION), at)
+        _replace(spark, path, kept.select(*STORE_COLS), per.select(*by), at, groups)
     return n
