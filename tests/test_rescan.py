@@ -61,3 +61,19 @@ def test_an_interrupted_rescan_is_repaired(spark):
     R.delete(spark, f"{path}/endpoints/bucket={bucket}")
     again, n = R.rescan(spark, files, path, buckets=3)
     assert n == 0 and sorted(map(str, again.collect())) == _full(files)
+
+
+def test_a_rescan_broadcasts_no_files(spark, monkeypatch):
+    """What is written was joined by way of the driver before: its files' finds were taken for as small as their keys."""
+    path, plans, write = shared_path(spark, "rescan-test"), [], R._overwrite
+
+    def spy(spark, rows, *args):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return write(spark, rows, *args)
+
+    monkeypatch.setattr(R, "_overwrite", spy)
+    for name in ("a", "b"):
+        files = _files(spark, [("r", "a.go", CODE.format(name)), ("q", "a.go", CODE.format("c"))])
+        got, n = R.rescan(spark, files, path, buckets=3)
+    assert n == 1 and len(plans) == 4 and not any("Broadcast" in p for p in plans)
+    assert sorted(map(str, got.collect())) == _full(files)

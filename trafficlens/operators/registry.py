@@ -12,7 +12,7 @@ from trafficlens import schemas
 from trafficlens.functions import gosrc as G
 from trafficlens.functions.paths import normalize_param
 from trafficlens.operators import extract as X
-from trafficlens.session import delete, list_names, path_exists
+from trafficlens.session import delete, list_names, path_exists, stored
 
 
 def directory(path: F.Column) -> F.Column:
@@ -314,11 +314,11 @@ def load_or_scan(spark: SparkSession, path: str, scan, rescan: bool = False) ->
 # ------------------------------------------------------------ rescan of changed files
 def _overwrite(spark: SparkSession, rows: DataFrame, path: str, touched: list[str]) -> None:
     """Replaces the buckets ``touched`` by ``rows`` (all of them in these buckets); one left without rows is removed."""
-    rows = rows.checkpoint()
+    rows, at = stored(rows, "rescan-rows")
     (rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("bucket").parquet(path))
     have = {r[0] for r in rows.select("bucket").distinct().collect()}
-    delete(spark, *[f"{path}/bucket={b}" for b in touched if b not in have])
+    delete(spark, at, *[f"{path}/bucket={b}" for b in touched if b not in have])
 
 
 def rescan(spark: SparkSession, files: DataFrame, path: str, buckets: int = 64) -> tuple[DataFrame, int]:
@@ -343,12 +343,13 @@ def rescan(spark: SparkSession, files: DataFrame, path: str, buckets: int = 64)
             .select("repo", "path", "digest", F.coalesce("bucket", "_b").alias("bucket")).checkpoint())
     touched = sorted({r[0] for r in diff.select("bucket").distinct().collect()}
                      | {n[2:] for n in list_names(spark, pending) if n.startswith("b=")})
+    diff = diff.hint("merge")  # no broadcast, as in _struct_lookup: neither the files nor what they hold fit the driver
     changed = diff.where(F.col("digest").isNotNull())
     n = changed.count()
     if touched:
         spark.createDataFrame([(b,) for b in touched], "b string").withColumn("x", F.lit(1)).write.mode("append").partitionBy("b").parquet(pending)
         found = X.scan_source(files.join(changed.select("repo", "path"), ["repo", "path"], "left_semi"))
-        fresh = changed.join(found, ["repo", "path"], "left")
+        fresh = changed.join(found.hint("merge"), ["repo", "path"], "left")
         kept = None
         if path_exists(spark, scan_path):
             kept = (spark.read.schema(fresh.schema).parquet(scan_path).where(F.col("bucket").isin(touched))
