@@ -92,3 +92,24 @@ def test_fixture_winner_counts(spark):
                   .agg(F.count("*").alias("n")).collect()}
         assert counts == {"/users/:id": 1982, "/users": 2017, "/orders/{orderId}": 1981,
                           "/orders/{orderId}/items": 2006, None: 2014}
+
+
+def test_prefixes_of_few_and_of_many_routes(spark, monkeypatch):
+    """Few routes go along with the requests, many are found by joins; all ways give the array form's rows."""
+    eps = [("v", i, m, p, 200 + i) for i, (m, p) in enumerate([
+               ("GET", "/"), ("GET", "/users/{id}"), ("ANY", "/users/me"), ("GET", "/{x}/me"), ("POST", "/users")])]
+    eps += [("v1", i, "GET", p, None) for i, p in enumerate(["/users/{id}", "2/{y}", "/2"])]
+    eps += [("root", i, m, p, 300 + i) for i, (m, p) in enumerate([("GET", "/v12/{z}"), (None, "/none"), ("GET", "{a}"), ("GET", "/api/v1/2")])]
+    deps = [("v", "/api/v"), ("v1", "/api/v1"), ("root", "/")]
+    paths = ["/api/v", "/api/v/", "/api/v/users/7", "/api//v/users/me", "/api/v/users/me", "/api/v1/users/me", "/api/v12", "/api/v12/3", "/api/v1/2",
+             "/api/v1//2", "/api/v1users/me", "/api/vx/me", "/v12/api", "/none", "none", "", "/", "//", None, "/api/v1", "/a", "/api", "/api/v/nope/x"]
+    cases = [(i, m, p) for i, (m, p) in enumerate((m, p) for m in ("GET", "POST", "PUT", None) for p in paths)] * 2
+    ep = spark.createDataFrame(eps, "dependency string, ord int, method string, path string, status_code int")
+    routes = M.prepare_routes(ep, spark.createDataFrame(deps, "name string, prefix string"))
+    req = spark.createDataFrame(cases, "request_id long, method string, path string")
+    rows = lambda strategy: sorted(map(str, M.match_requests(req, routes, strategy=strategy).collect()))
+    want = rows("array")
+    assert sum("endpoint_ord=None" not in r for r in want) > 30
+    for most in (16, 4, 3, 0):
+        monkeypatch.setattr(M, "INLINE_ROUTES", most)
+        assert rows("hash") == want, most
