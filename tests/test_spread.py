@@ -173,3 +173,45 @@ def test_a_text_without_block_comments_is_not_cut_in_pieces(spark):
         "type T struct {\n\tN struct{} `json:\"n\"`\n\n\n}\n", "\n c ", "\"/*\" ", "a\n\nc", "", None]
     plain = df.select(F.transform(F.array("t"), lambda t: X._count_breaks(t)).alias("n"))
     assert [r[0][0] for r in plain.collect()] == [None if t is None else t.count("\n") for t in texts]
+
+
+def test_templates_come_with_the_endpoint(spark):
+    """One join on the endpoint for each miss; it was one for its struct and another for the struct's template."""
+    fields = spark.createDataFrame([("r", "a", "p", "T", "x", 0, 0, "x", "string", None, None), ("r", "a", "p", "U", "n", 0, 0, "n", "integer", None, None)],
+                                   "repo string, root_dir string, root_package string, root string, field_path string, depth int, pos int, json_key string, "
+                                   "json_type string, format string, item_type string")
+    ends = spark.createDataFrame([("d", 0, "r", "a", "p", "T", "object"), ("d", 1, "r", "a", "p", "U", "array"), ("e", 0, "r", None, None, None, "object")],
+                                 "dependency string, ord int, repo string, response_dir string, response_package string, response_type string, body_type string")
+    misses = spark.createDataFrame([(i, f"k{i}", *at) for i, at in enumerate([("d", 0), ("d", 1), ("e", 0), ("d", 7), (None, 0)])],
+                                   "request_id int, request_key string, dependency string, endpoint_ord int").withColumn(
+        "path_params", F.array().cast("array<struct<key:string,value:string>>"))
+    got = GEN.generate_responses(misses, fields, ends)
+    plan = _plan(got).split("Initial Plan")[0]
+    assert plan.count("Join") == 1 and "Broadcast" not in plan
+    old = misses.join(ends.withColumnRenamed("ord", "endpoint_ord"), ["dependency", "endpoint_ord"], "left").select(*got.columns[:-1])
+    rows = lambda df: sorted(map(str, df.select(*got.columns).collect()))
+    assert rows(got) == rows(GEN.generate_responses(old, fields)) and got.where("body = '{}'").count() == 3
+
+
+def test_keys_are_counted_by_number_first(spark, monkeypatch):
+    t0 = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(i, ("hot" if i % 3 else f"k{i}") if i % 50 else None, t0 + dt.timedelta(seconds=7 * i)) for i in range(600)],
+                               "request_id long, key string, ts timestamp")
+    want = {s: sorted(map(str, ttl.ttl_dedup(df, "key", ttl_seconds=30, strategy=s).collect())) for s in ("auto", "jump")}
+    assert want["auto"] == want["jump"]
+    seen = []
+    monkeypatch.setattr(F, "xxhash64", lambda *c: seen.append(c) or F.lit(1).cast("long"))  # all keys share one number
+    monkeypatch.setattr(ttl, "FOLD_ROWS", 100)
+    assert sorted(map(str, ttl.ttl_dedup(df, "key", ttl_seconds=30).collect())) == want["auto"] and seen
+
+
+def test_a_stored_step_frees_what_it_shuffled(spark, monkeypatch):
+    from trafficlens.session import stored
+    df = spark.range(1000).repartition(7, "id").groupBy((F.col("id") % 10).alias("k")).count()
+    got, path = stored(df, "test")
+    store = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    left = store.shuffleStatuses().size()
+    for _ in range(3):
+        stored(df, "test")
+        time.sleep(0.5)
+    assert store.shuffleStatuses().size() <= left + 2 and got.count() == 10  # three runs' shuffles stayed before

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trafficlens.functions.keys import hash_body, request_key
 from trafficlens.operators.match import match_requests
 from trafficlens.operators.ttl import ttl_dedup
+from trafficlens.session import stored
 
 
 def with_keys(df: DataFrame) -> DataFrame:
@@ -20,7 +21,7 @@ def with_keys(df: DataFrame) -> DataFrame:
 def match_keyed(requests: DataFrame, routes: DataFrame, match_strategy: str = "auto") -> tuple[DataFrame, DataFrame]:
     """(matched requests with their keys, unmatched requests), from one stored matching."""
     # matched requests feed the dedup, the attach join and the unmatched rows
-    m = match_requests(requests, routes, strategy=match_strategy).checkpoint()
+    m = stored(match_requests(requests, routes, strategy=match_strategy), "matched")[0]
     return with_keys(m.where(F.col("endpoint_path").isNotNull())), m.where(F.col("endpoint_path").isNull())
 
 

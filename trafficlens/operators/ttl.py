@@ -157,15 +157,20 @@ def _starts_jump(nodes: DataFrame, keys, ttl_us: int | None) -> DataFrame:
 
 def _starts_by_size(nodes: DataFrame, keys, ttl_us: int) -> DataFrame:
     """Small keys folded, large ones by jumps; both see every row of their keys."""
-    nodes = nodes.where(F.col("_t").isNotNull()).checkpoint()
-    large = nodes.groupBy(*keys).count().where(F.col("count") > FOLD_ROWS).select(*keys).checkpoint()
-    if large.isEmpty():
-        return _starts_fold(nodes, keys, ttl_us).checkpoint()
+    nodes = stored(nodes.where(F.col("_t").isNotNull()), "nodes")[0]
+    # first by a number for each key, as most tables have no large key and a key may be long; keys that share one are counted apart
+    many = nodes.groupBy(F.xxhash64(*keys).alias("_k")).count().where(F.col("count") > FOLD_ROWS).select("_k").checkpoint()
+    alone = many.isEmpty()
+    large = nodes.select(*keys).limit(0) if alone else (
+        nodes.withColumn("_k", F.xxhash64(*keys)).join(many, "_k", "left_semi").groupBy(*keys).count()
+        .where(F.col("count") > FOLD_ROWS).select(*keys).checkpoint())
+    if alone or large.isEmpty():
+        return stored(_starts_fold(nodes, keys, ttl_us), "starts")[0]
     same = lambda k: F.col(f"n.{k}").eqNullSafe(F.col(f"l.{k}"))
     on = functools.reduce(lambda a, b: a & b, [same(k) for k in keys])
     small = nodes.alias("n").join(large.alias("l"), on, "left_anti")
     rest = nodes.alias("n").join(large.alias("l"), on, "left_semi")
-    return _starts_fold(small, keys, ttl_us).unionByName(_starts_jump(rest, keys, ttl_us)).checkpoint()
+    return stored(_starts_fold(small, keys, ttl_us).unionByName(_starts_jump(rest, keys, ttl_us)), "starts")[0]
 
 
 def entry_starts(df: DataFrame, key, ts: str = "ts", id_col: str = "request_id",
@@ -199,7 +204,7 @@ def attach_entries(df: DataFrame, starts: DataFrame, key, ts: str, id_col: str,
         F.max("_s0").alias("_s0"), F.max("_i0").alias("_i0"), F.max("_s1").alias("_s1"), F.max("_i1").alias("_i1"))
     t = F.unix_micros(F.col(ts))
     rows = df.withColumn("_t", t).withColumn("_cb", bucket(F.col("_t")))
-    j = rows.join(per_bucket, [*keys, "_cb"], "left")
+    j = rows.join(per_bucket.hint("merge"), [*keys, "_cb"], "left")
     own_covers = F.col("_s0").isNotNull() & (F.col("_s0") <= F.col("_t"))
     cover = F.when(own_covers, F.col("_s0")).otherwise(F.col("_s1"))
     cover_id = F.when(own_covers, F.col("_i0")).otherwise(F.col("_i1"))
